@@ -7,13 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from postline.llm import chat
+from postline.llm import chat, divergence, lines
 from postline.llm.common import table
 
 #: Fixed value: the conversation that op10 adds.
 PROBE_TEXT = r"\### Assistant: </turn> ok"
 
 
+def op1_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = divergence.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance"
+    )
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = spark.createDataFrame([(-7, 0, "user", PROBE_TEXT), (-7, 1, "assistant", PROBE_TEXT)], "conv_id bigint, turn bigint, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
@@ -49,5 +61,20 @@ SELECT conv_id, count(*) AS n_turns,
 FROM kept GROUP BY conv_id
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op10_chat_formatting": op10_chat_formatting}
-SQL: dict[str, str] = {"op10_chat_formatting": OP10_SQL}
+OP4_SQL = """
+WITH cut AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
+numbered AS (SELECT doc_id, unnest(parts) AS line, unnest(range(len(parts))) AS no FROM cut),
+keyed AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                              'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM numbered),
+owned AS (SELECT *, length(key) >= 10 AND doc_id > min(doc_id) OVER (PARTITION BY key) AS lost FROM keyed)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (lost) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY no) FILTER (NOT lost), '')) AS kept_sha256
+FROM owned GROUP BY doc_id
+"""
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_distribution_divergence": op1_distribution_divergence,
+    "op4_line_dedup": op4_line_dedup,
+    "op10_chat_formatting": op10_chat_formatting,
+}
+SQL: dict[str, str] = {"op4_line_dedup": OP4_SQL, "op10_chat_formatting": OP10_SQL}
