@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from postline.llm import chat, divergence, lines
-from postline.llm.common import table
+from postline.llm import chat, divergence, lines, quality
+from postline.llm.common import crc_bucket, table
 
 #: Fixed value: the conversation that op10 adds.
 PROBE_TEXT = r"\### Assistant: </turn> ok"
@@ -21,6 +21,13 @@ def op1_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = crc_bucket(F.col("doc_id"), 5) == 0
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), ~held_out, "quality")
+    return quality.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", quality.predicted().alias("predicted"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -74,6 +81,7 @@ FROM owned GROUP BY doc_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_distribution_divergence": op1_distribution_divergence,
+    "op3_quality_classifier": op3_quality_classifier,
     "op4_line_dedup": op4_line_dedup,
     "op10_chat_formatting": op10_chat_formatting,
 }
