@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from postline.llm import bpe, chat, decontaminate, divergence, lines, quality, toxicity
+from postline.llm import bpe, chat, decontaminate, divergence, lines, pii, quality, toxicity
 from postline.llm.common import crc_bucket, table
 
 #: Fixed value: the conversation that op10 adds.
@@ -46,6 +46,22 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.with_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    shown = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    base = F.filter("spans", lambda s: s["base"])
+    return found.select(
+        "doc_id",
+        *[F.size(F.filter(base, is_kind(k))).cast("bigint").alias(f"n_{k}") for k in pii.KINDS],
+        F.sha2(shown(base), 256).alias("base_sha256"),
+        shown("spans").alias("spans"),
+    )
+
+
+def is_kind(kind: str) -> Callable[[Column], Column]:
+    return lambda s: s["kind"] == kind
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = crc_bucket(F.col("doc_id"), 4) == 2
@@ -145,6 +161,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": op2_decontamination,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_line_dedup": op4_line_dedup,
+    "op7_pii": op7_pii,
     "op8_toxicity": op8_toxicity,
     "op9_bpe": op9_bpe,
     "op10_chat_formatting": op10_chat_formatting,
