@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 PIECE_BYTES = 2 << 20
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-FIVE = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
+FIVE = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -117,8 +117,9 @@ def windows(hashes: np.ndarray, width: int) -> np.ndarray:
     if n <= 0:
         return np.zeros(0, np.uint64)
     out = np.zeros(n, np.uint64)
-    factor = np.uint64(1)
+    factor = 1
     for j in range(width):
-        factor = factor * FIVE[j % 5] | np.uint64(1)
-        out += hashes[j : j + n] * factor
+        # another odd factor for each place
+        factor = (factor * FIVE[j % 5] | 1) % (1 << 64)
+        out += hashes[j : j + n] * np.uint64(factor)
     return mix(out)
