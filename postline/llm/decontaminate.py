@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 
 from postline.llm import tokens
 from postline.llm.common import cut
+from postline.llm.suffixes import suffix_array
 
 WIDTH = 10
 SAMPLED = 8
@@ -71,36 +72,6 @@ class Phrases:
         return cls(vocabulary, rows, (rows > 0).sum(axis=1), pairs[:, 1], np.searchsorted(pairs[:, 0], np.arange(len(rows) + 1)))
 
 
-def suffix_array(text: np.ndarray) -> np.ndarray:
-    """The suffixes of text in order, by prefix doubling; only suffixes that still tie are sorted again."""
-    n = len(text)
-    rank = np.unique(text, return_inverse=True)[1].astype(np.int64)
-    order = np.argsort(rank, kind="stable")
-    width = 1
-    # rank: the place of the first suffix of its group, so that groups keep their places when they are split
-    sorted_rank = rank[order]
-    start = np.concatenate([[True], sorted_rank[1:] != sorted_rank[:-1]])
-    place = np.maximum.accumulate(np.where(start, np.arange(n), 0))
-    rank[order] = place
-    while width < 2 * n:
-        sorted_rank = rank[order]
-        same = sorted_rank[1:] == sorted_rank[:-1]
-        tied = np.flatnonzero(np.concatenate([same, [False]]) | np.concatenate([[False], same]))
-        if not len(tied):
-            break
-        suffix = order[tied]
-        nxt = suffix + width
-        second = np.where(nxt < n, rank[np.minimum(nxt, n - 1)] + 1, 0)
-        key = rank[suffix] * (n + 1) + second
-        by = np.argsort(key)
-        suffix, key = suffix[by], key[by]
-        order[tied] = suffix
-        fresh = np.concatenate([[True], key[1:] != key[:-1]])
-        rank[suffix] = tied[np.maximum.accumulate(np.where(fresh, np.arange(len(tied)), 0))]
-        width *= 2
-    return order
-
-
 class WaveletMatrix:
     """Symbols by bits, most significant first; each level is stably split into zeros and ones."""
 
