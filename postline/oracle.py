@@ -325,3 +325,42 @@ SQL: dict[str, str] = {
         "jobs",
     ),
 }
+
+
+def _postings(k: str = "c_custkey") -> str:
+    """What the sample payloads hold, by platform, from the board's number alone."""
+    row = lambda i, ats, slug, eid, title, url, place, n, posted, bound="NULL": (
+        f"SELECT '{ats}' AS ats, {slug} AS slug, {eid} AS external_id, '{title}' AS title, {url} AS url, {quoted(place)} AS location, {n} AS n_locations, CAST({posted} AS BIGINT) AS posted_at, CAST({bound} AS BIGINT) AS posted_bound "
+        f"FROM customer WHERE {k} % 8 = {i} AND {k} % 9 <> 0"
+    )
+    at = lambda t: f"epoch(TIMESTAMP '{t}')"
+    slug, site = f"'c' || {k}", f"'c' || {k} || '.wd1/site'"
+    wd = f"'https://c' || {k} || '.wd1.myworkdayjobs.com/site"
+    rows = [
+        row(0, "ashby", slug, f"'a' || {k}", "Data Engineer", f"'https://jobs.ashbyhq.com/c' || {k} || '/a' || {k}", "Berlin", 2, at("2026-08-01 10:00:00")),
+        row(1, "greenhouse", slug, f"CAST({k} AS STRING)", "SRE", f"'https://g.io/' || {k}", "Remote", 1, at("2026-08-01 22:00:00")),
+        row(2, "lever", slug, f"'l' || {k}", "Designer", f"'https://l.co/' || {k}", "Oslo", 2, 1_786_000_000),
+        row(3, "workday", site, f"'JR' || {k}", "Analyst", f"{wd}/job/Austin-TX/Analyst_JR' || {k}", "Austin TX", 1, NOW - 5 * 86_400, str(NOW - 5 * 86_400)),
+        row(3, "workday", site, f"'R-' || {k}", "Clerk", f"{wd}/job/77/Clerk_R-' || {k}", "Oslo", 1, "NULL", str(NOW - 30 * 86_400)),
+        row(4, "recruitee", slug, f"CAST({k} AS STRING)", "Chef", f"'https://r.com/' || {k}", "Lyon", 1, at("2026-07-01 00:00:00")),
+        row(5, "breezy", slug, f"'b' || {k}", "Barista", f"'https://b.hr/' || {k}", "Graz", 1, at("2026-06-01 00:00:00")),
+        row(6, "smartrecruiters", slug, f"'s' || {k}", "Nurse", f"'https://jobs.smartrecruiters.com/c' || {k} || '/s' || {k}", "Gent, be", 1, at("2026-05-01 00:00:00")),
+        row(7, "bamboohr", slug, f"CAST({k} AS STRING)", "Dev", f"'https://c' || {k} || '.bamboohr.com/careers/' || {k}", "Leeds, United Kingdom", 1, "NULL"),
+    ]
+    return " UNION ALL ".join(rows)
+
+
+SQL |= {
+    "adapter_postings": _postings(),
+    "adapter_partial": "SELECT 'workday' AS ats, 'c' || c_custkey || '.wd1/site' AS slug FROM customer WHERE c_custkey % 8 = 3 AND c_custkey % 9 <> 0",
+    "gazetteer_argmax": with_views(
+        "WITH s AS (SELECT name AS name_key, country, sum(population) AS people FROM places GROUP BY ALL) SELECT name_key, arg_min(country, (-people, country)) AS country_code FROM s GROUP BY name_key", "places"
+    ),
+    "region_with_gazetteer": with_views(
+        f"""SELECT location, CASE WHEN location IN ('Munich, DE', 'Dublin, IE', 'Somewhere Nice') THEN 'europe' WHEN location = 'Springfield' THEN 'us' ELSE {region('location')} END AS place, count(*) AS n FROM jobs GROUP BY ALL""", "jobs"
+    ),
+    "json_walk": """SELECT page_id AS doc, 'C' || page_id AS name, 'c' || page_id || '.com' AS domain, NULL AS ats, NULL AS slug FROM pages
+                    UNION ALL SELECT page_id, NULL, NULL, 'lever', 'c' || page_id FROM pages""",
+    "page_boards": with_views(f"WITH {EXTRACTED} SELECT page_id, ats, slug FROM firsts", "texts"),
+}
+SQL["stream_event_rates"] = "SELECT CAST(epoch(ts) AS BIGINT) // 86400 * 86400 AS start, event_type AS type, count(*) AS n FROM events GROUP BY ALL"

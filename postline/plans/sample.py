@@ -132,12 +132,40 @@ VIEWS: dict[str, str] = {
                html || ' see ' || coalesce({pick("page_id", LINKS)}, '') || ' and "https://jobs.ashbyhq.com/p' || CAST(page_id % 9 AS STRING) || '", ' || coalesce({pick("(page_id + 3)", LINKS)}, '') AS body
         FROM pages""",
 }
+#: One fetched payload for each platform, with k for the board's number: the text, with $k where the number stands.
+PAYLOADS = {
+    "ashby": '{"jobs":[{"id":"a$k","title":" Data Engineer ","location":"Berlin","secondaryLocations":[{"location":"Paris"},{"location":"Berlin"}],"publishedAt":"2026-08-01T10:00:00Z"},{"id":"h$k","isListed":false},{"title":"no id"}]}',
+    "greenhouse": '{"jobs":[{"id":$k,"title":"SRE","absolute_url":"https://g.io/$k","location":{"name":"Remote"},"first_published":"","updated_at":"2026-08-02T00:00:00+02:00"}]}',
+    "lever": '[{"id":"l$k","text":"Designer","hostedUrl":"https://l.co/$k","categories":{"allLocations":["Oslo","Rome"],"team":"X"},"createdAt":1786000000123}]',
+    "workday": '{"total":2,"jobPostings":[{"title":"Analyst","externalPath":"/job/Austin-TX/Analyst_JR$k","locationsText":"3 Locations","postedOn":"Posted 5 Days Ago","bulletFields":["JR$k"]},{"title":"Clerk","externalPath":"/job/77/Clerk_R-$k","locationsText":"Oslo","postedOn":"Posted 30+ Days Ago","bulletFields":[]}]}',
+    "recruitee": '{"offers":[{"id":$k,"title":"Chef","careers_url":"https://r.com/$k","locations":[{"city":"Lyon"}],"published_at":"2026-07-01 00:00:00 UTC"}]}',
+    "breezy": '[{"id":"b$k","name":"Barista","url":"https://b.hr/$k","location":{"name":"Graz","is_remote":true},"published_date":"2026-06-01T00:00:00.000Z"}]',
+    "smartrecruiters": '{"totalFound":1,"content":[{"id":"s$k","name":"Nurse","location":{"city":"Gent","country":"be"},"releasedDate":"2026-05-01T00:00:00Z"}]}',
+    "bamboohr": '{"meta":{"totalCount":1},"result":[{"id":"$k","jobOpeningName":"Dev","location":{"city":null,"state":null},"atsLocation":{"city":"Leeds","country":"United Kingdom"}}]}',
+}
+
+
+def payload(number: str) -> str:
+    cases = " ".join(f"WHEN {i} THEN '{PAYLOADS[p]}'" for i, p in enumerate(PLATFORMS))
+    return f"replace(CASE c_custkey % {len(PLATFORMS)} {cases} END, '$k', CAST({number} AS STRING))"
+
+
+VIEWS["fetches"] = f"""
+    SELECT {pick("c_custkey", PLATFORMS)} AS ats, CASE WHEN c_custkey % 8 = 3 THEN 'c' || CAST(c_custkey AS STRING) || '.wd1/site' ELSE 'c' || CAST(c_custkey AS STRING) END AS slug,
+           CASE WHEN c_custkey % 9 = 0 THEN 'transient' ELSE 'ok' END AS fetch_status, {payload("c_custkey")} AS body FROM customer"""
+VIEWS["places"] = f"""
+    SELECT {pick("c_custkey", ("Springfield", "Paris", "Birmingham", "London", "Vienna", "Dublin", "Athens"))} AS name, {pick("(c_custkey % 1000)", ("US", "FR", "GB", "CA", "AT"))} AS country,
+           CAST(c_custkey % 977 AS BIGINT) AS population FROM customer"""
+VIEWS["trees"] = """
+    SELECT page_id AS doc, '{"org":{"company":"C' || CAST(page_id AS STRING) || '","website":"https://www.c' || CAST(page_id AS STRING) || '.com"},"list":[{"apply":"https://jobs.lever.co/c' || CAST(page_id AS STRING) || '/x"},{"n":1}]}' AS text
+    FROM pages"""
 TABLES = ("customer", "supplier", "orders", "events", "part", "pages")
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     text = VIEWS[name]
     used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if f"FROM {t}" in text or f"JOIN {t}" in text}
+    text = text.replace("{", "{{").replace("}", "}}")
     for t in used:
         text = text.replace(f"FROM {t}", f"FROM {{{t}}}").replace(f"JOIN {t}", f"JOIN {{{t}}}")
     return spark.sql(text, **used)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,8 @@ from postline.functions import dates, labels, names, urls
 from postline.operators import diff, ingest, registry
 from postline.plans import digest, gates, health, listings, policy
 from postline.plans.sample import NOW, view
+from postline.sources import adapters, gazetteer, refs, walk
+from postline.streaming import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -236,13 +239,13 @@ def reregion(jobs: DataFrame) -> DataFrame:
 
 
 @query("boards", "refs")
-def board_upsert(boards: DataFrame, refs: DataFrame) -> DataFrame:
-    return registry.add_boards(boards, refs, NOW).select("ats", "slug", "company_name", "website", "status", "tier", "consecutive_failures", "first_seen_at")
+def board_upsert(boards: DataFrame, named: DataFrame) -> DataFrame:
+    return registry.add_boards(boards, named, NOW).select("ats", "slug", "company_name", "website", "status", "tier", "consecutive_failures", "first_seen_at")
 
 
 @query("boards", "board_sources", "refs")
-def board_upsert_counts(boards: DataFrame, board_sources: DataFrame, refs: DataFrame) -> DataFrame:
-    return registry.add_counts(boards, board_sources, refs)
+def board_upsert_counts(boards: DataFrame, board_sources: DataFrame, named: DataFrame) -> DataFrame:
+    return registry.add_counts(boards, board_sources, named)
 
 
 @query("companies", "company_refs")
@@ -318,8 +321,8 @@ def policy_snapshot(companies: DataFrame, boards: DataFrame, jobs: DataFrame, ru
 
 
 @query("refs", "boards")
-def gate_yield(refs: DataFrame, boards: DataFrame) -> DataFrame:
-    rows = refs.select(F.col("source").alias("proposal"), "ats", "slug").distinct()
+def gate_yield(named: DataFrame, boards: DataFrame) -> DataFrame:
+    rows = named.select(F.col("source").alias("proposal"), "ats", "slug").distinct()
     return gates.yields(rows.select("proposal"), rows, boards)
 
 
@@ -331,3 +334,56 @@ def gate_source_pages(texts: DataFrame, boards: DataFrame) -> DataFrame:
 @query("jobs")
 def gate_precision(jobs: DataFrame) -> DataFrame:
     return gates.ruleset_gate(jobs, r"\b(developer|engineer)\b", "engineering")
+
+
+@query("fetches")
+def adapter_postings(fetches: DataFrame) -> DataFrame:
+    return adapters.all_postings(fetches, NOW).select("ats", "slug", "external_id", "title", "url", "location", F.size("locations").cast("bigint").alias("n_locations"), "posted_at", "posted_bound")
+
+
+@query("fetches")
+def adapter_partial(fetches: DataFrame) -> DataFrame:
+    return adapters.partial(fetches.withColumn("body", F.replace("body", F.lit('"total":2'), F.lit('"total":3'))), "workday")
+
+
+@query("places")
+def gazetteer_argmax(places: DataFrame) -> DataFrame:
+    return gazetteer.by_population(places)
+
+
+@query("jobs", "places")
+def region_with_gazetteer(jobs: DataFrame, places: DataFrame) -> DataFrame:
+    table = {"munich": "DE", "dublin": "IE", "springfield": "US", "somewhere": "FR", "progress": "CN", "boise": "US"}
+    lookup = labels.gazetteer_lookup(table)
+    rows = labels.label_distinct(jobs, "location", "place", lambda c: labels.region(c, lookup))
+    return rows.groupBy("location", "place").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("trees")
+def json_walk(trees: DataFrame) -> DataFrame:
+    return walk.references(trees).select("doc", "name", "domain", "ats", "slug")
+
+
+@query("texts")
+def page_boards(texts: DataFrame) -> DataFrame:
+    return refs.of_pages(texts, "body", "page_id")
+
+
+@query("jobs")
+def unclassified_titles(jobs: DataFrame) -> DataFrame:
+    return listings.unclassified_titles(jobs, seed=7, limit=20)
+
+
+def stream_event_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event table as a stream, counted by type in windows of event time until what is there is read."""
+    path = f"{sf_dir}/events.parquet"
+    schema = spark.read.parquet(path).schema
+    rows = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
+    events = rows.select(F.unix_seconds(F.col("ts").cast("timestamp")).alias("ts"), F.col("event_type").alias("type"))
+    name = f"rates_{uuid.uuid4().hex}"
+    running = streams.event_rates(events, window="1 day").writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
+    running.awaitTermination()
+    return spark.table(name)
+
+
+QUERIES["stream_event_rates"] = stream_event_rates
