@@ -9,10 +9,13 @@ doc_id, then by place. Texts of all documents can't be in one suffix array, so o
    and of the context. Within a batch, occurrences with equal hashes are reduced to the first at once.
 2. Occurrences of a gram with equal contexts: all but the first lose the context's bytes. Of each different context, the
    first occurrence stays in question if its gram has others.
-3. Those are compared exactly. They share the bytes on one side of the anchor at least, which keys them again; contexts
-   with a key in common are laid into an enhanced suffix array, and a stack scan over its common-prefix lengths finds the
-   intervals of at least LENGTH. An interval whose occurrences differ in the byte to the left is a maximal repeat: all
-   its occurrences but the first lose their bytes. Others repeat what the interval one byte to the left has.
+3. Those are compared exactly. Around a common anchor, a common string of LENGTH bytes holds RIGHT bytes from the anchor
+   on, or LEFT bytes before it: those are the keys by which contexts meet, if they meet any. Short hashes of both sides,
+   sent with the anchors, leave out contexts that meet none before their bytes are fetched. The contexts of a key are laid
+   into a sparse enhanced suffix array: of the places from which LENGTH bytes recur, those whose occurrences differ in the
+   byte to the left. A stack scan over its common-prefix lengths finds the intervals of at least LENGTH; one that is
+   left-diverse is a maximal repeat, and all its occurrences but the first lose their bytes. Other intervals repeat what
+   the interval one byte to the left has.
 
 Grams, contexts and keys are compared by 64-bit hashes.
 
@@ -28,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,7 +39,6 @@ from pyspark.sql import types as T
 from postline.llm import tokens
 from postline.llm.common import cut
 from postline.llm.jaccard import joined
-from postline.llm.suffixes import common_prefixes, suffix_array
 
 LENGTH = 100
 GRAM = 24
@@ -45,12 +48,16 @@ REACH = LENGTH - GRAM
 RIGHT, LEFT = 62, 39
 #: Bytes of contexts in one suffix array.
 ARRAY_BYTES = 1 << 18
+#: Bits of a side's hash that go with an anchor.
+SIDE_BITS = 16
+#: Places of anchors that are broadcast to fetch their bytes; beyond this they are joined by shuffling.
+BROADCAST_PLACES = 2_000_000
 ROW = ["_r_doc", "_r_text"]
 
 
 def text_hash(column: str = "text"):
-    """31 bits of the text's hash, as they stand above the place in ``at``."""
-    return F.shiftrightunsigned(F.xxhash64(column), 33)
+    """A byte of the text's hash, as it stands above the place in ``at``: it tells apart texts of one doc_id."""
+    return F.shiftrightunsigned(F.xxhash64(column), 56)
 
 
 class Piece:
@@ -87,6 +94,22 @@ class Piece:
         place = np.flatnonzero(most == h)
         return np.searchsorted(self.bounds, place, "right") - 1, place, h[place]
 
+    def keys(self, doc: np.ndarray, place: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For either side: which anchors have its bytes within their text, and those anchors' keys."""
+        out = []
+        for fits, start, end in ((place + RIGHT <= self.bounds[doc + 1], place, place + RIGHT), (place - LEFT >= self.bounds[doc], place - LEFT, place + GRAM)):
+            k = np.flatnonzero(fits)
+            out.append((k, self.hashes(start[k], end[k]) + np.uint64(len(out))))
+        return out
+
+    def sides(self, doc: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Both keys' first bits, 0 where a side is short."""
+        out = np.zeros(len(place), np.int64)
+        for i, (k, key) in enumerate(self.keys(doc, place)):
+            bits = (key >> np.uint64(64 - SIDE_BITS)).astype(np.int64)
+            out[k] |= np.maximum(bits, 1) << (SIDE_BITS * i)
+        return out.astype(np.uint32).view(np.int32)
+
     def contexts(self, doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return np.maximum(self.bounds[doc], place - REACH), np.minimum(self.bounds[doc + 1], place + LENGTH)
 
@@ -100,7 +123,7 @@ def running(a: np.ndarray, width: int, op: np.ufunc) -> np.ndarray:
     return op(a[: len(a) - (width - have)], a[width - have :]) if have < width else a
 
 
-ANCHOR = "gram bigint, context bigint, _r_doc bigint, at bigint, done boolean"
+ANCHOR = "gram bigint, context bigint, _r_doc bigint, at bigint, sides int, done boolean"
 
 
 def anchors(docs: DataFrame) -> DataFrame:
@@ -117,12 +140,12 @@ def anchors(docs: DataFrame) -> DataFrame:
                 lo, hi = p.contexts(doc, place)
                 context = tokens.mix(p.hashes(lo, hi) + (place - lo).astype(np.uint64) * np.uint64(1000003) + (hi - place).astype(np.uint64))
                 at = (texts[first + doc].astype(np.int64) << 32) | (place - bounds[doc])
-                got.append((gram.view(np.int64), context.view(np.int64), ids[first + doc], at))
+                got.append((gram.view(np.int64), context.view(np.int64), ids[first + doc], at, p.sides(doc, place)))
             if not got:
                 continue
-            gram, context, ids, at = (np.concatenate(x) for x in zip(*got, strict=True))
+            gram, context, ids, at, sides = (np.concatenate(x) for x in zip(*got, strict=True))
             by = np.lexsort((at, ids, context, gram))
-            gram, context, ids, at = gram[by], context[by], ids[by], at[by]
+            gram, context, ids, at, sides = gram[by], context[by], ids[by], at[by], sides[by]
             same = (gram[1:] == gram[:-1]) & (context[1:] == context[:-1])
             twice = np.concatenate([[False], same & (ids[1:] == ids[:-1]) & (at[1:] == at[:-1])])
             done = np.concatenate([[False], same])
@@ -131,63 +154,78 @@ def anchors(docs: DataFrame) -> DataFrame:
             done &= ~((ids == ids[lead]) & (at == at[lead]))
             keep = ~twice
             if keep.any():
-                yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (gram, context, ids, at, done)], names=["gram", "context", "_r_doc", "at", "done"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (gram, context, ids, at, sides, done)], names=["gram", "context", "_r_doc", "at", "sides", "done"])
 
     return docs.mapInArrow(run, ANCHOR)
 
 
 def settled(rows: DataFrame) -> DataFrame:
-    """(_r_doc, at, gram, sure) of anchors whose context's bytes go (sure), and of those to be compared.
+    """(_r_doc, at, gram, sides, sure) of anchors whose context's bytes go (sure), and of those to be compared.
 
     Rows come sorted within a partition, so a neighbour tells what a row is; one row is held back between batches.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["gram", "context", "_r_doc", "at"]
-        last: tuple | None = None  # gram, context, doc, at of the last row that isn't done
+        names = ["gram", "context", "_r_doc", "at", "sides"]
+        last: tuple | None = None  # the last row that isn't done
         held: tuple | None = None  # the first context of a gram, until another one shows up
         for b in batches:
-            gram, context, doc, at = (b.column(b.schema.get_field_index(c)).to_numpy() for c in names)
+            gram, context, doc, at, sides = (b.column(b.schema.get_field_index(c)).to_numpy() for c in names)
             done = b.column(b.schema.get_field_index("done")).to_numpy(zero_copy_only=False)
-            out = [(doc[done], at[done], gram[done], np.ones(int(done.sum()), bool))]
-            gram, context, doc, at = gram[~done], context[~done], doc[~done], at[~done]
+            out = [(doc[done], at[done], gram[done], sides[done], np.ones(int(done.sum()), bool))]
+            gram, context, doc, at, sides = (x[~done] for x in (gram, context, doc, at, sides))
             if not len(gram):
                 yield of(out)
                 continue
             carried = last is not None
             if carried:
-                gram, context, doc, at = (np.concatenate([[x], y]) for x, y in zip(last, (gram, context, doc, at), strict=True))
+                gram, context, doc, at, sides = (np.concatenate([[x], y]) for x, y in zip(last, (gram, context, doc, at, sides), strict=True))
             same_gram = gram[1:] == gram[:-1]
             same = same_gram & (context[1:] == context[:-1])
             equal = same & (doc[1:] == doc[:-1]) & (at[1:] == at[:-1])
             sure = np.flatnonzero(same & ~equal) + 1
-            out.append((doc[sure], at[sure], gram[sure], np.ones(len(sure), bool)))
+            out.append((doc[sure], at[sure], gram[sure], sides[sure], np.ones(len(sure), bool)))
             fresh = np.flatnonzero(same_gram & ~same) + 1  # the second and later contexts of a gram
-            out.append((doc[fresh], at[fresh], gram[fresh], np.zeros(len(fresh), bool)))
+            out.append((doc[fresh], at[fresh], gram[fresh], sides[fresh], np.zeros(len(fresh), bool)))
             first = np.concatenate([[not carried], ~same_gram])
             leads = np.flatnonzero(first)
             lead_of = np.searchsorted(leads, fresh, "right") - 1
             asked = np.unique(leads[lead_of[lead_of >= 0]])
-            out.append((doc[asked], at[asked], gram[asked], np.zeros(len(asked), bool)))
+            out.append((doc[asked], at[asked], gram[asked], sides[asked], np.zeros(len(asked), bool)))
             if held is not None and (lead_of < 0).any():
                 out.append(tuple(np.array([x]) for x in held) + (np.zeros(1, bool),))
                 held = None
             if len(leads):
-                held = None if leads[-1] in asked else (doc[leads[-1]], at[leads[-1]], gram[leads[-1]])
-            last = (gram[-1], context[-1], doc[-1], at[-1])
+                held = None if leads[-1] in asked else (doc[leads[-1]], at[leads[-1]], gram[leads[-1]], sides[leads[-1]])
+            last = (gram[-1], context[-1], doc[-1], at[-1], sides[-1])
             yield of(out)
 
     def of(out: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["_r_doc", "at", "gram", "sure"])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["_r_doc", "at", "gram", "sides", "sure"])
 
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartition(parts, "gram").sortWithinPartitions("gram", "context", "_r_doc", "at")
-    return dealt.mapInArrow(run, "_r_doc bigint, at bigint, gram bigint, sure boolean")
+    # what is settled already needn't meet its gram, so it is dealt by itself
+    meet = F.when(F.col("done"), F.xxhash64("_r_doc", "at")).otherwise(F.col("gram"))
+    dealt = rows.repartition(parts, meet).sortWithinPartitions("gram", "context", "_r_doc", "at")
+    return dealt.mapInArrow(run, "_r_doc bigint, at bigint, gram bigint, sides int, sure boolean")
+
+
+def meeting(asked: DataFrame) -> DataFrame:
+    """Of anchors in question, those with a side that another one of their gram has too."""
+    side = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.shiftright("sides", SIDE_BITS * i).bitwiseAND(F.lit((1 << SIDE_BITS) - 1)).alias("bits")) for i in (0, 1)]))
+    rows = asked.withColumn("s", side).filter("s.bits <> 0").select(*ROW, "place", F.xxhash64("gram", "s.i", "s.bits").alias("meet"))
+    met = cut(rows.groupBy("meet").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("meet"))
+    return joined(rows, met, ["meet"]).select(*ROW, "place")
 
 
 def keyed_contexts(docs: DataFrame, asked: DataFrame) -> DataFrame:
-    """(key, _r_doc, at, before, context): the bytes around each anchor in question, once for each side that can be shared."""
-    places = asked.groupBy(*ROW).agg(F.sort_array(F.collect_set("place")).alias("places"))
+    """(key, _r_doc, at, before, context): the bytes around each anchor in question, once for each side that can be shared.
+
+    Of a side, only what a common string with that side can reach.
+    """
+    places = cut(asked.groupBy(*ROW).agg(F.sort_array(F.collect_set("place")).alias("places")))
+    total = places.agg(F.sum(F.size("places"))).first()[0] or 0
+    near = F.broadcast(places) if total <= BROADCAST_PLACES else places
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -196,31 +234,28 @@ def keyed_contexts(docs: DataFrame, asked: DataFrame) -> DataFrame:
             for first, data, bounds in tokens.slices(column["text"]):
                 p = Piece(data, bounds)
                 lists = column["places"].slice(first, len(bounds) - 1)
-                doc = np.repeat(np.arange(len(lists)), np.array([len(x) for x in lists]))
+                sizes = np.diff(lists.offsets.to_numpy())
+                doc = np.repeat(np.arange(len(lists)), sizes)
                 own = lists.flatten().to_numpy().astype(np.int64)
                 place = own + bounds[doc]
                 lo, hi = p.contexts(doc, place)
                 at = (texts[first + doc] << 32) | own
-                out = []
-                for fits, start, end, salt in (
-                    (place + RIGHT <= bounds[doc + 1], place, place + RIGHT, 1),
-                    (place - LEFT >= bounds[doc], place - LEFT, place + GRAM, 2),
-                ):
-                    k = np.flatnonzero(fits & (hi - lo >= LENGTH))
-                    key = tokens.mix(p.hashes(start[k], end[k]) + np.uint64(salt)).view(np.int64)
-                    raw = data.tobytes()
-                    bytes_ = pa.array([raw[x:y] for x, y in zip(lo[k].tolist(), hi[k].tolist(), strict=True)], pa.binary())
-                    out.append([pa.array(key), pa.array(ids[first + doc[k]]), pa.array(at[k]), pa.array(place[k] - lo[k]), bytes_])
-                for arrays in out:
-                    yield pa.RecordBatch.from_arrays(arrays, names=["key", "_r_doc", "at", "before", "context"])
-
-    return docs.select(*ROW, "text").join(places, ROW).mapInArrow(run, "key bigint, _r_doc bigint, at bigint, before bigint, context binary")
+                reach = (np.maximum(lo, place - LEFT + 1), hi), (lo, np.minimum(hi, place + RIGHT - 1))
+                raw = data.tobytes()
+                for (k, key), (start, end) in zip(p.keys(doc, place), reach, strict=True):
+                    long = end[k] - start[k] >= LENGTH
+                    k, key = k[long], key[long]
+                    bytes_ = pa.array([raw[x:y] for x, y in zip(start[k].tolist(), end[k].tolist(), strict=True)], pa.binary())
+                    columns = [pa.array(key.view(np.int64)), pa.array(ids[first + doc[k]]), pa.array(at[k]), pa.array(place[k] - start[k]), bytes_]
+                    yield pa.RecordBatch.from_arrays(columns, names=["key", "_r_doc", "at", "before", "context"])
+
+    return docs.select(*ROW, "text").join(near, ROW).mapInArrow(run, "key bigint, _r_doc bigint, at bigint, before bigint, context binary")
 
 
 def maximal_repeats(order: np.ndarray, lcp: np.ndarray, left: np.ndarray, rank: np.ndarray) -> Iterator[tuple[int, list[int]]]:
     """(length, occurrences to drop) of the left-diverse intervals of at least LENGTH.
 
-    order: the suffixes; lcp: with the one before; left: the byte before each (-1: none to compare, always diverse); rank:
+    order: the suffixes' numbers; lcp: with the one before; left: the byte before each (-1: none to compare, always diverse); rank:
     smaller is earlier. An interval drops the firsts of its parts but its own: later ones are dropped by a longer repeat.
     """
     cuts = np.flatnonzero(np.concatenate([lcp < LENGTH, [True]]))
@@ -262,44 +297,78 @@ def joined_left(a: int | None, b: int | None) -> int | None:
 
 
 def repeated(contexts: list[bytes], group: np.ndarray, doc: np.ndarray, at: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(context's number, start, end) of what the contexts lose to earlier ones; start and end count from the context's.
-
-    One enhanced suffix array for all; a context is closed by a symbol of its own.
-    """
+    """(context's number, start, end) of what the contexts lose to earlier ones of their group; both count from the context's start."""
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     sizes = np.array([len(c) for c in contexts])
-    begin = np.concatenate([[0], np.cumsum(sizes + 1)])
-    text = np.zeros(int(begin[-1]), np.int64)
-    owner = np.repeat(np.arange(len(contexts)), sizes + 1)
-    last = begin[1:] - 1
-    inside = np.ones(len(text), bool)
-    inside[last] = False
-    text[inside] = np.frombuffer(b"".join(contexts), np.uint8)
-    text[last] = 256 + np.arange(len(contexts))
-    order = suffix_array(text)
-    room = last[owner] - np.arange(len(text))
-    order = order[room[order] >= LENGTH]
-    if len(order) < 2:
-        none = np.zeros(0, np.int64)
-        return none, none, none
-    lcp = common_prefixes(text, order, 255)
-    left = np.full(len(text), -1, np.int64)
-    left[1:] = text[:-1]
-    left[begin[:-1]] = -1
-    # order of occurrences: document, text, place
-    place = (at & 0xFFFFFFFF) - before
-    absolute = (at[owner] >> 32 << 32) + place[owner] + (np.arange(len(text)) - begin[owner])
-    by = np.lexsort((absolute, doc[owner]))
-    moved = (np.diff(absolute[by]) != 0) | (np.diff(doc[owner][by]) != 0)
-    rank = np.zeros(len(text), np.int64)
-    rank[by] = np.concatenate([[0], np.cumsum(moved)])  # equal for a place that two contexts have
-    who, start, end = [], [], []
-    for length, dropped in maximal_repeats(order, lcp, left, rank):
-        for s in dropped:
-            o = int(owner[s])
-            who.append(o)
-            start.append(s - int(begin[o]))
-            end.append(s - int(begin[o]) + length)
-    return np.array(who, np.int64), np.array(start, np.int64), np.array(end, np.int64)
+    begin = np.concatenate([[0], np.cumsum(sizes)])
+    data = np.frombuffer(b"".join(contexts), np.uint8)
+    p = Piece(data, begin)
+    starts = sizes - LENGTH + 1
+    owner = np.repeat(np.arange(len(contexts)), starts)
+    offset = np.arange(int(starts.sum())) - np.repeat(np.cumsum(starts) - starts, starts)
+    where = begin[owner] + offset
+    # places by what LENGTH bytes they begin, and by group
+    same = tokens.mix(p.hashes(where, where + LENGTH) + tokens.mix(group.view(np.uint64))[owner])
+    left = np.where(offset > 0, data[np.maximum(where - 1, 0)].astype(np.int64), -1)
+    by = np.argsort(same, kind="stable")
+    edge = np.concatenate([[0], np.flatnonzero(np.diff(same[by])) + 1])
+    count = np.diff(np.concatenate([edge, [len(by)]]))
+    bytes_left = left[by]
+    diverse = (np.minimum.reduceat(bytes_left, edge) < 0) | (np.minimum.reduceat(bytes_left, edge) != np.maximum.reduceat(bytes_left, edge))
+    keep = np.sort(by[np.repeat((count > 1) & diverse, count)])
+    if not len(keep):
+        return none
+    owner, where, left = owner[keep], where[keep], left[keep]
+    room = begin[owner + 1] - where
+    widest = int(room.max())
+    padded = np.concatenate([data, np.zeros(widest, np.uint8)])
+    # the suffixes, cut at their context's end, as rows of equal width; the group goes first
+    rows = np.lib.stride_tricks.sliding_window_view(padded, widest)[where].copy()
+    rows[np.arange(widest) >= room[:, None]] = 0
+    head = np.unique(group[owner], return_inverse=True)[1].astype(">u4").view(np.uint8).reshape(-1, 4)
+    key = np.ascontiguousarray(np.concatenate([head, rows], axis=1)).view(f"V{widest + 4}").ravel()
+    order = np.argsort(key, kind="stable")
+    lcp = prefixes_of(p, where[order], room[order], group[owner[order]])
+    place = (at >> 32 << 32) + (at & 0xFFFFFFFF) - before
+    absolute = place[owner] + where - begin[owner]
+    sort = np.lexsort((absolute, doc[owner]))
+    moved = (np.diff(absolute[sort]) != 0) | (np.diff(doc[owner][sort]) != 0)
+    rank = np.zeros(len(where), np.int64)
+    rank[sort] = np.concatenate([[0], np.cumsum(moved)])  # equal for a place that two contexts have
+    found = [(s, length) for length, dropped in maximal_repeats(order, lcp, left, rank) for s in dropped]
+    if not found:
+        return none
+    s, length = np.array(found, np.int64).T
+    start = where[s] - begin[owner[s]]
+    return owner[s], start, start + length
+
+
+def prefixes_of(p: Piece, where: np.ndarray, room: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """For each suffix in order, its common prefix with the one before, within both contexts; 0 across groups. By bisection over hashes."""
+    a, b, most = where[:-1], where[1:], np.minimum(room[:-1], room[1:])
+    length = np.zeros(len(a), np.int64)
+    step = 1 << int(room.max()).bit_length()
+    while step := step // 2:
+        tried = length + step
+        fits = np.flatnonzero(tried <= most)
+        hit = p.hashes(a[fits], a[fits] + tried[fits]) == p.hashes(b[fits], b[fits] + tried[fits])
+        length[fits[hit]] = tried[fits[hit]]
+    length[group[1:] != group[:-1]] = 0
+    return np.concatenate([[0], length])
+
+
+def united(doc: np.ndarray, text: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
+    """The spans, with those of a text that overlap made one."""
+    by = np.lexsort((start, text, doc))
+    doc, text, start, end = doc[by], text[by], start[by], end[by]
+    other = np.concatenate([[True], (doc[1:] != doc[:-1]) | (text[1:] != text[:-1])])
+    # the furthest end so far in a text: shifted by text so that one running maximum serves all
+    shift = np.cumsum(other) * (int(end.max()) + 1)
+    far = np.maximum.accumulate(end + shift)
+    opens = other | np.concatenate([[True], start[1:] + shift[1:] > far[:-1]])
+    first = np.flatnonzero(opens)
+    last = np.concatenate([first[1:], [len(by)]]) - 1
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[first], text[first], start[first], (far - shift)[last])], names=[*ROW, "start", "end"])
 
 
 def compared(rows: DataFrame) -> DataFrame:
@@ -313,7 +382,7 @@ def compared(rows: DataFrame) -> DataFrame:
             same = key[1:] == key[:-1]
             several = np.concatenate([same, [False]]) | np.concatenate([[False], same])
             t = t.filter(pa.array(several))
-            size = np.cumsum([len(x.as_py()) for x in t["context"]])
+            size = np.cumsum(pc.binary_length(t["context"]).to_numpy())
             key = t["key"].to_numpy()
             edges = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]]) if len(key) else np.zeros(1, int)
             a = 0
@@ -324,9 +393,7 @@ def compared(rows: DataFrame) -> DataFrame:
                     who, start, end = repeated(part["context"].to_pylist(), part["key"].to_numpy(), doc, at, before)
                     if len(who):
                         base = (at[who] & 0xFFFFFFFF) - before[who]
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(doc[who]), pa.array(at[who] >> 32), pa.array(base + start), pa.array(base + end)], names=[*ROW, "start", "end"]
-                        )
+                        yield united(doc[who], at[who] >> 32, base + start, base + end)
                     a = int(e)
 
         for b in batches:
@@ -344,6 +411,25 @@ def compared(rows: DataFrame) -> DataFrame:
     return rows.repartition(parts, "key").sortWithinPartitions("key", "_r_doc", "at").mapInArrow(run, "_r_doc bigint, _r_text bigint, start bigint, end bigint")
 
 
+def merged_spans(rows: DataFrame) -> DataFrame:
+    """(_r_doc, _r_text, _r_spans): a text's spans, made one where they touch, as pairs of 64-bit numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for s in b.column(b.schema.get_field_index("s")):
+                lo, hi = s.values.field("start").to_numpy(), s.values.field("end").to_numpy()
+                by = np.argsort(lo)
+                lo, far = lo[by], np.maximum.accumulate(hi[by])
+                first = np.flatnonzero(np.concatenate([[True], lo[1:] > far[:-1]]))
+                last = np.concatenate([first[1:], [len(lo)]]) - 1
+                out.append(np.stack([lo[first], far[last]], axis=1).tobytes())
+            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in ROW), pa.array(out, pa.binary())], names=[*ROW, "_r_spans"])
+
+    lists = rows.groupBy(*ROW).agg(F.collect_set(F.struct("start", "end")).alias("s"))
+    return lists.mapInArrow(run, "_r_doc bigint, _r_text bigint, _r_spans binary")
+
+
 ADDED = [
     T.StructField("kept", T.BinaryType()),
     T.StructField("n_bytes", T.LongType()),
@@ -359,11 +445,10 @@ def dedup(docs: DataFrame) -> DataFrame:
     plain = named.filter("doc_id IS NOT NULL").select(*ROW, "text")
     found = cut(settled(anchors(plain)))
     place = F.col("at").bitwiseAND(F.lit(0xFFFFFFFF))
-    placed = found.select("_r_doc", F.shiftright("at", 32).alias("_r_text"), place.alias("place"), "sure")
-    more = cut(compared(keyed_contexts(plain, placed.filter("NOT sure"))))
-    sure = placed.filter("sure").select(*ROW, F.col("place").alias("start"), F.lit(-1).cast("bigint").alias("end"))
-    spans = sure.unionByName(more).groupBy(*ROW).agg(F.collect_set(F.struct("start", "end")).alias("_r_spans"))
-
+    placed = found.select("_r_doc", F.shiftright("at", 32).alias("_r_text"), place.alias("place"), "gram", "sides", "sure")
+    more = cut(compared(keyed_contexts(plain, meeting(placed.filter("NOT sure")))))
+    sure = placed.filter("sure").select(*ROW, (F.col("place") - REACH).alias("start"), (F.col("place") + LENGTH).alias("end"))
+    spans = cut(merged_spans(sure.unionByName(more)))
     columns = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -375,15 +460,10 @@ def dedup(docs: DataFrame) -> DataFrame:
                     kept.append(raw)
                     numbers.append((len(raw), 0, 0))
                     continue
-                start = spans_.values.field("start").to_numpy()
-                end = spans_.values.field("end").to_numpy()
-                whole = end < 0  # an anchor whose context goes
-                lo = np.where(whole, np.maximum(0, start - REACH), start)
-                hi = np.where(whole, np.minimum(len(raw), start + LENGTH), end)
-                fits = hi - lo >= LENGTH
+                lo, hi = np.frombuffer(spans_.as_buffer(), np.int64).reshape(-1, 2).T
                 change = np.zeros(len(raw) + 1, np.int64)
-                np.add.at(change, lo[fits], 1)
-                np.add.at(change, hi[fits], -1)
+                np.add.at(change, np.maximum(lo, 0), 1)
+                np.add.at(change, np.minimum(hi, len(raw)), -1)
                 gone = np.cumsum(change)[:-1] > 0
                 runs = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()) if len(gone) else 0
                 kept.append(np.frombuffer(raw, np.uint8)[~gone].tobytes())
@@ -392,4 +472,4 @@ def dedup(docs: DataFrame) -> DataFrame:
             numbers_ = np.array(numbers, np.int64).reshape(-1, 3)
             yield pa.RecordBatch.from_arrays([*own, pa.array(kept, pa.binary()), *(pa.array(numbers_[:, k]) for k in range(3))], names=[*columns, *(f.name for f in ADDED)])
 
-    return joined(named, cut(spans), ROW, "left").select(*columns, "_r_spans").mapInArrow(run, T.StructType([*docs.schema.fields, *ADDED]))
+    return joined(named, spans, ROW, "left").select(*columns, "_r_spans").mapInArrow(run, T.StructType([*docs.schema.fields, *ADDED]))
