@@ -257,6 +257,7 @@ def examples(seed: int = 11, each: int = 60) -> list[tuple[str, int, int, int, i
         (1, 1, lambda: ":".join(f"{int(rng.integers(1 << 16)):x}" for _ in range(8)), ("from host", "ip", "address", "")),
         (1, 0, lambda: ":".join(num(2) for _ in range(4)), ("time", "", "at")),
         (1, 0, lambda: ".".join(num(int(rng.integers(1, 4))) for _ in range(4)), ("version", "release", "section", "build")),
+        (1, 0, lambda: ".".join(rng.permutation([str(int(rng.integers(256, 1000))), octet(), octet(), octet()]).tolist()), ("from host", "ip", "client", "")),
         (2, 1, lambda: card(True), ("card", "visa", "credit card", "")),
         (2, 1, lambda: card(False), ("card number", "visa card")),
         (2, 0, lambda: card(False), ("order", "invoice", "", "serial", "id")),
