@@ -48,8 +48,8 @@ def remove_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str)
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids, and the text that the ids decode to."""
     vocabulary = bpe.Vocabulary.load(vocabulary_path())
-    encoded = bpe.with_ids(docs.select("doc_id", "text"), vocabulary).select("doc_id", "ids")
-    return bpe.with_text(encoded, vocabulary).select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids", "decoded")
+    encoded = bpe.with_ids(docs.select("doc_id", "text"), vocabulary, decoded=True)
+    return encoded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids", "decoded")
 
 
 STAGES = [

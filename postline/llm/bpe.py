@@ -28,7 +28,9 @@ from pyspark.sql import types as T
 from postline.llm import samples
 
 #: Words that a worker remembers; beyond this it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 100_000
+#: Texts encoded at a time.
+TEXTS = 256
 #: Unicode's white space, and the pattern of words of this kind of vocabulary.
 SPACE = "\t-\r \x85\xa0  -     　"
 WORD = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+"
@@ -153,31 +155,37 @@ def words_of(text: str) -> list[str]:
     return _word.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
 
 
-def with_ids(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """docs with ``ids`` (array of int), the encoded text."""
+def with_ids(docs: DataFrame, vocabulary: Vocabulary, decoded: bool = False) -> DataFrame:
+    """docs with ``ids`` (array of int), the encoded text; with decoded, also what the ids decode to, in one pass."""
     held = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def make(text: pa.Array) -> list[pa.Array]:
-        out, step = [], 256
-        for at in range(0, len(text), step):
-            rows = held.value.encode([t or "" for t in text.slice(at, step).to_pylist()])
+        parts, shown = [], []
+        for at in range(0, len(text), TEXTS):
+            rows = held.value.encode([t or "" for t in text.slice(at, TEXTS).to_pylist()])
             offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
-            out.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows), pa.int32())))
-        return [pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.int32()))]
+            parts.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows), pa.int32())))
+            if decoded:
+                shown.append(pa.array([held.value.decode(r.tolist()) for r in rows], pa.string()))
+        ids = pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
+        return [ids, pa.concat_arrays(shown) if shown else pa.array([], pa.string())] if decoded else [ids]
 
-    return samples.with_column(docs, ["ids"], [T.StructField("ids", T.ArrayType(T.IntegerType()))], make)
+    fields = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]
+    return samples.with_column(docs, ["ids", "decoded"][: 1 + decoded], fields[: 1 + decoded], make)
 
 
 def with_text(encoded: DataFrame, vocabulary: Vocabulary, out: str = "decoded") -> DataFrame:
-    """encoded with ``decoded``, the tokens of ``ids`` joined by a space, special ones included."""
+    """encoded with the tokens of its ``ids`` joined by a space, special ones included."""
     held = encoded.sparkSession.sparkContext.broadcast(vocabulary)
     encoded = encoded.drop(out)
     schema = T.StructType([*encoded.schema.fields, T.StructField(out, T.StringType())])
 
     def run(batches):
-        for b in batches:
-            ids = b.column(b.schema.get_field_index("ids"))
-            made = pa.array([held.value.decode(x.as_py() or []) if x.is_valid else "" for x in ids], pa.string())
-            yield pa.RecordBatch.from_arrays([*b.columns, made], names=[*b.schema.names, out])
+        for whole in batches:
+            for at in range(0, whole.num_rows, TEXTS):
+                b = whole.slice(at, TEXTS)
+                ids = b.column(b.schema.get_field_index("ids"))
+                made = pa.array([held.value.decode(x.as_py() or []) if x.is_valid else "" for x in ids], pa.string())
+                yield pa.RecordBatch.from_arrays([*b.columns, made], names=[*b.schema.names, out])
 
     return encoded.mapInArrow(run, schema)

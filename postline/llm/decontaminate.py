@@ -32,7 +32,7 @@ from postline.llm.suffixes import suffix_array
 WIDTH = 10
 SAMPLED = 8
 BLOCK_WORDS = 2_000_000
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 ADDED = [T.StructField("n_words", T.LongType()), T.StructField("word_spans", SPANS), T.StructField("spans", SPANS), T.StructField("items", T.ArrayType(T.LongType()))]
 

@@ -16,10 +16,55 @@ PROBE_TEXT = r"\### Assistant: </turn> ok"
 
 def op1_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = divergence.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
-    return judged.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance"
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op1_sql() -> str:
+    """The same rules as relations: a row for each document and bin of either histogram."""
+    d = divergence
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    words = ", ".join(f"({quoted(lang)}, {k}, {quoted(w)})" for lang, own in d.COMMON_WORDS.items() for k, w in enumerate(own))
+    bins = len(d.COMMON_WORDS["en"])
+    classes = " UNION ALL ".join(
+        f"SELECT doc_id, 'c' AS kind, {k} AS bin, length(text) - length(regexp_replace(text, {quoted(p + '+')}, '', 'g')) AS n FROM counted" for k, p in enumerate(d.CHAR_CLASSES)
     )
 
+    def measured(k: int, source: str) -> str:
+        return f"""
+        sums{k} AS (SELECT l, kind, bin, sum(n) AS n FROM hist JOIN counted USING (doc_id) WHERE doc_id IN (SELECT doc_id FROM {source}) GROUP BY ALL),
+        ref{k} AS (SELECT l, kind, bin, n / nullif(sum(n) OVER (PARTITION BY l, kind), 0) AS q FROM sums{k}),
+        pair{k} AS (SELECT doc_id, kind, p, q, (p + q) / 2 AS m FROM shares JOIN counted USING (doc_id) JOIN ref{k} USING (l, kind, bin) WHERE p IS NOT NULL AND q IS NOT NULL),
+        js{k} AS (SELECT doc_id, kind, sqrt(greatest(sum(CASE WHEN p > 0 THEN p * log2(p / m) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / m) ELSE 0 END) / 2, 0)) AS x FROM pair{k} GROUP BY ALL),
+        judged{k} AS (SELECT c.doc_id, NOT base_failed
+              AND NOT (n_chars >= {d.MIN_CHARS} AND coalesce(a.x, 0) > {d.MAX_CHAR_DISTANCE} + {d.CHANCE} / sqrt(n_chars))
+              AND NOT (n_words >= {d.MIN_WORDS} AND coalesce(b.x, 0) > {d.MAX_WORD_DISTANCE} + {d.CHANCE} / sqrt(n_words)) AS kept
+            FROM base c LEFT JOIN js{k} a ON a.doc_id = c.doc_id AND a.kind = 'c' LEFT JOIN js{k} b ON b.doc_id = c.doc_id AND b.kind = 'w'),
+        clean{k} AS (SELECT doc_id FROM judged{k} WHERE kept)"""
+
+    rounds = ",".join(measured(k, f"clean{k - 1}") for k in range(1, d.ROUNDS + 1))
+    return f"""
+    WITH common(l, bin, word) AS (VALUES {words}),
+    counted AS (SELECT doc_id, coalesce(text, '') AS text, CASE WHEN lang IN ({', '.join(map(quoted, d.COMMON_WORDS))}) THEN lang ELSE '*' END AS l,
+                       regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+    placed AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS i FROM counted),
+    windows AS (SELECT doc_id, i, word || ' ' || lead(word, 1) OVER o || ' ' || lead(word, 2) OVER o AS g FROM placed WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+    again AS (SELECT doc_id, i FROM windows WHERE g IS NOT NULL QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+    under AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM again, (VALUES (0), (1), (2)) t(k) GROUP BY doc_id),
+    lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM counted),
+    dups AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id),
+    base AS (SELECT doc_id, length(text) AS n_chars, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+                    CAST(length(text) - length(regexp_replace(text, {quoted(d.SYMBOLS + '+')}, '', 'g')) AS BIGINT) AS n_symbols, coalesce(dups.n, 0) AS n_dup_lines, coalesce(under.n, 0) AS n_repeat_words,
+                    len(w) < {d.MIN_BASE_WORDS} OR coalesce(under.n, 0) * 100 > len(w) * {d.MAX_REPEAT_PERCENT} AS base_failed
+             FROM counted LEFT JOIN dups USING (doc_id) LEFT JOIN under USING (doc_id)),
+    classes AS ({classes}),
+    found AS (SELECT doc_id, bin, count(*) AS n FROM placed JOIN counted USING (doc_id) JOIN common ON common.l = counted.l AND common.word = lower(rtrim(placed.word, '.,;:!?')) GROUP BY ALL),
+    told AS (SELECT doc_id, bin, coalesce(found.n, 0) AS n FROM base CROSS JOIN range({bins}) r(bin) LEFT JOIN found USING (doc_id, bin)),
+    hist AS (SELECT * FROM classes UNION ALL SELECT doc_id, 'c', {len(d.CHAR_CLASSES)}, greatest(any_value(n_chars) - sum(n), 0) FROM classes JOIN base USING (doc_id) GROUP BY doc_id
+             UNION ALL SELECT doc_id, 'w', bin, n FROM told UNION ALL SELECT doc_id, 'w', {bins}, greatest(any_value(n_words) - sum(n), 0) FROM told JOIN base USING (doc_id) GROUP BY doc_id),
+    shares AS (SELECT doc_id, kind, bin, n / nullif(sum(n) OVER (PARTITION BY doc_id, kind), 0) AS p FROM hist),
+    clean0 AS (SELECT doc_id FROM base WHERE NOT base_failed),{rounds}
+    SELECT base.* EXCLUDE (n_chars), kept FROM base JOIN judged{d.ROUNDS} USING (doc_id)"""
+
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -86,8 +131,7 @@ def vocabulary_path() -> str:
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = bpe.Vocabulary.load(vocabulary_path())
-    encoded = bpe.with_ids(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary).select("doc_id", "ids")
-    both = bpe.with_text(encoded, vocabulary)
+    both = bpe.with_ids(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary, decoded=True)
     return both.select(
         "doc_id",
         F.size("ids").cast("bigint").alias("n_tokens"),
@@ -177,4 +221,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_bpe": op9_bpe,
     "op10_chat_formatting": op10_chat_formatting,
 }
-SQL: dict[str, str] = {"op2_decontamination": OP2_SQL, "op4_line_dedup": OP4_SQL, "op10_chat_formatting": OP10_SQL}
+SQL: dict[str, str] = {"op1_distribution_divergence": op1_sql(), "op2_decontamination": OP2_SQL, "op4_line_dedup": OP4_SQL, "op10_chat_formatting": OP10_SQL}

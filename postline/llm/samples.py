@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Rows of a batch that are worked on at a time.
+ROWS = 1_000
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, bound: int) -> DataFrame:
     """(doc_id, text, y) of at most ``bound`` labelled documents that ``allowed`` (on doc_id) lets in, by the hash of doc_id.
 
@@ -33,9 +37,11 @@ def with_column(docs: DataFrame, names: list[str], fields: list[T.StructField],
     schema = T.StructType([*docs.schema.fields, *fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            made = make(b.column(b.schema.get_field_index("text")))
-            yield pa.RecordBatch.from_arrays([*b.columns, *made], names=[*b.schema.names, *names])
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                b = whole.slice(at, ROWS)
+                made = make(b.column(b.schema.get_field_index("text")))
+                yield pa.RecordBatch.from_arrays([*b.columns, *made], names=[*b.schema.names, *names])
 
     return docs.mapInArrow(run, schema)
 

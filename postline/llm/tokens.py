@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 20
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 FIVE = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
@@ -40,13 +40,17 @@ def lower_table() -> np.ndarray:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """MULTIPLIER ** i and its inverse for i < n at least."""
-    if len(_powers.get("up", ())) < n:
-        for name, base in (("up", MULTIPLIER), ("down", INVERSE)):
-            a = np.full(n, base, np.uint64)
-            a[0] = 1
-            _powers[name] = np.multiply.accumulate(a)
-    return _powers["up"], _powers["down"]
+    """MULTIPLIER ** i and its inverse for i < n at least. Only tables for usual pieces are kept."""
+    if "up" in _powers and len(_powers["up"]) >= n:
+        return _powers["up"], _powers["down"]
+    made = []
+    for base in (MULTIPLIER, INVERSE):
+        a = np.full(max(n, 1), base, np.uint64)
+        a[0] = 1
+        made.append(np.multiply.accumulate(a))
+    if n <= PIECE_BYTES + 1:
+        _powers["up"], _powers["down"] = made
+    return made[0], made[1]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
