@@ -363,4 +363,22 @@ SQL |= {
                     UNION ALL SELECT page_id, NULL, NULL, 'lever', 'c' || page_id FROM pages""",
     "page_boards": with_views(f"WITH {EXTRACTED} SELECT page_id, ats, slug FROM firsts", "texts"),
 }
+SQL |= {
+    "careers_resolve": with_views(
+        """WITH pages AS (SELECT domain AS found, path, CASE WHEN contains(html, 'lever.co') THEN regexp_extract(html, 'lever.co/(n\\d+)', 1) END AS slug FROM probes WHERE status = 200),
+           asked AS (SELECT id, norm_name, domain IS NOT NULL AS sure, CASE WHEN domain IS NOT NULL THEN [domain] WHEN length(norm_name) BETWEEN 3 AND 29 THEN [norm_name || '.com', norm_name || '.io', norm_name || '.ai'] ELSE [] END AS ds FROM companies WHERE careers_checked_at IS NULL),
+           hits AS (SELECT id, arg_min({'f': found, 'p': path, 's': slug}, (slug IS NULL, k)) AS h FROM (SELECT id, unnest(ds) AS found, unnest(range(len(ds))) AS k FROM asked) JOIN pages USING (found) GROUP BY id),
+           judged AS (SELECT id, norm_name, sure, h.f AS found, h.p AS path, h.s AS slug, sure OR coalesce(h.s = norm_name, false) OR EXISTS (SELECT 1 FROM boards b WHERE b.company_id = id AND b.ats = 'lever' AND b.slug = h.s) AS ok FROM asked LEFT JOIN hits USING (id) WHERE len(ds) > 0)
+           SELECT j.id, CASE WHEN ok THEN 'https://' || found || path END AS url, CASE WHEN NOT ok OR found IS NULL THEN 'none' WHEN slug IS NULL THEN 'html' ELSE 'ats' END AS kind,
+                  CASE WHEN ok AND NOT sure AND c.id IS NULL THEN found END AS learned, CASE WHEN ok AND NOT sure AND c.id <> j.id THEN c.id END AS merge_into, ok AS owned, CASE WHEN ok AND slug IS NOT NULL THEN 1 ELSE 0 END AS n_refs
+           FROM judged j LEFT JOIN companies c ON c.domain = found""",
+        "companies", "boards", "probes",
+    ),
+    "careers_recheck": with_views(
+        """WITH pages AS (SELECT domain, CASE WHEN contains(html, 'lever.co') THEN regexp_extract(html, 'lever.co/(n\\d+)', 1) END AS s FROM probes WHERE status = 200)
+           SELECT ats, slug, CASE WHEN s IS NULL THEN 'gone' WHEN ats = 'lever' AND slug = s THEN 'confirmed' ELSE 'migrated' END AS outcome, CASE WHEN s IS NOT NULL THEN 'lever:' || s END AS now_on
+           FROM boards LEFT JOIN pages ON domain = 's' || substr(slug, 2) || '.com'""",
+        "boards", "probes",
+    ),
+}
 SQL["stream_event_rates"] = "SELECT CAST(epoch(ts) AS BIGINT) // 86400 * 86400 AS start, event_type AS type, count(*) AS n FROM events GROUP BY ALL"

@@ -156,6 +156,11 @@ VIEWS["fetches"] = f"""
 VIEWS["places"] = f"""
     SELECT {pick("c_custkey", ("Springfield", "Paris", "Birmingham", "London", "Vienna", "Dublin", "Athens"))} AS name, {pick("(c_custkey % 1000)", ("US", "FR", "GB", "CA", "AT"))} AS country,
            CAST(c_custkey % 977 AS BIGINT) AS population FROM customer"""
+VIEWS["probes"] = """
+    SELECT CASE WHEN s_suppkey % 2 = 0 THEN 's' || CAST(s_suppkey AS STRING) || '.com' ELSE 'n' || CAST(s_suppkey % 60 AS STRING) || '.io' END AS domain, '/careers' AS path, CAST(1 AS INT) AS path_rank,
+           CAST(CASE WHEN s_suppkey % 9 = 0 THEN 404 ELSE 200 END AS INT) AS status,
+           CASE WHEN s_suppkey % 3 = 0 THEN 'no boards here' ELSE 'at https://jobs.lever.co/n' || CAST(s_suppkey % 60 AS STRING) || '/1' END AS html
+    FROM supplier WHERE s_suppkey <= 60"""
 VIEWS["trees"] = """
     SELECT page_id AS doc, '{"org":{"company":"C' || CAST(page_id AS STRING) || '","website":"https://www.c' || CAST(page_id AS STRING) || '.com"},"list":[{"apply":"https://jobs.lever.co/c' || CAST(page_id AS STRING) || '/x"},{"n":1}]}' AS text
     FROM pages"""

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postline.functions import dates, labels, names, urls
-from postline.operators import diff, ingest, registry
+from postline.operators import careers, diff, ingest, registry
 from postline.plans import digest, gates, health, listings, policy
 from postline.plans.sample import NOW, view
 from postline.sources import adapters, gazetteer, refs, walk
@@ -374,6 +374,17 @@ def unclassified_titles(jobs: DataFrame) -> DataFrame:
     return listings.unclassified_titles(jobs, seed=7, limit=20)
 
 
+@query("companies", "boards", "probes")
+def careers_resolve(companies: DataFrame, boards: DataFrame, probes: DataFrame) -> DataFrame:
+    return careers.resolved(companies, boards, probes).select("id", "url", "kind", "learned", "merge_into", "owned", F.size("refs").cast("bigint").alias("n_refs"))
+
+
+@query("boards", "probes")
+def careers_recheck(boards: DataFrame, probes: DataFrame) -> DataFrame:
+    rows = boards.withColumns({"careers_checked_at": F.lit(None).cast("bigint"), "careers_url": F.concat(F.lit("https://s"), F.substring("slug", 2, 9), F.lit(".com/x"))})
+    return careers.rechecked(rows, probes, NOW)
+
+
 def stream_event_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event table as a stream, counted by type in windows of event time until what is there is read."""
     path = f"{sf_dir}/events.parquet"

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from postline import config
+from postline.operators import careers
 from postline.oracle import SQL
 from postline.plans import digest, gates, health, policy
 from postline.queries import QUERIES
@@ -119,3 +120,16 @@ def test_digest_stream_records_only_what_was_sent(spark, tmp_path):
     sent = []
     streams.digest_stream(stream, store, lambda rows: sent.append(rows.count()) or True, str(tmp_path / "cp"), config.CUTOFF).awaitTermination()
     assert sent == [1] and store.read("notified_jobs").count() == 1
+
+
+def test_adopted_boards_and_decided_proposals(spark):
+    companies = spark.createDataFrame([(1, "acme.com", "Acme", "acme", None, None, None, None, 1, "s")], SCHEMAS["companies"])
+    rows = [("lever", "acme", "Acme Inc", None), ("lever", "new", "Newco", "https://www.newco.io"), ("lever", "none", None, None)]
+    boards = spark.createDataFrame(rows, "ats string, slug string, company_name string, website string").withColumns({"careers_url": F.lit(None).cast("string"), "company_id": F.lit(None).cast("bigint")})
+    after, linked = careers.adopted(companies, boards, 5)
+    assert {(r.id, r.domain) for r in after.collect()} == {(1, "acme.com"), (2, "newco.io")}
+    assert {(r.slug, r.company_id) for r in linked.collect()} == {("acme", 1), ("new", 2), ("none", None)}
+    proposals = spark.createDataFrame([(1, "a", "source", "{}", '{"x":"1","y":"2"}', "drafted", None, 1, None, None), (2, "a", "diagnosis", "{}", None, "drafted", None, 1, None, None)], SCHEMAS["proposals"])
+    verdicts = spark.createDataFrame([(1, "pending", 3.0, '{"y":"3"}')], "id bigint, status string, score double, evidence string")
+    got = {r.id: r for r in careers.decided_proposals(proposals, verdicts, 9).collect()}
+    assert (got[1].status, got[1].evidence, got[1].decided_at) == ("pending", '{"x":"1","y":"3"}', 9) and got[2].status == "drafted"
