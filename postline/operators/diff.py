@@ -8,6 +8,7 @@ first time. The state, not the snapshot, may be huge: partition it by ats.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,10 +97,11 @@ def numbered(rows: DataFrame, order: list[str], last_id: int) -> DataFrame:
     """rows with gapless ids after last_id in this order.
 
     Rows are range-partitioned by the order, counted per partition, and numbered within it from the counts before: no
-    single task sees them all.
+    single task sees them all. The ranges come from a sample, so the partitioned rows are persisted: counts and numbers
+    must be of the same ranges.
     """
     parts = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    spot = parts.withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    spot = parts.withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))).persist(StorageLevel.MEMORY_AND_DISK)
     sizes = spot.groupBy("_part").agg(F.max("_at").alias("_most"))
     before = F.coalesce(F.sum(F.col("_most") + 1).over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = sizes.select("_part", before.alias("_before"))  # a row for each partition
