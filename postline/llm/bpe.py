@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from postline.llm import samples
 
 #: Words that a worker remembers; beyond this it starts anew.
-REMEMBERED = 100_000
+REMEMBERED = 300_000
 #: Texts encoded at a time.
 TEXTS = 256
 #: Unicode's white space, and the pattern of words of this kind of vocabulary.
@@ -55,7 +55,9 @@ class Vocabulary:
     keys: np.ndarray
     ranks: np.ndarray
     merged: np.ndarray
-    known: dict[str, np.ndarray] = field(default_factory=dict)
+    known: dict[str | int, int] = field(default_factory=dict)
+    flat: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
+    size: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
@@ -82,10 +84,18 @@ class Vocabulary:
         )
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"known": {}}
-
-    def merge_words(self, words: list[str]) -> list[np.ndarray]:
-        """The ids of each word."""
+        return self.__dict__ | {"known": {}, "flat": np.zeros(0, np.int32), "size": np.zeros(0, np.int64)}
+
+    def pair_ranks(self, sym: np.ndarray, owner: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank and merged symbol of the pairs that start at these places; NONE where there is no such pair."""
+        nxt = np.minimum(at + 1, len(sym) - 1)
+        key = sym[at] * len(self.tokens) + sym[nxt]
+        found = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        hit = (self.keys[found] == key) & (owner[at] == owner[nxt]) & (nxt > at)
+        return np.where(hit, self.ranks[found], NONE), self.merged[found]
+
+    def merge_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The words' ids in one array, and how many each word has."""
         raw = [w.encode() for w in words]
         sizes = np.array([len(b) for b in raw])
         data = np.frombuffer(b"".join(raw), np.uint8)
@@ -93,36 +103,34 @@ class Vocabulary:
         sym = self.inner[data]
         sym[end - 1] = self.last[data[end - 1]]
         owner = np.repeat(np.arange(len(words)), sizes)
+        rank, into = self.pair_ranks(sym, owner, np.arange(len(sym)))
         done_sym, done_owner = [], []
         while len(sym):
-            # rank of the pair that starts at each symbol
-            rank, into = np.full(len(sym), NONE), np.zeros(len(sym), np.int64)
-            if len(sym) > 1:
-                key = sym[:-1] * len(self.tokens) + sym[1:]
-                at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-                hit = np.flatnonzero((self.keys[at] == key) & (owner[:-1] == owner[1:]))
-                rank[hit], into[hit] = self.ranks[at[hit]], self.merged[at[hit]]
             starts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
             best = np.minimum.reduceat(rank, starts)
-            lengths = np.diff(np.concatenate([starts, [len(sym)]]))
-            best_here = np.repeat(best, lengths)
+            best_here = np.repeat(best, np.diff(np.concatenate([starts, [len(sym)]])))
             open_ = best_here != NONE
             if not open_.all():
                 done_sym.append(sym[~open_])
                 done_owner.append(owner[~open_])
-            chosen = open_ & (rank == best_here)
             # of places side by side (x x x), every second one
-            place = np.flatnonzero(chosen)
+            place = np.flatnonzero(open_ & (rank == best_here))
+            changed = np.zeros(len(sym), bool)
             if len(place):
-                new_run = np.concatenate([[True], (place[1:] != place[:-1] + 1)])
+                new_run = np.concatenate([[True], place[1:] != place[:-1] + 1])
                 run_start = np.maximum.accumulate(np.where(new_run, np.arange(len(place)), 0))
                 place = place[(np.arange(len(place)) - run_start) % 2 == 0]
                 sym[place] = into[place]
                 open_[place + 1] = False
-            sym, owner = sym[open_], owner[open_]
+                changed[place] = True
+            sym, owner, rank, into, changed = sym[open_], owner[open_], rank[open_], into[open_], changed[open_]
+            # only pairs with a merged symbol have another rank
+            changed[:-1] |= changed[1:]
+            at = np.flatnonzero(changed)
+            if len(at):
+                rank[at], into[at] = self.pair_ranks(sym, owner, at)
         all_sym, all_owner = np.concatenate(done_sym), np.concatenate(done_owner)
-        order = np.argsort(all_owner, kind="stable")
-        return np.split(all_sym[order].astype(np.int32), np.cumsum(np.bincount(all_owner, minlength=len(words)))[:-1])
+        return all_sym[np.argsort(all_owner, kind="stable")].astype(np.int32), np.bincount(all_owner, minlength=len(words))
 
     def pieces(self, text: str) -> list[str | int]:
         """The words of a text, and the ids of added tokens in it."""
@@ -132,16 +140,24 @@ class Vocabulary:
         return [*chain.from_iterable([self.added[x]] if x in self.added else words_of(x) for x in cut)]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text. A word that was seen is a number, the place of its ids in the worker's table."""
         split = [self.pieces(t) for t in texts]
         if len(self.known) > REMEMBERED:
-            self.known = {}
+            self.known, self.flat, self.size = {}, np.zeros(0, np.int32), np.zeros(0, np.int64)
         new = [w for w in dict.fromkeys(chain.from_iterable(split)) if w not in self.known]
         named = [w for w in new if isinstance(w, str)]
-        if named:
-            self.known.update(zip(named, self.merge_words(named), strict=True))
-        self.known.update({w: np.array([w], np.int32) for w in new if not isinstance(w, str)})
-        look = self.known.__getitem__
-        return [np.concatenate([*map(look, p)]) if p else np.zeros(0, np.int32) for p in split]
+        special = [w for w in new if not isinstance(w, str)]
+        ids, sizes = self.merge_words(named) if named else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+        self.known.update(zip([*named, *special], range(len(self.known), len(self.known) + len(new)), strict=True))
+        self.flat = np.concatenate([self.flat, ids, np.array(special, np.int32)])
+        self.size = np.concatenate([self.size, sizes, np.ones(len(special), np.int64)])
+        counts = np.array([len(p) for p in split])
+        words = np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
+        start, size = (np.cumsum(self.size) - self.size)[words], self.size[words]
+        ends = np.cumsum(size)
+        out = self.flat[np.repeat(start - ends + size, size) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        cuts = np.concatenate([[0], ends])[np.cumsum(counts)]
+        return np.split(out, cuts[:-1]) if texts else []
 
     def decode(self, ids: list[int]) -> str:
         return " ".join(map(self.tokens.__getitem__, ids))
