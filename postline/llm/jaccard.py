@@ -3,18 +3,21 @@
 Documents are sets of hashes of ``WIDTH``-word shingles. Equal sets are one set from the start. The join is exact for
 sets with 100 * intersection >= 75 * union, and works in these steps, each a few Spark jobs:
 
-1. Groups. Sets that share minhashes are compared with the least set of their bucket; verified links make components,
-   whose members are dealt by size band into groups of about ``GROUP``. This only finds easy links early: a set outside
-   any component is a group of its own.
-2. The matrix, sparsely: a set's prefix (its n - ceil(3n/4) + 1 first tokens, frequent ones last) meets the prefixes of
-   all others by token. If two sets link, their prefixes share a token. Tokens whose sets lie in one component are
-   dropped after a sum per token; for the others, sets of smaller components become queries to the groups of larger
-   ones, never pairs of sets. No list per token is built.
+1. Groups. Sets that share a pair of minhashes meet in a bucket, in chunks of bounded size, and are compared in passing
+   with at most ``LEADERS`` of those before them. Verified links make components; a set's largest bucket, dealt by size
+   into groups of about ``GROUP``, is its group, linked or not. A set that shares no bucket is a group of its own.
+2. The matrix, sparsely: a set's prefix (its n - ceil(3n/4) + k first tokens, likely and frequent ones last) meets the
+   prefixes of all others by token. If two sets link, their prefixes share k tokens. Tokens whose sets lie in one
+   component are dropped after a sum per token; for the others, sets of smaller components become queries to the groups
+   that hold larger ones, never pairs of sets, where the group's prefixes have k tokens of the query's. No list per token
+   is built.
 3. Opening. A query's overlap with a group's token union bounds its overlap with each member. Only a group whose bound
-   reaches ceil(3n/4) is opened, and its members are compared until one links: they are in one component already.
+   reaches ceil(3n/4) is opened, and the query compared with its members, but for those that it is connected to.
 4. Components over all links.
 
-Frequent tokens are found by a sketch of fixed size, and only decide the order in prefixes, never what is found. A table is
+A token's first bits grow as its shingle gets shorter, so sorting puts long and unlikely shingles first. Frequent tokens
+are found by a sketch of fixed size. Both only decide the order in prefixes, never what is found: with those tokens last,
+common phrases and shared passages make no candidates of documents that are otherwise unlike. A table is
 broadcast only if it has at most ``BROADCAST_ROWS`` rows, else it is joined by shuffling. Shingles and sets are compared by
 64-bit hashes.
 
@@ -29,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from postline.llm import tokens
@@ -38,14 +41,17 @@ from postline.llm.components import components
 
 WIDTH = 5
 NEED, OF = 75, 100
-MINHASHES = 4
-#: Minhashes that a set must share with the least set of a bucket to be compared with it in step 1.
-SHARED = 2
-GROUP = 64
-#: Queries of a group that one task compares in a row.
+MINHASHES, PER_BUCKET = 6, 2
+LEADERS = 64
+GROUP = 256
+#: Sets of a bucket, or queries of a group, that one task compares in a row.
 QUERIES = 2_000
-SKETCH_BITS = 20
-BROADCAST_ROWS = 500_000
+#: Tokens that the prefixes of linked sets share at least, where the sets are that large.
+COMMON = 6
+SKETCH_BITS = 22
+BROADCAST_ROWS = 200_000
+#: Bytes of a shingle from which it is in the next earlier class of the order.
+LENGTHS = np.array([42, 37, 33, 29, 25, 21, 17])
 SEEDS = (np.arange(1, MINHASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
@@ -56,6 +62,9 @@ def shingle_sets(text: pa.Array) -> Iterator[np.ndarray]:
         words = tokens.Words(data, bounds, table)
         h = words.hashes()
         w = tokens.windows(h, WIDTH)
+        letters = np.concatenate([[0], np.cumsum(words.end - words.start)])
+        size = letters[WIDTH:] - letters[: max(len(letters) - WIDTH, 0)]
+        w = (w >> np.uint64(3)) | (np.searchsorted(-LENGTHS, -size[: len(w)]).astype(np.uint64) << np.uint64(61))
         for i in range(len(bounds) - 1):
             a, b = words.first[i], words.first[i + 1]
             if b - a >= WIDTH:
@@ -75,6 +84,15 @@ def needed(n: int) -> int:
     return -(-NEED * n // OF)
 
 
+def cells(s: np.ndarray) -> np.ndarray:
+    """The tokens' cells in the sketch."""
+    return (s & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int32)
+
+
+def prefix_size(n: int) -> int:
+    return n - needed(n) + min(COMMON, needed(n))
+
+
 def links(a: np.ndarray, b: np.ndarray) -> bool:
     small, large = (a, b) if len(a) <= len(b) else (b, a)
     if not len(small) or OF * len(small) < NEED * len(large):
@@ -83,7 +101,7 @@ def links(a: np.ndarray, b: np.ndarray) -> bool:
     return OF * both >= NEED * (len(a) + len(b) - both)
 
 
-SIGNATURE = "doc_id bigint, n bigint, set_id bigint, " + ", ".join(f"m{j} bigint" for j in range(MINHASHES)) + ", cells array<int>, counts array<bigint>"
+SIGNATURE = "doc_id bigint, n bigint, set_id bigint, " + ", ".join(f"m{j} bigint" for j in range(MINHASHES)) + ", cells array<int>"
 
 
 def signatures(docs: DataFrame) -> DataFrame:
@@ -91,30 +109,29 @@ def signatures(docs: DataFrame) -> DataFrame:
     that stand out in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch, seen = np.zeros(1 << SKETCH_BITS, np.int64), 0
-        shift = np.uint64(64 - SKETCH_BITS)
+        sketch = np.zeros(1 << SKETCH_BITS, np.int32)
         for b in batches:
             n, ids, mins, part = [], [], [], []
             for s in shingle_sets(b.column(b.schema.get_field_index("text"))):
                 n.append(len(s))
                 ids.append(set_key(s) if len(s) else 0)
                 mins.append([int(tokens.mix(s * k).min().view(np.int64)) if len(s) else 0 for k in SEEDS])
-                part.append((s >> shift).astype(np.int64))
-                seen += 1
+                part.append(cells(s))
+                if len(part) == 500:
+                    np.add.at(sketch, np.concatenate(part), 1)
+                    part = []
             if part:
-                sketch += np.bincount(np.concatenate(part), minlength=len(sketch))
+                np.add.at(sketch, np.concatenate(part), 1)
             m = np.array(mins, np.int64).reshape(-1, MINHASHES)
             yield pa.RecordBatch.from_arrays(
                 [b.column(b.schema.get_field_index("doc_id")), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), *(pa.array(m[:, j]) for j in range(MINHASHES))]
-                + [pa.nulls(len(n), pa.list_(pa.int32())), pa.nulls(len(n), pa.list_(pa.int64()))],
+                + [pa.nulls(len(n), pa.list_(pa.int32()))],
                 schema=arrow,
             )
-        out = np.flatnonzero(sketch > 16 + 4 * sketch.mean())
-        yield pa.RecordBatch.from_pylist([{"n": -1, "cells": out.tolist(), "counts": sketch[out].tolist()}], schema=arrow)
+        out = np.flatnonzero(sketch > 4 + 4 * sketch.mean()).astype(np.int32)
+        yield pa.RecordBatch.from_pylist([{"n": -1, "cells": out.tolist()}], schema=arrow)
 
-    arrow = pa.schema(
-        [("doc_id", pa.int64()), ("n", pa.int64()), ("set_id", pa.int64()), *((f"m{j}", pa.int64()) for j in range(MINHASHES)), ("cells", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64()))]
-    )
+    arrow = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("set_id", pa.int64()), *((f"m{j}", pa.int64()) for j in range(MINHASHES)), ("cells", pa.list_(pa.int32()))])
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, SIGNATURE)
 
 
@@ -123,18 +140,14 @@ def joined(large: DataFrame, small: DataFrame, on: list[str], how: str = "inner"
     return large.join(F.broadcast(small) if small.count() <= BROADCAST_ROWS else small, on, how)
 
 
-def star_edges(sets: DataFrame) -> DataFrame:
-    """(a, b, na, nb): each set with the least set of its minhash buckets, where enough minhashes agree."""
-    mins = [f"m{j}" for j in range(MINHASHES)]
-    out = None
-    for m in mins:
-        least = sets.groupBy(m).agg(F.min(F.struct("set_id", "n", *mins)).alias("least"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
-        pairs = sets.join(cut(least), m).filter("set_id <> least.set_id")
-        agree = sum(((F.col(x) == F.col(f"least.{x}")).cast("int") for x in mins), F.lit(0))
-        fits = (F.least("n", "least.n") * OF >= F.greatest("n", "least.n") * NEED) & (agree >= SHARED)
-        pairs = pairs.filter(fits).select(F.col("least.set_id").alias("a"), F.col("set_id").alias("b"))
-        out = pairs if out is None else out.unionByName(pairs)
-    return cut(out.distinct())
+def buckets(sets: DataFrame) -> DataFrame:
+    """(bucket, crowd, chunk, set_id) of the sets that share a pair of minhashes with others: crowd is the bucket's size, a
+    chunk has about QUERIES."""
+    pairs = [F.xxhash64(F.lit(j), *[f"m{k}" for k in range(j, j + PER_BUCKET)]) for j in range(0, MINHASHES, PER_BUCKET)]
+    rows = sets.select("set_id", F.explode(F.array(*pairs)).alias("bucket"))
+    several = cut(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"))
+    # dealt anew in each bucket, so that chunks of one pair of minhashes are joined by those of another
+    return joined(rows, several, ["bucket"]).withColumn("chunk", F.pmod(F.xxhash64("set_id", "bucket"), F.ceil(F.col("c") / QUERIES))).withColumnRenamed("c", "crowd")
 
 
 def texts_of(docs: DataFrame, sets: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -146,35 +159,38 @@ def texts_of(docs: DataFrame, sets: DataFrame, wanted: DataFrame) -> DataFrame:
 def compared(rows: DataFrame, keys: list[str]) -> DataFrame:
     """(a, b) links between the role 0 sets (members) and role 1 sets (queries) of each group of ``keys``.
 
-    A group's rows come in a row within a partition, members first. A group holds few members; queries stream by.
+    A group's rows come in a row within a partition, members first. A group holds few members; queries stream by. Each row
+    has its component (comp, size): a query is compared with members of larger components, one link for each.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, members, union = None, [], None
         for b in batches:
-            col = {c: b.column(b.schema.get_field_index(c)).to_pylist() for c in (*keys, "role", "set_id")}
+            col = {c: b.column(b.schema.get_field_index(c)).to_pylist() for c in (*keys, "role", "set_id", "comp", "size")}
             a_out, b_out = [], []
             for i, s in enumerate(shingle_sets(b.column(b.schema.get_field_index("text")))):
                 if not len(s) or set_key(s) != col["set_id"][i]:
                     continue  # another row with this doc_id
-                own = tuple(col[k][i] for k in keys)
+                own, rank = tuple(col[k][i] for k in keys), (col["size"][i], col["comp"][i])
                 if own != group:
                     group, members, union = own, [], None
                 if col["role"][i] == 0:
-                    members.append((col["set_id"][i], s))
+                    members.append((col["set_id"][i], rank, s))
                     union = None
                     continue
                 if not members:
                     continue
                 if union is None:
-                    union = members[0][1] if len(members) == 1 else np.unique(np.concatenate([m for _, m in members]))
+                    union = members[0][2] if len(members) == 1 else np.unique(np.concatenate([m for *_, m in members]))
                 # the bound: no member can share more with the query than the union does
                 if int((union[np.minimum(np.searchsorted(union, s), len(union) - 1)] == s).sum()) < needed(len(s)):
                     continue
-                hit = next((k for k, m in members if k != col["set_id"][i] and links(s, m)), None)
-                if hit is not None:
-                    a_out.append(hit)
-                    b_out.append(col["set_id"][i])
+                linked = set()
+                for key, theirs, m in members:
+                    if theirs > rank and theirs not in linked and links(s, m):
+                        linked.add(theirs)
+                        a_out.append(key)
+                        b_out.append(col["set_id"][i])
             if a_out:
                 yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
 
@@ -182,21 +198,46 @@ def compared(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.repartition(parts, *keys).sortWithinPartitions(*keys, "role", "set_id").mapInArrow(run, "a bigint, b bigint")
 
 
-def easy_links(docs: DataFrame, sets: DataFrame) -> DataFrame:
-    edges = star_edges(sets)
-    sizes = edges.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / QUERIES).alias("chunks"))
-    dealt = cut(edges.join(sizes, "a").withColumn("chunk", F.pmod(F.xxhash64("b"), "chunks")))
-    members = dealt.select("a", "chunk").distinct().withColumns({"role": F.lit(0), "set_id": F.col("a")})
-    queries = dealt.select("a", "chunk", F.lit(1).alias("role"), F.col("b").alias("set_id"))
-    return compared(texts_of(docs, sets, members.unionByName(queries)), ["a", "chunk"])
+def easy_links(docs: DataFrame, sets: DataFrame, homes: DataFrame) -> DataFrame:
+    """(a, b) links found by passing each bucket's chunk once: a set is compared with leaders that it isn't connected to yet,
+    and becomes one if it links to none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, leaders, part = None, [], {}
+        for b in batches:
+            col = {c: b.column(b.schema.get_field_index(c)).to_pylist() for c in ("bucket", "chunk", "set_id")}
+            a_out, b_out = [], []
+            for i, s in enumerate(shingle_sets(b.column(b.schema.get_field_index("text")))):
+                own, key = (col["bucket"][i], col["chunk"][i]), col["set_id"][i]
+                if not len(s) or set_key(s) != key:
+                    continue  # another row with this doc_id
+                if own != group:
+                    group, leaders, part = own, [], {}
+                mine: int | None = None
+                for other, t in leaders:
+                    if part[other] != mine and links(s, t):
+                        a_out.append(other)
+                        b_out.append(key)
+                        if mine is None:
+                            mine = part[other]
+                        else:  # this set joins two parts
+                            part = {k: mine if v == part[other] else v for k, v in part.items()}
+                if mine is None and len(leaders) < LEADERS:
+                    leaders.append((key, s))
+                    part[key] = key
+            if a_out:
+                yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
+
+    rows = texts_of(docs, sets, homes.drop("crowd"))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "bucket", "chunk").sortWithinPartitions("bucket", "chunk", "set_id").mapInArrow(run, "a bigint, b bigint")
 
 
 def prefixes(docs: DataFrame, hot: np.ndarray) -> DataFrame:
-    """(token, set_id, n) of each document's prefix; tokens in hot cells of the sketch come last."""
+    """(token, set_id, n, frequent) of each document's prefix; frequent tokens, in hot cells of the sketch, come last."""
     is_hot = np.zeros(1 << SKETCH_BITS, bool)
     is_hot[hot] = True
     held = docs.sparkSession.sparkContext.broadcast(np.packbits(is_hot))
-    shift = np.uint64(64 - SKETCH_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         late_cells = np.unpackbits(held.value).astype(bool)
@@ -205,16 +246,17 @@ def prefixes(docs: DataFrame, hot: np.ndarray) -> DataFrame:
 
             def block() -> pa.RecordBatch:
                 length = [len(t) for t in token]
+                all_ = np.concatenate(token)
                 return pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(token).view(np.int64)), pa.array(np.repeat(np.array(ids, np.int64), length)), pa.array(np.repeat(np.array(sizes, np.int64), length))],
-                    names=["token", "set_id", "n"],
+                    [pa.array(all_.view(np.int64)), pa.array(np.repeat(np.array(ids, np.int64), length)), pa.array(np.repeat(np.array(sizes, np.int64), length)), pa.array(late_cells[cells(all_)])],
+                    names=["token", "set_id", "n", "frequent"],
                 )
 
             for s in shingle_sets(b.column(b.schema.get_field_index("text"))):
                 if len(s):
-                    late = late_cells[(s >> shift).astype(np.int64)]
+                    late = late_cells[cells(s)]
                     order = np.concatenate([s[~late], s[late]]) if late.any() else s
-                    token.append(order[: len(s) - needed(len(s)) + 1])
+                    token.append(order[: prefix_size(len(s))])
                     ids.append(set_key(s))
                     sizes.append(len(s))
                 if len(token) >= 1000:
@@ -223,20 +265,39 @@ def prefixes(docs: DataFrame, hot: np.ndarray) -> DataFrame:
             if token:
                 yield block()
 
-    return docs.filter("doc_id IS NOT NULL").select("text").mapInArrow(run, "token bigint, set_id bigint, n bigint")
+    return docs.filter("doc_id IS NOT NULL").select("text").mapInArrow(run, "token bigint, set_id bigint, n bigint, frequent boolean")
+
+
+def placed(df: DataFrame, parts: DataFrame) -> DataFrame:
+    """df (set_id, n, ...) with each set's component (comp, size) and group (home, band, salt)."""
+    one = F.lit(1).cast("bigint")
+    known = joined(df, parts, ["set_id"], "left").withColumns(
+        {"comp": F.coalesce("comp", "set_id"), "size": F.coalesce("size", one), "home": F.coalesce("home", "set_id"), "crowd": F.coalesce("crowd", one)}
+    )
+    return known.withColumns({"band": band(), "salt": salt()}).drop("crowd")
 
 
 def group_queries(found: DataFrame, parts: DataFrame) -> DataFrame:
-    """(set_id, comp, band, salt): the groups that each query's prefix meets. parts: set_id, comp and size of those in components."""
-    placed = lambda df: joined(df, parts, ["set_id"], "left").withColumns({"comp": F.coalesce("comp", "set_id"), "size": F.coalesce("size", F.lit(1).cast("bigint"))})
+    """(set_id, comp, size, home, band, salt): the queries, and the groups that their prefixes meet."""
     rank = F.struct("size", "comp")
-    by_token = placed(found).groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(rank).alias("top"))
-    shared = cut(by_token.filter("lo <> hi").select("token", "top"))
-    met = cut(placed(joined(found, shared, ["token"])).withColumns({"band": band(), "salt": salt()}).distinct())
-    asking = met.filter(rank < F.col("top")).select("token", "set_id", "band", rank.alias("own"))
-    asked = met.select("token", "comp", F.col("band").alias("other"), "salt", rank.alias("theirs")).distinct()
-    pairs = asking.join(asked, "token").filter((F.col("own") < F.col("theirs")) & (F.abs(F.col("band") - F.col("other")) <= 1))
-    return cut(pairs.select("set_id", "comp", F.col("other").alias("band"), "salt").distinct())
+    known = joined(found, parts.select("set_id", "comp"), ["set_id"], "left").withColumn("comp", F.coalesce("comp", "set_id"))
+    # few sets have a rare token: they meet once, and those whose sets are all of one component go
+    token = Window.partitionBy("token")
+    rare = known.filter("NOT frequent").withColumns({"lo": F.min("comp").over(token), "hi": F.max("comp").over(token)}).filter("lo <> hi").select("token", "set_id", "n")
+    # a frequent token may be in a large part of all sets: it is summed before it is shuffled, and then joined
+    often = known.filter("frequent")
+    shared = cut(often.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token"))
+    common = joined(often.select("token", "set_id", "n"), shared, ["token"])
+    width = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    together = placed(rare.unionByName(common), parts).repartition(width, "token").distinct()  # one exchange for what follows
+    met = cut(together.withColumn("top", F.max(rank).over(token)))
+    asking = met.filter(rank < F.col("top")).select("token", "set_id", "n", F.col("band").alias("own_band"), rank.alias("own"))
+    asked = met.groupBy("token", "home", "band", "salt").agg(F.max(rank).alias("theirs"))
+    pairs = asking.join(asked, "token").filter((F.col("own") < F.col("theirs")) & (F.abs(F.col("own_band") - F.col("band")) <= 1))
+    least = F.ceil(F.ceil(F.col("n") * NEED / OF) * NEED / OF)  # what the smallest set that links to one of n needs
+    grouped = pairs.groupBy("set_id", "n", "own", "home", "band", "salt").agg(F.count(F.lit(1)).alias("common"))
+    kept = grouped.filter(F.col("common") >= F.least(F.lit(COMMON), least))
+    return cut(kept.select("set_id", "own.comp", "own.size", "home", "band", "salt"))
 
 
 def band():
@@ -245,7 +306,7 @@ def band():
 
 
 def salt():
-    return F.pmod(F.xxhash64("set_id"), F.ceil(F.col("size") / GROUP))
+    return F.pmod(F.xxhash64("set_id"), F.ceil(F.col("crowd") / GROUP))
 
 
 def similar(docs: DataFrame) -> DataFrame:
@@ -255,28 +316,23 @@ def similar(docs: DataFrame) -> DataFrame:
     owned = rows.filter("n >= 0")
     mins = [F.min(f"m{j}").alias(f"m{j}") for j in range(MINHASHES)]
     sets = cut(owned.filter("n > 0 AND doc_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("first_doc"), F.min("n").alias("n"), *mins))
-    cells = rows.filter("n = -1").select(F.explode(F.arrays_zip("cells", "counts")).alias("c")).groupBy("c.cells").agg(F.sum("c.counts").alias("k"))
-    hot = [r[0] for r in cells.select("cells").collect()]  # at most 2 ** SKETCH_BITS numbers
-    easy = cut(easy_links(docs, sets))
-    known = components(easy)
+    spots = rows.filter("n = -1").select(F.explode("cells").alias("cell")).distinct()
+    packed = spots.groupBy(F.shiftright("cell", 12).alias("k")).agg(F.collect_list("cell").alias("cells")).toArrow()  # at most 2 ** SKETCH_BITS numbers
+    hot = packed["cells"].combine_chunks().flatten().to_numpy() if packed.num_rows else np.zeros(0, np.int32)
+    homes = cut(buckets(sets))
+    known = components(easy_links(docs, sets, homes))
     sizes = known.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
-    parts = cut(known.join(sizes, "label").select(F.col("node").alias("set_id"), F.col("label").alias("comp"), "size"))
-    found = cut(prefixes(docs, np.array(hot, np.int64)))
+    linked = known.join(sizes, "label").select(F.col("node").alias("set_id"), F.col("label").alias("comp"), "size")
+    home = homes.groupBy("set_id").agg(F.max(F.struct("crowd", "bucket")).alias("h")).select("set_id", F.col("h.bucket").alias("home"), "h.crowd")
+    parts = cut(linked.join(home, "set_id", "full_outer"))
+    found = cut(prefixes(docs, hot))
     queries = group_queries(found, parts)
-    wanted = queries.select("comp", "band", "salt").distinct()
-    members = (
-        sets.select("set_id", "n")
-        .join(parts, "set_id", "left")
-        .withColumns({"comp": F.coalesce("comp", "set_id"), "size": F.coalesce("size", F.lit(1).cast("bigint"))})
-        .withColumns({"band": band(), "salt": salt()})
-        .join(wanted, ["comp", "band", "salt"])
-        .select("set_id", "comp", "band", "salt")
-    )
-    key = ["comp", "band", "salt", "chunk"]
-    chunks = queries.groupBy("comp", "band", "salt").agg(F.ceil(F.count(F.lit(1)) / QUERIES).alias("chunks"))
-    asked = queries.join(chunks, ["comp", "band", "salt"]).withColumn("chunk", F.pmod(F.xxhash64("set_id"), "chunks")).select("set_id", *key, F.lit(1).alias("role"))
-    shown = members.join(chunks, ["comp", "band", "salt"]).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)))
-    hard = compared(texts_of(docs, sets, shown.select("set_id", *key, F.lit(0).alias("role")).unionByName(asked)), key)
+    group = ["home", "band", "salt"]
+    chunks = cut(queries.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / QUERIES).alias("chunks")))
+    members = placed(sets.select("set_id", "n"), parts).drop("n").join(chunks, group)
+    shown = members.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1))).drop("chunks").withColumn("role", F.lit(0))
+    asked = queries.join(chunks, group).withColumn("chunk", F.pmod(F.xxhash64("set_id"), "chunks")).drop("chunks").withColumn("role", F.lit(1))
+    hard = compared(texts_of(docs, sets, shown.unionByName(asked)), [*group, "chunk"])
     chains = known.filter("node <> label").select(F.col("label").alias("a"), F.col("node").alias("b"))
     labels = components(chains.unionByName(hard))
     labelled = sets.select("set_id", "first_doc").join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
