@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -72,5 +73,17 @@ def packed(rows: list[np.ndarray]) -> pa.Array:
     return pa.array([r.astype(np.int32).tobytes() for r in rows], pa.binary())
 
 
-def unpacked(column: pa.ChunkedArray) -> list[np.ndarray]:
-    return [np.frombuffer(x.as_py(), np.int32) for x in column]
+def unpacked(column: pa.ChunkedArray, kind: type = np.int32) -> list[np.ndarray]:
+    """The arrays of a binary column, as views of one buffer."""
+    one = pa.concat_arrays([c.cast(pa.large_binary()) for c in column.chunks]) if column.num_chunks else pa.array([], pa.large_binary())
+    if not len(one):
+        return []
+    at = np.frombuffer(one.buffers()[1], np.int64, len(one) + 1, 8 * one.offset) // np.dtype(kind).itemsize
+    flat = np.frombuffer(one.buffers()[2], kind) if one.buffers()[2] and at[-1] else np.zeros(0, kind)
+    return [flat[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+
+def release() -> None:
+    """Gives back what a finished fit held: the driver has other work to do."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()

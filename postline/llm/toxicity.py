@@ -254,9 +254,9 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, label: str = "toxic
 
     got = rows.mapInArrow(hashes, "doc_id bigint, y int, words binary, stems binary").toArrow().sort_by("doc_id")
     y = np.array(got["y"].to_pylist(), dtype=np.int64)
-    unpack = lambda c: [np.frombuffer(x.as_py(), np.uint64) for x in got[c]]
-    lists = fit_lists(unpack("words"), unpack("stems"), y)
+    lists = fit_lists(samples.unpacked(got["words"], np.uint64), samples.unpacked(got["stems"], np.uint64), y)
     del got
+    samples.release()
     held = spark.sparkContext.broadcast(lists)
 
     def patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,6 +287,8 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, label: str = "toxic
     if got.num_rows:
         seen = (got["code"].to_numpy()[:, None] >> np.arange(VOTERS)) & 1 > 0
         fit_classifier(model, samples.unpacked(got["f"]), model.label_model.posterior(seen), np.array(got["y"].to_pylist()))
+    del got
+    samples.release()
     return model
 
 
