@@ -185,3 +185,20 @@ def unclassified_titles(jobs: DataFrame, seed: int = 0, limit: int = 100) -> Dat
     """A sample of distinct titles that no rule places, by a seeded hash."""
     rows = jobs.filter("role_family = 'other' AND title IS NOT NULL").select("title").distinct()
     return rows.orderBy(F.xxhash64("title", F.lit(seed)), "title").limit(limit)
+
+
+def last_polls(poll_runs: DataFrame, n: int = 5) -> DataFrame:
+    """The newest polls."""
+    return poll_runs.orderBy(F.col("id").desc()).limit(n)
+
+
+def proposals_page(proposals: DataFrame, status: str | None = None, limit: int = 100) -> DataFrame:
+    """Proposals, the newest first."""
+    return proposals.filter(all_of([equals("status", status)])).orderBy(F.col("id").desc()).limit(limit)
+
+
+def careers_due(boards: DataFrame, ts: int, days: int = 7, limit: int | None = None) -> DataFrame:
+    """Boards whose careers page should be looked at again: never looked at first, then the longest ago."""
+    late = F.col("careers_checked_at").isNull() | (F.col("careers_checked_at") < ts - days * config.DAY)
+    queue = boards.filter(F.col("careers_url").isNotNull() & late).orderBy(F.col("careers_checked_at").asc_nulls_first(), *BOARD)
+    return queue.limit(limit) if limit else queue
