@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from postline import config
 from postline.operators import careers
 from postline.oracle import SQL
-from postline.plans import digest, gates, health, policy
+from postline.plans import digest, gates, health, listings, policy
 from postline.queries import QUERIES
 from postline.sources import refs, walk
 from postline.sources.store import SCHEMAS, Store
@@ -133,3 +133,17 @@ def test_adopted_boards_and_decided_proposals(spark):
     verdicts = spark.createDataFrame([(1, "pending", 3.0, '{"y":"3"}')], "id bigint, status string, score double, evidence string")
     got = {r.id: r for r in careers.decided_proposals(proposals, verdicts, 9).collect()}
     assert (got[1].status, got[1].evidence, got[1].decided_at) == ("pending", '{"x":"1","y":"3"}', 9) and got[2].status == "drafted"
+
+
+def test_last_polls_proposals_and_careers_queue(spark):
+    polls = spark.createDataFrame([(i, i * 10, None, 1, 0, 0, 0, 0) for i in (3, 1, 2)], SCHEMAS["poll_runs"])
+    assert [r.id for r in listings.last_polls(polls, 2).collect()] == [3, 2]
+    assert listings.last_polls(polls.limit(0)).count() == 0
+    proposals = spark.createDataFrame([(i, "a", "source", "{}", None, status, None, i, None, None) for i, status in ((1, "pending"), (2, "drafted"), (3, "pending"), (4, None))], SCHEMAS["proposals"])
+    assert [r.id for r in listings.proposals_page(proposals).collect()] == [4, 3, 2, 1]
+    assert [r.id for r in listings.proposals_page(proposals, "pending", 1).collect()] == [3]
+    now = 100 * config.DAY
+    rows = [("fresh", "u", now - config.DAY), ("edge", "u", now - 7 * config.DAY), ("old", "u", now - 8 * config.DAY), ("older", "u", now - 9 * config.DAY), ("never", "u", None), ("nopage", None, None)]
+    boards = spark.createDataFrame([("lever", *r) for r in rows], "ats string, slug string, careers_url string, careers_checked_at bigint")
+    assert [r.slug for r in listings.careers_due(boards, now).collect()] == ["never", "older", "old"]
+    assert [r.slug for r in listings.careers_due(boards, now, limit=1).collect()] == ["never"]
