@@ -16,8 +16,11 @@ doc_id, then by place. Texts of all documents can't be in one suffix array, so o
    byte to the left. A stack scan over its common-prefix lengths finds the intervals of at least LENGTH; one that is
    left-diverse is a maximal repeat, and all its occurrences but the first lose their bytes. Other intervals repeat what
    the interval one byte to the left has.
+4. A side that more than CROWD contexts share, such as the last bytes of a passage that many documents go on from, isn't
+   gathered. Each string of LENGTH bytes in its contexts is sent on as a hash and a place; those of a batch are reduced to the
+   first, and what meets by hash streams by in order.
 
-Grams, contexts and keys are compared by 64-bit hashes.
+Grams, contexts, keys and the strings of crowded sides are compared by 64-bit hashes.
 
 Defined results: a null text is empty; texts shorter than LENGTH lose nothing; rows that repeat a doc_id with the same
 text are one document; those with other texts are documents of their own, ordered by a hash of the text; rows with a null
@@ -48,6 +51,8 @@ REACH = LENGTH - GRAM
 RIGHT, LEFT = 62, 39
 #: Bytes of contexts in one suffix array.
 ARRAY_BYTES = 1 << 18
+#: Contexts that share a side and may be laid into one suffix array; of more, the single strings are compared.
+CROWD = 1 << 11
 #: Bits of a side's hash that go with an anchor.
 SIDE_BITS = 16
 #: Places of anchors that are broadcast to fetch their bytes; beyond this they are joined by shuffling.
@@ -211,11 +216,43 @@ def settled(rows: DataFrame) -> DataFrame:
 
 
 def meeting(asked: DataFrame) -> DataFrame:
-    """Of anchors in question, those with a side that another one of their gram has too."""
+    """(_r_doc, _r_text, spot, crowded) of the sides that another anchor in question of the same gram has too.
+
+    spot: twice the anchor's place, plus 1 for the left side; crowded: more than CROWD anchors have that side.
+    """
     side = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.shiftright("sides", SIDE_BITS * i).bitwiseAND(F.lit((1 << SIDE_BITS) - 1)).alias("bits")) for i in (0, 1)]))
-    rows = asked.withColumn("s", side).filter("s.bits <> 0").select(*ROW, "place", F.xxhash64("gram", "s.i", "s.bits").alias("meet"))
-    met = cut(rows.groupBy("meet").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("meet"))
-    return joined(rows, met, ["meet"]).select(*ROW, "place")
+    rows = asked.withColumn("s", side).filter("s.bits <> 0").select(*ROW, (F.col("place") * 2 + F.col("s.i")).alias("spot"), F.xxhash64("gram", "s.i", "s.bits").alias("meet"))
+    met = cut(rows.groupBy("meet").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("meet", (F.col("n") > CROWD).alias("crowded")))
+    return joined(rows, met, ["meet"]).select(*ROW, "spot", "crowded")
+
+
+def with_spots(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """The texts that have sides in question, with their spots."""
+    spots = cut(asked.groupBy(*ROW).agg(F.sort_array(F.collect_set("spot")).alias("spots")))
+    total = spots.agg(F.sum(F.size("spots"))).first()[0] or 0
+    near = F.broadcast(spots) if total <= BROADCAST_PLACES else spots
+    return docs.select(*ROW, "text").join(near, ROW)
+
+
+def sides_of(b: pa.RecordBatch) -> Iterator[tuple]:
+    """For each piece of a batch of ``with_spots``: the piece, its texts' ids and hashes, and for either side the text's number
+    and the place of each anchor, its key, and start and end of what a common string with that side can reach."""
+    column = {c: b.column(b.schema.get_field_index(c)) for c in (*ROW, "spots", "text")}
+    ids, texts = column["_r_doc"].to_numpy(), column["_r_text"].to_numpy()
+    for first, data, bounds in tokens.slices(column["text"]):
+        p = Piece(data, bounds)
+        lists = column["spots"].slice(first, len(bounds) - 1)
+        doc = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+        spot = lists.flatten().to_numpy().astype(np.int64)
+        place = (spot >> 1) + bounds[doc]
+        lo, hi = p.contexts(doc, place)
+        reach = (np.maximum(lo, place - LEFT + 1), hi), (lo, np.minimum(hi, place + RIGHT - 1))
+        found = []
+        for i, ((k, key), (start, end)) in enumerate(zip(p.keys(doc, place), reach, strict=True)):
+            asked = ((spot[k] & 1) == i) & (end[k] - start[k] >= LENGTH)
+            k, key = k[asked], key[asked]
+            found.append((doc[k], place[k], key, start[k], end[k]))
+        yield p, ids[first : first + len(lists)], texts[first : first + len(lists)].astype(np.int64), found
 
 
 def keyed_contexts(docs: DataFrame, asked: DataFrame) -> DataFrame:
@@ -223,33 +260,89 @@ def keyed_contexts(docs: DataFrame, asked: DataFrame) -> DataFrame:
 
     Of a side, only what a common string with that side can reach.
     """
-    places = cut(asked.groupBy(*ROW).agg(F.sort_array(F.collect_set("place")).alias("places")))
-    total = places.agg(F.sum(F.size("places"))).first()[0] or 0
-    near = F.broadcast(places) if total <= BROADCAST_PLACES else places
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            column = {c: b.column(b.schema.get_field_index(c)) for c in (*ROW, "places", "text")}
-            ids, texts = column["_r_doc"].to_numpy(), column["_r_text"].to_numpy()
-            for first, data, bounds in tokens.slices(column["text"]):
-                p = Piece(data, bounds)
-                lists = column["places"].slice(first, len(bounds) - 1)
-                sizes = np.diff(lists.offsets.to_numpy())
-                doc = np.repeat(np.arange(len(lists)), sizes)
-                own = lists.flatten().to_numpy().astype(np.int64)
-                place = own + bounds[doc]
-                lo, hi = p.contexts(doc, place)
-                at = (texts[first + doc] << 32) | own
-                reach = (np.maximum(lo, place - LEFT + 1), hi), (lo, np.minimum(hi, place + RIGHT - 1))
-                raw = data.tobytes()
-                for (k, key), (start, end) in zip(p.keys(doc, place), reach, strict=True):
-                    long = end[k] - start[k] >= LENGTH
-                    k, key = k[long], key[long]
-                    bytes_ = pa.array([raw[x:y] for x, y in zip(start[k].tolist(), end[k].tolist(), strict=True)], pa.binary())
-                    columns = [pa.array(key.view(np.int64)), pa.array(ids[first + doc[k]]), pa.array(at[k]), pa.array(place[k] - start[k]), bytes_]
+            for p, ids, texts, found in sides_of(b):
+                raw = p.data.tobytes()
+                for doc, place, key, start, end in found:
+                    bytes_ = pa.array([raw[x:y] for x, y in zip(start.tolist(), end.tolist(), strict=True)], pa.binary())
+                    at = (texts[doc] << 32) | (place - p.bounds[doc])
+                    columns = [pa.array(key.view(np.int64)), pa.array(ids[doc]), pa.array(at), pa.array(place - start), bytes_]
                     yield pa.RecordBatch.from_arrays(columns, names=["key", "_r_doc", "at", "before", "context"])
 
-    return docs.select(*ROW, "text").join(near, ROW).mapInArrow(run, "key bigint, _r_doc bigint, at bigint, before bigint, context binary")
+    return with_spots(docs, asked).mapInArrow(run, "key bigint, _r_doc bigint, at bigint, before bigint, context binary")
+
+
+def crowded_strings(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """(same, _r_doc, at, stop, done): each string of LENGTH bytes that a crowded side can share, by its hash; ``at`` as in anchors.
+
+    done: an equal string precedes it in the batch; those come as spans, with stop, and one string of a batch stays for each hash.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = []
+            for p, ids, texts, found in sides_of(b):
+                change = np.zeros(len(p.data) + 1, np.int64)
+                for _, _, _, start, end in found:
+                    np.add.at(change, start, 1)
+                    np.add.at(change, end - LENGTH + 1, -1)
+                where = np.flatnonzero(np.cumsum(change)[:-1] > 0)
+                doc = np.searchsorted(p.bounds, where, "right") - 1
+                got.append((p.hashes(where, where + LENGTH).view(np.int64), ids[doc], (texts[doc] << 32) | (where - p.bounds[doc])))
+            if not got:
+                continue
+            same, doc, at = (np.concatenate(x) for x in zip(*got, strict=True))
+            by = np.lexsort((at, doc, same))
+            same, doc, at = same[by], doc[by], at[by]
+            equal = same[1:] == same[:-1]
+            twice = np.concatenate([[False], equal & (doc[1:] == doc[:-1]) & (at[1:] == at[:-1])])[: len(same)]
+            same, doc, at = same[~twice], doc[~twice], at[~twice]
+            done = np.concatenate([[False], same[1:] == same[:-1]])[: len(same)]
+            names = ["same", "_r_doc", "at", "stop", "done"]
+            if (~done).any():
+                n = int((~done).sum())
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (same[~done], doc[~done], at[~done], np.zeros(n, np.int64), np.zeros(n, bool))], names=names)
+            if done.any():
+                start = at[done] & 0xFFFFFFFF
+                u = united(doc[done], at[done] >> 32, start, start + LENGTH)
+                place = (u["_r_text"].to_numpy() << 32) | u["start"].to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(u.num_rows, np.int64)), u["_r_doc"], pa.array(place), u["end"], pa.array(np.ones(u.num_rows, bool))], names=names)
+
+    return with_spots(docs, asked).mapInArrow(run, "same bigint, _r_doc bigint, at bigint, stop bigint, done boolean")
+
+
+def later_strings(rows: DataFrame) -> DataFrame:
+    """(_r_doc, _r_text, start, end): bytes that go, from ``crowded_strings``: all but the first of each hash.
+
+    Rows come sorted within a partition, so a neighbour tells what a row is; one row is held back between batches.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple | None = None
+        for b in batches:
+            same, doc, at, stop = (b.column(b.schema.get_field_index(c)).to_numpy() for c in ("same", "_r_doc", "at", "stop"))
+            done = b.column(b.schema.get_field_index("done")).to_numpy(zero_copy_only=False)
+            gone = [(doc[done], at[done] >> 32, at[done] & 0xFFFFFFFF, stop[done])]
+            same, doc, at = same[~done], doc[~done], at[~done]
+            if len(same):
+                if last is not None:
+                    same, doc, at = (np.concatenate([[x], y]) for x, y in zip(last, (same, doc, at), strict=True))
+                # a repeated row of the first occurrence is no second one
+                late = np.flatnonzero((same[1:] == same[:-1]) & ((doc[1:] != doc[:-1]) | (at[1:] != at[:-1]))) + 1
+                start = at[late] & 0xFFFFFFFF
+                gone.append((doc[late], at[late] >> 32, start, start + LENGTH))
+                last = (same[-1], doc[-1], at[-1])
+            columns = [np.concatenate(x) for x in zip(*gone, strict=True)]
+            if len(columns[0]):
+                yield united(*columns)
+
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # what is settled already needn't meet its equals, so it is dealt by itself
+    meet = F.when(F.col("done"), F.xxhash64("_r_doc", "at")).otherwise(F.col("same"))
+    dealt = rows.repartition(parts, meet).sortWithinPartitions("same", "_r_doc", "at")
+    return dealt.mapInArrow(run, "_r_doc bigint, _r_text bigint, start bigint, end bigint")
 
 
 def maximal_repeats(order: np.ndarray, lcp: np.ndarray, left: np.ndarray, rank: np.ndarray) -> Iterator[tuple[int, list[int]]]:
@@ -446,7 +539,11 @@ def dedup(docs: DataFrame) -> DataFrame:
     found = cut(settled(anchors(plain)))
     place = F.col("at").bitwiseAND(F.lit(0xFFFFFFFF))
     placed = found.select("_r_doc", F.shiftright("at", 32).alias("_r_text"), place.alias("place"), "gram", "sides", "sure")
-    more = cut(compared(keyed_contexts(plain, meeting(placed.filter("NOT sure")))))
+    met = cut(meeting(placed.filter("NOT sure")))
+    more = compared(keyed_contexts(plain, met.filter("NOT crowded")))
+    if not met.filter("crowded").isEmpty():
+        more = more.unionByName(later_strings(crowded_strings(plain, met.filter("crowded"))))
+    more = cut(more)
     sure = placed.filter("sure").select(*ROW, (F.col("place") - REACH).alias("start"), (F.col("place") + LENGTH).alias("end"))
     spans = cut(merged_spans(sure.unionByName(more)))
     columns = docs.columns

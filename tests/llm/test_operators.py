@@ -215,6 +215,37 @@ def test_repeats_against_brute_force(spark, none):
     assert repeats.dedup(none).count() == 0
 
 
+@pytest.mark.parametrize("at_once", [10_000, 7])
+def test_repeats_of_a_passage_that_every_document_goes_on_from(spark, monkeypatch, at_once):
+    """No task gets all contexts of a crowded side, and the result is that of brute force."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(5))
+    passage = " ".join(word() for _ in range(30))
+    ends = [" ".join(word() for _ in range(25)) for _ in range(6)]
+    rows = [(i, f"{' '.join(word() for _ in range(25))} {passage} {ends[i] if i < 6 else ' '.join(word() for _ in range(25))}") for i in range(60)]
+    # ends that recur behind the passage, so that strings of crowded sides recur beyond it
+    rows += [(100 + i, f"{word()} {passage} {ends[i % 6]} {word()}") for i in range(12)] + [rows[7], (8, "another text"), (8, rows[9][1])]
+    monkeypatch.setattr(repeats, "CROWD", 16)
+    groups, compared = [], repeats.compared
+    monkeypatch.setattr(repeats, "compared", lambda r: (groups.append(r.groupBy("key").count().agg(F.max("count")).first()[0]), compared(r))[1])
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", at_once)
+    try:
+        got = repeats.dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+        texts = spark.createDataFrame(rows, "doc_id bigint, text string").distinct().orderBy("doc_id", repeats.text_hash()).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert (groups[0] or 0) <= 16
+    seen, want = set(), {}
+    for d, t in texts:
+        b, gone = t.encode(), bytearray(len(t))
+        for k in range(len(b) - 99):
+            if b[k : k + 100] in seen:
+                gone[k : k + 100] = b"\1" * 100
+            seen.add(b[k : k + 100])
+        want[d, t] = bytes(x for x, g in zip(b, gone, strict=True) if not g)
+    assert [bytes(r.kept) for r in got] == [want[r.doc_id, r.text] for r in got] and sum(r.n_removed > 0 for r in got) > 60
+
+
 def test_pii_base_and_candidates(spark, none):
     text = "mail a.b@x.org, ip 10.0.0.1 and 999.1.1.1, card 4242 4242 4242 4242, call +1 (555) 123-4567. phone (555) 123-4567, write to joe (at) mail (dot) com é"
     rows = [(1, text), (2, None), (3, ""), (4, "1" * 50_000 + " " + "a" * 50_000 + "@"), (5, "nothing here at all. 12 and 7"), (1, text)]
