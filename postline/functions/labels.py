@@ -78,7 +78,7 @@ def region(location: Column, country_of: Callable[[Column], Column] | None = Non
         (m(R.EU_COUNTRY), "europe"),
     ]
     if country_of is not None:
-        city, code = F.trim(F.regexp_extract(text, r"^(.*?)[,\s]+([A-Za-z]{2})\s*$", 1)), F.upper(F.regexp_extract(text, r"^(.*?)[,\s]+([A-Za-z]{2})\s*$", 2))
+        city, code = city_and_code(text)
         sure = (city != "") & F.coalesce(country_of(city) == code, F.lit(False))
         cases += [(sure & (region_of_code(code) == name), name) for name in ("us", "europe", "other")]
     cases += [
@@ -94,11 +94,22 @@ def region(location: Column, country_of: Callable[[Column], Column] | None = Non
     return first_match(cases, "unknown")
 
 
+def city_and_code(text: Column) -> tuple[Column, Column]:
+    """What stands before two last letters, and those letters in upper case; empty where there are none."""
+    part = lambda i: F.regexp_extract(text, r"^(.*?)[,\s]+([A-Za-z]{2})\s*$", i)
+    return F.trim(part(1)), F.upper(part(2))
+
+
+def fragments(text: Column) -> tuple[Column, Column]:
+    """The parts of a location between separators, and their words of four characters or more."""
+    parts = F.filter(F.transform(F.split(text, r"[,/|()\[\]]+|\s+-\s+|–|—"), lambda p: F.trim(p)), lambda p: p != "")
+    return parts, F.filter(F.flatten(F.transform(parts, lambda p: F.split(p, r"\s+"))), lambda w: F.char_length(w) >= 4)
+
+
 def gazetteer_region(text: Column, country_of: Callable[[Column], Column]) -> Column:
     """The whole string, then its fragments from the left, may name any region; then single words, which may not refuse."""
-    parts = F.filter(F.transform(F.split(text, r"[,/|()\[\]]+|\s+-\s+|–|—"), lambda p: F.trim(p)), lambda p: p != "")
+    parts, tokens = fragments(text)
     named = F.transform(F.concat(F.array(text), parts), lambda p: region_of_code(country_of(p)))
-    tokens = F.filter(F.flatten(F.transform(parts, lambda p: F.split(p, r"\s+"))), lambda w: F.char_length(w) >= 4)
     kept = F.filter(F.transform(tokens, lambda w: region_of_code(country_of(w))), lambda r: r.isNotNull() & (r != "other"))
     return F.coalesce(F.get(F.filter(named, lambda r: r.isNotNull()), F.lit(0)), F.get(kept, F.lit(0)))
 
@@ -123,8 +134,12 @@ FOLD = _fold()
 
 
 def gazetteer_lookup(table: dict[str, str]) -> Callable[[Column], Column]:
-    """A lookup in a small gazetteer held as a literal map; a large one is joined on ``place_keys`` instead."""
-    entries = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+    """A lookup in a small gazetteer held as a literal map; a large one is joined: ``label_regions``."""
+    return lookup_in(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]))
+
+
+def lookup_in(entries: Column) -> Callable[[Column], Column]:
+    """A lookup in a map from keys to country codes."""
 
     def country_of(name: Column) -> Column:
         low, folded = place_keys(name)
@@ -137,3 +152,19 @@ def label_distinct(df: DataFrame, column: str, out: str, label: Callable[[Column
     """df with ``out``, computed once for each distinct value of ``column``."""
     known = df.select(F.col(column).alias("_value")).distinct().withColumn(out, label(F.col("_value")))
     return df.join(known, df[column].eqNullSafe(known["_value"]), "left").drop("_value")
+
+
+def label_regions(df: DataFrame, column: str, out: str, table: DataFrame) -> DataFrame:
+    """df with ``out``, the region of ``column`` by a gazetteer of any size: table has name_key (unique) and country_code.
+
+    The keys of all names that the rules may look up are joined with the table, once for each distinct location; a location
+    then has a map of its own keys.
+    """
+    known = df.select(F.col(column).alias("_value")).distinct()
+    text = F.btrim("_value", F.lit(SPACES))
+    names = F.concat(F.array(text, city_and_code(text)[0]), *fragments(text))
+    keys = F.array_distinct(F.array_compact(F.flatten(F.transform(names, lambda n: F.array(*place_keys(n))))))
+    hits = known.select("_value", F.explode(keys).alias("name_key")).join(table.select("name_key", "country_code"), "name_key")
+    codes = hits.groupBy("_value").agg(F.map_from_entries(F.collect_list(F.struct("name_key", "country_code"))).alias("_codes"))
+    labelled = known.join(codes, "_value", "left").withColumn(out, region(F.col("_value"), lookup_in(F.col("_codes")))).drop("_codes")
+    return df.join(labelled, df[column].eqNullSafe(labelled["_value"]), "left").drop("_value")

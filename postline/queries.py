@@ -354,8 +354,8 @@ def gazetteer_argmax(places: DataFrame) -> DataFrame:
 @query("jobs", "places")
 def region_with_gazetteer(jobs: DataFrame, places: DataFrame) -> DataFrame:
     table = {"munich": "DE", "dublin": "IE", "springfield": "US", "somewhere": "FR", "progress": "CN", "boise": "US"}
-    lookup = labels.gazetteer_lookup(table)
-    rows = labels.label_distinct(jobs, "location", "place", lambda c: labels.region(c, lookup))
+    keyed = places.sparkSession.createDataFrame(list(table.items()), "name_key string, country_code string")
+    rows = labels.label_regions(jobs, "location", "place", keyed)
     return rows.groupBy("location", "place").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from postline.functions import labels
+from postline.sources import gazetteer
 
 FAMILIES = {
     "Software Engineer": "engineering", "Forward Deployed Engineer": "fde", "Sales Engineer": "fde", "Machine Learning Engineer": "ai", "Data Engineer": "data", "Civil/Highway Engineer": "other",
@@ -56,3 +57,15 @@ def test_label_distinct_keeps_rows_and_nulls(spark, distinct):
     df = spark.createDataFrame([("Remote",), ("Remote",), (None,)], "place string")
     out = labels.label_distinct(df, "place", "r", labels.region).collect() if distinct else df.withColumn("r", labels.region(F.col("place"))).collect()
     assert sorted((r.place or "", r.r) for r in out) == [("", "unknown"), ("Remote", "remote"), ("Remote", "remote")]
+
+
+def test_regions_by_a_joined_gazetteer(spark):
+    rows = [("Zwolsk", "PL", 10), ("Zwolsk", "US", 3), ("Obersdorf", "AT", 5), ("Żuków Wielki", "PL", 7), ("Qingfeng", "CN", 9), *[(f"place number {i}", "US", i) for i in range(3_000)]]
+    table = gazetteer.build(spark.createDataFrame(rows, "name string, country string, population bigint"))
+    want = {
+        "Zwolsk": "europe", "Campus 7, Obersdorf": "europe", "Obersdorf, AT": "europe", "the Obersdorf office": "europe", "ZUKOW WIELKI": "europe", "Qingfeng": "other",
+        "old Qingfeng road": "unknown", "Place Number 2999": "us", "nowhere at all": "unknown", "": "unknown", None: "unknown", "Qingfeng (Obersdorf)": "other",
+    }
+    df = spark.createDataFrame([(x,) for x in want] * 2, "location string")
+    got = labels.label_regions(df, "location", "place", table).collect()
+    assert len(got) == 2 * len(want) and {r.location: r.place for r in got} == want
