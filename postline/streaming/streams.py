@@ -2,7 +2,7 @@
 
 Each micro-batch runs the same pure functions as the batch engine: state and input give the next state and events. The
 state lives in the store, so a batch that is run again after a failure starts from the last version that was pointed to.
-A batch records its own id with its result; a repeat of a finished batch changes nothing.
+A diff's batch records its own id with its result, a digest's the last event id; a repeat of a finished batch changes nothing.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from postline.operators import diff
 from postline.plans import digest
 from postline.sources.store import Store
 
+#: The digest's key in notifier_state; its value is an event id.
+DIGEST = "digest_mark"
 FETCHED = "snapshot_id bigint, ats string, slug string, fetch_status string, fetched int"
 
 
@@ -59,19 +61,36 @@ def diff_stream(fetched: DataFrame, store: Store, staged_of: Callable[[DataFrame
     return fetched.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def digest_mark(store: Store) -> int:
+    """The last event id that the digest has settled. A consumer without one begins at the newest stored event, not with all history."""
+    have = store.read("notifier_state").filter(F.col("key") == DIGEST).agg(F.max("last_event_id")).first()[0]
+    return have if have is not None else store.read("events").agg(F.coalesce(F.max("id"), F.lit(0).cast("bigint"))).first()[0]
+
+
 def digest_stream(events: DataFrame, store: Store, send: Callable[[DataFrame], bool], checkpoint: str, now: int) -> StreamingQuery:
-    """Sends each micro-batch's pending postings; only a successful or empty send is recorded, and nobody is told twice in the window."""
+    """Sends each micro-batch's pending postings; only a successful or empty send is recorded, and nobody is told twice in the window.
+
+    send gets at most FLOOD postings by id, each with digest.span's from_id, to_id, pending and flooded: pending and to_id are
+    exact however many wait. If it returns False the query fails, so that the micro-batch is offered again at the next start.
+    Event ids rise from one micro-batch to the next.
+    """
+    finish(store, DIGEST, digest_mark(store), now)
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        if not advance(store, "digest", batch_id):
-            return
-        rows = digest.pending(batch, store.read("jobs"), store.read("boards"), store.read("notified_jobs"), -1, now)
-        rows = store.spark.createDataFrame(rows.limit(digest.config.FLOOD + 1).toArrow())  # at most FLOOD + 1 rows
-        flooded = rows.count() > digest.config.FLOOD
-        if rows.isEmpty() or send(rows):
-            if not flooded:
-                store.write("notified_jobs", digest.pruned(digest.mark_notified(store.read("notified_jobs"), rows, now), now))
-            finish(store, "digest", batch_id, now)
+        mark = digest_mark(store)
+        told = store.read("notified_jobs")
+        rows = digest.pending(batch, store.read("jobs"), store.read("boards"), told, mark, now).persist()
+        span = digest.span(rows, batch, mark).first()
+        first = store.spark.createDataFrame(rows.limit(digest.config.FLOOD).toArrow())
+        rows.unpersist()
+        if span.pending:
+            told_of = {"from_id": F.lit(span.from_id), "to_id": F.lit(span.to_id), "pending": F.lit(span.pending), "flooded": F.lit(span.flooded)}
+            if not send(first.withColumns({c: v.cast("boolean" if c == "flooded" else "bigint") for c, v in told_of.items()})):
+                raise RuntimeError(f"the digest of events {span.from_id + 1} to {span.to_id} was not sent")
+            if not span.flooded:
+                told = digest.mark_notified(told, first, now)
+        store.write("notified_jobs", digest.pruned(told, now))
+        finish(store, DIGEST, max(mark, span.to_id), now)
 
     return events.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -122,6 +122,30 @@ def test_digest_stream_records_only_what_was_sent(spark, tmp_path):
     assert sent == [1] and store.read("notified_jobs").count() == 1
 
 
+def test_digest_stream_of_a_flood_that_fails_first(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    n, old = config.FLOOD + 100, 20
+    job = lambda i: ("a", "s", str(i), 1, 0, "intern", "us")
+    store.write("jobs", spark.createDataFrame([job(i) for i in range(1, n + old + 1)], "ats string, slug string, external_id string, is_engineering int, is_fde int, seniority string, region string"))
+    events = spark.createDataFrame([(i, 1, "new", "a", "s", str(i), "t", "u", None) for i in range(1, n + old + 1)], SCHEMAS["events"])
+    store.write("events", events.filter(F.col("id") <= old))  # what was there before the consumer
+    events.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(SCHEMAS["events"]).parquet(str(tmp_path / "in"))
+    sent = []
+
+    def run(ok):
+        send = lambda rows: sent.append((rows.count(), *rows.select("from_id", "to_id", "pending", "flooded").distinct().collect())) or ok
+        streams.digest_stream(stream, store, send, str(tmp_path / "cp"), config.CUTOFF).awaitTermination()
+
+    with pytest.raises(Exception, match="was not sent"):
+        run(False)
+    assert streams.digest_mark(store) == old
+    run(True)
+    run(True)  # nothing is left
+    assert sent == [(config.FLOOD, (old, n + old, n, True))] * 2
+    assert streams.digest_mark(store) == n + old and store.read("notified_jobs").count() == 0
+
+
 def test_adopted_boards_and_decided_proposals(spark):
     companies = spark.createDataFrame([(1, "acme.com", "Acme", "acme", None, None, None, None, 1, "s")], SCHEMAS["companies"])
     rows = [("lever", "acme", "Acme Inc", None), ("lever", "new", "Newco", "https://www.newco.io"), ("lever", "none", None, None)]
