@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from postline.llm import bpe, decontaminate, jaccard, lines, toxicity
 from postline.llm.common import crc_bucket, cut, shared_path, table
 from postline.llm.queries import vocabulary_path
+from postline.operators.diff import numbered
 
 #: A document that is at least this likely to be toxic goes.
 TOXIC = 0.5
@@ -33,10 +34,33 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each group of similar documents; documents without words link with none and stay."""
-    classes = jaccard.similar(docs)
-    others = cut(classes.filter("component_id IS NOT NULL AND component_id <> doc_id").select("doc_id").distinct())
-    return jaccard.joined(docs, others, ["doc_id"], "left_anti").select(*docs.columns)
+    """One document of each group of similar ones: the smallest by doc_id, then by a hash of the text.
+
+    Of rows that repeat doc_id and text, one stays (least by a hash of the row); rows that repeat a doc_id with another text are
+    documents of their own. Documents without words link with none and stay, as do rows without a doc_id.
+    """
+    columns = docs.columns
+    repeated = cut(docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id"))
+    if repeated.isEmpty():
+        named = docs.withColumn("_own", F.col("doc_id").cast("bigint"))
+    else:
+        named = numbered_texts(docs, repeated)
+    classes = jaccard.similar(named.select(F.col("_own").alias("doc_id"), "text"))
+    others = cut(classes.filter("component_id IS NOT NULL AND component_id <> doc_id").select(F.col("doc_id").alias("_own")).distinct())
+    return jaccard.joined(named, others, ["_own"], "left_anti").select(*columns)
+
+
+def numbered_texts(docs: DataFrame, repeated: DataFrame) -> DataFrame:
+    """docs less repeated rows of a (doc_id, text), with ``_own``: the number of the doc_id and text in order; null without a doc_id."""
+    columns = docs.columns
+    row = F.struct(F.xxhash64(*columns).alias("_least"), *columns)
+    several = jaccard.joined(docs, repeated, ["doc_id"], "left_semi").groupBy("doc_id", F.xxhash64("text").alias("_text")).agg(F.min(row).alias("_row"))
+    single = jaccard.joined(docs.filter("doc_id IS NOT NULL"), repeated, ["doc_id"], "left_anti").withColumn("_text", F.xxhash64("text"))
+    rows = cut(single.select(*columns, "_text").unionByName(several.select(*[F.col(f"_row.{c}").alias(c) for c in columns], "_text")))
+    # distinct already, so that the numbers join back to one row each
+    owned = cut(numbered(rows.select("doc_id", "_text"), ["doc_id", "_text"], 0).withColumnRenamed("id", "_own"))
+    nameless = docs.filter("doc_id IS NULL").withColumn("_own", F.lit(None).cast("bigint"))
+    return cut(rows.join(owned, ["doc_id", "_text"]).select(*columns, "_own").unionByName(nameless))
 
 
 def remove_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

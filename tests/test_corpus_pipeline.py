@@ -1,0 +1,34 @@
+"""The pipeline's near-duplicate stage against brute force, on repeated ids."""
+
+import random
+
+import corpus_pipeline
+
+
+def test_near_duplicates_of_repeated_ids(spark):
+    rng = random.Random(3)
+    fresh = lambda: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(80))
+    a, b, c, d = (fresh() for _ in range(4))
+    rows = [
+        (1, a, "s"), (2, b, "s"), (2, f"{a} end", "s"),  # a near copy of 1 under the id of another text
+        (3, c, "s"), (3, c, "t"), (3, f"{c} end", "s"),  # one document of the group stays
+        (4, d, "s"), (5, d, "s"), (6, "", "s"), (6, "", "s"), (7, None, "s"), (None, a, "s"), (None, a, "s"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()]
+
+    def similar(x, y):
+        p, q = ({tuple((t or "").split()[i : i + 3]) for i in range(len((t or "").split()) - 2)} for t in (x, y))
+        return bool(p and q) and len(p & q) / len(p | q) >= 0.8
+
+    named = sorted({(i, t or "") for i, t, _ in rows if i is not None})
+    groups = []
+    for pair in named:
+        hit = next((g for g in groups if any(similar(pair[1], t) for _, t in g)), None)
+        groups.append([pair]) if hit is None else hit.append(pair)
+    got = sorted((i, t or "") for i, t in kept if i is not None)
+    assert len(got) == len(groups) == 6
+    for g in groups:
+        (one,) = [x for x in got if x in g]
+        assert one[0] == g[0][0]
+    assert sum(i is None for i, _ in kept) == 2
