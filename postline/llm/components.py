@@ -1,34 +1,102 @@
-"""Connected components of an edge table, by alternating large and small stars."""
+"""Connected components of an edge table: edges contracted inside tasks, then alternating large and small stars."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postline.llm.common import cut
+from postline.llm.common import Scratch
+
+#: Edges that a task contracts at a time.
+BLOCK = 500_000
+EDGE = "lo bigint, hi bigint"
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    """Stars with the components of the edges a-b: an edge from its smallest node to each other one."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while len(apart := np.flatnonzero(label[a] != label[b])):
+        la, lb = label[a[apart]], label[b[apart]]
+        # roots are hooked under smaller ones, then every node takes its root
+        np.minimum.at(label, np.maximum(la, lb), np.minimum(la, lb))
+        while not np.array_equal(up := label[label], label):
+            label = up
+    leaf = np.flatnonzero(label != np.arange(len(nodes)))
+    return pa.RecordBatch.from_arrays([pa.array(nodes[label[leaf]]), pa.array(nodes[leaf])], names=["lo", "hi"])
+
+
+def blocks(edges: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+    for e in edges:
+        held.append(e)
+        size += len(e[0])
+        if size >= BLOCK:
+            yield forest(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            held, size = [], 0
+    if size:
+        yield forest(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+
+def columns(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for b in batches:
+        yield b.column(0).to_numpy(), b.column(1).to_numpy()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def contracted(edges: DataFrame) -> DataFrame:
+    """Edges (lo, hi) with the same components, fewer: a node has one smaller neighbour in each block of a task."""
+    return edges.filter("a <> b").select("a", "b").mapInArrow(lambda batches: blocks(columns(batches)), EDGE)
+
+
+def small_stars(edges: DataFrame) -> DataFrame:
+    """Links each node's smaller neighbours to the least of them, and contracts what a task has."""
+
+    def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        last: tuple[int, int] | None = None  # a node, and its least neighbour
+        for lo, hi in columns(batches):
+            if not len(lo):
+                continue
+            first = np.concatenate([[last is None or last[0] != hi[0]], hi[1:] != hi[:-1]])
+            at = np.flatnonzero(first)
+            which = np.cumsum(first) - 1
+            least = np.where(which < 0, last[1] if last else 0, lo[at[np.maximum(which, 0)]] if len(at) else 0)
+            other = np.where(first, hi, lo)
+            use = other != least
+            yield least[use], other[use]
+            last = int(hi[-1]), int(least[-1])
+
+    return edges.repartition("hi").sortWithinPartitions("hi", "lo").mapInArrow(lambda batches: blocks(stars(batches)), EDGE)
+
+
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, label): for each node of the edges (a, b), the smallest node reachable. Null ends and loops are left out.
 
-    Each round joins edges with the least neighbour of a node. That is a sum per node, not a list, so a node with very many
-    neighbours costs no more than its edges, and the join may be split where it is skewed. Rounds grow with the logarithm
-    of the number of nodes.
+    A task first contracts its edges in blocks of bounded size, wherever they lie, so a node with very many neighbours has
+    no more edges left than there are blocks. Then, in turn, larger neighbours are linked to a node's least neighbour (a
+    sum per node and a join that may be split where it is skewed), and smaller ones likewise, until only stars are left.
     """
-    edges = cut(edges.filter("a <> b").select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct())
-    seen = None
-    while True:
+    edges = scratch.cut(contracted(edges))
+    while not is_stars(edges):
         both = edges.unionByName(edges.select(F.col("hi").alias("lo"), F.col("lo").alias("hi")))
-        least = cut(both.groupBy("lo").agg(F.least(F.min("hi"), F.col("lo")).alias("least")))
-        large = both.join(least, "lo").filter("hi > lo").select(F.col("least").alias("lo"), "hi").filter("lo <> hi").distinct()
-        large = cut(large)
-        least = cut(large.groupBy("hi").agg(F.min("lo").alias("least")))
-        joined = large.join(least, "hi")
-        small = joined.select("lo", F.col("least").alias("to")).unionByName(joined.select(F.col("hi").alias("lo"), F.col("least").alias("to")))
-        edges = cut(small.filter("lo <> to").select(F.col("to").alias("lo"), F.col("lo").alias("hi")).distinct())
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)"))).first()
-        if now == seen:
-            break
-        seen = now
-    roots = edges.select(F.col("lo").alias("node"), F.col("lo").alias("label")).distinct()
-    return cut(edges.select(F.col("hi").alias("node"), F.col("lo").alias("label")).unionByName(roots))
+        least = both.groupBy("lo").agg(F.least(F.min("hi"), F.col("lo")).alias("least"))
+        large = both.join(least, "lo").filter("hi > lo").select(F.col("least").alias("lo"), "hi").filter("lo <> hi")
+        further = scratch.cut(small_stars(large))
+        scratch.free(edges)
+        edges = further
+    ends = F.explode(F.array(F.struct(F.col("hi").alias("node"), F.col("lo").alias("label")), F.struct(F.col("lo").alias("node"), F.col("lo").alias("label"))))
+    labels = scratch.cut(edges.select(ends.alias("e")).select("e.*").distinct())
+    scratch.free(edges)
+    return labels
+
+
+def is_stars(edges: DataFrame) -> bool:
+    """Whether every node has one smaller neighbour or is the smallest of its own."""
+    ends = edges.select(F.col("hi").alias("node"), F.col("lo").alias("under")).unionByName(edges.select(F.col("lo").alias("node"), F.lit(None).cast("bigint").alias("under")))
+    met = ends.groupBy("node").agg(F.min("under").alias("least"), F.max("under").alias("most"), F.bool_or(F.col("under").isNull()).alias("centre"))
+    return met.filter("least < most OR (centre AND least IS NOT NULL)").count() == 0

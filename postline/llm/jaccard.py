@@ -8,22 +8,22 @@ sets with 100 * intersection >= 75 * union, and works in these steps, each a few
    into groups of about ``GROUP``, is its group, linked or not. A set that shares no bucket is a group of its own.
 2. The matrix, sparsely: a set's prefix (its n - ceil(3n/4) + k first tokens, likely and frequent ones last) meets the
    prefixes of all others by token. If two sets link, their prefixes share k tokens. Tokens whose sets lie in one
-   component are dropped after a sum per token; for the others, sets of smaller components become queries to the groups
-   that hold larger ones, never pairs of sets, where the group's prefixes have k tokens of the query's. No list per token
-   is built.
+   component are dropped; for the others, sets of smaller components become queries to the groups that hold larger ones,
+   never pairs of sets, where the group's prefixes have k tokens of the query's. No list per token is built.
 3. Opening. A query's overlap with a group's token union bounds its overlap with each member. Only a group whose bound
    reaches ceil(3n/4) is opened, and the query compared with its members, but for those that it is connected to.
 4. Components over all links.
 
 A token's first bits grow as its shingle gets shorter, so sorting puts long and unlikely shingles first. Frequent tokens
-are found by a sketch of fixed size. Both only decide the order in prefixes, never what is found: with those tokens last,
-common phrases and shared passages make no candidates of documents that are otherwise unlike. A table is
-broadcast only if it has at most ``BROADCAST_ROWS`` rows, else it is joined by shuffling. Shingles and sets are compared by
-64-bit hashes.
+are found by a sketch of fixed size, summed before they are shuffled, and joined where a join may be split. Both only
+decide the order in prefixes, never what is found: with those tokens last, common phrases and shared passages make no
+candidates of documents that are otherwise unlike. Spark chooses each join by the tables' bytes; none is told to
+broadcast. Shingles and sets are compared by 64-bit hashes.
 
 Defined results: null or empty texts have the empty set and no links; with fewer than ``WIDTH`` words the whole sequence
-is one shingle; rows with a null doc_id link nothing and have a null component; rows that repeat a doc_id each have
-their own set; an empty table gives an empty table; other columns are not looked at.
+is one shingle; texts of any length are read whole, in pieces of words but as one set; rows with a null doc_id link nothing
+and have a null component; rows that repeat a doc_id each have their own set; equal sets are one class; an empty table gives
+an empty table; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -36,20 +36,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from postline.llm import tokens
-from postline.llm.common import cut
+from postline.llm.common import Scratch
 from postline.llm.components import components
 
 WIDTH = 5
 NEED, OF = 75, 100
 MINHASHES, PER_BUCKET = 6, 2
 LEADERS = 64
-GROUP = 256
+GROUP = 128
 #: Sets of a bucket, or queries of a group, that one task compares in a row.
-QUERIES = 2_000
+CHUNK, QUERIES = 512, 256
 #: Tokens that the prefixes of linked sets share at least, where the sets are that large.
 COMMON = 6
+#: Sets that a task remembers to have seen; beyond this it starts anew.
+REMEMBERED = 1_000_000
 SKETCH_BITS = 22
-BROADCAST_ROWS = 200_000
 #: Bytes of a shingle from which it is in the next earlier class of the order.
 LENGTHS = np.array([42, 37, 33, 29, 25, 21, 17])
 SEEDS = (np.arange(1, MINHASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -135,25 +136,20 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, SIGNATURE)
 
 
-def joined(large: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
-    """A join that broadcasts ``small`` (a cut table) only if it is small enough."""
-    return large.join(F.broadcast(small) if small.count() <= BROADCAST_ROWS else small, on, how)
-
-
 def buckets(sets: DataFrame) -> DataFrame:
-    """(bucket, crowd, chunk, set_id) of the sets that share a pair of minhashes with others: crowd is the bucket's size, a
-    chunk has about QUERIES."""
+    """(bucket, crowd, chunk, set_id, first_doc) of the sets that share a pair of minhashes with others: crowd is the bucket's
+    size, a chunk has about CHUNK."""
     pairs = [F.xxhash64(F.lit(j), *[f"m{k}" for k in range(j, j + PER_BUCKET)]) for j in range(0, MINHASHES, PER_BUCKET)]
-    rows = sets.select("set_id", F.explode(F.array(*pairs)).alias("bucket"))
-    several = cut(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"))
+    rows = sets.select("set_id", "first_doc", F.explode(F.array(*pairs)).alias("bucket"))
+    several = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("crowd")).filter("crowd > 1")
     # dealt anew in each bucket, so that chunks of one pair of minhashes are joined by those of another
-    return joined(rows, several, ["bucket"]).withColumn("chunk", F.pmod(F.xxhash64("set_id", "bucket"), F.ceil(F.col("c") / QUERIES))).withColumnRenamed("c", "crowd")
+    return rows.join(several, "bucket").withColumn("chunk", F.pmod(F.xxhash64("set_id", "bucket"), F.ceil(F.col("crowd") / CHUNK)))
 
 
-def texts_of(docs: DataFrame, sets: DataFrame, wanted: DataFrame) -> DataFrame:
-    """wanted (with set_id) with the text of the set's first document."""
-    keyed = cut(wanted.join(sets.select("set_id", "first_doc"), "set_id").withColumnRenamed("first_doc", "doc_id"))
-    return joined(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), keyed, ["doc_id"])
+def with_text(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted (with set_id and first_doc) with the text of the set's first document."""
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("first_doc"), F.coalesce("text", F.lit("")).alias("text"))
+    return texts.join(wanted, "first_doc")
 
 
 def compared(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -194,11 +190,10 @@ def compared(rows: DataFrame, keys: list[str]) -> DataFrame:
             if a_out:
                 yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
 
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, *keys).sortWithinPartitions(*keys, "role", "set_id").mapInArrow(run, "a bigint, b bigint")
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "role", "set_id").mapInArrow(run, "a bigint, b bigint")
 
 
-def easy_links(docs: DataFrame, sets: DataFrame, homes: DataFrame) -> DataFrame:
+def easy_links(docs: DataFrame, homes: DataFrame) -> DataFrame:
     """(a, b) links found by passing each bucket's chunk once: a set is compared with leaders that it isn't connected to yet,
     and becomes one if it links to none."""
 
@@ -228,76 +223,73 @@ def easy_links(docs: DataFrame, sets: DataFrame, homes: DataFrame) -> DataFrame:
             if a_out:
                 yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
 
-    rows = texts_of(docs, sets, homes.drop("crowd"))
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, "bucket", "chunk").sortWithinPartitions("bucket", "chunk", "set_id").mapInArrow(run, "a bigint, b bigint")
+    rows = with_text(docs, homes.select("bucket", "chunk", "set_id", "first_doc"))
+    return rows.repartition("bucket", "chunk").sortWithinPartitions("bucket", "chunk", "set_id").mapInArrow(run, "a bigint, b bigint")
+
 
+def prefixes(docs: DataFrame, owners: DataFrame, hot: np.ndarray) -> DataFrame:
+    """(token, set_id, comp, frequent) of each set's prefix; frequent tokens, in hot cells of the sketch, come last.
 
-def prefixes(docs: DataFrame, hot: np.ndarray) -> DataFrame:
-    """(token, set_id, n, frequent) of each document's prefix; frequent tokens, in hot cells of the sketch, come last."""
+    owners: set_id, first_doc and comp of each set. comp is left null where it is the set's own.
+    """
     is_hot = np.zeros(1 << SKETCH_BITS, bool)
     is_hot[hot] = True
     held = docs.sparkSession.sparkContext.broadcast(np.packbits(is_hot))
+    arrow = pa.schema([("token", pa.int64()), ("set_id", pa.int64()), ("comp", pa.int64()), ("frequent", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         late_cells = np.unpackbits(held.value).astype(bool)
+        seen: set[int] = set()  # of rows that repeat a doc_id and text, one will do
         for b in batches:
-            token, ids, sizes = [], [], []
+            want, comp = (b.column(b.schema.get_field_index(c)).to_pylist() for c in ("set_id", "comp"))
+            token, ids, comps = [], [], []
 
             def block() -> pa.RecordBatch:
-                length = [len(t) for t in token]
-                all_ = np.concatenate(token)
-                return pa.RecordBatch.from_arrays(
-                    [pa.array(all_.view(np.int64)), pa.array(np.repeat(np.array(ids, np.int64), length)), pa.array(np.repeat(np.array(sizes, np.int64), length)), pa.array(late_cells[cells(all_)])],
-                    names=["token", "set_id", "n", "frequent"],
-                )
+                all_, length = np.concatenate(token), [len(t) for t in token]
+                of = pa.array(np.repeat(np.arange(len(token)), length))
+                columns = [pa.array(all_.view(np.int64)), pa.array(ids, pa.int64()).take(of), pa.array(comps, pa.int64()).take(of), pa.array(late_cells[cells(all_)])]
+                return pa.RecordBatch.from_arrays(columns, schema=arrow)
 
-            for s in shingle_sets(b.column(b.schema.get_field_index("text"))):
-                if len(s):
-                    late = late_cells[cells(s)]
-                    order = np.concatenate([s[~late], s[late]]) if late.any() else s
-                    token.append(order[: prefix_size(len(s))])
-                    ids.append(set_key(s))
-                    sizes.append(len(s))
+            for i, s in enumerate(shingle_sets(b.column(b.schema.get_field_index("text")))):
+                if not len(s) or want[i] in seen or set_key(s) != want[i]:
+                    continue
+                if len(seen) >= REMEMBERED:
+                    seen.clear()
+                seen.add(want[i])
+                late = late_cells[cells(s)]
+                order = np.concatenate([s[~late], s[late]]) if late.any() else s
+                token.append(order[: prefix_size(len(s))])
+                ids.append(want[i])
+                comps.append(comp[i])
                 if len(token) >= 1000:
                     yield block()
-                    token, ids, sizes = [], [], []
+                    token, ids, comps = [], [], []
             if token:
                 yield block()
 
-    return docs.filter("doc_id IS NOT NULL").select("text").mapInArrow(run, "token bigint, set_id bigint, n bigint, frequent boolean")
-
-
-def placed(df: DataFrame, parts: DataFrame) -> DataFrame:
-    """df (set_id, n, ...) with each set's component (comp, size) and group (home, band, salt)."""
-    one = F.lit(1).cast("bigint")
-    known = joined(df, parts, ["set_id"], "left").withColumns(
-        {"comp": F.coalesce("comp", "set_id"), "size": F.coalesce("size", one), "home": F.coalesce("home", "set_id"), "crowd": F.coalesce("crowd", one)}
-    )
-    return known.withColumns({"band": band(), "salt": salt()}).drop("crowd")
+    own = F.when(F.col("comp") != F.col("set_id"), F.col("comp")).alias("comp")
+    return with_text(docs, owners.select("set_id", "first_doc", own)).select("set_id", "comp", "text").mapInArrow(run, "token bigint, set_id bigint, comp bigint, frequent boolean")
 
 
-def group_queries(found: DataFrame, parts: DataFrame) -> DataFrame:
-    """(set_id, comp, size, home, band, salt): the queries, and the groups that their prefixes meet."""
-    rank = F.struct("size", "comp")
-    known = joined(found, parts.select("set_id", "comp"), ["set_id"], "left").withColumn("comp", F.coalesce("comp", "set_id"))
+def group_queries(found: DataFrame, owners: DataFrame, scratch: Scratch) -> DataFrame:
+    """(set_id, home, band, salt): the queries, and the groups that their prefixes meet."""
+    comp = F.coalesce("comp", "set_id")
     # few sets have a rare token: they meet once, and those whose sets are all of one component go
     token = Window.partitionBy("token")
-    rare = known.filter("NOT frequent").withColumns({"lo": F.min("comp").over(token), "hi": F.max("comp").over(token)}).filter("lo <> hi").select("token", "set_id", "n")
+    rare = found.filter("NOT frequent").withColumns({"lo": F.min(comp).over(token), "hi": F.max(comp).over(token)}).filter("lo <> hi").select("token", "set_id")
     # a frequent token may be in a large part of all sets: it is summed before it is shuffled, and then joined
-    often = known.filter("frequent")
-    shared = cut(often.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token"))
-    common = joined(often.select("token", "set_id", "n"), shared, ["token"])
-    width = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    together = placed(rare.unionByName(common), parts).repartition(width, "token").distinct()  # one exchange for what follows
-    met = cut(together.withColumn("top", F.max(rank).over(token)))
-    asking = met.filter(rank < F.col("top")).select("token", "set_id", "n", F.col("band").alias("own_band"), rank.alias("own"))
+    often = found.filter("frequent")
+    shared = often.groupBy("token").agg(F.min(comp).alias("lo"), F.max(comp).alias("hi")).filter("lo <> hi").select("token")
+    met = scratch.cut(rare.unionByName(often.join(shared, "token").select("token", "set_id")).join(owners.drop("first_doc"), "set_id"))
+    rank = F.struct("size", "comp")
+    asking = met.select("token", "set_id", "n", F.col("band").alias("own_band"), rank.alias("own"))
     asked = met.groupBy("token", "home", "band", "salt").agg(F.max(rank).alias("theirs"))
     pairs = asking.join(asked, "token").filter((F.col("own") < F.col("theirs")) & (F.abs(F.col("own_band") - F.col("band")) <= 1))
     least = F.ceil(F.ceil(F.col("n") * NEED / OF) * NEED / OF)  # what the smallest set that links to one of n needs
-    grouped = pairs.groupBy("set_id", "n", "own", "home", "band", "salt").agg(F.count(F.lit(1)).alias("common"))
-    kept = grouped.filter(F.col("common") >= F.least(F.lit(COMMON), least))
-    return cut(kept.select("set_id", "own.comp", "own.size", "home", "band", "salt"))
+    grouped = pairs.groupBy("set_id", "n", "home", "band", "salt").agg(F.count(F.lit(1)).alias("common"))
+    queries = scratch.cut(grouped.filter(F.col("common") >= F.least(F.lit(COMMON), least)).select("set_id", "home", "band", "salt"))
+    scratch.free(met)
+    return queries
 
 
 def band():
@@ -309,34 +301,54 @@ def salt():
     return F.pmod(F.xxhash64("set_id"), F.ceil(F.col("crowd") / GROUP))
 
 
-def similar(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row of docs: its set's size and the smallest doc_id that links reach."""
-    docs = docs.select("doc_id", "text")
-    rows = cut(signatures(docs))
-    owned = rows.filter("n >= 0")
-    mins = [F.min(f"m{j}").alias(f"m{j}") for j in range(MINHASHES)]
-    sets = cut(owned.filter("n > 0 AND doc_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("first_doc"), F.min("n").alias("n"), *mins))
-    spots = rows.filter("n = -1").select(F.explode("cells").alias("cell")).distinct()
-    packed = spots.groupBy(F.shiftright("cell", 12).alias("k")).agg(F.collect_list("cell").alias("cells")).toArrow()  # at most 2 ** SKETCH_BITS numbers
-    hot = packed["cells"].combine_chunks().flatten().to_numpy() if packed.num_rows else np.zeros(0, np.int32)
-    homes = cut(buckets(sets))
-    known = components(easy_links(docs, sets, homes))
+def ownership(sets: DataFrame, homes: DataFrame, known: DataFrame) -> DataFrame:
+    """(set_id, first_doc, n, comp, size, home, band, salt): each set with its component and group."""
     sizes = known.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
     linked = known.join(sizes, "label").select(F.col("node").alias("set_id"), F.col("label").alias("comp"), "size")
     home = homes.groupBy("set_id").agg(F.max(F.struct("crowd", "bucket")).alias("h")).select("set_id", F.col("h.bucket").alias("home"), "h.crowd")
-    parts = cut(linked.join(home, "set_id", "full_outer"))
-    found = cut(prefixes(docs, hot))
-    queries = group_queries(found, parts)
-    group = ["home", "band", "salt"]
-    chunks = cut(queries.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / QUERIES).alias("chunks")))
-    members = placed(sets.select("set_id", "n"), parts).drop("n").join(chunks, group)
-    shown = members.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1))).drop("chunks").withColumn("role", F.lit(0))
-    asked = queries.join(chunks, group).withColumn("chunk", F.pmod(F.xxhash64("set_id"), "chunks")).drop("chunks").withColumn("role", F.lit(1))
-    hard = compared(texts_of(docs, sets, shown.unionByName(asked)), [*group, "chunk"])
-    chains = known.filter("node <> label").select(F.col("label").alias("a"), F.col("node").alias("b"))
-    labels = components(chains.unionByName(hard))
-    labelled = sets.select("set_id", "first_doc").join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
-    least = labelled.groupBy("label").agg(F.min("first_doc").alias("component_id"))
-    final = cut(labelled.join(least, "label").select("set_id", "component_id"))
-    by_row = owned.select("doc_id", F.col("n").alias("n_shingles"), "set_id")
-    return by_row.join(final, "set_id", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    one = F.lit(1).cast("bigint")
+    each = sets.select("set_id", "first_doc", "n").join(linked, "set_id", "left").join(home, "set_id", "left")
+    filled = each.withColumns({"comp": F.coalesce("comp", "set_id"), "size": F.coalesce("size", one), "home": F.coalesce("home", "set_id"), "crowd": F.coalesce("crowd", one)})
+    return filled.withColumns({"band": band(), "salt": salt()}).drop("crowd")
+
+
+def hot_cells(rows: DataFrame) -> np.ndarray:
+    """The cells of the sketch that stand out in any task: at most 2 ** SKETCH_BITS numbers, whatever the input."""
+    spots = rows.filter("n = -1").select(F.explode("cells").alias("cell"))
+    packed = spots.groupBy(F.shiftright("cell", 12).alias("k")).agg(F.collect_set("cell").alias("cells")).toArrow()
+    return packed["cells"].combine_chunks().flatten().to_numpy() if packed.num_rows else np.zeros(0, np.int32)
+
+
+def similar(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for each row of docs: its set's size and the smallest doc_id that links reach."""
+    docs = docs.select("doc_id", "text")
+    with Scratch(docs.sparkSession) as scratch:
+        cut, free = scratch.cut, scratch.free
+        rows = cut(signatures(docs))
+        owned = rows.filter("n >= 0")
+        mins = [F.min(f"m{j}").alias(f"m{j}") for j in range(MINHASHES)]
+        sets = cut(owned.filter("n > 0 AND doc_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("first_doc"), F.min("n").alias("n"), *mins))
+        hot = hot_cells(rows)
+        homes = cut(buckets(sets))
+        known = components(easy_links(docs, homes), scratch)
+        owners = cut(ownership(sets, homes, known))
+        free(sets, homes)
+        found = cut(prefixes(docs, owners, hot))
+        queries = group_queries(found, owners, scratch)
+        free(found)
+        group = ["home", "band", "salt"]
+        chunks = queries.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / QUERIES).alias("chunks"))
+        use = ["set_id", "first_doc", "comp", "size"]
+        members = owners.join(chunks, group).select(*use, *group, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("role"))
+        asking = queries.join(chunks, group).join(owners.select(*use), "set_id").select(*use, *group, F.pmod(F.xxhash64("set_id"), "chunks").alias("chunk"), F.lit(1).alias("role"))
+        hard = compared(with_text(docs, members.unionByName(asking)), [*group, "chunk"])
+        chains = known.filter("node <> label").select(F.col("label").alias("a"), F.col("node").alias("b"))
+        labels = components(chains.unionByName(hard), scratch)
+        free(queries, known)
+        labelled = owners.select("set_id", "first_doc").join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
+        least = labelled.groupBy("label").agg(F.min("first_doc").alias("component_id"))
+        final = cut(labelled.join(least, "label").select("set_id", "component_id"))
+        free(owners, labels)
+        by_row = owned.select("doc_id", F.col("n").alias("n_shingles"), "set_id")
+        classes = cut(by_row.join(final, "set_id", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")))
+        return scratch.keep(classes)

@@ -41,7 +41,6 @@ from pyspark.sql import types as T
 
 from postline.llm import tokens
 from postline.llm.common import cut
-from postline.llm.jaccard import joined
 
 LENGTH = 100
 GRAM = 24
@@ -223,7 +222,7 @@ def meeting(asked: DataFrame) -> DataFrame:
     side = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.shiftright("sides", SIDE_BITS * i).bitwiseAND(F.lit((1 << SIDE_BITS) - 1)).alias("bits")) for i in (0, 1)]))
     rows = asked.withColumn("s", side).filter("s.bits <> 0").select(*ROW, (F.col("place") * 2 + F.col("s.i")).alias("spot"), F.xxhash64("gram", "s.i", "s.bits").alias("meet"))
     met = cut(rows.groupBy("meet").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("meet", (F.col("n") > CROWD).alias("crowded")))
-    return joined(rows, met, ["meet"]).select(*ROW, "spot", "crowded")
+    return rows.join(met, "meet").select(*ROW, "spot", "crowded")
 
 
 def with_spots(docs: DataFrame, asked: DataFrame) -> DataFrame:
@@ -569,4 +568,4 @@ def dedup(docs: DataFrame) -> DataFrame:
             numbers_ = np.array(numbers, np.int64).reshape(-1, 3)
             yield pa.RecordBatch.from_arrays([*own, pa.array(kept, pa.binary()), *(pa.array(numbers_[:, k]) for k in range(3))], names=[*columns, *(f.name for f in ADDED)])
 
-    return joined(named, spans, ROW, "left").select(*columns, "_r_spans").mapInArrow(run, T.StructType([*docs.schema.fields, *ADDED]))
+    return named.join(spans, ROW, "left").select(*columns, "_r_spans").mapInArrow(run, T.StructType([*docs.schema.fields, *ADDED]))

@@ -5,10 +5,13 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from postline.llm import bpe, chat, decontaminate, divergence, jaccard, lines, pii, quality, repeats, tokens, toxicity
+from postline.llm import components as components_module
+from postline.llm.common import Scratch
 from postline.llm.components import components
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -151,7 +154,13 @@ def test_line_dedup_against_brute_force(spark, none):
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("line_run")]
 
 
-def test_jaccard_against_brute_force(spark, none):
+@pytest.mark.parametrize("small", [False, True])
+def test_jaccard_against_brute_force(spark, none, monkeypatch, small):
+    """small: bounds so low that buckets, groups and queries are split, leaders run out, and half of the tokens count as frequent."""
+    if small:
+        for name, value in {"LEADERS": 2, "GROUP": 3, "CHUNK": 4, "QUERIES": 2, "REMEMBERED": 3}.items():
+            monkeypatch.setattr(jaccard, name, value)
+        monkeypatch.setattr(jaccard, "hot_cells", lambda rows: np.arange(0, 1 << jaccard.SKETCH_BITS, 2, dtype=np.int32))
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
     rows = []
@@ -184,10 +193,27 @@ def test_jaccard_against_brute_force(spark, none):
 
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 130)] + [(7, 7), (None, 3)]
-    got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    with Scratch(spark) as scratch:
+        got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a bigint, b bigint"), scratch).collect()}
     assert got == {i: 0 for i in range(41)} | {k: 100 for k in range(100, 130)}
 
 
+@pytest.mark.parametrize("block", [1, 5, 1000])
+def test_components_against_union_find(spark, monkeypatch, block):
+    """Chains, a hub whose number is the largest, and random edges, contracted in blocks of few edges too."""
+    monkeypatch.setattr(components_module, "BLOCK", block)
+    rng = random.Random(block)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(150)] + [(1000, 400 + k) for k in range(50)] + [(600 - k, 599 - k) for k in range(30)]
+    root = {n: n for e in edges for n in e}
+    for _ in root:
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    with Scratch(spark) as scratch:
+        got = components(spark.createDataFrame(edges, "a bigint, b bigint").repartition(5), scratch).collect()
+    joined = {n for a, b in edges if a != b for n in (a, b)}
+    assert len(got) == len(joined) and {r.node: r.label for r in got} == {n: root[n] for n in joined}
+
+
 def test_repeats_against_brute_force(spark, none):
     rng = random.Random(6)
     word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(5))
