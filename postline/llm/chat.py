@@ -122,3 +122,8 @@ def read_back(formatted: Column) -> Column:
             unescaped(F.substr(p, at(p) + F.lit(len(AFTER_ROLE)))).alias("text"),
         ),
     )
+
+
+def under_mask(formatted: Column, loss: Column) -> Column:
+    """All text under a loss mask, cut out of the formatted conversation by the mask's starts and lengths, and unescaped."""
+    return F.array_join(F.transform(loss, lambda s: unescaped(F.substr(formatted, (s["start"] + 1).cast("int"), s["length"].cast("int")))), "")

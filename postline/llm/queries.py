@@ -141,18 +141,19 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    probe = spark.createDataFrame([(-7, 0, "user", PROBE_TEXT), (-7, 1, "assistant", PROBE_TEXT)], "conv_id bigint, turn bigint, role string, text string")
+    turns = ", ".join(f"(-7L, {k}, '{role}')" for k, role in enumerate(("user", "assistant")))
+    probe = spark.sql(f"SELECT * FROM VALUES {turns} AS t(conv_id, turn, role)").withColumn("text", F.lit(PROBE_TEXT))
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
     place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")).cast("bigint")
     nodes = rows.withColumn("node", place).select(
         F.col("conv_id").alias("tree"), "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), "role", "text", F.lit(0).alias("score")
     )
-    out = chat.format_conversations(nodes).withColumn("turns", chat.read_back(F.col("formatted")))
+    out = chat.format_conversations(nodes).select("tree", "formatted", "loss", chat.read_back(F.col("formatted")).alias("turns"))
     said = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
-    trained = F.array_join(F.transform("loss", lambda s: F.get("turns", s["turn"].cast("int"))["text"]), "")
+    trained = chat.under_mask(F.col("formatted"), F.col("loss"))
     return out.select(
         F.col("tree").alias("conv_id"),
-        "n_turns",
+        F.size("turns").cast("bigint").alias("n_turns"),
         F.sha2(F.array_join(said, ""), 256).alias("turns_sha256"),
         F.char_length(trained).cast("bigint").alias("loss_chars"),
         F.sha2(trained, 256).alias("loss_sha256"),
