@@ -6,13 +6,14 @@ doc_id, then by place. Texts of all documents can't be in one suffix array, so o
 1. Anchors. In each window of LENGTH bytes, the ``GRAM``-byte string with the least hash is an anchor. Equal windows have
    equal anchors, so a repeated string has an anchor in common with its first occurrence, and its bytes lie within the
    anchor's context: the bytes that any window over the anchor can reach. Each anchor is sent on as two hashes, of the gram
-   and of the context. Within a batch, occurrences with equal hashes are reduced to the first at once.
-2. Occurrences of a gram with equal contexts: all but the first lose the context's bytes. Of each different context, the
-   first occurrence stays in question if its gram has others.
-3. Those are compared exactly. Around a common anchor, a common string of LENGTH bytes holds RIGHT bytes from the anchor
-   on, or LEFT bytes before it: those are the keys by which contexts meet, if they meet any. Short hashes of both sides,
-   sent with the anchors, leave out contexts that meet none before their bytes are fetched. The contexts of a key are laid
-   into a sparse enhanced suffix array: of the places from which LENGTH bytes recur, those whose occurrences differ in the
+   and of the context. Within a batch, equal contexts are reduced to the first at once.
+2. Leaves. The tree has one leaf for each distinct context of a gram, with all occurrences of it, not one for each
+   occurrence. A leaf of several occurrences is a maximal repeat as it stands, and all but its first lose its bytes; only
+   the first goes on to be compared with other leaves, if its gram has any. (A context that a third of all documents have
+   is thus never gathered.)
+3. Around a common anchor, a common string of LENGTH bytes holds RIGHT bytes from the anchor on, or LEFT bytes before it:
+   those are the keys by which leaves meet, if they meet any. Hashes of both sides, sent with the anchors, leave out leaves
+   that meet none before their bytes are fetched. The contexts of a key are laid into a sparse enhanced suffix array: of the places from which LENGTH bytes recur, those whose occurrences differ in the
    byte to the left. A stack scan over its common-prefix lengths finds the intervals of at least LENGTH; one that is
    left-diverse is a maximal repeat, and all its occurrences but the first lose their bytes. Other intervals repeat what
    the interval one byte to the left has.
@@ -20,16 +21,18 @@ doc_id, then by place. Texts of all documents can't be in one suffix array, so o
    gathered. Each string of LENGTH bytes in its contexts is sent on as a hash and a place; those of a batch are reduced to the
    first, and what meets by hash streams by in order.
 
-Grams, contexts, keys and the strings of crowded sides are compared by 64-bit hashes.
+Grams, contexts, keys and the strings of crowded sides are compared by 64-bit hashes, sides before that by 32 bits beside
+the gram's 64. Spark chooses each join by the tables' bytes, at every size alike; what a step wrote is deleted once read.
 
 Defined results: a null text is empty; texts shorter than LENGTH lose nothing; rows that repeat a doc_id with the same
-text are one document; those with other texts are documents of their own, ordered by a hash of the text; rows with a null
-doc_id lose nothing and take nothing from others; an empty table gives an empty table; other columns are carried along,
+text are one document; those with other texts are documents of their own, told apart and ordered by 31 bits of a hash of
+the text; texts of any length are worked on in whole, a piece of texts at a time; rows with a null doc_id lose nothing and take nothing from others; an empty table gives an empty table; other columns are carried along,
 but for those that are added and names that begin with ``_r_``.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from postline.llm import tokens
-from postline.llm.common import cut
+from postline.llm.common import Scratch
 
 LENGTH = 100
 GRAM = 24
@@ -53,15 +56,13 @@ ARRAY_BYTES = 1 << 18
 #: Contexts that share a side and may be laid into one suffix array; of more, the single strings are compared.
 CROWD = 1 << 11
 #: Bits of a side's hash that go with an anchor.
-SIDE_BITS = 16
-#: Places of anchors that are broadcast to fetch their bytes; beyond this they are joined by shuffling.
-BROADCAST_PLACES = 2_000_000
+SIDE_BITS = 32
 ROW = ["_r_doc", "_r_text"]
 
 
 def text_hash(column: str = "text"):
-    """A byte of the text's hash, as it stands above the place in ``at``: it tells apart texts of one doc_id."""
-    return F.shiftrightunsigned(F.xxhash64(column), 56)
+    """31 bits of the text's hash, as they stand above the place in ``at``: they tell apart texts of one doc_id."""
+    return F.shiftrightunsigned(F.xxhash64(column), 33)
 
 
 class Piece:
@@ -108,11 +109,10 @@ class Piece:
 
     def sides(self, doc: np.ndarray, place: np.ndarray) -> np.ndarray:
         """Both keys' first bits, 0 where a side is short."""
-        out = np.zeros(len(place), np.int64)
+        out = np.zeros(len(place), np.uint64)
         for i, (k, key) in enumerate(self.keys(doc, place)):
-            bits = (key >> np.uint64(64 - SIDE_BITS)).astype(np.int64)
-            out[k] |= np.maximum(bits, 1) << (SIDE_BITS * i)
-        return out.astype(np.uint32).view(np.int32)
+            out[k] |= np.maximum(key >> np.uint64(64 - SIDE_BITS), np.uint64(1)) << np.uint64(SIDE_BITS * i)
+        return out.view(np.int64)
 
     def contexts(self, doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return np.maximum(self.bounds[doc], place - REACH), np.minimum(self.bounds[doc + 1], place + LENGTH)
@@ -127,13 +127,15 @@ def running(a: np.ndarray, width: int, op: np.ufunc) -> np.ndarray:
     return op(a[: len(a) - (width - have)], a[width - have :]) if have < width else a
 
 
-ANCHOR = "gram bigint, context bigint, _r_doc bigint, at bigint, sides int, done boolean"
+ANCHOR = "gram bigint, context bigint, _r_doc bigint, at bigint, sides bigint, stop bigint"
 
 
 def anchors(docs: DataFrame) -> DataFrame:
-    """A row for each anchor; ``at`` holds the text's hash and the place. done: an equal context precedes it in the batch."""
+    """A row for each anchor; ``at`` holds the text's hash and the place. Where an equal context precedes it in the batch, the
+    context is done: such rows come as spans from ``at`` to stop, those of a text that overlap made one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["gram", "context", "_r_doc", "at", "sides", "stop"]
         for b in batches:
             ids = b.column(b.schema.get_field_index("_r_doc")).to_numpy(zero_copy_only=False)
             texts = b.column(b.schema.get_field_index("_r_text")).to_numpy(zero_copy_only=False)
@@ -144,39 +146,44 @@ def anchors(docs: DataFrame) -> DataFrame:
                 lo, hi = p.contexts(doc, place)
                 context = tokens.mix(p.hashes(lo, hi) + (place - lo).astype(np.uint64) * np.uint64(1000003) + (hi - place).astype(np.uint64))
                 at = (texts[first + doc].astype(np.int64) << 32) | (place - bounds[doc])
-                got.append((gram.view(np.int64), context.view(np.int64), ids[first + doc], at, p.sides(doc, place)))
+                got.append((gram.view(np.int64), context.view(np.int64), ids[first + doc], at, p.sides(doc, place), place - lo, hi - place))
             if not got:
                 continue
-            gram, context, ids, at, sides = (np.concatenate(x) for x in zip(*got, strict=True))
+            gram, context, ids, at, sides, left, right = (np.concatenate(x) for x in zip(*got, strict=True))
             by = np.lexsort((at, ids, context, gram))
-            gram, context, ids, at, sides = gram[by], context[by], ids[by], at[by], sides[by]
+            gram, context, ids, at, sides, left, right = (x[by] for x in (gram, context, ids, at, sides, left, right))
             same = (gram[1:] == gram[:-1]) & (context[1:] == context[:-1])
             twice = np.concatenate([[False], same & (ids[1:] == ids[:-1]) & (at[1:] == at[:-1])])
             done = np.concatenate([[False], same])
             # a repeated row of the first occurrence is no second one
             lead = np.maximum.accumulate(np.where(done, 0, np.arange(len(done))))
             done &= ~((ids == ids[lead]) & (at == at[lead]))
-            keep = ~twice
+            keep = ~twice & ~done
             if keep.any():
-                yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (gram, context, ids, at, sides, done)], names=["gram", "context", "_r_doc", "at", "sides", "done"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (gram, context, ids, at, sides, np.zeros(len(gram), np.int64))], names=names)
+            if done.any():
+                place = at[done] & 0xFFFFFFFF
+                u = united(ids[done], at[done] >> 32, place - left[done], place + right[done])
+                none = pa.array(np.zeros(u.num_rows, np.int64))
+                yield pa.RecordBatch.from_arrays([none, none, u["_r_doc"], pa.array((u["_r_text"].to_numpy() << 32) | u["start"].to_numpy()), none, u["end"]], names=names)
 
     return docs.mapInArrow(run, ANCHOR)
 
 
-def settled(rows: DataFrame) -> DataFrame:
-    """(_r_doc, at, gram, sides, sure) of anchors whose context's bytes go (sure), and of those to be compared.
+def leaves(rows: DataFrame) -> DataFrame:
+    """(_r_doc, at, gram, sides, stop): the occurrences that their leaf drops, as spans from ``at`` to stop; and, with stop 0, the
+    first occurrence of each leaf whose gram has several leaves.
 
     Rows come sorted within a partition, so a neighbour tells what a row is; one row is held back between batches.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["gram", "context", "_r_doc", "at", "sides"]
-        last: tuple | None = None  # the last row that isn't done
-        held: tuple | None = None  # the first context of a gram, until another one shows up
+        last: tuple | None = None  # the last anchor
+        held: tuple | None = None  # the first leaf of a gram, until another one shows up
         for b in batches:
-            gram, context, doc, at, sides = (b.column(b.schema.get_field_index(c)).to_numpy() for c in names)
-            done = b.column(b.schema.get_field_index("done")).to_numpy(zero_copy_only=False)
-            out = [(doc[done], at[done], gram[done], sides[done], np.ones(int(done.sum()), bool))]
+            gram, context, doc, at, sides, stop = (b.column(b.schema.get_field_index(c)).to_numpy() for c in ("gram", "context", "_r_doc", "at", "sides", "stop"))
+            done = stop > 0
+            out = [(doc[done], at[done], gram[done], sides[done], stop[done])]
             gram, context, doc, at, sides = (x[~done] for x in (gram, context, doc, at, sides))
             if not len(gram):
                 yield of(out)
@@ -187,17 +194,18 @@ def settled(rows: DataFrame) -> DataFrame:
             same_gram = gram[1:] == gram[:-1]
             same = same_gram & (context[1:] == context[:-1])
             equal = same & (doc[1:] == doc[:-1]) & (at[1:] == at[:-1])
-            sure = np.flatnonzero(same & ~equal) + 1
-            out.append((doc[sure], at[sure], gram[sure], sides[sure], np.ones(len(sure), bool)))
-            fresh = np.flatnonzero(same_gram & ~same) + 1  # the second and later contexts of a gram
-            out.append((doc[fresh], at[fresh], gram[fresh], sides[fresh], np.zeros(len(fresh), bool)))
+            later = np.flatnonzero(same & ~equal) + 1
+            place, zero = at[later] & 0xFFFFFFFF, np.zeros(len(later), np.int64)
+            out.append((doc[later], (at[later] >> 32 << 32) | np.maximum(place - REACH, 0), zero, zero, place + LENGTH))
+            fresh = np.flatnonzero(same_gram & ~same) + 1  # the second and later leaves of a gram
+            out.append((doc[fresh], at[fresh], gram[fresh], sides[fresh], np.zeros(len(fresh), np.int64)))
             first = np.concatenate([[not carried], ~same_gram])
             leads = np.flatnonzero(first)
             lead_of = np.searchsorted(leads, fresh, "right") - 1
             asked = np.unique(leads[lead_of[lead_of >= 0]])
-            out.append((doc[asked], at[asked], gram[asked], sides[asked], np.zeros(len(asked), bool)))
+            out.append((doc[asked], at[asked], gram[asked], sides[asked], np.zeros(len(asked), np.int64)))
             if held is not None and (lead_of < 0).any():
-                out.append(tuple(np.array([x]) for x in held) + (np.zeros(1, bool),))
+                out.append(tuple(np.array([x]) for x in held) + (np.zeros(1, np.int64),))
                 held = None
             if len(leads):
                 held = None if leads[-1] in asked else (doc[leads[-1]], at[leads[-1]], gram[leads[-1]], sides[leads[-1]])
@@ -205,13 +213,12 @@ def settled(rows: DataFrame) -> DataFrame:
             yield of(out)
 
     def of(out: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["_r_doc", "at", "gram", "sides", "sure"])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["_r_doc", "at", "gram", "sides", "stop"])
 
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # what is settled already needn't meet its gram, so it is dealt by itself
-    meet = F.when(F.col("done"), F.xxhash64("_r_doc", "at")).otherwise(F.col("gram"))
-    dealt = rows.repartition(parts, meet).sortWithinPartitions("gram", "context", "_r_doc", "at")
-    return dealt.mapInArrow(run, "_r_doc bigint, at bigint, gram bigint, sides int, sure boolean")
+    # what is done already needn't meet its gram, so it is dealt by itself
+    meet = F.when(F.col("stop") > 0, F.xxhash64("_r_doc", "at")).otherwise(F.col("gram"))
+    dealt = rows.repartition(meet).sortWithinPartitions("gram", "context", "_r_doc", "at")
+    return dealt.mapInArrow(run, "_r_doc bigint, at bigint, gram bigint, sides bigint, stop bigint")
 
 
 def meeting(asked: DataFrame) -> DataFrame:
@@ -221,16 +228,13 @@ def meeting(asked: DataFrame) -> DataFrame:
     """
     side = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.shiftright("sides", SIDE_BITS * i).bitwiseAND(F.lit((1 << SIDE_BITS) - 1)).alias("bits")) for i in (0, 1)]))
     rows = asked.withColumn("s", side).filter("s.bits <> 0").select(*ROW, (F.col("place") * 2 + F.col("s.i")).alias("spot"), F.xxhash64("gram", "s.i", "s.bits").alias("meet"))
-    met = cut(rows.groupBy("meet").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("meet", (F.col("n") > CROWD).alias("crowded")))
+    met = rows.groupBy("meet").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("meet", (F.col("n") > CROWD).alias("crowded"))
     return rows.join(met, "meet").select(*ROW, "spot", "crowded")
 
 
 def with_spots(docs: DataFrame, asked: DataFrame) -> DataFrame:
     """The texts that have sides in question, with their spots."""
-    spots = cut(asked.groupBy(*ROW).agg(F.sort_array(F.collect_set("spot")).alias("spots")))
-    total = spots.agg(F.sum(F.size("spots"))).first()[0] or 0
-    near = F.broadcast(spots) if total <= BROADCAST_PLACES else spots
-    return docs.select(*ROW, "text").join(near, ROW)
+    return docs.select(*ROW, "text").join(asked.groupBy(*ROW).agg(F.sort_array(F.collect_set("spot")).alias("spots")), ROW)
 
 
 def sides_of(b: pa.RecordBatch) -> Iterator[tuple]:
@@ -337,10 +341,9 @@ def later_strings(rows: DataFrame) -> DataFrame:
             if len(columns[0]):
                 yield united(*columns)
 
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # what is settled already needn't meet its equals, so it is dealt by itself
     meet = F.when(F.col("done"), F.xxhash64("_r_doc", "at")).otherwise(F.col("same"))
-    dealt = rows.repartition(parts, meet).sortWithinPartitions("same", "_r_doc", "at")
+    dealt = rows.repartition(meet).sortWithinPartitions("same", "_r_doc", "at")
     return dealt.mapInArrow(run, "_r_doc bigint, _r_text bigint, start bigint, end bigint")
 
 
@@ -499,8 +502,7 @@ def compared(rows: DataFrame) -> DataFrame:
         if kept:
             yield from scan(pa.Table.from_batches(kept))
 
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, "key").sortWithinPartitions("key", "_r_doc", "at").mapInArrow(run, "_r_doc bigint, _r_text bigint, start bigint, end bigint")
+    return rows.repartition("key").sortWithinPartitions("key", "_r_doc", "at").mapInArrow(run, "_r_doc bigint, _r_text bigint, start bigint, end bigint")
 
 
 def merged_spans(rows: DataFrame) -> DataFrame:
@@ -535,16 +537,19 @@ def dedup(docs: DataFrame) -> DataFrame:
     docs = docs.drop(*(f.name for f in ADDED)).withColumn("text", F.coalesce("text", F.lit("")))
     named = docs.withColumns({ROW[0]: F.col("doc_id").cast("bigint"), ROW[1]: text_hash()})
     plain = named.filter("doc_id IS NOT NULL").select(*ROW, "text")
-    found = cut(settled(anchors(plain)))
-    place = F.col("at").bitwiseAND(F.lit(0xFFFFFFFF))
-    placed = found.select("_r_doc", F.shiftright("at", 32).alias("_r_text"), place.alias("place"), "gram", "sides", "sure")
-    met = cut(meeting(placed.filter("NOT sure")))
-    more = compared(keyed_contexts(plain, met.filter("NOT crowded")))
-    if not met.filter("crowded").isEmpty():
-        more = more.unionByName(later_strings(crowded_strings(plain, met.filter("crowded"))))
-    more = cut(more)
-    sure = placed.filter("sure").select(*ROW, (F.col("place") - REACH).alias("start"), (F.col("place") + LENGTH).alias("end"))
-    spans = cut(merged_spans(sure.unionByName(more)))
+    with Scratch(docs.sparkSession) as scratch:
+        found = scratch.cut(leaves(anchors(plain)))
+        scratch.free()
+        place = F.col("at").bitwiseAND(F.lit(0xFFFFFFFF))
+        placed = found.select("_r_doc", F.shiftright("at", 32).alias("_r_text"), place.alias("place"), "gram", "sides", "stop")
+        met = scratch.cut(meeting(placed.filter("stop = 0")))
+        scratch.free()
+        more = scratch.cut(compared(keyed_contexts(plain, met.filter("NOT crowded"))))
+        dropped = [placed.filter("stop > 0").select(*ROW, F.col("place").alias("start"), F.col("stop").alias("end")), more]
+        if not met.filter("crowded").isEmpty():
+            dropped.append(scratch.cut(later_strings(crowded_strings(plain, met.filter("crowded")))))
+        scratch.free(met)
+        spans = scratch.keep(scratch.cut(merged_spans(functools.reduce(DataFrame.unionByName, dropped))))
     columns = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

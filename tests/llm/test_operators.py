@@ -252,6 +252,7 @@ def test_repeats_of_a_passage_that_every_document_goes_on_from(spark, monkeypatc
     # ends that recur behind the passage, so that strings of crowded sides recur beyond it
     rows += [(100 + i, f"{word()} {passage} {ends[i % 6]} {word()}") for i in range(12)] + [rows[7], (8, "another text"), (8, rows[9][1])]
     monkeypatch.setattr(repeats, "CROWD", 16)
+    monkeypatch.setattr(repeats, "ARRAY_BYTES", 1 << 18 if at_once > 7 else 1 << 10)
     groups, compared = [], repeats.compared
     monkeypatch.setattr(repeats, "compared", lambda r: (groups.append(r.groupBy("key").count().agg(F.max("count")).first()[0]), compared(r))[1])
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", at_once)
