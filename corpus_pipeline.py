@@ -1,36 +1,48 @@
 """A training corpus from raw documents: five stages, each on all rows that its predecessor kept.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
-one's docs. All but the last return the columns of ``documents``; a stage that changes texts sets n_chars anew.
+one's docs; a table is deleted once the next is written. All but the last return the columns of ``docs``, whatever their
+names: an operator sees doc_id and text alone, others by names that it doesn't add. A stage that changes texts sets n_chars
+anew, if there is such a column. Texts of any length are worked on whole; an empty table stays empty in every stage.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from postline.llm import bpe, decontaminate, jaccard, lines, toxicity
-from postline.llm.common import crc_bucket, cut, shared_path, table
+from postline.llm.common import Scratch, crc_bucket, remove, shared_path, table
 from postline.llm.queries import vocabulary_path
-from postline.operators.diff import numbered
 
 #: A document that is at least this likely to be toxic goes.
 TOXIC = 0.5
 
 
-def recounted(df: DataFrame, columns: list[str]) -> DataFrame:
-    return (df.withColumn("n_chars", F.char_length("text").cast("bigint")) if "n_chars" in columns else df).select(*columns)
+def aside(docs: DataFrame, operator: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What the operator makes of docs, with the columns of docs: those beside doc_id and text pass by under other names."""
+    others = {c: f"_beside_{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
+    out = operator(docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(new) for c, new in others.items()]))
+    return out.select(*[F.col(others.get(c, c)).alias(c) for c in docs.columns])
+
+
+def recounted(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the weakly supervised classifier doesn't reject."""
-    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), crc_bucket(F.col("doc_id"), 4) != 2)
-    return toxicity.score(docs, model).filter(F.col("score") < TOXIC).select(*docs.columns)
+    """Documents that the weakly supervised classifier finds less than TOXIC likely to be toxic; rows without a text or an id
+    are scored like any other; equal texts get equal scores, so ties and repeated rows go or stay together."""
+    model = toxicity.fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"), crc_bucket(F.col("doc_id"), 4) != 2)
+    return aside(docs, lambda d: toxicity.score(d, model).filter(F.col("score") < TOXIC))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents less the lines that a smaller doc_id has."""
-    return recounted(lines.dedup_lines(docs), docs.columns)
+    """Documents less the lines that a smaller doc_id has. A document that loses all its lines stays, empty; a null text
+    becomes empty; rows without a doc_id lose nothing."""
+    return recounted(aside(docs, lines.dedup_lines))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,37 +52,48 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     documents of their own. Documents without words link with none and stay, as do rows without a doc_id.
     """
     columns = docs.columns
-    repeated = cut(docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id"))
-    if repeated.isEmpty():
-        named = docs.withColumn("_own", F.col("doc_id").cast("bigint"))
-    else:
-        named = numbered_texts(docs, repeated)
-    classes = jaccard.similar(named.select(F.col("_own").alias("doc_id"), "text"))
-    others = cut(classes.filter("component_id IS NOT NULL AND component_id <> doc_id").select(F.col("doc_id").alias("_own")).distinct())
-    return jaccard.joined(named, others, ["_own"], "left_anti").select(*columns)
-
-
-def numbered_texts(docs: DataFrame, repeated: DataFrame) -> DataFrame:
-    """docs less repeated rows of a (doc_id, text), with ``_own``: the number of the doc_id and text in order; null without a doc_id."""
+    with Scratch(spark) as scratch:
+        repeated = scratch.cut(docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id"))
+        if repeated.isEmpty():
+            named = docs.select(F.struct(*columns).alias("row"), F.col("doc_id").cast("bigint").alias("own"), F.col("text"))
+        else:
+            named = scratch.keep(scratch.cut(one_a_text(docs, repeated, scratch)))
+        classes = jaccard.similar(named.select(F.col("own").alias("doc_id"), "text"))
+        others = scratch.keep(scratch.cut(classes.filter("component_id IS NOT NULL AND component_id <> doc_id").select(F.col("doc_id").alias("own")).distinct()))
+        return named.join(others, "own", "left_anti").select("row.*")
+
+
+def one_a_text(docs: DataFrame, repeated: DataFrame, scratch: Scratch) -> DataFrame:
+    """(row, own, text): docs less repeated rows of a doc_id and text. own numbers the documents by doc_id, then by a hash of the
+    text; it is null without a doc_id."""
     columns = docs.columns
-    row = F.struct(F.xxhash64(*columns).alias("_least"), *columns)
-    several = jaccard.joined(docs, repeated, ["doc_id"], "left_semi").groupBy("doc_id", F.xxhash64("text").alias("_text")).agg(F.min(row).alias("_row"))
-    single = jaccard.joined(docs.filter("doc_id IS NOT NULL"), repeated, ["doc_id"], "left_anti").withColumn("_text", F.xxhash64("text"))
-    rows = cut(single.select(*columns, "_text").unionByName(several.select(*[F.col(f"_row.{c}").alias(c) for c in columns], "_text")))
-    # distinct already, so that the numbers join back to one row each
-    owned = cut(numbered(rows.select("doc_id", "_text"), ["doc_id", "_text"], 0).withColumnRenamed("id", "_own"))
-    nameless = docs.filter("doc_id IS NULL").withColumn("_own", F.lit(None).cast("bigint"))
-    return cut(rows.join(owned, ["doc_id", "_text"]).select(*columns, "_own").unionByName(nameless))
+    packed = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"), F.struct(*columns).alias("row"))
+    least = F.min(F.struct(F.xxhash64("row").alias("by"), "row", "text")).alias("m")
+    several = packed.join(repeated, "doc_id", "left_semi").groupBy("doc_id", "hash").agg(least).select("doc_id", "hash", "m.row", "m.text")
+    single = packed.filter("doc_id IS NOT NULL").join(repeated, "doc_id", "left_anti").select("doc_id", "hash", "row", "text")
+    rows = scratch.cut(single.unionByName(several))
+    # ranges of doc_id hold about as many rows each: numbers within one, and the rows before it
+    ranged = scratch.cut(rows.select("doc_id", "hash").repartitionByRange("doc_id", "hash").withColumn("part", F.spark_partition_id()))
+    sizes = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))  # a row for each partition
+    number = F.row_number().over(Window.partitionBy("part").orderBy("doc_id", "hash"))
+    owned = ranged.join(before, "part").select("doc_id", "hash", (F.col("before") + number).alias("own"))
+    nameless = packed.filter("doc_id IS NULL").select("row", F.lit(None).cast("bigint").alias("own"), "text")
+    return rows.join(owned, ["doc_id", "hash"]).select("row", "own", "text").unionByName(nameless)
 
 
 def remove_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents less the words under any benchmark phrase."""
-    marked = decontaminate.mark(docs, table(spark, sf_dir, "benchmark"))
-    return recounted(decontaminate.without_spans(marked.withColumn("text", F.coalesce("text", F.lit("")))), docs.columns)
+    """Documents less the words under any benchmark phrase; a null text becomes empty. Rows are judged one by one."""
+
+    def cleaned(d: DataFrame) -> DataFrame:
+        marked = decontaminate.mark(d, table(spark, sf_dir, "benchmark"))
+        return decontaminate.without_spans(marked.withColumn("text", F.coalesce("text", F.lit(""))))
+
+    return recounted(aside(docs, cleaned))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids, and the text that the ids decode to."""
+    """doc_id, n_tokens, ids, and the text that the ids decode to; a null or empty text has no ids. Repeated rows stay."""
     vocabulary = bpe.Vocabulary.load(vocabulary_path())
     encoded = bpe.with_ids(docs.select("doc_id", "text"), vocabulary, decoded=True)
     return encoded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids", "decoded")
@@ -89,9 +112,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         at = shared_path(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(at)
         docs = spark.read.parquet(at)
+        if last:
+            remove(spark, last)
+        last = at
     return docs
