@@ -53,10 +53,11 @@ class Scratch:
     def __exit__(self, *_: object) -> None:
         self.free(*[df for df, _ in self.paths.values()])
 
-    def cut(self, df: DataFrame) -> DataFrame:
-        """df, written once as a compressed table, so that no later step computes it again or needs its lineage."""
+    def cut(self, df: DataFrame, by: list[str] | None = None) -> DataFrame:
+        """df, written once as a compressed table, so that no later step computes it again or needs its lineage. by: columns, the
+        last ones of df, whose values have a folder each."""
         path = shared_path(self.spark, "cut")
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").partitionBy(*by or []).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = out, path
         return out

@@ -3,11 +3,11 @@
 A line's key is the line without white space at its ends, A-Z lower-cased. A key of at least ``min_chars`` code points
 belongs to the smallest document that holds it; every other document loses its lines with that key.
 
-``LineIndex`` holds the keys that earlier batches own as runs: tables bucketed and sorted by hash. A new batch is
-merge-joined with the runs; its keys that no run has become a run of their own at level 0, and ``fanout`` runs of a
-level are merged into one of the next, so a key is rewritten once a level and a batch meets few runs. Batches must come
-in order of doc_id for the smallest document to own a key. Only hashes are shuffled for this; each text moves once, to
-meet the numbers of its dropped lines.
+``LineIndex`` holds the keys that earlier batches own as runs: tables bucketed and sorted by hash, one file a bucket. A new
+batch is merge-joined with the runs in their stored order, without shuffling or sorting a run; its keys that no run has
+become a run of their own at level 0, and ``fanout`` runs of a level are merge-joined into one of the next, so a key is
+rewritten once a level and a batch meets few runs. Batches must come in order of doc_id for the smallest document to own a
+key. Only hashes are shuffled for this; each text moves once, to meet the numbers of its dropped lines.
 
 Two independent 64-bit hashes stand for a key: at 10^12 lines a clash of both is less likely than 10^-14.
 
@@ -18,12 +18,13 @@ other columns are carried along unless their names begin with ``_line_``.
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postline.llm.common import cut, shared_path
+from postline.llm.common import Scratch
 
 MIN_CHARS = 10
 BATCHES = 4
@@ -52,57 +53,73 @@ def line_hashes(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
 
 class LineIndex:
-    """The runs. ``add`` returns what a batch loses; ``close`` drops the tables."""
+    """The runs, while its ``with`` block lasts: ``add`` returns what a batch loses; at the end the tables are dropped.
 
-    def __init__(self, spark: SparkSession, fanout: int = FANOUT):
-        self.spark, self.fanout = spark, fanout
+    A run's table has its batch's keys: those that are fresh are the run, the others belong to an older one and are left
+    out when it is merged. Spark takes a bucketed table's rows as sorted only under ``ORDERED``, so that is set meanwhile.
+    """
+
+    ORDERED = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+
+    def __init__(self, spark: SparkSession, scratch: Scratch, fanout: int = FANOUT):
+        self.spark, self.scratch, self.fanout = spark, scratch, fanout
         self.levels: list[list[str]] = []
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    def write_run(self, rows: DataFrame) -> str:
+    def __enter__(self) -> LineIndex:
+        self.before = self.spark.conf.get(self.ORDERED)
+        self.spark.conf.set(self.ORDERED, "true")
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.spark.conf.set(self.ORDERED, self.before)
+        for name in (run for level in self.levels for run in level):
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self.levels = []
+
+    def write_run(self, rows: DataFrame, level: int) -> str:
+        """rows come partitioned by KEY into as many partitions as there are buckets."""
         name = f"line_run_{uuid.uuid4().hex}"
-        rows.repartition(self.buckets, *KEY).write.bucketBy(self.buckets, *KEY).sortBy(*KEY).saveAsTable(name)
+        while level >= len(self.levels):
+            self.levels.append([])
+        self.levels[level].append(name)
+        rows.write.bucketBy(self.buckets, *KEY).sortBy(*KEY).saveAsTable(name)
         return name
 
-    def push(self, name: str, level: int = 0) -> None:
-        if level == len(self.levels):
-            self.levels.append([])
-        runs = self.levels[level]
-        runs.append(name)
-        if len(runs) == self.fanout:
-            merged = self.spark.table(runs[0])
-            for other in runs[1:]:
-                merged = merged.unionByName(self.spark.table(other))
-            into = self.write_run(merged)
-            for old in runs:
-                self.spark.sql(f"DROP TABLE {old}")
-            self.levels[level] = []
-            self.push(into, level + 1)
+    def run(self, name: str) -> DataFrame:
+        return self.spark.table(name).filter("fresh").select(*KEY, F.col("owner").alias(f"in_{name}")).hint("merge")
+
+    def compact(self, level: int = 0) -> None:
+        while level < len(self.levels) and len(self.levels[level]) >= self.fanout:
+            old, merged = list(self.levels[level]), None
+            for name in old:  # no key is in two runs, so a merge join of all rows lays them in order
+                merged = self.run(name) if merged is None else merged.join(self.run(name), KEY, "full_outer")
+            owner = F.coalesce(*[f"in_{name}" for name in old]).alias("owner")
+            self.write_run(merged.select(*KEY, owner, F.lit(True).alias("fresh"), *[F.lit(0).cast("bigint").alias(c) for c in ("n", "last")]), level + 1)
+            for name in old:
+                self.spark.sql(f"DROP TABLE {name}")
+                self.levels[level].remove(name)
+            level += 1
 
     def add(self, hashes: DataFrame) -> DataFrame:
         """The rows of ``hashes`` (of ``line_hashes``) that are dropped; their other keys join the index."""
         keys = hashes.groupBy(*KEY).agg(F.min(ROW[0]).alias("first"), F.max(ROW[0]).alias("last"), F.count(F.lit(1)).alias("n"))
-        found = []
-        for name in (run for level in self.levels for run in level):
-            found.append(f"in_{name}")
-            keys = keys.join(self.spark.table(name).select(*KEY, F.col("owner").alias(found[-1])), KEY, "left")
-        seen = F.coalesce(*found) if found else F.lit(None).cast("bigint")
-        keys = cut(keys.select(*KEY, "n", "last", seen.alias("seen"), F.coalesce(seen, F.col("first")).alias("owner")))
-        self.push(self.write_run(keys.filter("seen IS NULL").select(*KEY, "owner")))
-        shared = keys.filter("last > owner").select(*KEY, "owner", "n")
-        total = keys.agg(F.sum("n")).first()[0] or 0
+        runs = [run for level in self.levels for run in level]
+        for name in runs:
+            keys = keys.join(self.run(name), KEY, "left")
+        seen = F.coalesce(*[f"in_{name}" for name in runs]) if runs else F.lit(None).cast("bigint")
+        own = self.write_run(keys.select(*KEY, F.coalesce(seen, "first").alias("owner"), seen.isNull().alias("fresh"), "n", "last"), 0)
+        rows = self.spark.table(own)
+        total = rows.agg(F.sum("n")).first()[0] or 0
+        shared = rows.filter("last > owner").select(*KEY, "owner", "n")
         hot = F.col("n") >= F.lit(max(2.0, total * HOT))
         is_hot = shared.filter(hot).select(*KEY, F.col("owner").alias("hot_owner"))
         marked = hashes.join(F.broadcast(is_hot), KEY, "left")
-        few = marked.filter("hot_owner IS NULL").join(shared.filter(~hot), KEY).filter(F.col(ROW[0]) > F.col("owner"))
+        few = marked.filter("hot_owner IS NULL").join(shared.filter(~hot).hint("merge"), KEY).filter(F.col(ROW[0]) > F.col("owner"))
         many = marked.filter(F.col(ROW[0]) > F.col("hot_owner"))
-        return cut(few.select(*ROW, "_line_no").unionByName(many.select(*ROW, "_line_no")))
-
-    def close(self) -> None:
-        for level in self.levels:
-            for name in level:
-                self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-        self.levels = []
+        lost = self.scratch.cut(few.select(*ROW, "_line_no").unionByName(many.select(*ROW, "_line_no")))
+        self.compact()
+        return lost
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
@@ -116,17 +133,12 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, batches: int = BATC
     batch = F.lit(0)
     for bound in cuts or []:
         batch = batch + (F.col(ROW[0]) > bound).cast("int")
-    at = shared_path(spark, "line-hashes")
-    line_hashes(docs, min_chars).withColumn("batch", batch).write.partitionBy("batch").parquet(at)
-    schema = f"{KEY[0]} bigint, {KEY[1]} bigint, {ROW[0]} bigint, {ROW[1]} bigint, _line_no int, batch int"
-    hashes = spark.read.schema(schema).parquet(at)
-    index = LineIndex(spark, fanout)
-    dropped = None
-    for k in range(len(cuts or []) + 1):
-        lost = index.add(hashes.filter(F.col("batch") == k).drop("batch"))
-        dropped = lost if dropped is None else dropped.unionByName(lost)
-    index.close()
-    lost = dropped.groupBy(*ROW).agg(F.collect_set("_line_no").alias("_line_lost"))
+    with Scratch(spark) as scratch:
+        hashes = scratch.cut(line_hashes(docs, min_chars).withColumn("batch", batch), by=["batch"])
+        with LineIndex(spark, scratch, fanout) as index:
+            dropped = [index.add(hashes.filter(F.col("batch") == k).drop("batch")) for k in range(len(cuts or []) + 1)]
+        lost = functools.reduce(DataFrame.unionByName, dropped).groupBy(*ROW).agg(F.collect_set("_line_no").alias("_line_lost"))
+        lost = scratch.keep(scratch.cut(lost))
     keyed = docs.withColumns({ROW[0]: F.col("doc_id"), ROW[1]: F.xxhash64("text")})
     lines = F.split("text", "\n", -1)
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_line_all") - 1), "_line_lost"), lambda i: F.get("_line_all", i))

@@ -154,6 +154,23 @@ def test_line_dedup_against_brute_force(spark, none):
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("line_run")]
 
 
+def test_line_runs_are_joined_in_their_order(spark, monkeypatch):
+    """Neither a batch's join nor a compaction shuffles or sorts a run; tables go even if a batch fails."""
+    plans, write = [], lines.LineIndex.write_run
+    monkeypatch.setattr(lines.LineIndex, "write_run", lambda self, rows, level: (plans.append((level, rows._jdf.queryExecution().executedPlan().toString())), write(self, rows, level))[1])
+    docs = spark.createDataFrame([(i, f"a line of its own {i}\nand a line that all have") for i in range(40)], "doc_id bigint, text string")
+    assert lines.dedup_lines(docs).agg(F.sum("n_dropped")).first()[0] == 39
+    assert [level for level, _ in plans] == [0, 0, 1, 0, 0, 1, 2]
+    for level, plan in plans:
+        assert plan.count("Exchange ") == (level == 0) and plan.count("Sort [") <= (level == 0) and not re.search("Python|Arrow", plan)
+        assert "SortMergeJoin" in plan or plan.count("Scan parquet spark_catalog") == 0
+    monkeypatch.setattr(lines.LineIndex, "compact", lambda self: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        lines.dedup_lines(docs)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("line_run")]
+    assert spark.conf.get(lines.LineIndex.ORDERED) == "false"
+
+
 @pytest.mark.parametrize("small", [False, True])
 def test_jaccard_against_brute_force(spark, none, monkeypatch, small):
     """small: bounds so low that buckets, groups and queries are split, leaders run out, and half of the tokens count as frequent."""
