@@ -1,32 +1,41 @@
 """Personal data by candidate gradient boosting.
 
 Base spans are exact pattern matches per kind. Beside them, high-recall generators propose overlapping candidate spans of
-each kind; boosted trees score each candidate from its format and context, a calibrated threshold per kind selects, and
-what a base span of any kind or a better candidate already covers is dropped. Base spans always stay.
+each kind, and of secrets (keys and tokens), which have no base pattern; boosted trees score each candidate from its format
+and context, a calibrated threshold per kind selects, and what a base span of any kind or a better candidate already covers
+is dropped. Base spans always stay.
 
 No table holds labelled personal data, so the trees are trained on invented examples: ``examples`` writes formats and look-alikes
-(versions, dates, order numbers, sums) into contexts from a fixed seed. The model is small, of fixed size, and is broadcast.
-
-Defined results: a null or empty text has no spans; matches are found in whole texts of any length in linear time; other
-columns are carried along, but for ``spans``, which is replaced; repeated rows get equal spans.
+(versions, dates, order numbers, sums, hashes of commits) from a fixed seed into words of the documents themselves, of which
+``vocabulary`` brings a bounded sample. Thresholds are calibrated on examples of another seed. The model is small, of fixed
+size, and is broadcast. Generators go by what the formats allow: 64 characters before an at-sign and 63 in a part of a host
+name; a longer one is left to the base pattern, which has no bound.
+
+Defined results: a null or empty text has no spans; an empty table gives an empty table; matches are found in whole texts of
+any length in time n log n; of candidates with equal scores the first by text, kind and place goes before; other columns are
+carried along, but for ``spans``, which is replaced; repeated rows get equal spans.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, insort
 from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from postline.llm import samples
 
-#: The kinds, in the order of results.
-KINDS = ("email", "ip", "card", "phone")
+#: The kinds, in the order of results. The last has no base pattern.
+BASE_KINDS = ("email", "ip", "card", "phone")
+KINDS = (*BASE_KINDS, "secret")
+#: Documents whose words the invented examples are written into, and words taken at most.
+SAMPLE, WORDS = 200, 20_000
 PRECISION = 0.98
 SPAN = T.StructType(
     [
@@ -101,6 +110,7 @@ DOTTED = re.compile(r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9.])")
 COLONS = re.compile(r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){3,7}:?[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])")
 LONG_NUMBER = re.compile(r"(?<![0-9])[0-9]{3,6}(?:[ .-]?[0-9]{2,6}){2,5}(?![0-9])")
 CALL_NUMBER = re.compile(r"(?<![0-9A-Za-z])(?:00|\()?[0-9]{1,4}\)?(?:[ ./-]?\(?[0-9]{2,5}\)?){2,5}(?![0-9A-Za-z])")
+SECRET = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{16,}")
 GENERATORS = ((0, SPELLED), (1, DOTTED), (1, COLONS), (2, LONG_NUMBER), (3, CALL_NUMBER))
 #: Words near a span that speak for a kind, or for none.
 CUES = (
@@ -108,6 +118,8 @@ CUES = (
     re.compile(r"\b(?:ip|host|server|client|address|login|from|peer|gateway|addr)\b", re.I),
     re.compile(r"\b(?:card|visa|mastercard|amex|credit|debit|karte|carte|tarjeta|cc)\b", re.I),
     re.compile(r"\b(?:phone|tel|call|mobile|cell|fax|whatsapp|telefon|téléphone|teléfono|handy|appelez|llame)", re.I),
+    re.compile(r"\b(?:token|secret|key|apikey|api|password|passwd|pwd|auth|bearer|credential|schlüssel|clé|clave|contraseña)", re.I),
+    re.compile(r"\b(?:commit|sha|sha1|sha256|md5|checksum|digest|hash|etag|uuid|revision|file|url|path)\b", re.I),
     re.compile(r"\b(?:version|v|release|order|invoice|isbn|id|page|section|chapter|ref|sum|total|serial|part|build|no|year|bestell|factura)\b", re.I),
 )
 NEAR = 28
@@ -120,6 +132,7 @@ def candidates(text: str) -> list[tuple[int, int, int]]:
         for m in re.finditer(r"@|\(at\)|\[at\]|\{at\}| at (?=[A-Za-z0-9-]{1,63} ?(?:dot|\(dot|\[dot|\{dot|\.))", text):
             lo, hi = max(0, m.start() - 66), min(len(text), m.end() + 160)
             out += [(0, x.start(), x.end()) for x in SPELLED.finditer(text, lo, hi) if x.start() <= m.start() < x.end()]
+    out += [(4, m.start(), m.end()) for m in SECRET.finditer(text)]
     last = -1
     for m in DIGIT.finditer(text):
         if m.start() < last:
@@ -144,6 +157,8 @@ def describe(text: str, kind: int, start: int, end: int) -> list[float]:
     sizes = [len(g) for g in groups]
     before, after = text[max(0, start - NEAR) : start], text[end : end + NEAR]
     near = f"{before} \n {after}"
+    letters = len(s) - len(digits)
+    turns = sum(a.isdigit() != b.isdigit() for a, b in zip(s, s[1:], strict=False)) if kind == 4 else 0
     return [
         *(float(kind == k) for k in range(len(KINDS))),
         len(s),
@@ -164,6 +179,11 @@ def describe(text: str, kind: int, start: int, end: int) -> list[float]:
         s.count(" "),
         s.count(":"),
         s.count("/"),
+        turns / len(s),
+        len(set(s)) if kind == 4 else 0,
+        float(kind == 4 and all(c in "0123456789abcdef" for c in s.lower())),
+        letters / len(s),
+        float(before.rstrip()[-1:] in ("=", ":", '"', "'")),
         float(digits[:1] in ("3", "4", "5", "6")),
         float(digits[:1] == "0"),
         float(s[:1] == "(" or s[:2] == "00"),
@@ -234,12 +254,15 @@ def boost(x: np.ndarray, y: np.ndarray, rounds: int = 60, rate: float = 0.25, ri
     return Trees(np.array(features), np.array(thresholds), np.array(leaves), start)
 
 
-def examples(seed: int = 11, each: int = 60) -> list[tuple[str, int, int, int, int]]:
-    """(text, kind, start, end, y): invented spans in invented contexts."""
+def examples(seed: int = 11, each: int = 60, words: tuple[str, ...] = ()) -> list[tuple[str, int, int, int, int]]:
+    """(text, kind, start, end, y): invented spans among these words, or invented ones."""
     rng = np.random.default_rng(seed)
     pick = lambda *xs: str(rng.choice(xs))
     num = lambda n: "".join(str(rng.integers(10)) for _ in range(n))
-    word = lambda: "".join(pick(*"abcdefghilmnoprstu") for _ in range(int(rng.integers(3, 9))))
+    made = lambda: "".join(pick(*"abcdefghilmnoprstu") for _ in range(int(rng.integers(3, 9))))
+    word = lambda: words[int(rng.integers(len(words)))] if words else made()
+    coded = lambda n, of: "".join(of[int(rng.integers(len(of)))] for _ in range(n))
+    hexa, wide = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
 
     def card(valid: bool) -> str:
         body = pick("4", "51", "55", "37", "6011") + num(14)
@@ -250,9 +273,9 @@ def examples(seed: int = 11, each: int = 60) -> list[tuple[str, int, int, int, i
 
     octet = lambda: str(int(rng.integers(1, 256)))
     makers = [
-        (0, 1, lambda: f"{word()}{pick(' at ', '(at)', ' [at] ', ' (at) ')}{word()}{pick(' dot ', '(dot)', ' [dot] ')}{pick('com', 'org', 'net', 'de')}", ("email", "write to", "contact me:", "")),
-        (0, 0, lambda: f"{word()} at {word()}. {word().title()}", ("we met", "", "look")),
-        (0, 0, lambda: f"{word()}@{word()}", ("", "tag", "see")),
+        (0, 1, lambda: f"{made()}{pick(' at ', '(at)', ' [at] ', ' (at) ')}{made()}{pick(' dot ', '(dot)', ' [dot] ')}{pick('com', 'org', 'net', 'de')}", ("email", "write to", "contact me:", "")),
+        (0, 0, lambda: f"{made()} at {made()}. {made().title()}", ("we met", "", "look")),
+        (0, 0, lambda: f"{made()}@{made()}", ("", "tag", "see")),
         (1, 1, lambda: ".".join(octet() for _ in range(4)), ("from host", "ip", "client", "")),
         (1, 1, lambda: ":".join(f"{int(rng.integers(1 << 16)):x}" for _ in range(8)), ("from host", "ip", "address", "")),
         (1, 0, lambda: ":".join(num(2) for _ in range(4)), ("time", "", "at")),
@@ -274,11 +297,19 @@ def examples(seed: int = 11, each: int = 60) -> list[tuple[str, int, int, int, i
         (3, 0, lambda: num(16), ("", "")),
         (2, 0, lambda: num(16), ("", "")),
         (3, 0, lambda: ".".join(octet() for _ in range(4)), ("from host", "ip", "")),
+        (4, 1, lambda: coded(int(pick(32, 40, 48, 64)), hexa), ('token = "', "secret: ", "api_key=", "password ", 'key: "')),
+        (4, 1, lambda: pick("sk-", "ghp_", "AKIA", "xoxb-", "") + coded(int(rng.integers(20, 44)), wide), ('token = "', "secret: ", "Bearer ", "api key ", "")),
+        (4, 0, lambda: coded(int(pick(32, 40, 64)), hexa), ("commit ", "sha256 ", "md5: ", "checksum ", "digest ")),
+        (4, 0, lambda: "-".join(coded(n, hexa) for n in (8, 4, 4, 4, 12)), ("id ", "uuid ", "", "see ")),
+        (4, 0, lambda: "/".join(made() for _ in range(4)) + pick("1", "/2024", "/v2"), ("", "path ", "see ", "file ")),
+        (4, 0, lambda: pick("-", "_").join([made(), made(), made(), num(2)]), ("", "see ", "page ")),
+        (4, 0, lambda: "".join(made() for _ in range(4)) + num(1), ("", "the ", "and ")),
     ]
     out = []
     for kind, y, make, cues in makers:
         for _ in range(each):
-            s, head = make(), f"{word()} {word()} {pick(*cues)} ".replace("  ", " ")
+            s, cue = make(), pick(*cues)
+            head = f"{word()} {word()} {cue}{'' if cue[-1:] in ' ="' else ' '}".replace("  ", " ")
             out.append((f"{head}{s}{pick(' ', '. ', ', ')}{word()} {word()}", kind, len(head), len(head) + len(s), y))
     return out
 
@@ -290,9 +321,9 @@ class Model:
 
 
 @cache
-def fit() -> Model:
+def fit(words: tuple[str, ...] = ()) -> Model:
     """Trees, sigmoid and thresholds: the least score of each kind with a precision of PRECISION on examples of another seed."""
-    known, unseen = examples(11), examples(12)
+    known, unseen = examples(11, words=words), examples(12, words=words)
     x = np.array([describe(t, k, a, b) for t, k, a, b, _ in known])
     trees = boost(x, np.array([float(e[4]) for e in known]))
     x2, y2, kinds = np.array([describe(t, k, a, b) for t, k, a, b, _ in unseen]), np.array([e[4] for e in unseen]), np.array([e[1] for e in unseen])
@@ -306,6 +337,13 @@ def fit() -> Model:
     return Model(trees, thresholds)
 
 
+def vocabulary(docs: DataFrame) -> tuple[str, ...]:
+    """Words of at most SAMPLE documents, by a hash of the text; those with a digit or an at-sign are left out."""
+    some = docs.filter("text <> ''").select("text").orderBy(F.xxhash64("text"), "text").limit(SAMPLE)
+    found = some.select(F.explode(F.split("text", r"\s+")).alias("w")).filter(~F.col("w").rlike("[0-9@]") & (F.length("w") < 30) & (F.col("w") != ""))
+    return tuple(r.w for r in found.distinct().orderBy(F.xxhash64("w"), "w").limit(WORDS).collect())
+
+
 def covers(taken: list[tuple[int, int]], start: int, end: int) -> bool:
     """Whether a span overlaps one of these sorted, disjoint ones."""
     at = bisect_left(taken, (end,))
@@ -335,11 +373,11 @@ def find(texts: list[str], model: Model) -> list[list[dict]]:
     extra: list[list[tuple[int, int, int, float]]] = [[] for _ in texts]
     if rows:
         p = model.trees.scores(np.array(x))
-        used: dict[int, list[tuple[int, int]]] = {}
+        used: list[list[tuple[int, int]]] = [[] for _ in texts]
         for k in np.lexsort((np.arange(len(p)), -p)):
             i, kind, a, b = rows[k]
-            if p[k] >= model.thresholds[kind] and not covers(used.get(i, []), a, b):
-                used[i] = merged([*used.get(i, []), (a, b)])
+            if p[k] >= model.thresholds[kind] and not covers(used[i], a, b):
+                insort(used[i], (a, b))
                 extra[i].append((kind, a, b, float(p[k])))
     out = []
     for own, more in zip(base, extra, strict=True):
@@ -350,7 +388,7 @@ def find(texts: list[str], model: Model) -> list[list[dict]]:
 
 def with_spans(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """docs with ``spans``: kind, start and end (code points), base, score; by kind, then start."""
-    held = docs.sparkSession.sparkContext.broadcast(model or fit())
+    held = docs.sparkSession.sparkContext.broadcast(model or fit(vocabulary(docs)))
     arrow = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_()), ("score", pa.float64())]))
 
     def make(text: pa.Array) -> list[pa.Array]:

@@ -106,9 +106,10 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("spans", lambda s: s["base"])
     return found.select(
         "doc_id",
-        *[F.size(F.filter(base, is_kind(k))).cast("bigint").alias(f"n_{k}") for k in pii.KINDS],
+        *[F.size(F.filter(base, is_kind(k))).cast("bigint").alias(f"n_{k}") for k in pii.BASE_KINDS],
         F.sha2(shown(base), 256).alias("base_sha256"),
         shown("spans").alias("spans"),
+        F.size("spans").cast("bigint").alias("n_spans"),
     )
 
 

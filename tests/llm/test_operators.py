@@ -306,6 +306,37 @@ def test_pii_base_and_candidates(spark, none):
     assert pii.with_spans(none).count() == 0
 
 
+def test_pii_base_spans_against_plain_patterns():
+    rng = random.Random(12)
+    parts = ["0", "1", "25", "255", "256", "4242 4242 4242 4242", "4242-4242-4242-4241", "10.0.0.1", "1.2.3.4.5", "+1 (555) 123-4567", "+", ".", "-", " ", "  ", "(", ")", "a", "é", "@", "@x", "x.y@", "a@b.c", "_%", "@@", "..", "\n", "-.", "7" * 13]
+    kinds = {
+        "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+        "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(p) <= 255 for p in m.split("."))),
+        "card": (r"[0-9]([\x20-]?[0-9])+", lambda m: 13 <= len(re.sub("[^0-9]", "", m)) <= 19 and luhn(re.sub("[^0-9]", "", m))),
+        "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 9 <= len(re.sub("[^0-9]", "", m)) <= 15),
+    }
+
+    def luhn(digits):
+        doubled = [int(d) * 2 if i % 2 else int(d) for i, d in enumerate(reversed(digits))]
+        return sum(sum(map(int, str(d))) for d in doubled) % 10 == 0
+
+    found = collections.Counter()
+    for _ in range(3_000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(1, 14)))
+        want = [(k, m.start(), m.end()) for k, (kind, (pattern, ok)) in enumerate(kinds.items()) for m in re.finditer(pattern, text) if ok(m[0])]
+        assert pii.base_spans(text) == sorted(want), text
+        found.update(k for k, *_ in want)
+    assert min(found[k] for k in range(4)) > 50
+
+
+def test_pii_many_spans_and_secrets():
+    text = "key: 9f8a7b6c5d4e3f2a1b0c9d8e7f6a5b4c, " * 3_000 + "commit 9f8a7b6c5d4e3f2a1b0c9d8e7f6a5b4c and call (555) 123-4567 now " * 3_000
+    (spans,) = pii.find([text], pii.fit())
+    kinds = collections.Counter(s["kind"] for s in spans)
+    assert kinds["secret"] == 3_000 and kinds["phone"] == 3_000
+    assert all(a["end"] <= b["start"] for a, b in zip(sorted(spans, key=lambda s: s["start"]), sorted(spans, key=lambda s: s["start"])[1:]))
+
+
 def test_pii_held_out_examples():
     import numpy as np
 
