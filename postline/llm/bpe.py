@@ -15,6 +15,7 @@ Defined results: a null or empty text has no ids and decodes to the empty string
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from dataclasses import dataclass, field
 from itertools import chain
@@ -33,7 +34,23 @@ REMEMBERED = 300_000
 TEXTS = 256
 #: Unicode's white space, and the pattern of words of this kind of vocabulary.
 SPACE = "\t-\r \x85\xa0  -     　"
-WORD = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+"
+LETTER, DIGIT = r"\p{L}", r"\p{N}"
+#: Letters and digits that came after Unicode 16, which the pattern engine here knows and the one of the library doesn't: marks to it.
+LATER_LETTERS = (
+    "558 58b-58c 88f c5c cdc 208f 209d-209f a7ce-a7cf a7d2 a7d4 a7dd a7e2 a7f1 ab6c-ab6d 107bb-107bf 10940-10959 "
+    "10ec5-10ec7 10ed9-10eee 11b0a 11db0-11ddb 11df1 16ea0-16eb8 16ebb-16ed3 16ff2-16ff3 187f8-187ff 18cd6-18cda "
+    "18d09-18d20 18d80-18df2 18e00-19191 191a0-191d2 1b123-1b128 1b168 1d6a6 1df1f-1df24 1df2b-1df81 1df90-1df96 "
+    "1dfcd-1dfff 1e6c0-1e6de 1e6e0-1e6e2 1e6e4-1e6e5 1e6e7-1e6ed 1e6f0-1e6f4 1e6fe-1e6ff 2b73a-2b73f 2b81e 2cea2-2cead "
+    "323b0-33479 3d000-3fc3f"
+)
+LATER_DIGITS = (
+    "11de0-11de9 1246f 12475-1247f 12550-12686 16ff4-16ff6"
+)
+#: Capitals that came with Unicode 16 and 17, which lower-casing knows and Python's tables don't: (first, count, first small one).
+LATER_CAPITALS = (
+    (0x1C89, 1, 0x1C8A), (0xA7CB, 1, 0x264), (0xA7CC, 1, 0xA7CD), (0xA7CE, 1, 0xA7CF), (0xA7D2, 1, 0xA7D3), (0xA7D4, 1, 0xA7D5),
+    (0xA7DA, 1, 0xA7DB), (0xA7DC, 1, 0x19B), (0x10D50, 22, 0x10D70), (0x16EA0, 25, 0x16EBB),
+)
 END = "</w>"
 NONE = np.iinfo(np.int64).max
 
@@ -163,12 +180,32 @@ class Vocabulary:
         return " ".join(map(self.tokens.__getitem__, ids))
 
 
-_word = regex.compile(WORD)
+def characters(ranges: str) -> str:
+    """The inside of a character class, from ranges of code points in hexadecimal."""
+    ends = [r.split("-") for r in ranges.split()]
+    return "".join(rf"\U{int(e[0], 16):08x}-\U{int(e[-1], 16):08x}" for e in ends)
+
+
+def word_pattern(letter: str = LETTER, digit: str = DIGIT, mark: str = "") -> regex.Pattern:
+    return regex.compile(rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d|{letter}+|{digit}|(?:[^{SPACE}{LETTER}{DIGIT}]{mark})+" if mark else rf"'s|'t|'re|'ve|'m|'ll|'d|{letter}+|{digit}|[^{SPACE}{letter}{digit}]+")
+
+
+_letters, _digits = characters(LATER_LETTERS), characters(LATER_DIGITS)
+_later = re.compile(f"[{_letters}{_digits}{characters(' '.join(f'{first:x}-{first + count - 1:x}' for first, count, _ in LATER_CAPITALS))}]")
+_word = word_pattern()
+_word_with_later = word_pattern(f"[{LETTER}--[{_letters}]]", f"[{DIGIT}--[{_digits}]]", f"|[{_letters}{_digits}]")
+_small = {first + k: small + k for first, count, small in LATER_CAPITALS for k in range(count)}
 
 
 def words_of(text: str) -> list[str]:
+    """The words of a text, in lower case; letters and digits are those of Unicode 16, in texts that have later ones too."""
+    if text.isascii():
+        return _word.findall(text.lower())
     # character by character, so a final sigma is lower-cased like any other
-    return _word.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
+    text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+    if _later.search(text):
+        return _word_with_later.findall(text.translate(_small).lower())
+    return _word.findall(text.lower())
 
 
 def with_ids(docs: DataFrame, vocabulary: Vocabulary, decoded: bool = False) -> DataFrame:

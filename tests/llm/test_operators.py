@@ -385,6 +385,9 @@ def test_bpe_equals_the_library(spark, rows, docs, none):
     public = pytest.importorskip("public_tokenizers")
     library = pytest.importorskip("tokenizers").Tokenizer.from_file(public.path("word_bpe_49k.json"))
     more = ["don't I'LL 'S", "a<|endoftext|>b <|startoftext|>C", "a" * 60 + " hahahaha", "ΑΣ ΣΑΣ İstanbul ﬁ", "日本語 123 ½", "🙂👍🏽 foo_bar... \x1c\x85"]
+    # each character that has a later or an odd place in Unicode, by itself, in a word, beside marks and beside digits
+    code_points = [c for c in range(0x20, 0x20000) if not 0xD800 <= c < 0xE000]
+    more += [" ".join(x.replace("?", chr(c)) for c in code_points[k : k + 4_000]) for x in ("?", "a?a", "!?!", "1?1") for k in range(0, len(code_points), 4_000)]
     df = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(900 + i, t) for i, t in enumerate(more)], "doc_id bigint, text string"))
     vocabulary = bpe.Vocabulary.load(public.path("word_bpe_49k.json"))
     both = bpe.with_ids(df.withColumn("ids", F.lit("mine")), vocabulary, decoded=True)
