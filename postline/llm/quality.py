@@ -6,8 +6,10 @@ the classes, and a linear hinge-loss model is fitted by dual coordinate descent;
 turns margins into probabilities.
 
 The model is fitted on at most ``SAMPLE`` labelled documents (a documented bound); every document is scored, by its whole
-text. Defined results: a null or empty text has no features and gets the score of the intercept; other columns are
-carried along, but for ``score``, which is replaced; without labels every score is 0.5; repeated rows get equal scores.
+text of any length. Defined results: a null or empty text has no features and gets the score of the intercept; an empty
+table gives an empty table; other columns are carried along, but for ``score``, which is replaced; without labels every
+score is 0.5; of labels that repeat an id the smallest holds, of documents that do the one with the least hash is learnt
+from; repeated rows get equal scores.
 """
 
 from __future__ import annotations

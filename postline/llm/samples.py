@@ -19,8 +19,8 @@ ROWS = 1_000
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, bound: int) -> DataFrame:
     """(doc_id, text, y) of at most ``bound`` labelled documents that ``allowed`` (on doc_id) lets in, by the hash of doc_id.
 
-    A doc_id with several labels has the smallest; null ids and labels are left out. The ids are at most ``bound`` rows,
-    which is what is broadcast.
+    A doc_id with several labels has the smallest; null ids and labels are left out. Of rows that repeat a doc_id, the one
+    whose text has the least hash is taken, so the sample has no more rows than ids, however often one repeats.
     """
     ids = (
         labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & allowed)
@@ -29,7 +29,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Col
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(bound)
     )
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
+    return found.groupBy("doc_id", "y").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
 
 
 def with_column(docs: DataFrame, names: list[str], fields: list[T.StructField], make: Callable[[pa.Array], list[pa.Array]]) -> DataFrame:

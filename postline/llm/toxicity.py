@@ -1,17 +1,21 @@
 """Toxicity by weak supervision.
 
-``VOTERS`` lexicon and pattern voters look at the words of a text and vote "toxic" or abstain: fixed word lists, lists
-mined from labelled documents (words and word beginnings that stand far more often in toxic ones), and patterns over
-their hits. A generative label model estimates, from the counts of vote patterns over all documents, how often each voter
-fires in either class and which voters depend on one another (a spanning forest by conditional mutual information), by
-expectation maximisation. Its posteriors label a bounded sample, on which a linear classifier over hashed words, word
-beginnings and votes is trained. A sigmoid fitted on labels makes its margin a probability.
-
-Bounds: vote patterns are at most 2 ** VOTERS rows; lists are mined from, and the classifier is trained on, at most
-``SAMPLE`` labelled documents (documented). All else covers all documents, by their whole texts.
-
-Defined results: a null or empty text has no votes and gets the score of the intercept; other columns are carried along,
-but for ``score``, which is replaced; without labels only the fixed lists vote; repeated rows get equal scores.
+``VOTERS`` lexicon and pattern voters look at the words of a text and vote "toxic" or abstain: a voter for each of the fixed
+word lists, one for each of the ``FAMILIES`` strongest word families mined from labelled documents (words of one beginning
+that stand far more often in toxic ones), one for all weaker families, and one for each pattern over the hits. A generative
+label model estimates, from the counts of vote patterns over all documents, how often each voter fires in either class and
+which voters depend on one another (a spanning forest by conditional mutual information), by expectation maximisation.
+Its posteriors label a bounded sample, on which a linear classifier over hashed words, word beginnings and votes is
+trained. A sigmoid fitted on labels makes its margin a probability.
+
+Bounds: vote patterns are counted by grouping, and are at most 2 ** VOTERS rows; families are mined from, and the classifier
+is trained on, at most ``SAMPLE`` labelled documents (documented). All else covers all documents, by their whole texts, of
+any length.
+
+Defined results: a null or empty text has no votes and gets the score of the intercept; an empty table gives an empty
+table; other columns are carried along, but for ``score``, which is replaced; without labels only the fixed lists and the
+patterns vote; of labels that repeat an id the smallest holds, of documents that do the one with the least hash is learnt
+from; families of equal strength rank by their hash; repeated rows get equal scores.
 """
 
 from __future__ import annotations
@@ -31,7 +35,10 @@ SAMPLE = 8_000
 BUCKET_BITS = 18
 THRESHOLD = 0.3
 STEM_BYTES = 5
-MINED_GROUPS = 4
+#: Mined word families with a voter of their own.
+FAMILIES = 10
+#: Hits in reach of one another, in words.
+NEAR = 8
 MIN_DOCS, MIN_RATIO = 5, 20.0
 #: A pair of voters whose conditional mutual information is under this counts as independent.
 DEPENDENT = 0.002
@@ -44,8 +51,9 @@ LEXICA = (
     ("pathetic", "worthless", "disgusting", "useless", "hateful"),
     ("dummkopf", "arschloch", "abschaum", "idiotisch", "connard", "salaud", "imbécile", "ordure", "estúpido", "imbécil", "basura", "idiota"),
 )
-#: Lexica, mined words, mined stems, and three patterns.
-VOTERS = len(LEXICA) + 2 * MINED_GROUPS + 3
+#: Patterns: three hits, three kinds of hit, a hit in each hundred words, two hits close together.
+PATTERNS = 4
+VOTERS = len(LEXICA) + FAMILIES + 1 + PATTERNS
 
 
 def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[tokens.Words, np.ndarray, np.ndarray]:
@@ -83,19 +91,23 @@ class Lists:
         for _, data, bounds in tokens.slices(column):
             words, full, stem = word_hashes(data, bounds)
             n, docs = len(bounds) - 1, words.docs
-            v = np.zeros((n, VOTERS), bool)
             hits = np.zeros(n, np.int64)
             kinds = np.zeros((n, VOTERS), bool)
+            places = []
             for keys, voter, h in ((self.words, self.word_voter, full), (self.stems, self.stem_voter, stem)):
                 if len(keys) and len(h):
                     at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
                     found = np.flatnonzero(keys[at] == h)
                     kinds[docs[found], voter[at[found]]] = True
                     hits += np.bincount(docs[found], minlength=n)
-            v |= kinds
-            v[:, VOTERS - 3] = hits >= 3
-            v[:, VOTERS - 2] = kinds.sum(axis=1) >= 3
-            v[:, VOTERS - 1] = hits * 100 > np.diff(words.first)
+                    places.append(found)
+            v = kinds.copy()
+            v[:, VOTERS - 4] = hits >= 3
+            v[:, VOTERS - 3] = kinds.sum(axis=1) >= 3
+            v[:, VOTERS - 2] = hits * 100 > np.diff(words.first)
+            at = np.unique(np.concatenate(places)) if places else np.zeros(0, np.int64)
+            close = at[:-1][(np.diff(at) <= NEAR) & (docs[at[1:]] == docs[at[:-1]])]
+            v[docs[close], VOTERS - 1] = True
             yield v, words.first, full, stem
 
 
@@ -196,23 +208,36 @@ class Model:
         return samples.sigmoid(self.a * (np.concatenate(found) if found else np.zeros(0)) + self.b)
 
 
-def mine(rows: list[np.ndarray], y: np.ndarray, skip: set[int]) -> list[int]:
-    """Hashes that stand in at least MIN_DOCS toxic texts and MIN_RATIO times as often in them as in others."""
+def mine(rows: list[np.ndarray], y: np.ndarray, skip: set[int]) -> dict[int, int]:
+    """Hashes that stand in at least MIN_DOCS toxic texts and MIN_RATIO times as often in them as in others, with the number of
+    those texts."""
     if not len(y) or not y.any() or y.all():
-        return []
+        return {}
     values, inverse = np.unique(np.concatenate(rows), return_inverse=True)
     toxic = np.repeat(y == 1, [len(r) for r in rows])
     a, b = np.bincount(inverse[toxic], minlength=len(values)), np.bincount(inverse[~toxic], minlength=len(values))
     ratio = (a / y.sum()) / ((b + 0.5) / (len(y) - y.sum()))
-    return [int(v) for v in values[(a >= MIN_DOCS) & (ratio >= MIN_RATIO)] if int(v) not in skip and v]
+    return {int(values[i]): int(a[i]) for i in np.flatnonzero((a >= MIN_DOCS) & (ratio >= MIN_RATIO)) if values[i] and int(values[i]) not in skip}
 
 
 def fit_lists(words: list[np.ndarray], stems: list[np.ndarray], y: np.ndarray) -> Lists:
+    """words and stems: of each text, its distinct words and each one's stem (0 where it is no longer than that)."""
     fixed = {hash_of(w): k for k, lexicon in enumerate(LEXICA) for w in lexicon}
-    at = len(LEXICA)
-    mined = {h: at + h % MINED_GROUPS for h in mine(words, y, set(fixed))}
-    found = {h: at + MINED_GROUPS + h % MINED_GROUPS for h in mine(stems, y, {0})}
-    return Lists(*Lists.of(fixed | mined), *Lists.of(found))
+    mined = mine(words, y, set(fixed))
+    beginnings = mine([np.unique(r) for r in stems], y, set())
+    stem_of: dict[int, int] = {}
+    if mined:
+        keys = np.array(sorted(mined), np.uint64)
+        for w, t in zip(words, stems, strict=True):
+            known = np.isin(w, keys)
+            stem_of.update(zip(w[known].tolist(), t[known].tolist(), strict=True))
+    family = {w: stem_of[w] or w for w in mined}
+    strength = dict(beginnings)
+    for w, f in family.items():
+        strength[f] = max(strength.get(f, 0), mined[w])
+    ranked = sorted(strength, key=lambda f: (-strength[f], f))
+    voter = {f: len(LEXICA) + min(k, FAMILIES) for k, f in enumerate(ranked)}
+    return Lists(*Lists.of(fixed | {w: voter[f] for w, f in family.items()}), *Lists.of({f: voter[f] for f in beginnings}))
 
 
 def fit_classifier(model: Model, rows: list[np.ndarray], target: np.ndarray, y: np.ndarray, seed: int = 5) -> None:
@@ -248,8 +273,9 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, label: str = "toxic
             for _, data, bounds in tokens.slices(text_at(b)):
                 words, full, stem = word_hashes(data, bounds)
                 for i in range(len(bounds) - 1):
-                    for k, h in enumerate((full, stem)):
-                        out[k].append(np.unique(h[words.first[i] : words.first[i + 1]]).tobytes())
+                    own, at = np.unique(full[words.first[i] : words.first[i + 1]], return_index=True)
+                    out[0].append(own.tobytes())
+                    out[1].append(stem[words.first[i] + at].tobytes())
             yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(c)) for c in ("doc_id", "y")] + [pa.array(x, pa.binary()) for x in out], names=["doc_id", "y", "words", "stems"])
 
     got = rows.mapInArrow(hashes, "doc_id bigint, y int, words binary, stems binary").toArrow().sort_by("doc_id")
@@ -260,12 +286,11 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, label: str = "toxic
     held = spark.sparkContext.broadcast(lists)
 
     def patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << VOTERS, np.int64)
         for b in batches:
-            for v, *_ in held.value.votes(text_at(b)):
-                counts += np.bincount(v @ (1 << np.arange(VOTERS)), minlength=len(counts))
-        found = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(counts[found])], names=["pattern", "n"])
+            codes_ = [v @ (1 << np.arange(VOTERS)) for v, *_ in held.value.votes(text_at(b))]
+            if codes_:
+                found, n = np.unique(np.concatenate(codes_), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(n, pa.int64())], names=["pattern", "n"])
 
     table = docs.select("text").mapInArrow(patterns, "pattern bigint, n bigint").groupBy("pattern").agg(F.sum("n").alias("n")).toArrow().sort_by("pattern")
     codes = table["pattern"].to_numpy()

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 
@@ -381,6 +382,53 @@ def test_toxicity_learns_and_scores_all(spark, none):
     assert toxicity.score(none, model).count() == 0
 
 
+def test_quality_fit_against_a_dense_twin():
+    """Log-count ratios and dual coordinate descent, over dense rows in plain loops."""
+    rng = np.random.default_rng(1)
+    rows = [np.unique(rng.integers(0, 40, rng.integers(0, 12)) + (20 if k % 2 else 0)).astype(np.int32) for k in range(80)]
+    y = np.array([k % 2 if rng.random() < 0.85 else 1 - k % 2 for k in range(80)])
+    model = quality.fit_rows(rows, y)
+    draw = np.random.default_rng(7)
+    fit = [k for k, out in enumerate(draw.random(80) < 0.25) if not out]
+    count = [[sum(y[k] == c and b in rows[k] for k in fit) + quality.SMOOTHING for b in range(quality.BUCKETS)[:60]] for c in (0, 1)]
+    total = [sum(c) + quality.SMOOTHING * (quality.BUCKETS - 60) for c in count]
+    ratio = [math.log(q / total[1] / (p / total[0])) if p + q > 2 * quality.SMOOTHING else 0.0 for p, q in zip(*count, strict=True)]
+    dense = []
+    for r in rows:
+        size = math.sqrt(sum(ratio[b] ** 2 for b in r) + 1e-9)
+        dense.append([ratio[b] / size if b in r else 0.0 for b in range(60)])
+    cap = [quality.PENALTY * 0.5 / max(sum(y[k] == c for k in fit) / len(fit), 0.02) for c in (0, 1)]
+    w, bias, alpha = [0.0] * 60, 0.0, [0.0] * 80
+    for _ in range(quality.EPOCHS):
+        for k in draw.permutation(np.array(fit)):
+            sign = 1 if y[k] else -1
+            step = min(max(alpha[k] - (sign * (sum(a * b for a, b in zip(w, dense[k], strict=True)) + bias) - 1) / 2, 0.0), cap[y[k]]) - alpha[k]
+            alpha[k] += step
+            w, bias = [a + step * sign * b for a, b in zip(w, dense[k], strict=True)], bias + step * sign
+    assert np.allclose(model.weight[:60], [a * b for a, b in zip(w, ratio, strict=True)], atol=1e-4) and abs(model.bias - bias) < 1e-6
+
+
+def test_label_model_against_a_twin_over_documents(monkeypatch):
+    """Expectation maximisation from counts of patterns equals that over documents one by one, with no voter depending on another."""
+    monkeypatch.setattr(toxicity, "DEPENDENT", math.inf)
+    rng = np.random.default_rng(3)
+    truth = rng.random(400) < 0.2
+    votes = rng.random((400, 4)) < np.where(truth[:, None], [0.7, 0.5, 0.4, 0.6], [0.02, 0.01, 0.05, 0.0])
+    patterns, which, n = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
+    got = toxicity.fit_label_model(patterns, n, 0.1).posterior(patterns)[which.ravel()]
+    q = [0.9 if v.any() else 0.02 for v in votes]
+    for _ in range(40):
+        rate = []
+        for y in (0, 1):
+            w = [p if y else 1 - p for p in q]
+            guess = 0.3 if y else 0.002
+            rate.append([min(max((sum(a for a, v in zip(w, votes, strict=True) if v[i]) + guess) / (sum(w) + 1.0), 1e-5), 1 - 1e-5) for i in range(4)])
+        prior = (sum(q) + 1) / 410
+        odds = [math.log(prior / (1 - prior)) + sum(math.log(rate[1][i] / rate[0][i] if v[i] else (1 - rate[1][i]) / (1 - rate[0][i])) for i in range(4)) for v in votes]
+        q = [1 / (1 + math.exp(-o)) for o in odds]
+    assert np.allclose(got, q, atol=1e-6) and ((got > 0.5) == truth).mean() > 0.9
+
+
 def test_bpe_equals_the_library(spark, rows, docs, none):
     public = pytest.importorskip("public_tokenizers")
     library = pytest.importorskip("tokenizers").Tokenizer.from_file(public.path("word_bpe_49k.json"))
