@@ -88,8 +88,10 @@ def routed(source: str, link: str, carry: str) -> str:
                          WHEN a_ = 'greenhouse' AND len(parts) > 2 AND parts[2] = 'jobs' THEN parts[3] WHEN a_ = 'smartrecruiters' THEN parts[2] END AS external_id FROM slugs_)"""
 
 
+#: The references that occur in the sample's pages and links, ampersands last.
+REFERENCES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#x27;": "'", "&#39;": "'", "&apos;": "'", "&#x2F;": "/", "&#47;": "/", "&nbsp;": "\xa0", "&sol;": "/", "&#46;": ".", "&period;": ".", "&#0045;": "-", "&#X6a;": "j", "&amp;": "&"}
 ENTITIES = "body"
-for _entity, _plain in urls.ENTITIES:
+for _entity, _plain in REFERENCES.items():
     ENTITIES = f"replace({ENTITIES}, {quoted(_entity)}, {quoted(_plain)})"
 EXTRACTED = f"""
     hits AS (SELECT page_id, unnest(m) AS link, unnest(range(len(m))) AS k FROM (SELECT page_id, regexp_extract_all({ENTITIES}, {quoted(urls.IN_TEXT)}, 0, 'i') AS m FROM texts)),

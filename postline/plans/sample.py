@@ -129,7 +129,8 @@ VIEWS: dict[str, str] = {
         FROM customer WHERE c_custkey % 5 <> 4""",
     "texts": f"""
         SELECT page_id, {pick("page_id", LINKS)} AS link, {pick("page_id", NAMES)} AS name, {pick("page_id", SITES)} AS site, {pick("page_id", AGES)} AS posted, {pick("page_id", PATHS)} AS path,
-               html || ' see ' || coalesce({pick("page_id", LINKS)}, '') || ' and "https://jobs.ashbyhq.com/p' || CAST(page_id % 9 AS STRING) || '", ' || coalesce({pick("(page_id + 3)", LINKS)}, '') AS body
+               html || ' see ' || coalesce({pick("page_id", LINKS)}, '') || ' and "https://jobs.ashbyhq.com/p' || CAST(page_id % 9 AS STRING) || '", ' || coalesce({pick("(page_id + 3)", LINKS)}, '')
+               || ' &quot;https:&#47;&sol;&#X6a;obs&#46;lever&period;co/n&#0045;' || CAST(page_id % 23 AS STRING) || '?a=1&amp;b=2&quot;' AS body
         FROM pages""",
 }
 #: One fetched payload for each platform, with k for the board's number: the text, with $k where the number stands.

@@ -1,3 +1,5 @@
+import html
+
 from pyspark.sql import functions as F
 
 from postline.functions import dates, names, urls
@@ -33,6 +35,22 @@ def test_extract_all(spark):
     assert [[tuple(x)[:2] for x in r.r] for r in df.collect()] == [[("lever", "acme"), ("ashby", "ramp")], [], []]
 
 
+def test_unescape_equals_the_standard_library(spark):
+    texts = [
+        "&lt;a href=&quot;https:&#x2F;&#x2f;jobs&period;lever&#46;co&sol;x&quot;&gt; &amp;amp; &copy;2026 &notit; &notin; &ampfoo &AMP; &nosuchname; & && &# &#; &#x; a&b",
+        "&#0; &#x0; &#128; &#x9f; &#129; &#55296; &#1114112; &#99999999999999999999; &#xfffffffffff; &#1; &#11; &#x7f; &#xFDD0; &#65535; &#13; &#x1F642; &#128578 &#xe9",
+        "&NewLine;&Tab;&nbsp;&CounterClockwiseContourIntegral;&bne;&frac12;&frac12x &AMPx &sup1 &sup11 &euro", "no reference", "", "&", "&#00065;&#x00000041;",
+    ]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", urls.unescape(F.col("t")).alias("u"))
+    assert {r.t: r.u for r in df.collect()} == {t: html.unescape(t) for t in texts}
+
+
+def test_extract_all_of_numeric_references_keeps_the_first(spark):
+    text = "https&#58;&#x2F;&#47;jobs&#46;lever&period;co&sol;n&#45;1 https://jobs.lever.co/n-1/0a1b2c3d-1111-2222-3333-444455556666 https://boards.greenhouse.io/a/jobs/7 https://boards.greenhouse.io/a/jobs/8"
+    (row,) = spark.createDataFrame([(text,)], "t string").select(urls.extract_all(F.col("t")).alias("r")).collect()
+    assert [tuple(x) for x in row.r] == [("lever", "n-1", None), ("greenhouse", "a", "7")]
+
+
 def test_names(spark):
     df = spark.createDataFrame([("Foo, Inc. Corp.", "https://www.Foo.io/x"), ("Databricks, Inc.", "jobs.lever.co"), (None, None), ("Weave", "weaveos.com")], "n string, d string")
     rows = df.select(names.base(F.col("n")).alias("b"), names.apex(F.col("d")).alias("a"), names.plausibly_same(F.col("d"), F.col("n")).alias("s")).collect()
