@@ -3,6 +3,8 @@
 DAY = 86_400
 #: Diff.
 GRACE, MASS_CLOSE_GUARD = 2, 5
+#: Postings that a stream stages at a time.
+STAGED_MOST = 20_000
 #: Ingest filter.
 KEPT_FAMILIES = ("engineering", "fde", "ai", "data")
 KEPT_REGIONS = ("us", "europe", "remote", "unknown")

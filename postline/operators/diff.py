@@ -30,10 +30,12 @@ def suspicious_boards(state: DataFrame, boards: DataFrame, guard: int = config.M
 
 
 def first_of_key(staged: DataFrame) -> DataFrame:
-    """The first posting of each key by ``ord``, where there is one."""
-    if "ord" not in staged.columns:
-        return staged.dropDuplicates(KEY)
-    return staged.withColumn("_rank", F.row_number().over(Window.partitionBy(*KEY).orderBy("ord"))).filter("_rank = 1").drop("_rank")
+    """The first posting of each key by ``ord``; without such a column, and among equals, the least by all columns. It is the same
+    row however often it is computed."""
+    order = [c for c in ("ord", *sorted(staged.columns)) if c in staged.columns and c not in KEY]
+    row = F.struct(*dict.fromkeys(order))
+    first = staged.groupBy(*KEY).agg(F.min(row).alias("_first")) if order else staged.select(*KEY).distinct()
+    return first.select(*[F.col(c) if c in KEY else F.col(f"_first.{c}") for c in staged.columns])
 
 
 def decided(state: DataFrame, boards: DataFrame, staged: DataFrame, grace: int = config.GRACE, guard: int = config.MASS_CLOSE_GUARD) -> DataFrame:
@@ -78,8 +80,8 @@ def next_state(decisions: DataFrame, ts: int) -> DataFrame:
     return decisions.select(*KEY, *[column[c].alias(c) for c in STATE if c not in KEY])
 
 
-def events(decisions: DataFrame, ts: int, last_id: int) -> DataFrame:
-    """The events, numbered on from last_id board by board, then by kind and key."""
+def events(decisions: DataFrame, ts: int, last_id: int, held: list[DataFrame] | None = None) -> DataFrame:
+    """The events, numbered on from last_id board by board, then by kind and key. held: see ``numbered``."""
     rank = F.create_map(*[F.lit(x) for pair in EVENT_RANK.items() for x in pair])
     rows = decisions.filter(F.col("action").isin(*EVENT_RANK)).select(
         F.lit(ts).cast("bigint").alias("ts"),
@@ -90,18 +92,20 @@ def events(decisions: DataFrame, ts: int, last_id: int) -> DataFrame:
         F.when(F.col("action") == "closed", F.to_json(F.struct((F.col("s_missing_polls") + 1).alias("missing_polls")))).alias("detail_json"),
         rank[F.col("action")].alias("_rank"),
     )
-    return numbered(rows, [*BOARD, "_rank", "external_id"], last_id).drop("_rank")
+    return numbered(rows, [*BOARD, "_rank", "external_id"], last_id, held).drop("_rank")
 
 
-def numbered(rows: DataFrame, order: list[str], last_id: int) -> DataFrame:
+def numbered(rows: DataFrame, order: list[str], last_id: int, held: list[DataFrame] | None = None) -> DataFrame:
     """rows with gapless ids after last_id in this order.
 
     Rows are range-partitioned by the order, counted per partition, and numbered within it from the counts before: no
     single task sees them all. The ranges come from a sample, so the partitioned rows are persisted: counts and numbers
-    must be of the same ranges.
+    must be of the same ranges. They are added to ``held``, for the caller to unpersist when the result has been used.
     """
     parts = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
     spot = parts.withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))).persist(StorageLevel.MEMORY_AND_DISK)
+    if held is not None:
+        held.append(spot)
     sizes = spot.groupBy("_part").agg(F.max("_at").alias("_most"))
     before = F.coalesce(F.sum(F.col("_most") + 1).over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = sizes.select("_part", before.alias("_before"))  # a row for each partition

@@ -161,12 +161,20 @@ def reclassified(jobs: DataFrame) -> DataFrame:
     return new.withColumns(columns).select(*jobs.columns)
 
 
+def reregioned(jobs: DataFrame, country_of=None) -> DataFrame:
+    """The next jobs under the present rules: an empty location of a platform that writes it into the posting's link is
+    recovered from there, and each region is named anew, once for each distinct location."""
+    from postline.functions import dates, labels
+
+    lost = (F.coalesce("location", F.lit("")) == "") & (F.col("ats") == "workday")
+    found = jobs.withColumn("location", F.when(lost, F.coalesce(dates.location_from_path(F.col("url")), "location")).otherwise(F.col("location")))
+    return labels.label_distinct(found, "location", "_region", lambda c: labels.region(c, country_of)).withColumn("region", F.col("_region")).select(*jobs.columns)
+
+
 def region_moves(jobs: DataFrame, country_of=None) -> DataFrame:
     """(before, after, n): how many postings change region under the present rules, and how many stay."""
-    from postline.functions import labels
-
-    after = labels.label_distinct(jobs.select("location", F.col("region").alias("before")), "location", "after", lambda c: labels.region(c, country_of))
-    return after.groupBy("before", "after").agg(F.count(F.lit(1)).alias("n"))
+    after = reregioned(jobs.withColumn("before", F.col("region")), country_of)
+    return after.groupBy("before", F.col("region").alias("after")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def first_per_group(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

@@ -101,11 +101,18 @@ def company_jobs(jobs: DataFrame, boards: DataFrame, company_id: int, limit: int
     return jobs.join(own, BOARD).orderBy(F.col("first_seen_at").desc(), *BOARD, "external_id").limit(limit)
 
 
-def event_feed(events: DataFrame, jobs: DataFrame, *, kind=None, since=None, engineering_only=False, limit=100) -> DataFrame:
+def event_feed(events: DataFrame, jobs: DataFrame, boards: DataFrame | None = None, *, kind=None, since=None, engineering_only=False, limit=100) -> DataFrame:
+    """The newest events; with boards, each with its company's name, else the board's own, and the location in its details."""
     rows = events.filter(all_of([equals("type", kind), F.col("ts") >= since if since else None]))
     if engineering_only:
         rows = rows.join(jobs.filter("is_engineering = 1").select(*BOARD, "external_id"), [*BOARD, "external_id"], "left_semi")
-    return rows.orderBy(F.col("ts").desc(), F.col("id").desc()).limit(limit)
+    newest = rows.orderBy(F.col("ts").desc(), F.col("id").desc()).limit(limit)
+    if boards is None:
+        return newest
+    named = newest.join(boards.select(*BOARD, "company_name"), BOARD, "left")
+    who = F.coalesce("company_name", "slug", F.lit("-"))
+    where = F.coalesce(F.get_json_object("detail_json", "$.location"), F.lit("")) if "detail_json" in events.columns else F.lit("")
+    return named.withColumns({"company": who, "location": where}).drop("company_name").orderBy(F.col("ts").desc(), F.col("id").desc())
 
 
 def counts(tables: dict[str, DataFrame]) -> DataFrame:
@@ -184,7 +191,7 @@ def needing_careers(companies: DataFrame, boards: DataFrame) -> DataFrame:
 def unclassified_titles(jobs: DataFrame, seed: int = 0, limit: int = 100) -> DataFrame:
     """A sample of distinct titles that no rule places, by a seeded hash."""
     rows = jobs.filter("role_family = 'other' AND title IS NOT NULL").select("title").distinct()
-    return rows.orderBy(F.xxhash64("title", F.lit(seed)), "title").limit(limit)
+    return rows.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), "title")), "title").limit(limit)
 
 
 def last_polls(poll_runs: DataFrame, n: int = 5) -> DataFrame:

@@ -93,3 +93,90 @@ def company_of(df: DataFrame, name: str, site: str) -> DataFrame:
     """df as company references: name and domain, where there is either."""
     rows = df.withColumns({"_name": F.trim(F.col(name)), "_domain": apex(F.col(site))})
     return rows.filter("coalesce(_name, '') <> '' OR _domain IS NOT NULL").select(F.col("_name").alias("name"), F.col("_domain").alias("domain")).distinct()
+
+
+# Boards of a published list of customers; how a page links to a customer; how it links to a posting by number.
+CUSTOMERS = (
+    "ramp notion linear cursor replit clay harvey vanta retool posthog deel shopify snowflake zapier reddit mercury ironclad lemonade lime gorgias uipath "
+    "deliveroo alan altura amo aurora-solar boomi brightline coder convictional dave eightsleep flock-safety form-energy fullstory hackerone january "
+    "marqeta monte-carlo multiverse netgear sequoia stytch oyster hopper superhumanapp cohere supabase teal"
+).split()
+CUSTOMER_LINK = r"(?i)/customers/([a-z0-9][a-z0-9-]{1,60})"
+POSTING_LINK = r"/jobs/view/[^/\"']*?(\d{8,})"
+POSTINGS_MOST = 150
+
+
+def first_refs(df: DataFrame, text: Column, order: list[str], detail: str) -> DataFrame:
+    """(ats, slug, detail) of the boards that the texts link to: each board once, with the detail of the first text in order."""
+    rows = df.select(F.explode(extract_all(text)).alias("r"), F.struct(*order).alias("o"), F.col(detail).alias("d")).select("r.ats", "r.slug", "o", "d")
+    return rows.groupBy(*BOARD).agg(F.min_by("d", "o").alias("detail"))
+
+
+def scan_results(pages: DataFrame) -> DataFrame:
+    """Boards of a scan service's answers (host, page, body: JSON with results[].page.url), with the host asked for."""
+    body = F.from_json("body", "struct<results:array<struct<page:struct<url:string>>>>")
+    rows = pages.select("host", "page", F.posexplode(body["results"]).alias("at", "r")).select("host", "page", "at", F.col("r.page.url").alias("url"))
+    return of_links(rows, "url").groupBy(*BOARD).agg(F.min_by("host", F.struct("host", "page", "at")).alias("detail"))
+
+
+def code_search(pages: DataFrame) -> DataFrame:
+    """Boards in the fragments of a code search's answers (variant, page, body), or in an item's link where it has none; with the repository."""
+    item = "struct<text_matches:array<struct<fragment:string>>,html_url:string,repository:struct<full_name:string>>"
+    rows = pages.select("variant", "page", F.posexplode(F.from_json("body", f"struct<items:array<{item}>>")["items"]).alias("at", "i"))
+    fragments = F.array_join(F.transform(F.coalesce("i.text_matches", F.array().cast("array<struct<fragment:string>>")), lambda m: F.coalesce(m["fragment"], F.lit(""))), " ")
+    text = F.coalesce(F.nullif(fragments, F.lit("")), F.col("i.html_url"))
+    return first_refs(rows.withColumn("repository", F.col("i.repository.full_name")), text, ["variant", "page", "at"], "repository")
+
+
+def portfolio_pages(pages: DataFrame) -> DataFrame:
+    """Boards on investors' pages (firm, page, html), with the firm and page that has each first, as ``firm:page``."""
+    named = pages.withColumn("where", F.concat_ws(":", "firm", F.col("page").cast("string")))
+    return first_refs(named, F.col("html"), ["firm", "page"], "where")
+
+
+def customer_pages(pages: DataFrame, published: list[str] = CUSTOMERS) -> DataFrame:
+    """Boards of one platform's customers: a published list, then what pages (html) link to as a customer, then as a board."""
+    spark = pages.sparkSession
+    listed = spark.range(1).select(F.explode(F.split(F.lit(" ".join(published)), " ")).alias("slug"), F.lit(0).alias("o"), F.lit("published_list").alias("detail"))
+    linked = pages.select(F.explode(F.regexp_extract_all("html", F.lit(CUSTOMER_LINK), F.lit(1))).alias("slug")).select(F.lower("slug").alias("slug"), F.lit(1).alias("o"), F.lit("page").alias("detail"))
+    boards = pages.select(F.explode(extract_all(F.col("html"))).alias("r")).filter("r.ats = 'ashby'").select("r.slug", F.lit(2).alias("o"), F.lit("page_link").alias("detail"))
+    rows = listed.unionByName(linked).unionByName(boards)
+    return rows.groupBy("slug").agg(F.min_by("detail", "o").alias("detail")).select(F.lit("ashby").alias("ats"), "slug", "detail")
+
+
+def search_results(results: DataFrame, pages: DataFrame) -> DataFrame:
+    """Boards of a web search: those that a result's own link names, and those on the page of any other result, with the page.
+
+    results: query (its number), rank, url; pages: url, text. A link counts where it comes first; one that names a board isn't
+    looked into.
+    """
+    order = F.struct(F.col("query").alias("query"), F.col("rank").alias("rank"))
+    once = results.groupBy("url").agg(F.min(order).alias("o")).withColumn("own", extract_all(F.col("url")))
+    direct = once.select(F.explode("own").alias("r"), "o", F.lit("result_url").alias("d"))
+    seen = once.filter(F.size("own") == 0).join(pages, "url").select(F.explode(extract_all(F.col("text"))).alias("r"), "o", F.substring("url", 1, 120).alias("d"))
+    rows = direct.unionByName(seen).select("r.ats", "r.slug", "o", "d")
+    return rows.groupBy(*BOARD).agg(F.min_by("d", F.struct("o", "d")).alias("detail"))
+
+
+def posting_numbers(pages: DataFrame, most: int = POSTINGS_MOST) -> DataFrame:
+    """(job_id, place) of the first ``most`` postings that result pages (keyword, page, html) link to, repeats counted, each once."""
+    rows = pages.select("keyword", "page", F.posexplode(F.regexp_extract_all("html", F.lit(POSTING_LINK), F.lit(1))).alias("at", "job_id"))
+    first = rows.orderBy("keyword", "page", "at").limit(most)
+    return first.groupBy("job_id").agg(F.min(F.struct("keyword", "page", "at")).alias("place"))
+
+
+def posting_pages(numbers: DataFrame, pages: DataFrame) -> DataFrame:
+    """Boards on the pages (job_id, html) of these postings, with the posting's number."""
+    return first_refs(pages.join(numbers, "job_id"), F.col("html"), ["place"], "job_id")
+
+
+def story_links(links: DataFrame) -> DataFrame:
+    """Boards that a story's links (ord, link) name, with the link."""
+    return first_refs(links.withColumn("shown", F.substring("link", 1, 200)), F.col("link"), ["ord"], "shown")
+
+
+def thread_comments(stories: DataFrame, comments: DataFrame, limit: int = 60) -> DataFrame:
+    """Boards in the comments (story_id, page, ord, comment_text) of the newest hiring threads, with the thread."""
+    threads = hiring_threads(stories, limit).select(F.col("objectID").alias("story_id"), F.col("created_at").alias("at"))
+    rows = comments.join(threads, "story_id").withColumn("back", -F.col("at"))
+    return first_refs(rows, F.col("comment_text"), ["back", "story_id", "page", "ord"], "story_id")

@@ -1,11 +1,18 @@
 """Tables as Parquet with fixed schemas and versions.
 
-A mutation is a complete next table. It is written beside the last one, and a one-line pointer file, written last through
-Spark, names the current version: readers see either the old table or the new one. Earlier versions can be dropped later.
+A mutation writes new folders beside those in use: a complete next table, or rows that are added to one. What counts is
+named by a version file of the whole store, written to one side and then moved to its number, so that readers see all
+changes of a transaction or none, however many tables it touches, and a writer that was overtaken is told so. Folders that
+no version names any more (of earlier tables, or of writers that died) go with ``vacuum``.
 """
 
 from __future__ import annotations
 
+import functools
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,32 +37,103 @@ class Store:
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
+        self.open: dict[str, list[str]] | None = None  # the changes of a transaction
+
+    def _path(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+
+    def _files(self):
+        return self._path("").getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def version(self, name: str) -> int | None:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}/current")
-        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        return int(self.spark.read.text(path.toString()).first()[0]) if fs.exists(path) else None
+    def version(self) -> int:
+        """The newest version's number; 0 before the first."""
+        at = self._path("_versions")
+        if not self._files().exists(at):
+            return 0
+        return max([int(f.getPath().getName()) for f in self._files().listStatus(at) if f.getPath().getName().isdigit()], default=0)
+
+    def manifest(self) -> dict[str, list[str]]:
+        """The folders of each table in the newest version."""
+        version = self.version()
+        if not version:
+            return {}
+        out: dict[str, list[str]] = {}
+        for name, folder in (r.value.split("\t") for r in self.spark.read.text(self._path(f"_versions/{version}").toString()).collect()):
+            out.setdefault(name, []).append(folder)
+        return out
+
+    @contextmanager
+    def transaction(self) -> Iterator[Store]:
+        """Changes within the block count together, when it ends; none does if it fails."""
+        version, self.open = self.version(), {}
+        try:
+            yield self
+            changes, folders = self.open, self.manifest() | self.open
+            if changes:
+                beside, number = self._path(f"_versions/.{uuid.uuid4().hex}"), self._path(f"_versions/{version + 1}")
+                out = self._files().create(beside)
+                out.write("\n".join(f"{name}\t{folder}" for name, own in folders.items() for folder in own).encode())
+                out.close()
+                if self._files().exists(number) or not self._files().rename(beside, number):
+                    raise RuntimeError(f"version {version + 1} of {self.root} was written by another")
+        finally:
+            self.open = None
 
     def read(self, name: str) -> DataFrame:
-        """The current table; columns that an older version lacks are null; empty where nothing was written."""
-        version = self.version(name)
-        if version is None:
-            return self.spark.createDataFrame([], SCHEMAS[name])
+        """The current table; columns that an older version lacks are null; empty where nothing was written. A transaction reads what
+        it found."""
         columns = self.spark.createDataFrame([], SCHEMAS[name]).columns  # a partition column would come last
-        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.root}/{name}/v={version}").select(*columns)
+        folders = self.manifest().get(name)
+        if not folders:
+            return self.spark.createDataFrame([], SCHEMAS[name])
+        parts = [self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.root}/{name}/{f}").select(*columns) for f in folders]
+        return functools.reduce(DataFrame.unionByName, parts)
+
+    def write(self, name: str, df: DataFrame) -> None:
+        """Makes df the table's next version."""
+        self._change(name, df, [])
+
+    def append(self, name: str, rows: DataFrame) -> None:
+        """Adds rows in a folder of their own; what is there stays as it is."""
+        own = self.open.get(name) if self.open else None
+        self._change(name, rows, own if own is not None else self.manifest().get(name, []))
 
-    def write(self, name: str, df: DataFrame) -> int:
-        """Writes df as the next version and points to it."""
-        version = (self.version(name) or 0) + 1
+    def compact(self, name: str) -> None:
+        """Writes a table that many appends have spread over folders as one."""
+        if len(self.manifest().get(name, [])) > 1:
+            self.write(name, self.read(name))
+
+    def load(self, name: str, df: DataFrame) -> int:
+        """Writes df as the table and counts it again: rows that were lost or doubled on the way fail the load, which then doesn't count."""
+        expected = df.count()
+        with self.transaction():
+            self.write(name, df)
+            (folder,) = self.open[name]
+            found = self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.root}/{name}/{folder}").count()
+            if found != expected:
+                raise RuntimeError(f"{name}: {expected} rows were to be loaded, {found} were")
+        return found
+
+    def _change(self, name: str, df: DataFrame, before: list[str]) -> None:
+        if self.open is None:
+            with self.transaction():
+                return self._change(name, df, before)
+        folder = uuid.uuid4().hex
         empty = self.spark.createDataFrame([], SCHEMAS[name])
         known = [F.col(c).cast(t).alias(c) if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in empty.dtypes]
-        writer = df.select(*known).write.mode("overwrite")
-        if name in PARTITIONED:
-            writer = writer.partitionBy(*PARTITIONED[name])
-        writer.parquet(f"{self.root}/{name}/v={version}")
-        self.spark.createDataFrame([(str(version),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.root}/{name}/current")
-        return version
-
-    def append(self, name: str, rows: DataFrame) -> int:
-        return self.write(name, self.read(name).unionByName(rows, allowMissingColumns=True))
+        df.select(*known).write.partitionBy(*PARTITIONED.get(name, [])).parquet(f"{self.root}/{name}/{folder}")
+        self.open[name] = [*before, folder]
+
+    def vacuum(self) -> int:
+        """Deletes the folders and versions that the newest version doesn't need, and tells how many folders went. No other writer
+        or reader of older versions may be at work."""
+        current, gone = self.manifest(), 0
+        for name in SCHEMAS:
+            if self._files().exists(self._path(name)):
+                for f in self._files().listStatus(self._path(name)):
+                    if f.getPath().getName() not in current.get(name, []):
+                        gone += bool(self._files().delete(f.getPath(), True))
+        for f in self._files().listStatus(self._path("_versions")) if current else []:
+            if f.getPath().getName() != str(self.version()):
+                self._files().delete(f.getPath(), True)
+        return gone

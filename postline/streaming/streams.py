@@ -1,8 +1,9 @@
 """The incremental forms of the diff and the digest, as Structured Streaming queries.
 
 Each micro-batch runs the same pure functions as the batch engine: state and input give the next state and events. The
-state lives in the store, so a batch that is run again after a failure starts from the last version that was pointed to.
-A diff's batch records its own id with its result, a digest's the last event id; a repeat of a finished batch changes nothing.
+state lives in the store, and all that a batch writes (a diff's events, jobs, run and number; a digest's marks) is one
+transaction there: a batch that dies at any point and runs again starts from where it did, and a repeat of a finished
+batch changes nothing. Big snapshots are settled in ``SHARE``s of boards, so that none stages more postings than that.
 """
 
 from __future__ import annotations
@@ -13,12 +14,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from postline.operators import diff
+from postline import config
+from postline.operators import diff, sweeps
 from postline.plans import digest
 from postline.sources.store import Store
 
-#: The digest's key in notifier_state; its value is an event id.
-DIGEST = "digest_mark"
+#: The keys in notifier_state: the digest's value is an event id, the diff's a batch's number times SHARES and a share's.
+DIGEST, DIFF = "digest_mark", "diff"
+SHARES = 1 << 20
 FETCHED = "snapshot_id bigint, ats string, slug string, fetch_status string, fetched int"
 
 
@@ -34,29 +37,49 @@ def finish(store: Store, name: str, mark: int, ts: int) -> None:
     store.write("notifier_state", others.unionByName(row))
 
 
-def settle_snapshot(store: Store, boards: DataFrame, staged: DataFrame, ts: int) -> None:
-    """One poll's diff: writes the next jobs and appends the events."""
+def settle_snapshot(store: Store, boards: DataFrame, staged: DataFrame, ts: int) -> DataFrame:
+    """One poll's diff: writes the next jobs and appends the events. Gives the decisions, from which nothing is read later."""
     jobs = store.read("jobs")
     top = store.read("events").agg(F.coalesce(F.max("id"), F.lit(0).cast("bigint"))).first()[0]
-    decisions = diff.decided(jobs, boards, staged)
-    events = diff.events(decisions, ts, top)
-    store.append("events", events)
+    decisions, held = diff.decided(jobs, boards, staged), []
+    store.append("events", diff.events(decisions, ts, top, held))
+    for df in held:
+        df.unpersist()
     store.write("jobs", diff.next_state(decisions, ts))
+    return decisions
 
 
-def diff_stream(fetched: DataFrame, store: Store, staged_of: Callable[[DataFrame], DataFrame], checkpoint: str, ts_of: Callable[[int], int]) -> StreamingQuery:
-    """Diffs each micro-batch of successful fetches (one snapshot a board) against the stored jobs.
+def shares(boards: DataFrame, most: int = config.STAGED_MOST) -> DataFrame:
+    """boards (ats, slug, fetched) with ``share``, numbered from 0: those of a share fetched about ``most`` postings together, more
+    only where a single board has. Boards go by their hash, so no order of all is needed."""
+    total = boards.agg(F.coalesce(F.sum("fetched"), F.lit(0)).alias("total"))
+    number = F.pmod(F.xxhash64("ats", "slug"), F.greatest(F.lit(1), F.ceil(F.col("total") / most)))
+    return boards.join(F.broadcast(total)).withColumn("share", number.cast("int")).drop("total")  # one row
 
-    fetched: a stream with FETCHED's columns; staged_of gives a batch's postings; ts_of its time. Failed fetches change nothing.
+
+def diff_stream(fetched: DataFrame, store: Store, staged_of: Callable[[DataFrame], DataFrame], checkpoint: str, ts_of: Callable[[int], int], most: int = config.STAGED_MOST) -> StreamingQuery:
+    """Diffs each micro-batch of successful fetches (one snapshot a board) against the stored jobs, share by share.
+
+    fetched: a stream with FETCHED's columns; staged_of gives some boards' postings; ts_of a batch's time. Failed fetches
+    change nothing but the counts of the poll's run. A share that is done is remembered, with the batch's number.
     """
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        if not advance(store, "diff", batch_id):
-            return
-        ok = batch.filter("fetch_status = 'ok'")
         ts = ts_of(batch_id)
-        settle_snapshot(store, ok.select("ats", "slug", "fetched").distinct(), staged_of(ok), ts)
-        finish(store, "diff", batch_id, ts)
+        ok = shares(batch.filter("fetch_status = 'ok'").dropDuplicates(["ats", "slug"]), most).persist()
+        last = ok.agg(F.coalesce(F.max("share"), F.lit(0))).first()[0]
+        for share in range(last + 1):
+            mark = batch_id * SHARES + share
+            if not advance(store, DIFF, mark):
+                continue
+            own = ok.filter(F.col("share") == share).drop("share")
+            with store.transaction():
+                decisions = settle_snapshot(store, own.select("ats", "slug", "fetched"), staged_of(own), ts)
+                polled = own if share else own.unionByName(batch.filter("fetch_status <> 'ok'").select(*own.columns))
+                top = store.read("poll_runs").agg(F.coalesce(F.max("id"), F.lit(0).cast("bigint"))).first()[0]
+                store.append("poll_runs", sweeps.poll_run(polled, decisions, ts, ts, top))
+                finish(store, DIFF, mark, ts)
+        ok.unpersist()
 
     return fetched.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -81,7 +104,7 @@ def digest_stream(events: DataFrame, store: Store, send: Callable[[DataFrame], b
         told = store.read("notified_jobs")
         rows = digest.pending(batch, store.read("jobs"), store.read("boards"), told, mark, now).persist()
         span = digest.span(rows, batch, mark).first()
-        first = store.spark.createDataFrame(rows.limit(digest.config.FLOOD).toArrow())
+        first = store.spark.createDataFrame(rows.limit(config.FLOOD).toArrow())
         rows.unpersist()
         if span.pending:
             told_of = {"from_id": F.lit(span.from_id), "to_id": F.lit(span.to_id), "pending": F.lit(span.pending), "flooded": F.lit(span.flooded)}
@@ -89,8 +112,9 @@ def digest_stream(events: DataFrame, store: Store, send: Callable[[DataFrame], b
                 raise RuntimeError(f"the digest of events {span.from_id + 1} to {span.to_id} was not sent")
             if not span.flooded:
                 told = digest.mark_notified(told, first, now)
-        store.write("notified_jobs", digest.pruned(told, now))
-        finish(store, DIGEST, max(mark, span.to_id), now)
+        with store.transaction():
+            store.write("notified_jobs", digest.pruned(told, now))
+            finish(store, DIGEST, max(mark, span.to_id), now)
 
     return events.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -111,6 +111,67 @@ def test_store_and_diff_stream(spark, tmp_path):
     assert store.read("jobs").columns == spark.createDataFrame([], SCHEMAS["jobs"]).columns
 
 
+def test_diff_stream_that_dies_between_its_writes(spark, tmp_path, monkeypatch):
+    """Whatever write a batch dies before, the next start gives each event once, and no table is half a batch ahead."""
+    rows = [(1, "ashby", f"b{k}", "ok", 9_000) for k in range(6)] + [(1, "ashby", "down", "transient", 0)]
+    (tmp_path / "in").mkdir()
+    spark.createDataFrame(rows, streams.FETCHED).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    staged_of = lambda ok: ok.select("ats", "slug", F.lit("1").alias("external_id"), F.lit("t").alias("title"), F.lit("h").alias("content_hash"), F.lit(None).cast("bigint").alias("posted_at"))
+    change, done = Store._change, []
+    for dies_at in (2, 4, 7):
+        store, calls = Store(spark, str(tmp_path / f"store{dies_at}")), []
+
+        def dying(self, name, df, before, dies_at=dies_at, calls=calls):
+            if self.open is not None:
+                calls.append(name)
+                if len(calls) == dies_at:
+                    raise RuntimeError("lost")
+            return change(self, name, df, before)
+
+        run = lambda: streams.diff_stream(spark.readStream.schema(streams.FETCHED).parquet(str(tmp_path / "in")), store, staged_of, str(tmp_path / f"cp{dies_at}"), lambda i: 100 + i, most=20_000).awaitTermination()  # noqa: B023, E731
+        monkeypatch.setattr(Store, "_change", dying)
+        with pytest.raises(Exception, match="lost"):
+            run()
+        assert store.read("events").count() == store.read("jobs").count()
+        monkeypatch.setattr(Store, "_change", change)
+        run()
+        assert sorted(r.id for r in store.read("events").collect()) == list(range(1, 7)) and store.read("jobs").count() == 6
+        done.append([r.asDict() for r in store.read("poll_runs").orderBy("id").collect()])
+        store.vacuum()
+        assert store.read("events").count() == 6
+    assert sum(r["boards_polled"] for r in done[0]) == 7 and sum(r["boards_failed"] for r in done[0]) == 1 and sum(r["new_jobs"] for r in done[0]) == 6 and len(done[0]) > 1
+
+
+def test_store_transactions_appends_and_loads(spark, tmp_path, monkeypatch):
+    store = Store(spark, str(tmp_path / "store"))
+    events = lambda *ids: spark.createDataFrame([(i, i, "new", "a", "s", str(i), None, None, None) for i in ids], SCHEMAS["events"])
+    store.write("events", events(1))
+    store.append("events", events(2))
+    with store.transaction():
+        store.append("events", events(3))
+        store.append("events", events(4))
+        store.write("notifier_state", spark.createDataFrame([("k", 4, 1)], SCHEMAS["notifier_state"]))
+        assert store.read("events").count() == 2
+    assert sorted(r.id for r in store.read("events").collect()) == [1, 2, 3, 4] and store.read("notifier_state").count() == 1
+    with pytest.raises(ZeroDivisionError), store.transaction():
+        store.write("events", events(9))
+        1 / 0
+    assert store.read("events").count() == 4
+    other = Store(spark, store.root)
+    with pytest.raises(RuntimeError, match="written by another"), store.transaction():
+        store.append("events", events(5))
+        other.append("events", events(6))
+    store.compact("events")
+    assert sorted(r.id for r in store.read("events").collect()) == [1, 2, 3, 4, 6] and len(store.manifest()["events"]) == 1
+    assert store.vacuum() > 0 and store.read("events").count() == 5
+    assert store.load("events", events(7, 8)) == 2 and store.read("events").count() == 2
+    change = Store._change
+    monkeypatch.setattr(Store, "_change", lambda self, name, df, before: change(self, name, df.limit(1), before))
+    with pytest.raises(RuntimeError, match="2 rows were to be loaded, 1 were"):
+        store.load("events", events(1, 2))
+    assert sorted(r.id for r in store.read("events").collect()) == [7, 8]
+
+
 def test_digest_stream_records_only_what_was_sent(spark, tmp_path):
     store = Store(spark, str(tmp_path / "store"))
     store.write("jobs", spark.createDataFrame([("a", "s", "x", 1, 0, "intern", "us")], "ats string, slug string, external_id string, is_engineering int, is_fde int, seniority string, region string"))
