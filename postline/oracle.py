@@ -36,7 +36,8 @@ def seniority(title: str) -> str:
     return first_match([(matches(f"coalesce({title}, '')", R.words(terms)), level) for level, terms in R.SENIORITY], None)
 
 
-def region(location: str) -> str:
+def region(location: str, sure: str | None = None, found: str | None = None) -> str:
+    """sure and found: what a gazetteer says of a city with its country's code, and of any name."""
     text, prefix = f"trim({location})", f"lower(regexp_extract(trim({location}), '^([A-Za-z]{{3}})[\\s-]', 1))"
     m = lambda terms: matches(text, R.words(terms))
     cases = [(f"{location} IS NULL OR {text} = ''", "unknown")]
@@ -45,10 +46,12 @@ def region(location: str) -> str:
         (f"{m(R.NON_TARGET_COUNTRY)} OR {m(R.NON_TARGET_CITY)}", "other"),
         (f"{matches(text, R.US_COUNTRY)} OR {m(R.US_STATE)}", "us"),
         (m(R.EU_COUNTRY), "europe"),
+        *[(f"{sure} = {quoted(name)}", name) for name in ("us", "europe", "other") if sure],
         (f"{matches(text, R.US_STATE_CODE_RE)} OR {matches(text, R.US_SHORTHAND_RE)}", "us"),
         (m(R.CA_PROVINCE), "other"),
         (m(R.US_CITY), "us"),
         (m(R.EU_CITY), "europe"),
+        *[(f"{found} = {quoted(name)}", name) for name in ("us", "europe", "other") if found],
         (m(R.REMOTE), "remote"),
     ]
     return first_match(cases, "unknown")
@@ -151,6 +154,15 @@ RESOLVED = f"""
                         coalesce(x.id, CASE WHEN nn <> '' AND NOT (d IS NOT NULL AND coalesce(b.domain, '') <> '' AND b.domain <> d) THEN b.id END) AS company_id
                  FROM rows_ r LEFT JOIN companies x ON x.domain = r.d LEFT JOIN best b ON b.norm_name = r.nn)"""
 
+CAREERS = """
+    pages AS (SELECT domain AS found, path, CASE WHEN contains(html, 'lever.co') THEN regexp_extract(html, 'lever.co/(n\\d+)', 1) END AS slug FROM probes WHERE status = 200),
+           asked AS (SELECT id, norm_name, domain IS NOT NULL AS sure, CASE WHEN domain IS NOT NULL THEN [domain] WHEN length(norm_name) BETWEEN 3 AND 29 THEN [norm_name || '.com', norm_name || '.io', norm_name || '.ai'] ELSE [] END AS ds FROM companies WHERE careers_checked_at IS NULL),
+           hits AS (SELECT id, arg_min({'f': found, 'p': path, 's': slug}, (slug IS NULL, k)) AS h FROM (SELECT id, unnest(ds) AS found, unnest(range(len(ds))) AS k FROM asked) JOIN pages USING (found) GROUP BY id),
+           judged AS (SELECT id, norm_name, sure, h.f AS found, h.p AS path, h.s AS slug, sure OR coalesce(h.s = norm_name, false) OR EXISTS (SELECT 1 FROM boards b WHERE b.company_id = id AND b.ats = 'lever' AND b.slug = h.s) AS ok FROM asked LEFT JOIN hits USING (id) WHERE len(ds) > 0)"""
+#: Where a Workday posting's link has its place, for postings without one.
+FROM_LINK = """CASE WHEN coalesce(location, '') = '' AND ats = 'workday' THEN coalesce(CASE WHEN length(trim(replace(regexp_extract(url, '/job/([^/]+)/', 1), '-', ' '))) >= 2
+    AND NOT regexp_matches(trim(replace(regexp_extract(url, '/job/([^/]+)/', 1), '-', ' ')), '^\\d+$') THEN trim(replace(regexp_extract(url, '/job/([^/]+)/', 1), '-', ' ')) END, location) ELSE location END"""
+
 SQL: dict[str, str] = {
     "listing_top": with_views(
         f"SELECT {PAGE}, posted_at FROM {JOINED} WHERE j.status = 'open' AND region IN ('us', 'remote', 'unknown') AND title ILIKE '%engineer%' ORDER BY posted_at DESC NULLS LAST, content_hash NULLS FIRST, ats, slug, external_id LIMIT 51",
@@ -248,7 +260,63 @@ SQL: dict[str, str] = {
                    CASE WHEN stale THEN CAST(f = 'fde' AS INT) ELSE is_fde END AS is_fde, CASE WHEN stale THEN s ELSE seniority END AS seniority, 'r4' AS classified_by, count(*) AS n FROM n GROUP BY ALL""",
         "jobs",
     ),
-    "reregion": with_views(f"SELECT region AS before, {region('location')} AS after, count(*) AS n FROM jobs GROUP BY ALL", "jobs"),
+    "reregion": with_views(f"WITH l AS (SELECT region AS before, {FROM_LINK} AS place FROM jobs) SELECT before, {region('place')} AS after, count(*) AS n FROM l GROUP BY ALL", "jobs"),
+    "reregion_next": with_views(f"WITH l AS (SELECT {FROM_LINK} AS location FROM jobs) SELECT location, {region('location')} AS region, count(*) AS n FROM l GROUP BY ALL", "jobs"),
+    "event_feed_named": with_views(
+        f"""SELECT id, ts, type, coalesce(company_name, slug, '-') AS company, CASE WHEN detail_json LIKE '%Oslo%' THEN 'Oslo' ELSE '' END AS location, title FROM feed LEFT JOIN boards USING (ats, slug)
+            WHERE ts >= {NOW - 990_000} ORDER BY ts DESC, id DESC LIMIT 300""",
+        "feed", "boards",
+    ),
+    "unclassified_titles": with_views("SELECT title FROM (SELECT DISTINCT title FROM jobs WHERE role_family = 'other' AND title IS NOT NULL) ORDER BY md5('7:' || title), title LIMIT 20", "jobs"),
+    "sweep_counts": with_views(
+        f"""WITH rows__ AS (SELECT f.*, rank, rank * 1099511627776 + ord AS o FROM finds f JOIN sources USING (source) WHERE skipped IS NULL),
+            company_refs AS (SELECT company_name AS name, domain, website, careers_url, o AS ord FROM rows__ WHERE company_name IS NOT NULL OR domain IS NOT NULL OR website IS NOT NULL), {RESOLVED},
+            nb AS (SELECT rank, count(*) AS n FROM (SELECT ats, slug, min(rank) AS rank FROM rows__ WHERE slug IS NOT NULL GROUP BY ats, slug) ANTI JOIN boards USING (ats, slug) GROUP BY rank),
+            ns AS (SELECT rank, count(*) AS n FROM (SELECT ats, slug, external_id, min(rank) AS rank FROM rows__ WHERE external_id IS NOT NULL GROUP BY ALL) ANTI JOIN jobs USING (ats, slug, external_id) GROUP BY rank),
+            nc AS (SELECT CAST(ord // 1099511627776 AS INT) AS rank, count(*) AS n FROM resolved WHERE company_id IS NULL GROUP BY 1), nr AS (SELECT rank, count(*) AS n FROM rows__ GROUP BY rank)
+            SELECT 40 + row_number() OVER (ORDER BY s.rank) AS id, source, CAST({NOW - 60} AS BIGINT) AS started_at, CAST({NOW} AS BIGINT) AS finished_at, coalesce(nr.n, 0) AS refs_seen, coalesce(nb.n, 0) AS new_boards, coalesce(nc.n, 0) AS new_companies,
+                   coalesce(ns.n, 0) AS seed_postings, blocked, error, skipped FROM sources s LEFT JOIN nr ON nr.rank = s.rank LEFT JOIN nb ON nb.rank = s.rank LEFT JOIN ns ON ns.rank = s.rank LEFT JOIN nc ON nc.rank = s.rank""",
+        "finds", "sources", "boards", "companies", "jobs",
+    ),
+    "sweep_dry": with_views(
+        """WITH f AS (SELECT * FROM finds JOIN sources USING (source) WHERE skipped IS NULL QUALIFY row_number() OVER (PARTITION BY source ORDER BY ord) <= 100)
+           SELECT source, count(slug) AS refs, count(DISTINCT ats || '/' || slug) AS unique_refs, count(*) FILTER (f.source IS NOT NULL AND slug IS NULL) AS companies, count(external_id) AS postings, any_value(s.error) AS error, any_value(s.skipped) AS skipped
+           FROM sources s LEFT JOIN f USING (source) GROUP BY source""",
+        "finds", "sources",
+    ),
+    "validate_sweep": with_views(
+        """SELECT ats, count(*) AS checked, count(*) FILTER (fetch_status = 'ok' AND p.job_count > 0) AS active, count(*) FILTER (fetch_status = 'ok' AND p.job_count = 0) AS "empty", count(*) FILTER (fetch_status = 'permanent') AS dead,
+                  count(*) FILTER (fetch_status = 'transient') AS errored, CAST(coalesce(sum(p.job_count) FILTER (fetch_status = 'ok'), 0) AS BIGINT) AS jobs FROM polls p JOIN boards b USING (ats, slug) WHERE status = 'unvalidated' GROUP BY ats""",
+        "boards", "polls",
+    ),
+    "validate_next": with_views(
+        """SELECT ats, slug, CASE WHEN status = 'dead' AND fetch_status = 'ok' THEN CASE WHEN p.job_count > 0 THEN 'active' ELSE 'empty' END ELSE status END AS status,
+                  CASE WHEN status <> 'dead' OR fetch_status IS NULL THEN consecutive_failures WHEN fetch_status = 'ok' THEN 0 ELSE consecutive_failures + 1 END AS consecutive_failures FROM boards LEFT JOIN polls p USING (ats, slug)""",
+        "boards", "polls",
+    ),
+    "poll_run": with_views(
+        f"""WITH {DECIDED} SELECT CAST(7 AS BIGINT) AS id, CAST({NOW - 60} AS BIGINT) AS started_at, CAST({NOW} AS BIGINT) AS finished_at, CAST((SELECT count(*) FROM polls) AS INT) AS boards_polled, CAST((SELECT count(*) FROM polls WHERE fetch_status <> 'ok') AS INT) AS boards_failed,
+            CAST(count(*) FILTER (action = 'new') AS INT) AS new_jobs, CAST(count(*) FILTER (action = 'edited') AS INT) AS edited_jobs, CAST(count(*) FILTER (action = 'closed') AS INT) AS closed_jobs FROM x""",
+        "jobs", "fetched", "staged", "polls",
+    ),
+    "adoption_queue": with_views("SELECT ats, slug, job_count FROM boards WHERE company_id IS NULL AND (company_name IS NOT NULL OR website IS NOT NULL) ORDER BY job_count DESC NULLS LAST, ats, slug LIMIT 50", "boards"),
+    "backfill_queue": with_views("SELECT ats, slug, job_count FROM boards WHERE careers_url IS NULL AND status IN ('active', 'empty') ORDER BY job_count DESC NULLS LAST, ats, slug LIMIT 50", "boards"),
+    "scan_refs": "SELECT 'lever' AS ats, 'u' || page_id % 40 AS slug, CAST(min(page_id % 5) AS INT) AS detail FROM pages GROUP BY ALL",
+    "code_refs": "SELECT CASE WHEN page_id % 3 = 0 THEN 'ashby' ELSE 'lever' END AS ats, CASE WHEN page_id % 3 = 0 THEN 'g' || page_id % 40 ELSE 'f' || page_id % 30 END AS slug, arg_min('r' || page_id, (page_id % 5) * 1000000000 + page_id) AS detail FROM pages GROUP BY ALL",
+    "portfolio_refs": "SELECT 'ashby' AS ats, 'k' || page_id % 20 || '-x' AS slug, arg_min('firm' || page_id % 5 || ':' || page_id, (page_id % 5) * 1000000000 + page_id) AS detail FROM pages GROUP BY ALL",
+    "customer_refs": """WITH r AS (SELECT unnest(['k3-x', 'one', 'two']) AS slug, 0 AS o UNION ALL SELECT 'k' || page_id % 12 || '-x', 1 FROM pages UNION ALL SELECT 'k' || page_id % 20 || '-x', 2 FROM pages)
+        SELECT 'ashby' AS ats, slug, ['published_list', 'page', 'page_link'][min(o) + 1] AS detail FROM r GROUP BY slug""",
+    "search_refs": with_views(
+        """WITH once AS (SELECT result AS url, min(CAST(host AS BIGINT) * 1000000000 + page_id) AS o, min(listing) AS text FROM answers GROUP BY result),
+           r AS (SELECT 'lever' AS ats, regexp_extract(url, 'w\\d+$') AS slug, o, 'result_url' AS d FROM once WHERE url LIKE '%lever%' UNION ALL SELECT 'ashby', regexp_extract(text, 'ashbyhq.com/(k\\d+-x)', 1), o, url FROM once WHERE url NOT LIKE '%lever%')
+           SELECT ats, slug, arg_min(d, o) AS detail FROM r GROUP BY ALL""",
+        "answers",
+    ),
+    "posting_refs": """WITH n AS (SELECT page_id % 300 AS j, (page_id % 5) * 1000000000 + page_id AS o FROM pages ORDER BY o LIMIT 150), f AS (SELECT j, min(o) AS o FROM n GROUP BY j)
+        SELECT 'ashby' AS ats, 'k' || j % 20 || '-x' AS slug, arg_min(CAST(10000000 + j AS VARCHAR), o) AS detail FROM f JOIN pages ON page_id = j GROUP BY ALL""",
+    "story_refs": "SELECT 'lever' AS ats, 'w' || page_id % 25 AS slug, arg_min('https://jobs.lever.co/w' || page_id % 25, page_id) AS detail FROM pages WHERE page_id % 4 = 0 GROUP BY ALL",
+    "thread_refs": """WITH t AS (SELECT page_id AS s FROM pages WHERE page_id % 2 = 0 ORDER BY s DESC LIMIT 60)
+        SELECT 'ashby' AS ats, 'k' || page_id % 20 || '-x' AS slug, CAST(max(s) AS VARCHAR) AS detail FROM pages JOIN t ON s = page_id % 200 GROUP BY ALL""",
     "board_upsert": with_views(
         f"""WITH found AS (SELECT ats, slug, arg_min(company_name, ord) AS company_name, arg_min(website, ord) AS website FROM refs GROUP BY ALL)
             SELECT ats, slug, coalesce(b.company_name, f.company_name) AS company_name, coalesce(b.website, f.website) AS website, coalesce(status, 'unvalidated') AS status, coalesce(tier, 1) AS tier,
@@ -268,10 +336,13 @@ SQL: dict[str, str] = {
         "companies", "company_refs",
     ),
     "company_merge": with_views(
-        """WITH pairs AS (SELECT id AS s, id - 1 AS t FROM companies WHERE id % 10 = 5), moved AS (SELECT coalesce(t, company_id) AS id, count(*) AS n FROM boards LEFT JOIN pairs ON company_id = s GROUP BY ALL)
+        f"""WITH {CAREERS}, pairs AS (SELECT j.id AS s, c.id AS t FROM judged j JOIN companies c ON c.domain = found WHERE ok AND NOT sure AND c.id <> j.id),
+           moved AS (SELECT coalesce(t, company_id) AS id, count(*) AS n FROM boards LEFT JOIN pairs ON company_id = s GROUP BY ALL),
+           o AS (SELECT t AS id, arg_min(domain, s) FILTER (domain IS NOT NULL) AS domain, arg_min(careers_url, s) FILTER (careers_url IS NOT NULL) AS careers_url, arg_min(careers_kind, s) FILTER (careers_kind IS NOT NULL) AS careers_kind
+                 FROM pairs JOIN companies ON companies.id = s GROUP BY t)
            SELECT c.id, coalesce(c.domain, o.domain) AS domain, coalesce(c.careers_url, o.careers_url) AS careers_url, coalesce(c.careers_kind, o.careers_kind) AS careers_kind, coalesce(n, 0) AS n_boards
-           FROM companies c LEFT JOIN pairs p ON p.t = c.id LEFT JOIN companies o ON o.id = p.s LEFT JOIN moved m ON m.id = c.id WHERE c.id NOT IN (SELECT s FROM pairs)""",
-        "companies", "boards",
+           FROM companies c LEFT JOIN o ON o.id = c.id LEFT JOIN moved m ON m.id = c.id WHERE c.id NOT IN (SELECT s FROM pairs)""",
+        "companies", "boards", "probes",
     ),
     "due_queue": with_views(f"SELECT ats, slug, next_poll_at, tier FROM boards WHERE status IN ('active', 'empty') AND (next_poll_at IS NULL OR next_poll_at <= {NOW}) ORDER BY next_poll_at NULLS FIRST, ats, slug LIMIT 100", "boards"),
     "poll_outcome": with_views(
@@ -296,8 +367,8 @@ SQL: dict[str, str] = {
         "feed", "jobs", "boards", "notified",
     ),
     "notified_next": with_views(
-        f"SELECT ats, slug, external_id, max(notified_at) AS notified_at FROM (SELECT * FROM notified UNION ALL SELECT ats, slug, external_id, {NOW} FROM feed WHERE id % 7 = 0) GROUP BY ALL HAVING max(notified_at) >= {NOW - config.DEDUPE_SECONDS}",
-        "notified", "feed",
+        f"WITH {PENDING} SELECT ats, slug, external_id, max(notified_at) AS notified_at FROM (SELECT * FROM notified UNION ALL SELECT ats, slug, external_id, {NOW} FROM pending) GROUP BY ALL HAVING max(notified_at) >= {NOW - config.DEDUPE_SECONDS}",
+        "feed", "jobs", "boards", "notified",
     ),
     "source_trend": with_views(
         f"""WITH {TREND} SELECT source, runs, latest, median, refs_latest, refs_median, blocked, collapsed, saturated,
@@ -359,7 +430,16 @@ SQL |= {
         "WITH s AS (SELECT name AS name_key, country, sum(population) AS people FROM places GROUP BY ALL) SELECT name_key, arg_min(country, (-people, country)) AS country_code FROM s GROUP BY name_key", "places"
     ),
     "region_with_gazetteer": with_views(
-        f"""SELECT location, CASE WHEN location IN ('Munich, DE', 'Dublin, IE', 'Somewhere Nice') THEN 'europe' WHEN location = 'Springfield' THEN 'us' ELSE {region('location')} END AS place, count(*) AS n FROM jobs GROUP BY ALL""", "jobs"
+        f"""WITH s AS (SELECT lower(name) AS k, country, sum(population) AS people FROM places GROUP BY ALL), g AS (SELECT k, arg_min(country, (-people, country)) AS code FROM s GROUP BY k),
+            r AS (SELECT k, code, CASE WHEN code = 'US' THEN 'us' WHEN code IN ('FR', 'IE', 'DE') THEN 'europe' ELSE 'other' END AS region FROM g),
+            l AS (SELECT location, count(*) AS n, trim(location) AS t FROM jobs GROUP BY location),
+            sure AS (SELECT location, region AS sure FROM l JOIN r ON k = lower(trim(regexp_extract(t, '^(.*?)[,\\s]+([A-Za-z]{{2}})\\s*$', 1))) AND code = upper(regexp_extract(t, '^(.*?)[,\\s]+([A-Za-z]{{2}})\\s*$', 2))),
+            f AS (SELECT location, list_filter(list_transform(regexp_split_to_array(t, '[,/|()\\[\\]]+|\\s+-\\s+|–|—'), lambda p: trim(p)), lambda p: p <> '') AS ps, t FROM l),
+            p AS (SELECT location, unnest(list_prepend(t, ps)) AS name, unnest(range(len(ps) + 1)) AS i, false AS word FROM f
+                  UNION ALL SELECT location, w, i + 1000, true FROM (SELECT location, unnest(regexp_split_to_array(array_to_string(ps, ' '), '\\s+')) AS w, unnest(range(len(regexp_split_to_array(array_to_string(ps, ' '), '\\s+')))) AS i FROM f) WHERE length(w) >= 4),
+            found AS (SELECT location, arg_min(region, i) AS found FROM p JOIN r ON k = trim(regexp_replace(lower(name), '[^\\w ]+', ' ', 'g')) WHERE NOT (word AND region = 'other') GROUP BY location)
+            SELECT location, {region('location', 'sure', 'found')} AS place, n FROM l LEFT JOIN sure USING (location) LEFT JOIN found USING (location)""",
+        "jobs", "places",
     ),
     "json_walk": """SELECT page_id AS doc, 'C' || page_id AS name, 'c' || page_id || '.com' AS domain, NULL AS ats, NULL AS slug FROM pages
                     UNION ALL SELECT page_id, NULL, NULL, 'lever', 'c' || page_id FROM pages""",
@@ -367,10 +447,7 @@ SQL |= {
 }
 SQL |= {
     "careers_resolve": with_views(
-        """WITH pages AS (SELECT domain AS found, path, CASE WHEN contains(html, 'lever.co') THEN regexp_extract(html, 'lever.co/(n\\d+)', 1) END AS slug FROM probes WHERE status = 200),
-           asked AS (SELECT id, norm_name, domain IS NOT NULL AS sure, CASE WHEN domain IS NOT NULL THEN [domain] WHEN length(norm_name) BETWEEN 3 AND 29 THEN [norm_name || '.com', norm_name || '.io', norm_name || '.ai'] ELSE [] END AS ds FROM companies WHERE careers_checked_at IS NULL),
-           hits AS (SELECT id, arg_min({'f': found, 'p': path, 's': slug}, (slug IS NULL, k)) AS h FROM (SELECT id, unnest(ds) AS found, unnest(range(len(ds))) AS k FROM asked) JOIN pages USING (found) GROUP BY id),
-           judged AS (SELECT id, norm_name, sure, h.f AS found, h.p AS path, h.s AS slug, sure OR coalesce(h.s = norm_name, false) OR EXISTS (SELECT 1 FROM boards b WHERE b.company_id = id AND b.ats = 'lever' AND b.slug = h.s) AS ok FROM asked LEFT JOIN hits USING (id) WHERE len(ds) > 0)
+        f"""WITH {CAREERS}
            SELECT j.id, CASE WHEN ok THEN 'https://' || found || path END AS url, CASE WHEN NOT ok OR found IS NULL THEN 'none' WHEN slug IS NULL THEN 'html' ELSE 'ats' END AS kind,
                   CASE WHEN ok AND NOT sure AND c.id IS NULL THEN found END AS learned, CASE WHEN ok AND NOT sure AND c.id <> j.id THEN c.id END AS merge_into, ok AS owned, CASE WHEN ok AND slug IS NOT NULL THEN 1 ELSE 0 END AS n_refs
            FROM judged j LEFT JOIN companies c ON c.domain = found""",

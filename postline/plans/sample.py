@@ -59,7 +59,7 @@ VIEWS: dict[str, str] = {
                CASE WHEN c_custkey % 8 = 0 THEN NULL ELSE CAST(1 + c_custkey % 40 AS BIGINT) END AS company_id
         FROM customer""",
     "companies": """
-        SELECT s_suppkey AS id, CASE WHEN s_suppkey % 5 = 0 THEN NULL ELSE 's' || CAST(s_suppkey AS STRING) || '.com' END AS domain,
+        SELECT s_suppkey AS id, CASE WHEN s_suppkey % 10 = 1 AND s_suppkey < 60 THEN 'n' || CAST(s_suppkey - 1 AS STRING) || '.io' WHEN s_suppkey % 5 = 0 THEN NULL ELSE 's' || CAST(s_suppkey AS STRING) || '.com' END AS domain,
                s_name AS name, 'n' || CAST(s_suppkey % 60 AS STRING) AS norm_name, CAST(NULL AS STRING) AS website,
                CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE 'https://s' || CAST(s_suppkey AS STRING) || '.com/jobs' END AS careers_url,
                CASE s_suppkey % 4 WHEN 0 THEN 'ats' WHEN 1 THEN 'html' WHEN 2 THEN 'none' ELSE NULL END AS careers_kind,
@@ -69,7 +69,7 @@ VIEWS: dict[str, str] = {
     "jobs": f"""
         SELECT {pick("o_custkey", PLATFORMS)} AS ats, 'c' || CAST(o_custkey AS STRING) AS slug, CAST(o_orderkey AS STRING) AS external_id,
                {pick("o_orderkey", TITLES)} AS title, {pick("(o_orderkey * 7 + o_custkey)", PLACES)} AS location, CAST(NULL AS STRING) AS locations_json,
-               CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE 'https://example.com/' || CAST(o_orderkey AS STRING) END AS url,
+               CASE WHEN o_orderkey % 10 = 0 THEN NULL WHEN o_orderkey % 10 < 4 THEN {pick("o_orderkey", PATHS)} || CAST(o_orderkey AS STRING) ELSE 'https://example.com/' || CAST(o_orderkey AS STRING) END AS url,
                CASE WHEN o_orderkey % 12 = 0 THEN NULL ELSE {NOW} - (o_orderkey % 60) * 86400 END AS posted_at,
                CAST({NOW} - (o_orderkey % 30) * 86400 - o_orderkey % 1000 AS BIGINT) AS first_seen_at, CAST({NOW} - 3600 AS BIGINT) AS last_seen_at,
                CASE WHEN o_orderkey % 4 = 0 THEN {NOW} - 7200 ELSE NULL END AS closed_at,
@@ -97,8 +97,9 @@ VIEWS: dict[str, str] = {
         SELECT event_id AS id, CAST({NOW} - 1000000 + event_id * 10 AS BIGINT) AS ts,
                CASE event_id % 5 WHEN 0 THEN 'new' WHEN 1 THEN 'reopened' WHEN 2 THEN 'edited' WHEN 3 THEN 'closed' ELSE 'new' END AS type,
                {pick("o_custkey", PLATFORMS)} AS ats, 'c' || CAST(o_custkey AS STRING) AS slug, CAST(o_orderkey AS STRING) AS external_id,
-               {pick("o_orderkey", TITLES)} AS title, 'https://example.com/' || CAST(o_orderkey AS STRING) AS url
-        FROM events JOIN orders ON o_orderkey = 1 + event_id""",
+               {pick("o_orderkey", TITLES)} AS title, 'https://example.com/' || CAST(o_orderkey AS STRING) AS url,
+               CASE event_id % 4 WHEN 0 THEN '{{"location":"Oslo"}}' WHEN 1 THEN 'not json' WHEN 2 THEN '{{"missing_polls":2}}' ELSE NULL END AS detail_json
+        FROM events LEFT JOIN orders ON o_orderkey = 1 + event_id""",
     "notified": f"""
         SELECT {pick("o_custkey", PLATFORMS)} AS ats, 'c' || CAST(o_custkey AS STRING) AS slug, CAST(o_orderkey AS STRING) AS external_id,
                CAST({NOW} - (o_orderkey % 60) * 86400 AS BIGINT) AS notified_at
@@ -155,13 +156,33 @@ VIEWS["fetches"] = f"""
     SELECT {pick("c_custkey", PLATFORMS)} AS ats, CASE WHEN c_custkey % 8 = 3 THEN 'c' || CAST(c_custkey AS STRING) || '.wd1/site' ELSE 'c' || CAST(c_custkey AS STRING) END AS slug,
            CASE WHEN c_custkey % 9 = 0 THEN 'transient' ELSE 'ok' END AS fetch_status, {payload("c_custkey")} AS body FROM customer"""
 VIEWS["places"] = f"""
-    SELECT {pick("c_custkey", ("Springfield", "Paris", "Birmingham", "London", "Vienna", "Dublin", "Athens"))} AS name, {pick("(c_custkey % 1000)", ("US", "FR", "GB", "CA", "AT"))} AS country,
+    SELECT {pick("c_custkey", ("Springfield", "Paris", "Birmingham", "London", "Vienna", "Dublin", "Munich", "Somewhere", "Nunavut"))} AS name, {pick("(c_custkey % 1000)", ("US", "FR", "IE", "CA", "DE"))} AS country,
            CAST(c_custkey % 977 AS BIGINT) AS population FROM customer"""
+# a page for each supplier's own domain, and one for each name that a domain may be guessed from
 VIEWS["probes"] = """
-    SELECT CASE WHEN s_suppkey % 2 = 0 THEN 's' || CAST(s_suppkey AS STRING) || '.com' ELSE 'n' || CAST(s_suppkey % 60 AS STRING) || '.io' END AS domain, '/careers' AS path, CAST(1 AS INT) AS path_rank,
-           CAST(CASE WHEN s_suppkey % 9 = 0 THEN 404 ELSE 200 END AS INT) AS status,
-           CASE WHEN s_suppkey % 3 = 0 THEN 'no boards here' ELSE 'at https://jobs.lever.co/n' || CAST(s_suppkey % 60 AS STRING) || '/1' END AS html
-    FROM supplier WHERE s_suppkey <= 60"""
+    SELECT domain, '/careers' AS path, CAST(1 AS INT) AS path_rank, CAST(CASE WHEN k % 9 = 0 THEN 404 ELSE 200 END AS INT) AS status,
+           CASE WHEN k % 3 = 0 THEN 'no boards here' ELSE 'at https://jobs.lever.co/n' || CAST(k % 60 AS STRING) || '/1' END AS html
+    FROM (SELECT 's' || CAST(s_suppkey AS STRING) || '.com' AS domain, s_suppkey AS k FROM supplier
+          UNION ALL SELECT DISTINCT 'n' || CAST(s_suppkey % 60 AS STRING) || '.io', s_suppkey % 60 FROM supplier) AS pages_of"""
+VIEWS["sources"] = """
+    SELECT DISTINCT 's' || CAST(p_partkey % 7 AS STRING) AS source, CAST(p_partkey % 7 AS INT) AS rank, CAST(CASE WHEN p_partkey % 7 = 2 THEN 4 ELSE 0 END AS BIGINT) AS blocked,
+           CASE WHEN p_partkey % 7 = 3 THEN 'TimeoutError: late' ELSE NULL END AS error, CASE WHEN p_partkey % 7 = 4 THEN 'no key' ELSE NULL END AS skipped
+    FROM part"""
+VIEWS["finds"] = f"""
+    SELECT 's' || CAST((p_partkey * p_partkey + p_partkey) % 6 AS STRING) AS source, CAST(p_partkey AS BIGINT) AS ord, CASE WHEN p_partkey % 8 = 5 THEN NULL ELSE {pick("p_partkey", PLATFORMS)} END AS ats,
+           CASE WHEN p_partkey % 8 = 5 THEN NULL ELSE 'c' || CAST(p_partkey % 700 AS STRING) END AS slug, CASE WHEN p_partkey % 3 = 0 THEN 'N' || CAST(p_partkey % 90 AS STRING) || ' GmbH' ELSE NULL END AS company_name,
+           CASE WHEN p_partkey % 5 = 0 THEN 'www.s' || CAST(p_partkey % 150 AS STRING) || '.com' WHEN p_partkey % 8 = 5 THEN 'q' || CAST(p_partkey % 99 AS STRING) || '.io' ELSE NULL END AS domain,
+           CAST(NULL AS STRING) AS website, CAST(NULL AS STRING) AS careers_url, CASE WHEN p_partkey % 4 = 0 THEN CAST(p_partkey % 500 AS STRING) ELSE NULL END AS external_id, p_name AS title
+    FROM part"""
+#: Answers of services, as they were fetched: a row for each page.
+VIEWS["answers"] = f"""
+    SELECT page_id, CAST(page_id % 5 AS INT) AS host, CAST(page_id % 11 AS INT) AS page, html,
+           '{{"results":[{{"page":{{"url":"https://jobs.lever.co/u' || CAST(page_id % 40 AS STRING) || '"}}}},{{"page":{{}}}},{{"page":{{"url":"https://example.com/x"}}}}]}}' AS scan,
+           CASE WHEN page_id % 3 = 0 THEN '{{"items":[{{"text_matches":[],"html_url":"https://jobs.ashbyhq.com/g' || CAST(page_id % 40 AS STRING) || '","repository":{{"full_name":"r' || CAST(page_id AS STRING) || '"}}}}]}}'
+                ELSE '{{"items":[{{"text_matches":[{{"fragment":"x"}},{{"fragment":"https://jobs.lever.co/f' || CAST(page_id % 30 AS STRING) || '/1"}}],"html_url":"https://jobs.lever.co/no","repository":{{"full_name":"r' || CAST(page_id AS STRING) || '"}}}}]}}' END AS code,
+           '<a href="/customers/K' || CAST(page_id % 12 AS STRING) || '-x">k</a> <a href="/jobs/view/a-dev-' || CAST(10000000 + page_id % 300 AS STRING) || '">j</a> https://jobs.ashbyhq.com/k' || CAST(page_id % 20 AS STRING) || '-x' AS listing,
+           CASE WHEN page_id % 4 = 0 THEN 'https://jobs.lever.co/w' || CAST(page_id % 25 AS STRING) ELSE 'https://blog.example.com/' || CAST(page_id % 60 AS STRING) END AS result
+    FROM pages"""
 VIEWS["trees"] = """
     SELECT page_id AS doc, '{"org":{"company":"C' || CAST(page_id AS STRING) || '","website":"https://www.c' || CAST(page_id AS STRING) || '.com"},"list":[{"apply":"https://jobs.lever.co/c' || CAST(page_id AS STRING) || '/x"},{"n":1}]}' AS text
     FROM pages"""

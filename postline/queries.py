@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postline.functions import dates, labels, names, urls
-from postline.operators import careers, diff, ingest, registry
+from postline.operators import careers, diff, ingest, registry, sweeps
 from postline.plans import digest, gates, health, listings, policy
 from postline.plans.sample import NOW, view
 from postline.sources import adapters, gazetteer, refs, walk
@@ -258,13 +258,10 @@ def company_upsert(companies: DataFrame, company_refs: DataFrame) -> DataFrame:
     return registry.upsert_companies(companies, company_refs, NOW, "list").select("id", "domain", "norm_name", "name", "careers_url", "source")
 
 
-def _pairs(companies: DataFrame) -> DataFrame:
-    return companies.filter("id % 10 = 5").select(F.col("id").alias("source_id"), (F.col("id") - 1).alias("target_id"))
-
-
-@query("companies", "boards")
-def company_merge(companies: DataFrame, boards: DataFrame) -> DataFrame:
-    left, moved = registry.merge_companies(companies, boards, _pairs(companies))
+@query("companies", "boards", "probes")
+def company_merge(companies: DataFrame, boards: DataFrame, probes: DataFrame) -> DataFrame:
+    pairs = careers.resolved(companies, boards, probes).filter("merge_into IS NOT NULL").select(F.col("id").alias("source_id"), F.col("merge_into").alias("target_id"))
+    left, moved = registry.merge_companies(companies, boards, pairs)
     n = moved.groupBy(F.col("company_id").alias("id")).agg(F.count(F.lit(1)).alias("n_boards"))
     return left.join(n, "id", "left").select("id", "domain", "careers_url", "careers_kind", F.coalesce("n_boards", F.lit(0).cast("bigint")).alias("n_boards"))
 
@@ -300,9 +297,9 @@ def digest_lines(feed: DataFrame, jobs: DataFrame, boards: DataFrame, notified:
     return digest.lines(digest.pending(feed, jobs, boards, notified, 100, NOW), budget=2_500).select("grp", "place", "id", "line", "used")
 
 
-@query("notified", "feed")
-def notified_next(notified: DataFrame, feed: DataFrame) -> DataFrame:
-    return digest.pruned(digest.mark_notified(notified, feed.filter("id % 7 = 0"), NOW), NOW)
+@query("feed", "jobs", "boards", "notified")
+def notified_next(feed: DataFrame, jobs: DataFrame, boards: DataFrame, notified: DataFrame) -> DataFrame:
+    return digest.pruned(digest.mark_notified(notified, digest.pending(feed, jobs, boards, notified, 100, NOW), NOW), NOW)
 
 
 @query("runs")
@@ -353,9 +350,7 @@ def gazetteer_argmax(places: DataFrame) -> DataFrame:
 
 @query("jobs", "places")
 def region_with_gazetteer(jobs: DataFrame, places: DataFrame) -> DataFrame:
-    table = {"munich": "DE", "dublin": "IE", "springfield": "US", "somewhere": "FR", "progress": "CN", "boise": "US"}
-    keyed = places.sparkSession.createDataFrame(list(table.items()), "name_key string, country_code string")
-    rows = labels.label_regions(jobs, "location", "place", keyed)
+    rows = labels.label_regions(jobs, "location", "place", gazetteer.build(places))
     return rows.groupBy("location", "place").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -385,6 +380,98 @@ def careers_recheck(boards: DataFrame, probes: DataFrame) -> DataFrame:
     return careers.rechecked(rows, probes, NOW)
 
 
+@query("feed", "jobs", "boards")
+def event_feed_named(feed: DataFrame, jobs: DataFrame, boards: DataFrame) -> DataFrame:
+    return listings.event_feed(feed, jobs, boards, since=NOW - 990_000, limit=300).select("id", "ts", "type", "company", "location", "title")
+
+
+@query("jobs")
+def reregion_next(jobs: DataFrame) -> DataFrame:
+    return registry.reregioned(jobs).groupBy("location", "region").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("finds", "sources", "boards", "companies", "jobs")
+def sweep_counts(finds: DataFrame, sources: DataFrame, boards: DataFrame, companies: DataFrame, jobs: DataFrame) -> DataFrame:
+    return sweeps.source_runs(sweeps.sweep_counts(finds, sources, boards, companies, jobs), NOW - 60, NOW, 40)
+
+
+@query("finds", "sources")
+def sweep_dry(finds: DataFrame, sources: DataFrame) -> DataFrame:
+    return sweeps.dry_counts(finds, sources, limit=100)
+
+
+@query("boards", "polls")
+def validate_sweep(boards: DataFrame, polls: DataFrame) -> DataFrame:
+    return sweeps.validated(boards, polls, NOW)[1]
+
+
+@query("boards", "polls")
+def validate_next(boards: DataFrame, polls: DataFrame) -> DataFrame:
+    return sweeps.validated(boards, polls, NOW, revalidate=True)[0].select("ats", "slug", "status", "consecutive_failures")
+
+
+@query("jobs", "fetched", "staged", "polls")
+def poll_run(jobs: DataFrame, fetched: DataFrame, staged: DataFrame, polls: DataFrame) -> DataFrame:
+    return sweeps.poll_run(polls, diff.decided(jobs, fetched, staged), NOW - 60, NOW, 6)
+
+
+@query("boards")
+def adoption_queue(boards: DataFrame) -> DataFrame:
+    return sweeps.adoption_queue(boards, 50).select("ats", "slug", "job_count")
+
+
+@query("boards")
+def backfill_queue(boards: DataFrame) -> DataFrame:
+    return sweeps.backfill_queue(boards, 50).select("ats", "slug", "job_count")
+
+
+@query("answers")
+def scan_refs(answers: DataFrame) -> DataFrame:
+    return refs.scan_results(answers.select("host", "page", F.col("scan").alias("body")))
+
+
+@query("answers")
+def code_refs(answers: DataFrame) -> DataFrame:
+    return refs.code_search(answers.select(F.col("host").alias("variant"), F.col("page_id").alias("page"), F.col("code").alias("body")))
+
+
+@query("answers")
+def portfolio_refs(answers: DataFrame) -> DataFrame:
+    return refs.portfolio_pages(answers.select(F.concat(F.lit("firm"), F.col("host")).alias("firm"), F.col("page_id").alias("page"), F.col("listing").alias("html")))
+
+
+@query("answers")
+def customer_refs(answers: DataFrame) -> DataFrame:
+    return refs.customer_pages(answers.select(F.col("listing").alias("html")), published=["k3-x", "one", "two"])
+
+
+@query("answers")
+def search_refs(answers: DataFrame) -> DataFrame:
+    found = answers.select(F.col("host").alias("query"), F.col("page_id").alias("rank"), F.col("result").alias("url"))
+    pages = answers.groupBy(F.col("result").alias("url")).agg(F.min("listing").alias("text"))
+    return refs.search_results(found, pages)
+
+
+@query("answers")
+def posting_refs(answers: DataFrame) -> DataFrame:
+    numbers = refs.posting_numbers(answers.select(F.col("host").alias("keyword"), F.col("page_id").alias("page"), F.col("listing").alias("html")))
+    pages = answers.select((F.lit(10_000_000) + F.col("page_id")).cast("string").alias("job_id"), F.col("listing").alias("html"))
+    return refs.posting_pages(numbers, pages)
+
+
+@query("answers")
+def story_refs(answers: DataFrame) -> DataFrame:
+    return refs.story_links(answers.select(F.col("page_id").alias("ord"), F.col("result").alias("link")))
+
+
+@query("answers")
+def thread_refs(answers: DataFrame) -> DataFrame:
+    title = F.when(F.col("page_id") % 2 == 0, "Ask: Who is Hiring?").otherwise("Who wants to be hired?")
+    stories = answers.select(F.col("page_id").cast("string").alias("objectID"), title.alias("title"), (F.col("page_id") * 10).alias("created_at"))
+    comments = answers.select((F.col("page_id") % 200).cast("string").alias("story_id"), "page", F.col("page_id").alias("ord"), F.col("listing").alias("comment_text"))
+    return refs.thread_comments(stories, comments)
+
+
 def stream_event_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event table as a stream, counted by type in windows of event time until what is there is read."""
     path = f"{sf_dir}/events.parquet"
