@@ -299,6 +299,28 @@ SQL: dict[str, str] = {
             CAST(count(*) FILTER (action = 'new') AS INT) AS new_jobs, CAST(count(*) FILTER (action = 'edited') AS INT) AS edited_jobs, CAST(count(*) FILTER (action = 'closed') AS INT) AS closed_jobs FROM x""",
         "jobs", "fetched", "staged", "polls",
     ),
+    "proposals_by_status": with_views("SELECT status, count(*) AS n FROM proposals GROUP BY status", "proposals"),
+    "proposals_page": with_views("SELECT id, agent FROM proposals WHERE status = 'pending' ORDER BY id DESC LIMIT 40", "proposals"),
+    "last_polls": with_views("SELECT * FROM poll_runs ORDER BY id DESC LIMIT 7", "poll_runs"),
+    "careers_due": with_views(
+        f"""WITH r AS (SELECT *, CASE WHEN tier > 1 THEN {NOW} - job_count * 86400 END AS seen FROM boards) SELECT ats, slug, CAST(seen AS BIGINT) AS careers_checked_at FROM r
+            WHERE careers_url IS NOT NULL AND (seen IS NULL OR seen < {NOW - 7 * 86_400}) ORDER BY seen NULLS FIRST, ats, slug LIMIT 60""",
+        "boards",
+    ),
+    "link_boards": with_views("SELECT ats, slug, coalesce(company_id, CASE WHEN tier = 2 THEN job_count + 3 END) AS company_id FROM boards", "boards"),
+    "set_careers": with_views(
+        f"""WITH {CAREERS} SELECT c.id, CASE WHEN ok AND found IS NOT NULL THEN 'https://' || found || path ELSE careers_url END AS careers_url,
+            CASE WHEN j.id IS NULL THEN careers_kind WHEN NOT ok OR found IS NULL THEN 'none' WHEN slug IS NULL THEN 'html' ELSE 'ats' END AS careers_kind, CASE WHEN j.id IS NULL THEN careers_checked_at ELSE {NOW} END AS careers_checked_at
+            FROM companies c LEFT JOIN judged j ON j.id = c.id""",
+        "companies", "boards", "probes",
+    ),
+    "adopted_boards": with_views(f"SELECT ats, slug, CASE WHEN company_id IS NULL AND company_name IS NOT NULL THEN {name_base('company_name')} ELSE c.norm_name END AS norm_name FROM boards b LEFT JOIN companies c ON c.id = b.company_id", "companies", "boards"),
+    "crawl_refs": "SELECT DISTINCT 'lever' AS ats, 'x' || page_id % 70 AS slug FROM pages WHERE page_id % 6 > 1",
+    "archive_refs": "SELECT DISTINCT 'ashby' AS ats, 'y' || page_id % 50 AS slug FROM pages WHERE page_id % 4 <> 0",
+    "listed_refs": "SELECT 'lever' AS ats, 'z' || page_id % 30 AS slug, '0a1b2c3d-1111-2222-3333-44445555' || 1000 + page_id % 9000 AS external_id, 'Z' AS company_name, 'Dev' AS title, page_id % 2 = 0 AS seed FROM pages",
+    "filed_companies": "SELECT 'Orbit ' || page_id % 40 || ' Robotics Inc' AS company, CAST(100000 + page_id % 40 AS VARCHAR) AS cik, min('2026080' || 1 + page_id % 9) AS filed FROM pages WHERE page_id % 4 = 0 GROUP BY ALL",
+    "forum_refs": """SELECT page_id AS "objectID", 'ashby' AS ats, 'k' || page_id % 20 || '-x' AS slug FROM pages UNION ALL SELECT page_id, 'lever', 'w' || page_id % 25 FROM pages WHERE page_id % 4 = 0""",
+    "ages": """WITH g AS (SELECT page_id, page_id * page_id * 40 AS s FROM pages) SELECT page_id, CASE WHEN s < 3600 THEN s // 60 || 'm' WHEN s < 86400 THEN s // 3600 || 'h' WHEN s < 2592000 THEN s // 86400 || 'd' ELSE s // 2592000 || 'mo' END AS age FROM g""",
     "adoption_queue": with_views("SELECT ats, slug, job_count FROM boards WHERE company_id IS NULL AND (company_name IS NOT NULL OR website IS NOT NULL) ORDER BY job_count DESC NULLS LAST, ats, slug LIMIT 50", "boards"),
     "backfill_queue": with_views("SELECT ats, slug, job_count FROM boards WHERE careers_url IS NULL AND status IN ('active', 'empty') ORDER BY job_count DESC NULLS LAST, ats, slug LIMIT 50", "boards"),
     "scan_refs": "SELECT 'lever' AS ats, 'u' || page_id % 40 AS slug, CAST(min(page_id % 5) AS INT) AS detail FROM pages GROUP BY ALL",

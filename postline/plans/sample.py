@@ -174,6 +174,18 @@ VIEWS["finds"] = f"""
            CASE WHEN p_partkey % 5 = 0 THEN 'www.s' || CAST(p_partkey % 150 AS STRING) || '.com' WHEN p_partkey % 8 = 5 THEN 'q' || CAST(p_partkey % 99 AS STRING) || '.io' ELSE NULL END AS domain,
            CAST(NULL AS STRING) AS website, CAST(NULL AS STRING) AS careers_url, CASE WHEN p_partkey % 4 = 0 THEN CAST(p_partkey % 500 AS STRING) ELSE NULL END AS external_id, p_name AS title
     FROM part"""
+VIEWS["proposals"] = f"""
+    SELECT event_id AS id, 'agent' || CAST(user_id % 3 AS STRING) AS agent, CASE event_id % 5 WHEN 0 THEN 'drafted' WHEN 1 THEN 'pending' WHEN 2 THEN NULL WHEN 3 THEN 'rejected' ELSE 'auto_applied' END AS status FROM events"""
+VIEWS["poll_runs"] = f"SELECT event_id AS id, CAST({NOW} + event_id AS BIGINT) AS started_at, CAST(event_id % 90 AS INT) AS boards_polled FROM events"
+#: Files that discovery leaves behind: a line or document for each page.
+VIEWS["lines"] = f"""
+    SELECT page_id, CASE WHEN page_id % 6 = 0 THEN 'not json' WHEN page_id % 6 = 1 THEN '{{"status":"200"}}' ELSE '{{"url":"https://jobs.lever.co/x' || CAST(page_id % 70 AS STRING) || '/apply","status":"200"}}' END AS crawl,
+           'com,ashbyhq,jobs)/y 2026 ' || CASE WHEN page_id % 4 = 0 THEN 'https://example.com/' ELSE 'https://jobs.ashbyhq.com/y' || CAST(page_id % 50 AS STRING) END || ' text/html 200' AS archive,
+           '[{{"url":"https://jobs.lever.co/z' || CAST(page_id % 30 AS STRING) || '/0a1b2c3d-1111-2222-3333-44445555' || CAST(1000 + page_id % 9000 AS STRING) || '","company_name":"Z","title":"Dev","active":' || CASE WHEN page_id % 2 = 0 THEN 'true' ELSE 'false' END || '}},{{"url":"https://example.com","active":true}}]' AS listed,
+           CASE page_id % 4 WHEN 0 THEN 'D     Orbit ' || CAST(page_id % 40 AS STRING) || ' Robotics Inc      ' || CAST(100000 + page_id % 40 AS STRING) || '   2026080' || CAST(1 + page_id % 9 AS STRING) || '   edgar/x.txt'
+                WHEN 1 THEN 'D/A   Blue Lake Capital Fund LP   77   20260801  edgar/y.txt' WHEN 2 THEN '10-K  Orbit Inc   1   20260801' ELSE '' END AS filed,
+           CAST({NOW} - page_id * page_id * 40 AS BIGINT) AS seen
+    FROM pages"""
 #: Answers of services, as they were fetched: a row for each page.
 VIEWS["answers"] = f"""
     SELECT page_id, CAST(page_id % 5 AS INT) AS host, CAST(page_id % 11 AS INT) AS page, html,

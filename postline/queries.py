@@ -472,6 +472,74 @@ def thread_refs(answers: DataFrame) -> DataFrame:
     return refs.thread_comments(stories, comments)
 
 
+@query("proposals")
+def proposals_by_status(proposals: DataFrame) -> DataFrame:
+    return gates.by_status(proposals)
+
+
+@query("proposals")
+def proposals_page(proposals: DataFrame) -> DataFrame:
+    return listings.proposals_page(proposals, "pending", 40).select("id", "agent")
+
+
+@query("poll_runs")
+def last_polls(poll_runs: DataFrame) -> DataFrame:
+    return listings.last_polls(poll_runs, 7)
+
+
+@query("boards")
+def careers_due(boards: DataFrame) -> DataFrame:
+    rows = boards.withColumn("careers_checked_at", F.when(F.col("tier") > 1, NOW - F.col("job_count") * 86_400))
+    return listings.careers_due(rows, NOW, limit=60).select("ats", "slug", "careers_checked_at")
+
+
+@query("boards")
+def link_boards(boards: DataFrame) -> DataFrame:
+    links = boards.filter("tier = 2").select("ats", "slug", F.explode(F.array((F.col("job_count") + 7).cast("bigint"), (F.col("job_count") + 3).cast("bigint"))).alias("cid"))
+    return registry.link_boards(boards, links).select("ats", "slug", "company_id")
+
+
+@query("companies", "boards", "probes")
+def set_careers(companies: DataFrame, boards: DataFrame, probes: DataFrame) -> DataFrame:
+    return registry.set_careers(companies, careers.resolved(companies, boards, probes), NOW).select("id", "careers_url", "careers_kind", "careers_checked_at")
+
+
+@query("companies", "boards")
+def adopted_boards(companies: DataFrame, boards: DataFrame) -> DataFrame:
+    after, linked = careers.adopted(companies, boards, NOW)
+    return linked.join(after.select(F.col("id").alias("company_id"), "norm_name"), "company_id", "left").select("ats", "slug", "norm_name")
+
+
+@query("lines")
+def crawl_refs(lines: DataFrame) -> DataFrame:
+    return refs.crawl_index(lines.select(F.col("crawl").alias("value")))
+
+
+@query("lines")
+def archive_refs(lines: DataFrame) -> DataFrame:
+    return refs.archive_index(lines.select(F.col("archive").alias("value")))
+
+
+@query("lines")
+def listed_refs(lines: DataFrame) -> DataFrame:
+    return refs.listings_json(lines.select(F.col("listed").alias("value")))
+
+
+@query("lines")
+def filed_companies(lines: DataFrame) -> DataFrame:
+    return refs.filings(lines.select(F.col("filed").alias("value")))
+
+
+@query("answers")
+def forum_refs(answers: DataFrame) -> DataFrame:
+    return refs.forum_hits(answers.select(F.col("page_id").alias("objectID"), F.lit(None).cast("string").alias("story_text"), F.col("listing").alias("comment_text"), F.col("result").alias("url")))
+
+
+@query("lines")
+def ages(lines: DataFrame) -> DataFrame:
+    return lines.select("page_id", dates.age(F.col("seen"), NOW).alias("age"))
+
+
 def stream_event_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event table as a stream, counted by type in windows of event time until what is there is read."""
     path = f"{sf_dir}/events.parquet"
