@@ -49,9 +49,15 @@ def columns(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
         yield b.column(0).to_numpy(), b.column(1).to_numpy()
 
 
+def forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of edges (two columns) as edges (lo, hi) with the same components, fewer: a node has one smaller neighbour in each
+    block of a task."""
+    return blocks(columns(batches))
+
+
 def contracted(edges: DataFrame) -> DataFrame:
-    """Edges (lo, hi) with the same components, fewer: a node has one smaller neighbour in each block of a task."""
-    return edges.filter("a <> b").select("a", "b").mapInArrow(lambda batches: blocks(columns(batches)), EDGE)
+    """``forests`` of a table of edges (a, b), less null ends and loops."""
+    return edges.filter("a <> b").select("a", "b").mapInArrow(forests, EDGE)
 
 
 def small_stars(edges: DataFrame) -> DataFrame:
@@ -75,13 +81,14 @@ def small_stars(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """(node, label): for each node of the edges (a, b), the smallest node reachable. Null ends and loops are left out.
+    """(node, label): for each node of the edges (lo, hi), the smallest node reachable.
 
-    A task first contracts its edges in blocks of bounded size, wherever they lie, so a node with very many neighbours has
-    no more edges left than there are blocks. Then, in turn, larger neighbours are linked to a node's least neighbour (a
-    sum per node and a join that may be split where it is skewed), and smaller ones likewise, until only stars are left.
+    The edges are those that ``forests`` gives: a task contracts what it finds in blocks of bounded size, so a node with very
+    many neighbours has no more edges left than there are blocks. Then, in turn, larger neighbours are linked to a node's
+    least neighbour (a sum per node and a join that may be split where it is skewed), and smaller ones likewise, until only
+    stars are left.
     """
-    edges = scratch.cut(contracted(edges))
+    edges = scratch.cut(edges.select("lo", "hi"))
     while not is_stars(edges):
         both = edges.unionByName(edges.select(F.col("hi").alias("lo"), F.col("lo").alias("hi")))
         least = both.groupBy("lo").agg(F.least(F.min("hi"), F.col("lo")).alias("least"))

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from postline.llm import tokens
 from postline.llm.common import Scratch
-from postline.llm.components import components
+from postline.llm.components import EDGE, components, forests
 
 WIDTH = 5
 NEED, OF = 75, 100
@@ -153,7 +153,7 @@ def with_text(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def compared(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """(a, b) links between the role 0 sets (members) and role 1 sets (queries) of each group of ``keys``.
+    """Links (lo, hi), contracted, between the role 0 sets (members) and role 1 sets (queries) of each group of ``keys``.
 
     A group's rows come in a row within a partition, members first. A group holds few members; queries stream by. Each row
     has its component (comp, size): a query is compared with members of larger components, one link for each.
@@ -190,11 +190,11 @@ def compared(rows: DataFrame, keys: list[str]) -> DataFrame:
             if a_out:
                 yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys, "role", "set_id").mapInArrow(run, "a bigint, b bigint")
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "role", "set_id").mapInArrow(lambda batches: forests(run(batches)), EDGE)
 
 
 def easy_links(docs: DataFrame, homes: DataFrame) -> DataFrame:
-    """(a, b) links found by passing each bucket's chunk once: a set is compared with leaders that it isn't connected to yet,
+    """Links (lo, hi), contracted, found by passing each bucket's chunk once: a set is compared with leaders that it isn't connected to yet,
     and becomes one if it links to none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,7 +224,7 @@ def easy_links(docs: DataFrame, homes: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
 
     rows = with_text(docs, homes.select("bucket", "chunk", "set_id", "first_doc"))
-    return rows.repartition("bucket", "chunk").sortWithinPartitions("bucket", "chunk", "set_id").mapInArrow(run, "a bigint, b bigint")
+    return rows.repartition("bucket", "chunk").sortWithinPartitions("bucket", "chunk", "set_id").mapInArrow(lambda batches: forests(run(batches)), EDGE)
 
 
 def prefixes(docs: DataFrame, owners: DataFrame, hot: np.ndarray) -> DataFrame:
@@ -342,7 +342,7 @@ def similar(docs: DataFrame) -> DataFrame:
         members = owners.join(chunks, group).select(*use, *group, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("role"))
         asking = queries.join(chunks, group).join(owners.select(*use), "set_id").select(*use, *group, F.pmod(F.xxhash64("set_id"), "chunks").alias("chunk"), F.lit(1).alias("role"))
         hard = compared(with_text(docs, members.unionByName(asking)), [*group, "chunk"])
-        chains = known.filter("node <> label").select(F.col("label").alias("a"), F.col("node").alias("b"))
+        chains = known.filter("node <> label").select(F.col("label").alias("lo"), F.col("node").alias("hi"))
         labels = components(chains.unionByName(hard), scratch)
         free(queries, known)
         labelled = owners.select("set_id", "first_doc").join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))

@@ -53,9 +53,9 @@ def features(column: pa.Array) -> Iterator[np.ndarray]:
         mark[(last >= 48) & (last <= 57)] = 2
         shape = mark.astype(np.uint64) | (np.minimum(size, 20) // 4).astype(np.uint64) << np.uint64(8) | (np.minimum(capitals, 3)).astype(np.uint64) << np.uint64(12)
         shape |= (digit[words.end] > digit[words.start]).astype(np.uint64) << np.uint64(14) | ((first >= 65) & (first <= 90)).astype(np.uint64) << np.uint64(15)
-        again = np.zeros(len(h), np.uint64)
-        again[1:] |= (h[1:] == h[:-1]).astype(np.uint64)
-        again[2:] |= (h[2:] == h[:-2]).astype(np.uint64) << np.uint64(1)
+        again, docs = np.zeros(len(h), np.uint64), words.docs
+        for k in (1, 2):
+            again[k:] |= ((h[k:] == h[:-k]) & (docs[k:] == docs[:-k])).astype(np.uint64) << np.uint64(k - 1)
         shape |= again << np.uint64(16)
         pair = tokens.mix(shape[:-1] + (shape[1:] << np.uint64(20)) + np.uint64(1 << 50)) if len(shape) > 1 else shape[:0]
         pair = (pair >> shift).astype(np.int32)

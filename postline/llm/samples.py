@@ -44,6 +44,8 @@ def with_column(docs: DataFrame, names: list[str], fields: list[T.StructField],
                 b = whole.slice(at, ROWS)
                 made = make(b.column(b.schema.get_field_index("text")))
                 yield pa.RecordBatch.from_arrays([*b.columns, *made], names=[*b.schema.names, *names])
+        whole = b = made = None
+        pa.default_memory_pool().release_unused()  # the worker stays, for tasks of other kinds too
 
     return docs.mapInArrow(run, schema)
 

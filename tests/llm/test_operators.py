@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from postline.llm import bpe, chat, decontaminate, divergence, jaccard, lines, pii, quality, repeats, tokens, toxicity
 from postline.llm import components as components_module
 from postline.llm.common import Scratch
-from postline.llm.components import components
+from postline.llm.components import components, contracted
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -212,7 +212,7 @@ def test_jaccard_against_brute_force(spark, none, monkeypatch, small):
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 130)] + [(7, 7), (None, 3)]
     with Scratch(spark) as scratch:
-        got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a bigint, b bigint"), scratch).collect()}
+        got = {r.node: r.label for r in components(contracted(spark.createDataFrame(edges, "a bigint, b bigint")), scratch).collect()}
     assert got == {i: 0 for i in range(41)} | {k: 100 for k in range(100, 130)}
 
 
@@ -227,7 +227,7 @@ def test_components_against_union_find(spark, monkeypatch, block):
         for a, b in edges:
             root[a] = root[b] = min(root[a], root[b])
     with Scratch(spark) as scratch:
-        got = components(spark.createDataFrame(edges, "a bigint, b bigint").repartition(5), scratch).collect()
+        got = components(contracted(spark.createDataFrame(edges, "a bigint, b bigint").repartition(5)), scratch).collect()
     joined = {n for a, b in edges if a != b for n in (a, b)}
     assert len(got) == len(joined) and {r.node: r.label for r in got} == {n: root[n] for n in joined}
 
