@@ -9,7 +9,8 @@ backwards, by ranks; occurrences are located by stepping to a sampled suffix; th
 The phrases are broadcast in blocks of at most ``BLOCK_WORDS`` words, a bound that is checked: a larger benchmark takes
 more passes, each over what the last has written. Words are compared by 64-bit hashes.
 
-Defined results: null or empty texts have no words; items without words, or with a null id or text, have no phrase; equal
+Defined results: null or empty texts have no words; an empty table gives an empty table; a text of any length is searched as
+one, longer than a shard or not; items without words, or with a null id or text, have no phrase; equal
 phrases of several items count for each; rows are judged one by one; other columns are carried along, but for those that
 are added, which are replaced; an empty benchmark hits nothing.
 """
@@ -30,6 +31,8 @@ from postline.llm.common import cut
 from postline.llm.suffixes import suffix_array
 
 WIDTH = 10
+#: Fixed value: a word, as ``tokens.letter_table`` has it.
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 SAMPLED = 8
 BLOCK_WORDS = 2_000_000
 SHARD_BYTES = 4 << 20
@@ -211,7 +214,7 @@ def mark(docs: DataFrame, items: DataFrame, width: int = WIDTH, block_words: int
     """docs with n_words, word_spans (word numbers), spans (code points) and items (the ids with a phrase in the text)."""
     spark = docs.sparkSession
     items = items.select("item_id", "text").filter("item_id IS NOT NULL AND text IS NOT NULL")
-    total = items.agg(F.sum(F.size(F.split("text", r"[^\p{L}\p{N}]+")))).first()[0] or 0
+    total = items.agg(F.sum(F.regexp_count("text", F.lit(WORD)))).first()[0] or 0
     blocks = max(1, -(-total // block_words))
     names = [f.name for f in ADDED]
     docs = docs.drop(*names)

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import os
 import random
 import re
 
@@ -10,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from postline.llm import bpe, chat, decontaminate, divergence, jaccard, lines, pii, quality, repeats, tokens, toxicity
+from postline.llm import bpe, chat, decontaminate, divergence, jaccard, lines, pii, quality, queries, repeats, tokens, toxicity
 from postline.llm import components as components_module
 from postline.llm.common import Scratch
 from postline.llm.components import components, contracted
@@ -483,6 +484,15 @@ def test_chat_long_chain(spark):
     assert r.n_turns == 300 and hashlib.sha256("".join(str(i) for i in range(0, 300, 2)).encode()).hexdigest() == hashlib.sha256("".join(r.formatted[s.start : s.start + s.length] for s in r.loss).encode()).hexdigest()
 
 
-def test_native_operators_plan_no_python(spark, docs):
-    for df in (divergence.features(docs), lines.line_hashes(docs.withColumn("text", F.coalesce("text", F.lit("")))), chat.branch_paths(spark.createDataFrame([(1, 1, None, 0)], "tree int, node int, parent int, score int"))):
-        assert not re.search("Python|Pandas|Arrow", df._jdf.queryExecution().executedPlan().toString())
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test data here")
+@pytest.mark.parametrize("name", ["op1_distribution_divergence", "op4_line_dedup", "op10_chat_formatting"])
+def test_native_queries_plan_no_python(spark, monkeypatch, name):
+    """Neither what a native query returns nor any table or run that it writes on the way."""
+    plans, cut, write = [], Scratch.cut, lines.LineIndex.write_run
+    note = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+    monkeypatch.setattr(Scratch, "cut", lambda self, df, *rest, **named: (note(df), cut(self, df, *rest, **named))[1])
+    monkeypatch.setattr(lines.LineIndex, "write_run", lambda self, rows, level: (note(rows), write(self, rows, level))[1])
+    note(queries.QUERIES[name](spark, "/root/testdata/sf0.001"))
+    assert len(plans) > 1
+    for plan in plans:
+        assert not re.search("Python|Pandas|Arrow|ExistingRDD|LocalTableScan \\[conv", plan)
