@@ -48,6 +48,7 @@ harness | vehicle | chassis | powertrain | battery | stress | fatigue | avionics
 semiconductor | photonics | antenna | rf | wafer | fab | sustainability | utilities | energy | mep | geomatics
 transmission | distribution | substation | construction | spacecraft | gnc | guidance | launch[\s-]?operations | flight[\s-]?test | design
 """
+# The noun that a discipline stands near, and how near.
 NOUN = r"(?:engineer\w*|intern(?:ship)?|co[\s-]?op)"
 GAP = r"[\w\s/&,.'()–—·-]"
 GAP_BEFORE_NOUN, GAP_AFTER_NOUN = 36, 24
@@ -72,6 +73,7 @@ machine[\s-]?learning | deep[\s-]?learning | mlops | ml[\s-]?ops | reinforcement
 natural[\s-]?language[\s-]?processing | llm | large[\s-]?language[\s-]?model | generative[\s-]?ai | gen[\s-]?ai | genai
 neural[\s-]?network | transformer[\s-]?model | applied[\s-]?scientist | research[\s-]?scientist | research[\s-]?engineer
 """
+# The short name before or after a noun.
 AI_BEFORE_NOUN = r"\b(ai|ml|nlp)[\s-]?(engineer|scientist|researcher|developer|architect|infrastructure|platform|systems?|ops)\b"
 AI_AFTER_NOUN = r"\b(engineer|scientist|researcher|architect)[,\s-]+(ai|ml)\b"
 ENGINEERING = r"""
@@ -84,6 +86,7 @@ java | python | golang | typescript | javascript | kotlin | scala | perl | ruby
 django | spring boot | hadoop | apache spark | snowflake | databricks | kafka | airflow | docker | jenkins | ansible | postgres | mysql | mongodb
 sysadmin | systems? administrator | network (engineer|administrator) | dba | database administrator | aws | gcp
 """
+# Further patterns of the same family.
 ENGINEERING_MORE = (
     r"\brobotics?[\s-]?(engineer|software|developer|scientist|architect)\b",
     r"\b(software|systems?|controls?)[\s-]?engineer.{0,20}robotic",
@@ -196,7 +199,7 @@ ISO3 = {
 }
 EUROPE_CODES = "AL AD AT BY BE BA BG HR CY CZ DK EE FI FR DE GI GR HU IS IE IM IT XK LV LI LT LU MT MD MC ME NL MK NO PL PT RO RS SK SI ES SE CH UA GB VA FO GG JE AX SM"
 
-# The patterns, without a flag prefix.
+# The patterns as the lists above make them, without a flag prefix.
 SOFTWARE_RE = f"{words(SOFTWARE)}|{SYMBOL_LANGUAGES}"
 _discipline = words(DISCIPLINE)
 OTHER_ENGINEERING_RE = rf"{_discipline}{GAP}{{0,{GAP_BEFORE_NOUN}}}\b{NOUN}\b|\b{NOUN}\b{GAP}{{0,{GAP_AFTER_NOUN}}}{_discipline}"

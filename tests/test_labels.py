@@ -10,6 +10,17 @@ FAMILIES = {
     "Security Engineer": "security", "Product Manager": "product", "UX Researcher": "design", "Registered Nurse": "other", "SQL Server DBA": "engineering", "DSP / SDR Receiver Engineer": "engineering",
     "Mobile Associate - Retail Sales": "other", "Quantitative Developer": "data", "": "unknown", "C++ Developer": "engineering", "INGÉNIEUR LOGICIEL": "other",
 }
+#: Literal expectations, apart from any rule list: titles by family, and titles by whether they count as engineering.
+BY_FAMILY = {
+    "fde": ["Forward-Deployed Software Engineer", "Solutions Engineer, Enterprise", "Senior Solutions Architect", "Field Engineer II", "Deployment Engineer", "Implementation Consultant", "Technical Account Manager", "Developer Advocate", "Forward Deployed AI Engineer", "Solutions Engineer"],
+    "ai": ["Senior Machine Learning Engineer", "LLM Research Engineer", "MLOps Engineer", "Applied Scientist", "Computer Vision Engineer", "AI Infrastructure Engineer"],
+    "data": ["Senior Data Scientist", "Analytics Engineer", "Data Scientist"],
+    "security": ["Application Security Engineer", "Detection Engineer"],
+    "design": ["Senior Product Designer"],
+    "other": ["Sales Associate", "Seasonal Sales Associate", "Cashier Part Time Day", "Patient Care Technician - PCT", "Registered Nurse - ICU", "Grocery Clerk Part Time Day", "CDL A Truck Driver", "Retail Sales Associate", "Pharmacy Technician", "Senior Welding Engineer", "Manufacturing Engineer II", "Mechanical Engineer", "Civil Engineer", "Senior Structural Engineer", "Industrial Engineer"],
+}
+TECHNICAL = ["Senior Software Engineer", "Backend Developer", "Site Reliability Engineer", "Member of Technical Staff", "Embedded Firmware Engineer", "iOS Engineer", "Staff Compiler Engineer", "Software Quality Engineer", "Mechanical Engineer, Robotics Software", "Robotics Engineer", "Robotics Software Engineer", "Java Lead", "Core Java", "Oracle DBA", "Hadoop Administrator", "System Administrator", "Ruby on Rails", ".NET Architect"]
+NOT_TECHNICAL = ["AI Visual Creator (Static Ads)", "SEO / AEO / GEO Lead (AI Search)", "Robotics Technician", "Robot Teleoperator (AI & Robotics)", "Robotics Operations Technician", "Fulfillment Associate", "Limited Licensed Master Social Worker (LLMSW)", "React to customer needs daily", "Ruby Tuesday Server"]
 LEVELS = {"Senior Engineering Manager": "manager", "Software Engineering Intern": "intern", "New Grad SWE": "new_grad", "VP of Sales": "executive", "Staff Engineer": "staff", "Engineer": None, "Sr. Developer": "senior"}
 REGIONS = {
     "Birmingham, UK": "europe", "Cambridge, MA": "us", "Tbilisi, Georgia": "other", "Atlanta, Georgia": "us", "New Mexico": "other", "Vancouver, WA": "other", "Remote - US": "us", "Remote": "remote",
@@ -27,6 +38,17 @@ def test_families(spark):
     assert got(spark, FAMILIES, labels.role_family) == FAMILIES
 
 
+def test_families_of_literal_titles(spark):
+    want = {title: family for family, titles in BY_FAMILY.items() for title in titles}
+    assert got(spark, want, labels.role_family) == want
+
+
+def test_titles_that_count_as_engineering(spark):
+    want = {title: 1 for title in TECHNICAL} | {title: 0 for title in NOT_TECHNICAL}
+    rows = labels.with_role(spark.createDataFrame([(t,) for t in want], "title string"), "title").collect()
+    assert {r.title: r.is_engineering for r in rows} == want
+
+
 def test_levels(spark):
     assert got(spark, LEVELS, labels.seniority) == LEVELS
 
