@@ -68,7 +68,7 @@ class Scratch:
         return df
 
     def free(self, *dfs: DataFrame) -> None:
-        """Deletes tables that nothing reads any more."""
+        """Deletes tables that nothing reads any more; without any, lets go of the shuffles behind tables that were written."""
         for df in dfs:
             remove(self.spark, self.paths.pop(id(df))[1])
         self.spark._jvm.System.gc()  # lets the driver tell executors which shuffles nobody can read any more

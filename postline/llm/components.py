@@ -89,6 +89,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     stars are left.
     """
     edges = scratch.cut(edges.select("lo", "hi"))
+    scratch.free()
     while not is_stars(edges):
         both = edges.unionByName(edges.select(F.col("hi").alias("lo"), F.col("lo").alias("hi")))
         least = both.groupBy("lo").agg(F.least(F.min("hi"), F.col("lo")).alias("least"))

@@ -281,6 +281,7 @@ def group_queries(found: DataFrame, owners: DataFrame, scratch: Scratch) -> Data
     often = found.filter("frequent")
     shared = often.groupBy("token").agg(F.min(comp).alias("lo"), F.max(comp).alias("hi")).filter("lo <> hi").select("token")
     met = scratch.cut(rare.unionByName(often.join(shared, "token").select("token", "set_id")).join(owners.drop("first_doc"), "set_id"))
+    scratch.free()
     rank = F.struct("size", "comp")
     asking = met.select("token", "set_id", "n", F.col("band").alias("own_band"), rank.alias("own"))
     asked = met.groupBy("token", "home", "band", "salt").agg(F.max(rank).alias("theirs"))
@@ -330,10 +331,12 @@ def similar(docs: DataFrame) -> DataFrame:
         sets = cut(owned.filter("n > 0 AND doc_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("first_doc"), F.min("n").alias("n"), *mins))
         hot = hot_cells(rows)
         homes = cut(buckets(sets))
+        free()
         known = components(easy_links(docs, homes), scratch)
         owners = cut(ownership(sets, homes, known))
         free(sets, homes)
         found = cut(prefixes(docs, owners, hot))
+        free()
         queries = group_queries(found, owners, scratch)
         free(found)
         group = ["home", "band", "salt"]
