@@ -5,7 +5,7 @@ language that pass the base rules are that language's reference. A document is k
 Jensen-Shannon distance of neither histogram to its reference is over its limit; a distance is judged only if the
 document has ``MIN_CHARS`` characters or ``MIN_WORDS`` words for it (the minimum-length guards).
 
-Defined results: a null or empty text has no words and fails; a null language, or one that isn't in ``COMMON_WORDS``, has
+Defined results: a null or empty text has no words and fails; a text of any length is counted whole; a null language, or one that isn't in ``COMMON_WORDS``, has
 the pooled reference ``*`` and no common words; rows are judged one by one, so repeated rows get the same result; an
 empty table gives an empty table; other columns are carried along unless their names begin with ``_q_``. Three-word
 windows are compared by 64-bit hashes within a document.
