@@ -314,7 +314,7 @@ SQL: dict[str, str] = {
             FROM companies c LEFT JOIN judged j ON j.id = c.id""",
         "companies", "boards", "probes",
     ),
-    "adopted_boards": with_views(f"SELECT ats, slug, CASE WHEN company_id IS NULL AND company_name IS NOT NULL THEN {name_base('company_name')} ELSE c.norm_name END AS norm_name FROM boards b LEFT JOIN companies c ON c.id = b.company_id", "companies", "boards"),
+    "adopted_boards": with_views(f"SELECT ats, slug, CASE WHEN c.id IS NULL AND company_name IS NOT NULL THEN {name_base('company_name')} ELSE c.norm_name END AS norm_name FROM boards b LEFT JOIN companies c ON c.id = b.company_id", "companies", "boards"),
     "crawl_refs": "SELECT DISTINCT 'lever' AS ats, 'x' || page_id % 70 AS slug FROM pages WHERE page_id % 6 > 1",
     "archive_refs": "SELECT DISTINCT 'ashby' AS ats, 'y' || page_id % 50 AS slug FROM pages WHERE page_id % 4 <> 0",
     "listed_refs": "SELECT 'lever' AS ats, 'z' || page_id % 30 AS slug, '0a1b2c3d-1111-2222-3333-44445555' || 1000 + page_id % 9000 AS external_id, 'Z' AS company_name, 'Dev' AS title, page_id % 2 = 0 AS seed FROM pages",

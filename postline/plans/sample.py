@@ -26,14 +26,14 @@ PLACES = (
 )
 PLATFORMS = ("ashby", "greenhouse", "lever", "workday", "recruitee", "breezy", "smartrecruiters", "bamboohr")
 LINKS = (
-    "https://jobs.ashbyhq.com/Ramp", "jobs.lever.co/acme/", "https://boards.greenhouse.io/stripe/jobs/123", "https://boards.greenhouse.io/embed/job_board?for=Figma&token=77",
-    "https://acme.wd5.myworkdayjobs.com/en-US/Careers/job/x", "https://www.example.com/jobs", "https://jobs.lever.co/robots.txt", "https://tulip.recruitee.com/o/dev",
-    "https://jobs.smartrecruiters.com/Visa/74399", "https://jobs.ashbyhq.com/api/x", "http://acme.breezy.hr/", "https://job-boards.eu.greenhouse.io/Nord",
-    "https://jobs.ashbyhq.com/ramp/0a1b2c3d-1111-2222-3333-444455556666", "", "ftp://nowhere", "https://www.acme.bamboohr.com/careers/1",
+    "https://jobs.ashbyhq.com/Rampo", "jobs.lever.co/acme/", "https://boards.greenhouse.io/stripling/jobs/123", "https://boards.greenhouse.io/embed/job_board?for=Figura&token=77",
+    "https://acme.wd5.myworkdayjobs.com/en-US/Careers/job/x", "https://www.example.com/jobs", "https://jobs.lever.co/robots.txt", "https://tulipan.recruitee.com/o/dev",
+    "https://jobs.smartrecruiters.com/Viso/74399", "https://jobs.ashbyhq.com/api/x", "http://acme.breezy.hr/", "https://job-boards.eu.greenhouse.io/Nord",
+    "https://jobs.ashbyhq.com/rampo/0a1b2c3d-1111-2222-3333-444455556666", "", "ftp://nowhere", "https://www.acme.bamboohr.com/careers/1",
     "https://acme.wd1.myworkdayjobs.com/wday/cxs/acme/Ext/jobs", "https://jobs.jobvite.com/acme/job/o1",
 )
-NAMES = ("Databricks, Inc.", "Foo, Inc. Corp.", "Acme GmbH", "Simple AI", "Weave", "L'Oreal SA", "Malama Health", "Acme Company", "", "Visly", "Ramp LLC", "Nord 7 Oy")
-SITES = ("https://www.databricks.com/careers", "foo.io", "boards.greenhouse.io/stripe", "usesimple.ai", "weaveos.com", "LOREAL.COM", "heymalama.co", "acme.com", "localhost", "figma.com", "http://ramp.com:80/x", "sub.lever.co")
+NAMES = ("Datalodge, Inc.", "Foo, Inc. Corp.", "Acme GmbH", "Simply AI", "Woven", "L'Aurelle SA", "Marama Health", "Acme Company", "", "Vesli", "Rampo LLC", "Nord 7 Oy")
+SITES = ("https://www.datalodge.com/careers", "foo.io", "boards.greenhouse.io/stripling", "usesimply.ai", "wovenos.com", "LAURELLE.COM", "heymarama.co", "acme.com", "localhost", "figura.com", "http://rampo.com:80/x", "sub.lever.co")
 AGES = ("Posted Today", "Posted Yesterday", "Posted 5 Days Ago", "Posted 30+ Days Ago", "posted 1 day ago", "Posted", "", "Reposted 3 days ago")
 PATHS = ("/job/Southlake-TX/Engineer_R1", "/job/12345/X_R2", "/job/A/Y", "/careers", "/job/New-York--NY/Z_R-3", "")
 
