@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from postline.llm import bpe, chat, decontaminate, divergence, jaccard, lines, pii, quality, repeats, toxicity
+from postline.llm import bpe, bytelevel, chat, decontaminate, divergence, fim, jaccard, lines, periodic, pii, quality, repeats, toxicity
 from postline.llm.common import crc_bucket, table
 
 #: Fixed value: the conversation that op10 adds.
@@ -162,6 +162,97 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """documents of which each tenth, by the hash of its id, has its words from one on replaced by repetitions of some of them."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), 1)
+    n, g = F.size(words).cast("bigint"), F.floor(h / 10)
+    first = g % n
+    period = 1 + F.floor((n - first) / (3 + g % 8))
+    whole = lambda c: c.cast("int")
+    unit = F.slice(words, whole(first + 1), whole(period))
+    repeated = F.slice(F.flatten(F.array_repeat(unit, whole(F.ceil((n - first) / period)))), F.lit(1), whole(n - first))
+    planted = F.array_join(F.concat(F.slice(words, F.lit(1), whole(first)), repeated), " ")
+    return docs.withColumn("text", F.when((h % 10 == 0) & F.col("text").rlike(r"[^\x20\x09-\x0D]"), planted).otherwise(F.col("text")))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.with_runs(with_planted_runs(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    # lengths and periods under 2 ** 26: quotients of doubles are equal only if the fractions are, and are ordered as they are
+    by_exponent = F.array_max(F.transform("runs", lambda r: F.struct((r["length"] / r["period"]).alias("exponent"), (-r["start"]).alias("start"), (-r["period"]).alias("period"), r["length"].alias("length"))))
+    shown = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n")))
+    return found.withColumn("best", by_exponent).select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        (-F.col("best.start")).alias("start"),
+        F.col("best.length").alias("length"),
+        (-F.col("best.period")).alias("period"),
+        F.expr("1000 * best.length div -best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(shown, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.transformed(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return made.select(
+        "doc_id",
+        F.col("n_units").alias("n"),
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(fim.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    codec = bytelevel.Codec.load(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    both = bytelevel.with_ids(table(spark, sf_dir, "documents").select("doc_id", "text"), codec, decoded=True)
+    return both.select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+#: Equal words at a distance of up to a third of the text, and islands of them.
+OP11_SQL = r"""
+WITH bits AS (SELECT doc_id, text, list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: [CAST(ascii(x) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))) AS steps FROM documents),
+cut AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w,
+               xor(list_reduce(steps, lambda c, x: xor(xor(c, x) >> 1, 3988292384 * (xor(c, x) & 1))), 4294967295) AS h FROM bits),
+planned AS (SELECT doc_id, w, len(w) AS n, h % 10 = 0 AND len(w) > 0 AS hit, (h // 10) % greatest(len(w), 1) AS a, 3 + (h // 10) % 8 AS parts FROM cut),
+words AS (SELECT doc_id, n, CASE WHEN hit THEN list_concat(w[1:a], list_transform(range(a, n), lambda i: w[a + (i - a) % (1 + (n - a) // parts) + 1])) ELSE w END AS w FROM planned),
+placed AS (SELECT doc_id, n, unnest(w) AS word, unnest(range(len(w))) AS i FROM words),
+pairs AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM placed x JOIN placed y ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND (y.i - x.i) * 3 <= x.n),
+islands AS (SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM (
+    SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM pairs) GROUP BY doc_id, q, island),
+runs AS (SELECT doc_id, start, length, min(q) AS period FROM islands WHERE length >= greatest(24, 3 * q) GROUP BY ALL),
+counted AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS shown FROM runs GROUP BY doc_id),
+best AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length / period DESC, start, period) = 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS collapsed FROM placed ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli,
+       sha256(coalesce(shown, '')) AS runs_sha256, sha256(coalesce(collapsed, '')) AS collapsed_sha256
+FROM words LEFT JOIN counted USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+OP12_SQL = r"""
+WITH cut AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(regexp_extract_all(text, '[^\n]*\n|[^\n]+'), []) AS u, sha256('7:' || doc_id) AS hex FROM documents),
+drawn AS (SELECT *, len(u) AS n, CAST('0x' || hex[1:8] AS BIGINT) % (len(u) + 1) AS a, CAST('0x' || hex[9:16] AS BIGINT) % (len(u) + 1) AS b,
+                 text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR CAST('0x' || hex[17:24] AS BIGINT) % 100 >= 100 AS plain,
+                 CAST('0x' || hex[25:32] AS BIGINT) % 100 < 50 AS suffix_first FROM cut),
+parts AS (SELECT *, array_to_string(u[1:least(a, b)], '') AS prefix, array_to_string(u[least(a, b) + 1:greatest(a, b)], '') AS middle, array_to_string(u[greatest(a, b) + 1:n], '') AS suffix FROM drawn)
+SELECT doc_id, CAST(n AS BIGINT) AS n, CASE WHEN plain THEN 'plain' WHEN suffix_first THEN 'spm' ELSE 'psm' END AS form,
+       CASE WHEN NOT plain THEN length(prefix) END AS prefix_chars, CASE WHEN NOT plain THEN length(middle) END AS middle_chars,
+       sha256(CASE WHEN plain THEN text WHEN suffix_first THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle ELSE '<P>' || prefix || '<S>' || suffix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM parts
+"""
+
 OP10_SQL = r"""
 WITH probe(conv_id, turn, role, text) AS (
   VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')),
@@ -222,5 +313,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_bpe": op9_bpe,
     "op10_chat_formatting": op10_chat_formatting,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_byte_bpe": op13_byte_bpe,
 }
-SQL: dict[str, str] = {"op1_distribution_divergence": op1_sql(), "op2_decontamination": OP2_SQL, "op4_line_dedup": OP4_SQL, "op10_chat_formatting": OP10_SQL}
+SQL: dict[str, str] = {"op1_distribution_divergence": op1_sql(), "op2_decontamination": OP2_SQL, "op4_line_dedup": OP4_SQL, "op10_chat_formatting": OP10_SQL, "op11_periodic_runs": OP11_SQL, "op12_fill_in_middle": OP12_SQL}
