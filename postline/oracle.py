@@ -483,3 +483,10 @@ SQL |= {
     ),
 }
 SQL["stream_event_rates"] = "SELECT CAST(epoch(ts) AS BIGINT) // 86400 * 86400 AS start, event_type AS type, count(*) AS n FROM events GROUP BY ALL"
+SQL["stream_poll_next"] = SQL["diff_next_state"]
+SQL["poll_shares"] = with_views(
+    """WITH placed AS (SELECT ats, slug, job_count * job_count AS n, job_count * job_count > 1000 AS big, CAST('0x' || md5(ats || '/' || slug)[1:2] AS INT) AS bucket FROM boards),
+       laid AS (SELECT *, sum(CASE WHEN big THEN 0 ELSE n END) OVER o - CASE WHEN big THEN 0 ELSE n END AS pos, count(*) FILTER (big) OVER o AS nth FROM placed WINDOW o AS (ORDER BY bucket, ats, slug))
+       SELECT CAST(CASE WHEN big THEN nth * 2 - 1 ELSE pos // 1000 * 2 END AS BIGINT) AS share, count(*) AS boards, CAST(sum(n) AS BIGINT) AS postings, count(DISTINCT bucket) AS buckets FROM laid GROUP BY 1""",
+    "boards",
+)

@@ -13,6 +13,8 @@ from postline.operators import careers, diff, ingest, registry, sweeps
 from postline.plans import digest, gates, health, listings, policy
 from postline.plans.sample import NOW, view
 from postline.sources import adapters, gazetteer, refs, walk
+from postline.sources.scratch import scratch_path
+from postline.sources.store import Store
 from postline.streaming import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -555,3 +557,32 @@ def stream_event_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["stream_event_rates"] = stream_event_rates
+
+
+@query("boards")
+def poll_shares(boards: DataFrame) -> DataFrame:
+    sized = boards.select("ats", "slug", (F.col("job_count") * F.col("job_count")).alias("fetched"))
+    shares = streams.shares(sized, most=2_000)
+    return shares.groupBy("share").agg(F.count(F.lit(1)).alias("boards"), F.sum("fetched").alias("postings"), F.countDistinct("bucket").alias("buckets"))
+
+
+def as_stream(df: DataFrame, path: str) -> DataFrame:
+    """A table as a stream: its files are read in turn."""
+    df.write.parquet(path)
+    return df.sparkSession.readStream.schema(df.schema).parquet(path)
+
+
+def stream_poll_next(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The diff as a stream, share by share: the stored jobs after one poll of all fetched boards."""
+    root = scratch_path(spark, "poll")
+    store = Store(spark, f"{root}/store")
+    store.write("jobs", view(spark, sf_dir, "jobs"))
+    fetched = view(spark, sf_dir, "fetched").select(F.lit(1).cast("bigint").alias("snapshot_id"), "ats", "slug", F.lit("ok").alias("fetch_status"), "fetched")
+    staged = view(spark, sf_dir, "staged")
+    staged_of = lambda own: staged.join(own.select("ats", "slug"), ["ats", "slug"], "left_semi")
+    streams.diff_stream(as_stream(fetched, f"{root}/in"), store, staged_of, f"{root}/checkpoint", lambda _: NOW).awaitTermination()
+    columns = ("ats", "slug", "external_id", "title", "content_hash", "posted_at", "first_seen_at", "last_seen_at", "closed_at", "status", "missing_polls", "role_family")
+    return store.read("jobs").select(*columns)
+
+
+QUERIES["stream_poll_next"] = stream_poll_next

@@ -3,58 +3,94 @@
 Each micro-batch runs the same pure functions as the batch engine: state and input give the next state and events. The
 state lives in the store, and all that a batch writes (a diff's events, jobs, run and number; a digest's marks) is one
 transaction there: a batch that dies at any point and runs again starts from where it did, and a repeat of a finished
-batch changes nothing. Big snapshots are settled in ``SHARE``s of boards, so that none stages more postings than that.
+batch changes nothing. Big snapshots are settled in shares of whole boards. A share reads and writes the state's buckets that
+its boards lie in, and no others, so that the bytes moved follow what was polled.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from postline import config
 from postline.operators import diff, sweeps
 from postline.plans import digest
-from postline.sources.store import Store
+from postline.sources.store import Store, bucket_of
 
-#: The keys in notifier_state: the digest's value is an event id, the diff's a batch's number times SHARES and a share's.
-DIGEST, DIFF = "digest_mark", "diff"
+#: The keys in notifier_state: the digest's value is an event id, the diff's a batch's number times SHARES and a share's; those of
+#: LAST and a table's name have the last id given there.
+DIGEST, DIFF, LAST = "digest_mark", "diff", "last:"
 SHARES = 1 << 20
 FETCHED = "snapshot_id bigint, ats string, slug string, fetch_status string, fetched int"
 
 
+def noted(store: Store, key: str) -> int | None:
+    """A number of notifier_state."""
+    return store.read("notifier_state").filter(F.col("key") == key).agg(F.max("last_event_id")).first()[0]
+
+
 def advance(store: Store, name: str, batch_id: int) -> bool:
     """Whether a consumer's batch is new; its number is kept in notifier_state."""
-    done = store.read("notifier_state").filter(F.col("key") == name).agg(F.max("last_event_id")).first()[0]
+    done = noted(store, name)
     return done is None or batch_id > done
 
 
-def finish(store: Store, name: str, mark: int, ts: int) -> None:
-    others = store.read("notifier_state").filter(F.col("key") != name)
-    row = store.spark.createDataFrame([(name, mark, ts)], "key string, last_event_id bigint, updated_at bigint")
-    store.write("notifier_state", others.unionByName(row))
+def finish(store: Store, marks: dict[str, int], ts: int) -> None:
+    """Notes numbers under their keys."""
+    others = store.read("notifier_state").filter(~F.col("key").isin(*marks))
+    rows = store.spark.createDataFrame([(key, mark, ts) for key, mark in marks.items()], "key string, last_event_id bigint, updated_at bigint")
+    store.write("notifier_state", others.unionByName(rows))
+
+
+def last_id(store: Store, table: str) -> int:
+    """The last id of a table that ids are given to: as noted, or where it isn't yet, as found."""
+    have = noted(store, LAST + table)
+    return have if have is not None else store.read(table).agg(F.coalesce(F.max("id"), F.lit(0).cast("bigint"))).first()[0]
 
 
-def settle_snapshot(store: Store, boards: DataFrame, staged: DataFrame, ts: int) -> DataFrame:
-    """One poll's diff: writes the next jobs and appends the events. Gives the decisions, from which nothing is read later."""
-    jobs = store.read("jobs")
-    top = store.read("events").agg(F.coalesce(F.max("id"), F.lit(0).cast("bigint"))).first()[0]
-    decisions, held = diff.decided(jobs, boards, staged), []
+def shares(boards: DataFrame, most: int = config.STAGED_MOST) -> DataFrame:
+    """boards (ats, slug, fetched) with ``bucket`` and ``share``: whole boards, packed by running sums in the order of buckets.
+
+    The boards of a share fetched at most ``most`` postings together. One with more than half of that has a share of its own; the
+    others, laid end to end, are cut at every half, so that a share holds less than a half and the board that reaches past it.
+    Sums run within a bucket, from the sums of the buckets before it, of which there are few. Shares of buckets side by
+    side touch few buckets each.
+    """
+    half = F.lit(most // 2)
+    placed = boards.withColumn("bucket", bucket_of()).withColumn("_big", F.col("fetched") > half)
+    rows = placed.withColumns({"_size": F.when(F.col("_big"), 0).otherwise(F.col("fetched")).cast("bigint"), "_one": F.col("_big").cast("bigint")})
+    until = Window.partitionBy("bucket").orderBy(*diff.BOARD)
+    rows = rows.withColumns({"_at": F.sum("_size").over(until) - F.col("_size"), "_nth": F.sum("_one").over(until)})
+    sums = rows.groupBy("bucket").agg(F.sum("_size").alias("_sizes"), F.sum("_one").alias("_ones"))
+    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    nought = F.lit(0).cast("bigint")
+    starts = sums.select("bucket", *[F.coalesce(F.sum(c).over(before), nought).alias(to) for c, to in (("_sizes", "_start"), ("_ones", "_first"))])
+    joined = rows.join(F.broadcast(starts), "bucket")  # a row for each bucket
+    # shares of small boards have even numbers, those of big ones odd numbers
+    number = F.when(F.col("_big"), (F.col("_first") + F.col("_nth")) * 2 - 1).otherwise(F.floor((F.col("_start") + F.col("_at")) / half) * 2)
+    return joined.withColumn("share", number.cast("bigint")).select(*boards.columns, "bucket", "share")
+
+
+def settle_share(store: Store, boards: DataFrame, staged: DataFrame, buckets: list[int], ts: int) -> tuple[DataFrame, dict[str, int]]:
+    """The diff of some boards, all of whose postings lie in these buckets: writes the buckets' next jobs and appends the events.
+    Gives the decisions, persisted, and the last id of the events."""
+    jobs = store.read("jobs", buckets)
+    decisions, held = diff.decided(jobs, boards, staged).persist(), []
+    top = last_id(store, "events")
     store.append("events", diff.events(decisions, ts, top, held))
     for df in held:
         df.unpersist()
-    store.write("jobs", diff.next_state(decisions, ts))
-    return decisions
+    store.replace("jobs", diff.next_state(decisions, ts), buckets)
+    return decisions, {LAST + "events": top + decisions.filter(F.col("action").isin(*diff.EVENT_RANK)).count()}
 
 
-def shares(boards: DataFrame, most: int = config.STAGED_MOST) -> DataFrame:
-    """boards (ats, slug, fetched) with ``share``, numbered from 0: those of a share fetched about ``most`` postings together, more
-    only where a single board has. Boards go by their hash, so no order of all is needed."""
-    total = boards.agg(F.coalesce(F.sum("fetched"), F.lit(0)).alias("total"))
-    number = F.pmod(F.xxhash64("ats", "slug"), F.greatest(F.lit(1), F.ceil(F.col("total") / most)))
-    return boards.join(F.broadcast(total)).withColumn("share", number.cast("int")).drop("total")  # one row
+def newest(batch: DataFrame) -> DataFrame:
+    """The last snapshot of each board in a batch."""
+    last = F.max(F.struct("snapshot_id", "fetched", "fetch_status")).alias("_last")
+    return batch.groupBy(*diff.BOARD).agg(last).select(*diff.BOARD, "_last.*")
 
 
 def diff_stream(fetched: DataFrame, store: Store, staged_of: Callable[[DataFrame], DataFrame], checkpoint: str, ts_of: Callable[[int], int], most: int = config.STAGED_MOST) -> StreamingQuery:
@@ -66,19 +102,22 @@ def diff_stream(fetched: DataFrame, store: Store, staged_of: Callable[[DataFrame
 
     def each(batch: DataFrame, batch_id: int) -> None:
         ts = ts_of(batch_id)
-        ok = shares(batch.filter("fetch_status = 'ok'").dropDuplicates(["ats", "slug"]), most).persist()
-        last = ok.agg(F.coalesce(F.max("share"), F.lit(0))).first()[0]
-        for share in range(last + 1):
-            mark = batch_id * SHARES + share
+        ok = shares(newest(batch.filter("fetch_status = 'ok'")), most).persist()
+        failed = newest(batch.filter("fetch_status <> 'ok'"))
+        # a row for each share, of some thousands of postings
+        todo = ok.groupBy("share").agg(F.sort_array(F.collect_set("bucket")).alias("buckets")).orderBy("share").collect()
+        for number, (share, buckets) in enumerate([tuple(r) for r in todo] or [(None, [])]):
+            mark = batch_id * SHARES + number
             if not advance(store, DIFF, mark):
                 continue
-            own = ok.filter(F.col("share") == share).drop("share")
+            own = ok.filter(F.col("share").eqNullSafe(F.lit(share).cast("bigint"))).drop("share", "bucket")
             with store.transaction():
-                decisions = settle_snapshot(store, own.select("ats", "slug", "fetched"), staged_of(own), ts)
-                polled = own if share else own.unionByName(batch.filter("fetch_status <> 'ok'").select(*own.columns))
-                top = store.read("poll_runs").agg(F.coalesce(F.max("id"), F.lit(0).cast("bigint"))).first()[0]
+                decisions, marks = settle_share(store, own.select("ats", "slug", "fetched"), staged_of(own), buckets, ts)
+                polled = own if number else own.unionByName(failed)
+                top = last_id(store, "poll_runs")
                 store.append("poll_runs", sweeps.poll_run(polled, decisions, ts, ts, top))
-                finish(store, DIFF, mark, ts)
+                finish(store, marks | {LAST + "poll_runs": top + 1, DIFF: mark}, ts)
+            decisions.unpersist()
         ok.unpersist()
 
     return fetched.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -86,8 +125,8 @@ def diff_stream(fetched: DataFrame, store: Store, staged_of: Callable[[DataFrame
 
 def digest_mark(store: Store) -> int:
     """The last event id that the digest has settled. A consumer without one begins at the newest stored event, not with all history."""
-    have = store.read("notifier_state").filter(F.col("key") == DIGEST).agg(F.max("last_event_id")).first()[0]
-    return have if have is not None else store.read("events").agg(F.coalesce(F.max("id"), F.lit(0).cast("bigint"))).first()[0]
+    have = noted(store, DIGEST)
+    return have if have is not None else last_id(store, "events")
 
 
 def digest_stream(events: DataFrame, store: Store, send: Callable[[DataFrame], bool], checkpoint: str, now: int) -> StreamingQuery:
@@ -97,7 +136,7 @@ def digest_stream(events: DataFrame, store: Store, send: Callable[[DataFrame], b
     exact however many wait. If it returns False the query fails, so that the micro-batch is offered again at the next start.
     Event ids rise from one micro-batch to the next.
     """
-    finish(store, DIGEST, digest_mark(store), now)
+    finish(store, {DIGEST: digest_mark(store)}, now)
 
     def each(batch: DataFrame, batch_id: int) -> None:
         mark = digest_mark(store)
@@ -114,7 +153,7 @@ def digest_stream(events: DataFrame, store: Store, send: Callable[[DataFrame], b
                 told = digest.mark_notified(told, first, now)
         with store.transaction():
             store.write("notified_jobs", digest.pruned(told, now))
-            finish(store, DIGEST, max(mark, span.to_id), now)
+            finish(store, {DIGEST: max(mark, span.to_id)}, now)
 
     return events.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
