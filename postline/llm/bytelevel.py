@@ -15,6 +15,7 @@ texts and pre-tokens of any length are encoded whole; an empty table gives an em
 from __future__ import annotations
 
 import base64
+import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -42,7 +43,7 @@ MODEL_TYPE, BPE_MODEL, UNKNOWN_ID = 3, 2, 40
 NAME, ADD_DUMMY_PREFIX, REMOVE_EXTRA_WHITESPACES, ESCAPE_WHITESPACES = 1, 3, 4, 5
 
 #: Letters and digits that the pattern engine of the library doesn't know as such, and the symbol that takes their place for cutting.
-_later, SYMBOL = regex.compile(f"[{characters(LATER_LETTERS)}{characters(LATER_DIGITS)}]"), "\u2603"
+_later, SYMBOL = re.compile(f"[{characters(LATER_LETTERS)}{characters(LATER_DIGITS)}]"), "\u2603"
 
 
 def varint(n: int) -> bytes:
@@ -147,12 +148,13 @@ class Codec:
         out = self.flat[np.repeat(start - ends + own, own) + np.arange(int(ends[-1]) if len(ends) else 0)]
         return np.split(out, np.concatenate([[0], ends])[np.cumsum(counts)][:-1]) if texts else []
 
-    def decode(self, ids: list[int]) -> bytes:
+    def decode(self, ids: np.ndarray | list[int]) -> bytes:
         """The bytes of the ids: their pieces joined, each character mapped back to its byte."""
         self.prepare()
-        if ids and not 0 <= min(ids) <= max(ids) < len(self.tokens):
+        ids = np.asarray(ids, np.int64)
+        if len(ids) and not 0 <= ids.min() <= ids.max() < len(self.tokens):
             raise ValueError("an id that is not of this vocabulary")
-        return "".join(map(self.pieces.__getitem__, ids)).translate(self.hidden).encode("latin-1")
+        return "".join(map(self.pieces.__getitem__, ids.tolist())).translate(self.hidden).encode("latin-1")
 
 
 def groups(texts: list[str]) -> Iterator[list[str]]:
@@ -183,7 +185,7 @@ def with_ids(docs: DataFrame, codec: Codec, decoded: bool = False) -> DataFrame:
             rows = held.value.encode(texts)
             ids.append(lists(rows))
             if decoded:
-                back.append(pa.array([held.value.decode(r.tolist()) for r in rows], pa.binary()))
+                back.append(pa.array([held.value.decode(r) for r in rows], pa.binary()))
         out = [pa.concat_arrays(ids) if ids else pa.array([], pa.list_(pa.int32()))]
         return [*out, pa.concat_arrays(back) if back else pa.array([], pa.binary())] if decoded else out
 
