@@ -42,7 +42,7 @@ def resolve_companies(companies: DataFrame, refs: DataFrame) -> DataFrame:
     present = lambda c: F.when(F.col(c).isNotNull() & (F.col(c) != ""), F.col("ord"))
     fields = [F.min_by(c, present(c)).alias(c) for c in ("name", "website", "careers_url")]
     rows = named.groupBy("_domain", "_norm").agg(*fields, F.min("ord").alias("ord"))
-    by_domain = companies.filter("domain IS NOT NULL").select(F.col("domain").alias("_domain"), F.col("id").alias("_by_domain"))
+    by_domain = companies.filter("domain IS NOT NULL").groupBy(F.col("domain").alias("_domain")).agg(F.min("id").alias("_by_domain"))
     best = F.min(F.struct(F.col("domain").isNull().alias("bare"), "id", "domain"))
     by_name = companies.filter("norm_name IS NOT NULL").groupBy(F.col("norm_name").alias("_norm")).agg(best.alias("_by_name"))
     found = rows.join(by_domain, "_domain", "left").join(by_name, "_norm", "left")
@@ -54,19 +54,42 @@ def resolve_companies(companies: DataFrame, refs: DataFrame) -> DataFrame:
     )
 
 
-def upsert_companies(companies: DataFrame, refs: DataFrame, ts: int, source: str) -> DataFrame:
-    """The next companies. Values that a company has stay; what it lacks is filled from its first row by ord."""
-    resolved = resolve_companies(companies, refs)
+def filled_companies(companies: DataFrame, resolved: DataFrame) -> DataFrame:
+    """The companies that gain a value from their references, with it: what they lack, from their first row by ord."""
     known = resolved.filter("company_id IS NOT NULL")
     fields = ["domain", "name", "norm_name", "website", "careers_url"]
     fill = known.groupBy(F.col("company_id").alias("id")).agg(*[F.min_by(c, F.when(F.col(c).isNotNull(), F.col("ord"))).alias(f"_{c}") for c in fields])
-    kept = companies.join(fill, "id", "left").withColumns({c: F.coalesce(c, f"_{c}") for c in fields}).select(*companies.columns)
-    top = companies.agg(F.coalesce(F.max("id"), F.lit(0).cast("bigint"))).first()[0]
+    gains = F.lit(False)
+    for c in fields:
+        gains = gains | (F.col(c).isNull() & F.col(f"_{c}").isNotNull())
+    return companies.join(fill, "id").filter(gains).withColumns({c: F.coalesce(c, f"_{c}") for c in fields}).select(*companies.columns)
+
+
+def added_companies(companies: DataFrame, resolved: DataFrame, ts: int, source: str, top: int, held: list[DataFrame] | None = None) -> DataFrame:
+    """The companies that no one knew, numbered on from top in the order of their references. held: see ``diff.numbered``."""
     from postline.operators.diff import numbered
 
-    added = numbered(resolved.filter("company_id IS NULL"), ["ord"], top).withColumns({"first_seen_at": F.lit(ts).cast("bigint"), "source": F.lit(source)})
-    blank = [F.lit(None).cast(t).alias(c) if c not in added.columns else F.col(c).cast(t).alias(c) for c, t in companies.dtypes]
-    return kept.unionByName(added.select(*blank))
+    added = numbered(resolved.filter("company_id IS NULL"), ["ord"], top, held).withColumns({"first_seen_at": F.lit(ts).cast("bigint"), "source": F.lit(source)})
+    return added.select(*[F.lit(None).cast(t).alias(c) if c not in added.columns else F.col(c).cast(t).alias(c) for c, t in companies.dtypes])
+
+
+def upsert_companies(companies: DataFrame, refs: DataFrame, ts: int, source: str) -> DataFrame:
+    """The next companies. Values that a company has stay; what it lacks is filled from its first row by ord."""
+    resolved = resolve_companies(companies, refs)
+    filled = filled_companies(companies, resolved)
+    kept = companies.join(filled.select("id"), "id", "left_anti").select(*companies.columns).unionByName(filled)
+    top = companies.agg(F.coalesce(F.max("id"), F.lit(0).cast("bigint"))).first()[0]
+    return kept.unionByName(added_companies(companies, resolved, ts, source, top))
+
+
+def company_links(refs: DataFrame, resolved: DataFrame, added: DataFrame) -> DataFrame:
+    """(ats, slug, cid) of boards whose references name a company: the known one (resolved), or the one that was added for them. Of
+    several the first one named by ord."""
+    known = resolved.filter("company_id IS NOT NULL").select("domain", "norm_name", F.col("company_id").alias("cid"))
+    ids = known.unionByName(added.select("domain", "norm_name", F.col("id").alias("cid"))).withColumnsRenamed({"domain": "_fd", "norm_name": "_fn"})
+    named = refs.filter("slug IS NOT NULL").withColumns({"_d": F.coalesce(apex(F.col("domain")), apex(F.col("website"))), "_n": F.nullif(base(F.col("name")), F.lit(""))})
+    hits = named.join(ids, named["_d"].eqNullSafe(ids["_fd"]) & named["_n"].eqNullSafe(ids["_fn"]))
+    return hits.groupBy(*BOARD).agg(F.min_by("cid", "ord").alias("cid"))
 
 
 def merge_companies(companies: DataFrame, boards: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:

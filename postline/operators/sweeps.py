@@ -27,10 +27,10 @@ def in_order(found: DataFrame, sources: DataFrame, limit: int | None = None) ->
     return asked.withColumn("ord", F.col("rank").cast("bigint") * WITHIN + F.col("ord"))
 
 
-def company_rows(rows: DataFrame) -> DataFrame:
-    """The references that name a company, as ``registry.resolve_companies`` takes them."""
+def company_rows(rows: DataFrame, *others: str) -> DataFrame:
+    """The references that name a company, as ``registry.resolve_companies`` takes them, with other columns of theirs."""
     named = rows.filter("company_name IS NOT NULL OR website IS NOT NULL OR domain IS NOT NULL")
-    return named.select(F.col("company_name").alias("name"), "domain", "website", "careers_url", "ord")
+    return named.select(*others, F.col("company_name").alias("name"), "domain", "website", "careers_url", "ord")
 
 
 def sweep_counts(found: DataFrame, sources: DataFrame, boards: DataFrame, companies: DataFrame, jobs: DataFrame, limit: int | None = None) -> DataFrame:

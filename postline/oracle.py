@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from postline import config
 from postline.functions import names, rules as R, urls
 from postline.plans.sample import NOW, with_views
@@ -152,7 +154,7 @@ RESOLVED = f"""
     best AS (SELECT norm_name, arg_min(id, (domain IS NULL, id)) AS id, arg_min(coalesce(domain, ''), (domain IS NULL, id)) AS domain FROM companies WHERE norm_name IS NOT NULL GROUP BY norm_name),
     resolved AS (SELECT d AS domain, nullif(nn, '') AS norm_name, r.name, coalesce(r.website, 'https://' || d) AS website, r.careers_url, r.ord,
                         coalesce(x.id, CASE WHEN nn <> '' AND NOT (d IS NOT NULL AND coalesce(b.domain, '') <> '' AND b.domain <> d) THEN b.id END) AS company_id
-                 FROM rows_ r LEFT JOIN companies x ON x.domain = r.d LEFT JOIN best b ON b.norm_name = r.nn)"""
+                 FROM rows_ r LEFT JOIN (SELECT domain, min(id) AS id FROM companies WHERE domain IS NOT NULL GROUP BY domain) x ON x.domain = r.d LEFT JOIN best b ON b.norm_name = r.nn)"""
 
 CAREERS = """
     pages AS (SELECT domain AS found, path, CASE WHEN contains(html, 'lever.co') THEN regexp_extract(html, 'lever.co/(n\\d+)', 1) END AS slug FROM probes WHERE status = 200),
@@ -485,8 +487,78 @@ SQL |= {
 SQL["stream_event_rates"] = "SELECT CAST(epoch(ts) AS BIGINT) // 86400 * 86400 AS start, event_type AS type, count(*) AS n FROM events GROUP BY ALL"
 SQL["stream_poll_next"] = SQL["diff_next_state"]
 SQL["poll_shares"] = with_views(
-    """WITH placed AS (SELECT ats, slug, job_count * job_count AS n, job_count * job_count > 1000 AS big, CAST('0x' || md5(ats || '/' || slug)[1:2] AS INT) AS bucket FROM boards),
+    """WITH placed AS (SELECT ats, slug, job_count * job_count AS n, job_count * job_count > 1000 AS big, CAST('0x' || md5(ats || '/' || slug)[1:6] AS INT) % 64 AS bucket FROM boards),
        laid AS (SELECT *, sum(CASE WHEN big THEN 0 ELSE n END) OVER o - CASE WHEN big THEN 0 ELSE n END AS pos, count(*) FILTER (big) OVER o AS nth FROM placed WINDOW o AS (ORDER BY bucket, ats, slug))
        SELECT CAST(CASE WHEN big THEN nth * 2 - 1 ELSE pos // 1000 * 2 END AS BIGINT) AS share, count(*) AS boards, CAST(sum(n) AS BIGINT) AS postings, count(DISTINCT bucket) AS buckets FROM laid GROUP BY 1""",
     "boards",
 )
+
+
+def resolved_as(k: str, companies: str, refs: str) -> str:
+    """RESOLVED over these tables, its own named with k behind."""
+    own = re.sub(r"\b(named|rows_|best|resolved)\b", rf"\1{k}", RESOLVED)
+    return re.sub(r"\bcompanies\b", companies, re.sub(r"\bcompany_refs\b", refs, own))
+
+
+def swept(names: list[str]) -> str:
+    """CTEs of a sweep over the leads of these sources in turn: companies<k> before source k, links<k> of the boards that it names."""
+    out = ["companies0 AS (SELECT id, domain, name, norm_name, website, careers_url FROM companies)"]
+    for k, name in enumerate(names):
+        out.append(f"refs{k} AS (SELECT company_name AS name, domain, website, careers_url, ord, ats, slug FROM leads WHERE source = {quoted(name)} AND (company_name IS NOT NULL OR domain IS NOT NULL OR website IS NOT NULL))")
+        out.append(resolved_as(f"_{k}", f"companies{k}", f"refs{k}").strip())
+        first = ", ".join(f"arg_min({c}, ord) FILTER ({c} IS NOT NULL) AS {c}" for c in ("domain", "name", "norm_name", "website", "careers_url"))
+        kept = ", ".join(f"coalesce(c.{c}, f.{c}) AS {c}" for c in ("domain", "name", "norm_name", "website", "careers_url"))
+        out.append(f"fill{k} AS (SELECT company_id AS id, {first} FROM resolved_{k} WHERE company_id IS NOT NULL GROUP BY company_id)")
+        out.append(f"new{k} AS (SELECT (SELECT max(id) FROM companies{k}) + row_number() OVER (ORDER BY ord) AS id, domain, name, norm_name, website, careers_url FROM resolved_{k} WHERE company_id IS NULL)")
+        out.append(f"companies{k + 1} AS (SELECT id, {kept} FROM companies{k} c LEFT JOIN fill{k} f USING (id) UNION ALL SELECT * FROM new{k})")
+        out.append(f"ids{k} AS (SELECT domain, norm_name, company_id AS cid FROM resolved_{k} WHERE company_id IS NOT NULL UNION ALL SELECT domain, norm_name, id FROM new{k})")
+        out.append(f"links{k} AS (SELECT ats, slug, arg_min(cid, n.ord) AS cid FROM named_{k} n JOIN ids{k} r ON n.d IS NOT DISTINCT FROM r.domain AND nullif(n.nn, '') IS NOT DISTINCT FROM r.norm_name WHERE slug IS NOT NULL GROUP BY ALL)")
+    return ",\n".join(out)
+
+
+_ASKED = ["s0", "s1", "s2", "s3", "s5"]
+_LEADS = f"asked AS (SELECT l.*, CAST(substr(source, 2) AS INT) AS k FROM leads l WHERE source IN {in_list(_ASKED)} AND (slug IS NOT NULL OR company_name IS NOT NULL OR domain IS NOT NULL))"
+SQL["sweep_next"] = with_views(
+    f"""WITH {swept(_ASKED)}, {_LEADS},
+        found AS (SELECT ats, slug, min(k) AS k, arg_min(company_name, (k, ord)) FILTER (company_name IS NOT NULL) AS company_name FROM asked WHERE slug IS NOT NULL GROUP BY ats, slug),
+        linked AS (SELECT ats, slug, arg_min(cid, k) AS cid FROM ({" UNION ALL ".join(f"SELECT *, {k} AS k FROM links{k}" for k in range(len(_ASKED)))}) GROUP BY ats, slug),
+        labelled AS (SELECT *, {role_family("title")} AS family, {region("location")} AS place FROM asked WHERE external_id IS NOT NULL),
+        seeds AS (SELECT * FROM labelled ANTI JOIN jobs USING (ats, slug, external_id) WHERE family IN {in_list(list(config.KEPT_FAMILIES))} AND place IN {in_list(list(config.KEPT_REGIONS))}
+                  QUALIFY row_number() OVER (PARTITION BY ats, slug, external_id ORDER BY k, ord) = 1),
+        runs AS (SELECT s.source, (SELECT count(*) FROM asked a WHERE a.source = s.source) AS refs, (SELECT count(*) FROM found f ANTI JOIN boards USING (ats, slug) WHERE f.k = s.k) AS b, c, (SELECT count(*) FROM seeds e WHERE e.k = s.k) AS j
+                 FROM (VALUES {", ".join(f"({quoted(n)}, {int(n[1:])}, (SELECT count(*) FROM new{k}))" for k, n in enumerate(_ASKED))}) s(source, k, c))
+        SELECT 'board' AS kind, ats AS a, slug AS b, coalesce(b.company_name, f.company_name) AS c, CAST(coalesce(b.company_id, cid) AS VARCHAR) AS d FROM boards b FULL JOIN found f USING (ats, slug) LEFT JOIN linked USING (ats, slug)
+        UNION ALL SELECT 'link', ats, slug, source, NULL FROM (SELECT ats, slug, source FROM board_sources UNION SELECT ats, slug, source FROM asked WHERE slug IS NOT NULL)
+        UNION ALL SELECT 'company', CAST(id AS VARCHAR), domain, norm_name, name FROM companies{len(_ASKED)}
+        UNION ALL SELECT 'seed', ats, slug, external_id, family FROM seeds
+        UNION ALL SELECT 'run', source, CAST(refs AS VARCHAR), b || '/' || c || '/' || j, NULL FROM runs
+        UNION ALL VALUES ('run', 's4', '0', '0/0/0', 'no key'), ('run', 's6', '0', '0/0/0', 'no answers')""",
+    "boards", "companies", "jobs", "board_sources", "finds", "leads",
+)
+_PAGES = "pages_ AS (SELECT domain, path, regexp_extract(html, 'lever.co/(n\\d+)', 1) AS slug FROM probes WHERE status = 200 AND contains(html, 'lever.co'))"
+SQL |= {
+    "directory_refs": with_views(
+        f"""WITH sites AS (SELECT coalesce(domain, norm_name || '.io') AS domain, min(name) AS name FROM companies GROUP BY 1), {_PAGES},
+            found AS (SELECT domain, name, path, slug, split_part(domain, '.', 1) AS own, {name_base("name")} AS other FROM sites JOIN pages_ USING (domain)),
+            judged AS (SELECT *, contains(own, slug) OR contains(slug, own) OR contains(own, other) OR contains(other, own) AS mine FROM found)
+            SELECT 'lever' AS ats, slug, CASE WHEN mine THEN name END AS company_name, CASE WHEN mine THEN 'https://' || domain END AS website, CASE WHEN mine THEN 'https://' || domain || path END AS careers_url, domain AS detail
+            FROM judged QUALIFY row_number() OVER (PARTITION BY slug ORDER BY mine DESC, domain) = 1""",
+        "companies", "probes",
+    ),
+    "seed_refs": with_views("SELECT DISTINCT 'lever' AS ats, CASE WHEN page_id % 3 = 0 THEN 's' || page_id % 90 ELSE 't' || page_id % 80 END AS slug FROM lines WHERE page_id % 3 < 2", "lines"),
+    "ingest_staged": f"""
+        WITH p AS (SELECT *, {role_family("title")} AS role_family, {region("location")} AS region FROM ({SQL["adapter_postings"]}))
+        SELECT ats, slug, external_id, role_family, region, CASE ats WHEN 'ashby' THEN '["Berlin","Paris"]' WHEN 'lever' THEN '["Oslo","Rome"]' END AS locations_json, posted_at,
+               CAST(CASE WHEN posted_at IS NULL THEN {NOW - NOW % 86_400} END AS BIGINT) AS discovered_at
+        FROM p WHERE region IN {in_list(list(config.KEPT_REGIONS))} AND coalesce(nullif(posted_at, 0), nullif(posted_bound, 0), {NOW}) >= {config.CUTOFF}""",
+    "first_of_key": with_views(
+        """WITH r AS (SELECT *, substr(external_id, 1, 2) AS e, CAST(substr(url, 21) AS BIGINT) * 13 % 1000003 AS o FROM staged)
+           SELECT ats, slug, e AS external_id, arg_min(title, o) AS title, arg_min(content_hash, o) AS content_hash FROM r GROUP BY ALL""",
+        "staged",
+    ),
+    "careers_backfill": with_views(
+        f"""WITH {_PAGES}, live AS (SELECT 'n' || substr(slug, 2) AS slug FROM boards WHERE status IN ('active', 'empty') AND (careers_url IS NULL OR tier <> 1) AND length(slug) BETWEEN 3 AND 29)
+            SELECT DISTINCT 'lever' AS ats, slug, 'https://' || domain AS website, 'https://' || domain || path AS careers_url FROM live JOIN pages_ USING (slug) WHERE domain = slug || '.io'""",
+        "boards", "probes",
+    ),
+}

@@ -13,9 +13,10 @@ from postline.operators import careers, diff, ingest, registry, sweeps
 from postline.plans import digest, gates, health, listings, policy
 from postline.plans.sample import NOW, view
 from postline.sources import adapters, gazetteer, refs, walk
+from postline.sources.discovery import Source
 from postline.sources.scratch import scratch_path
 from postline.sources.store import Store
-from postline.streaming import streams
+from postline.streaming import discovery, streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -539,6 +540,36 @@ def forum_refs(answers: DataFrame) -> DataFrame:
     return refs.forum_hits(answers.select(F.col("page_id").alias("objectID"), F.lit(None).cast("string").alias("story_text"), F.col("listing").alias("comment_text"), F.col("result").alias("url")))
 
 
+@query("companies", "probes")
+def directory_refs(companies: DataFrame, probes: DataFrame) -> DataFrame:
+    members = companies.select("name", F.coalesce("domain", F.concat("norm_name", F.lit(".io"))).alias("website"))
+    return refs.directory(members, probes)
+
+
+@query("lines")
+def seed_refs(lines: DataFrame) -> DataFrame:
+    line = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("lever:S"), F.col("page_id") % 90, F.lit("  # a note"))).when(F.col("page_id") % 3 == 1, F.concat(F.lit("https://jobs.lever.co/T"), F.col("page_id") % 80)).otherwise("# nothing")
+    return refs.seed_lines(lines.select(line.alias("value")))
+
+
+@query("fetches")
+def ingest_staged(fetches: DataFrame) -> DataFrame:
+    rows = ingest.staged(adapters.all_postings(fetches, NOW), NOW, families=None)
+    return rows.select("ats", "slug", "external_id", "role_family", "region", "locations_json", "posted_at", "discovered_at")
+
+
+@query("staged")
+def first_of_key(staged: DataFrame) -> DataFrame:
+    repeated = staged.withColumns({"external_id": F.expr("substring(external_id, 1, 2)"), "ord": F.expr("CAST(substring(url, 21) AS BIGINT) * 13 % 1000003")})
+    return diff.first_of_key(repeated).select("ats", "slug", "external_id", "title", "content_hash")
+
+
+@query("boards", "probes")
+def careers_backfill(boards: DataFrame, probes: DataFrame) -> DataFrame:
+    named = boards.withColumns({"ats": F.lit("lever"), "slug": F.concat(F.lit("n"), F.substring("slug", 2, 9)), "careers_url": F.when(F.col("tier") == 1, F.col("careers_url"))})
+    return careers.backfilled(named, probes)
+
+
 @query("lines")
 def ages(lines: DataFrame) -> DataFrame:
     return lines.select("page_id", dates.age(F.col("seen"), NOW).alias("age"))
@@ -586,3 +617,28 @@ def stream_poll_next(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["stream_poll_next"] = stream_poll_next
+
+
+def sweep_next(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sweep over the sample's sources, as a stream each: the rows of the tables that it leaves behind, and what its runs say."""
+    root = scratch_path(spark, "sweep")
+    store = Store(spark, f"{root}/store")
+    with store.transaction():
+        for name in ("boards", "companies", "jobs", "board_sources"):
+            store.write(name, view(spark, sf_dir, name))
+    names = [f"s{k}" for k in range(7)]
+    catalogue = {n: Source(n, lambda rows: rows, needs=("key",) if n == "s4" else ()) for n in names}
+    leads = view(spark, sf_dir, "leads")
+    answers = {n: as_stream(leads.filter(F.col("source") == n).drop("source").coalesce(1), f"{root}/{n}") for n in names if n != "s6"}
+    discovery.Sweep(store, f"{root}/checkpoints", NOW, catalogue=catalogue).run(answers, names)
+    shown = lambda df, kind, *cols: df.select(F.lit(kind).alias("kind"), *[F.expr(c).cast("string").alias(to) for c, to in zip(cols, "abcd", strict=True)])
+    return (
+        shown(store.read("boards"), "board", "ats", "slug", "company_name", "company_id")
+        .unionByName(shown(store.read("board_sources"), "link", "ats", "slug", "source", "NULL"))
+        .unionByName(shown(store.read("companies"), "company", "id", "domain", "norm_name", "name"))
+        .unionByName(shown(store.read("jobs").filter("source <> 'poll'"), "seed", "ats", "slug", "external_id", "role_family"))
+        .unionByName(shown(store.read("source_runs"), "run", "source", "refs_seen", "concat_ws('/', new_boards, new_companies, seed_postings)", "skipped"))
+    )
+
+
+QUERIES["sweep_next"] = sweep_next

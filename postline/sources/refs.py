@@ -26,11 +26,20 @@ def of_pages(df: DataFrame, text: str, key: str) -> DataFrame:
 
 
 def seed_file(spark: SparkSession, path: str, ats: str) -> DataFrame:
-    """Lines of slugs or links; ``#`` starts a comment. A bare slug belongs to ``ats``."""
-    lines = spark.read.text(path).select(F.trim(F.split_part("value", F.lit("#"), F.lit(1))).alias("line")).filter("line <> ''")
+    """The boards of a seed file: see ``seed_lines``."""
+    return seed_lines(spark.read.text(path), ats)
+
+
+def seed_lines(values: DataFrame, ats: str = "") -> DataFrame:
+    """Boards of lines (value) with a slug or a link each; ``#`` starts a comment. A bare slug belongs to ``ats``; without one it
+    is written ``ats:slug``."""
+    lines = values.select(F.trim(F.split_part("value", F.lit("#"), F.lit(1))).alias("line")).filter("line <> ''")
     bare = ~F.col("line").contains("/") & ~F.col("line").contains(".")
     r = parse(F.col("line"))
-    return lines.select(F.when(bare, F.lit(ats)).otherwise(r["ats"]).alias("ats"), F.when(bare, F.lower("line")).otherwise(r["slug"]).alias("slug")).filter("slug IS NOT NULL").distinct()
+    own = F.split_part("line", F.lit(":"), F.lit(1)) if not ats else F.lit(ats)
+    slug = F.split_part("line", F.lit(":"), F.lit(2)) if not ats else F.col("line")
+    rows = lines.select(F.when(bare, own).otherwise(r["ats"]).alias("ats"), F.nullif(F.when(bare, F.lower(slug)).otherwise(r["slug"]), F.lit("")).alias("slug"))
+    return rows.filter("slug IS NOT NULL").distinct()
 
 
 def crawl_index(lines: DataFrame) -> DataFrame:
@@ -77,6 +86,22 @@ def attributed(found: DataFrame, names: Column) -> DataFrame:
     return rows.filter(plausibly_same(F.col("domain"), F.col("r.slug"), names)).select("domain", "r.ats", "r.slug")
 
 
+def directory(members: DataFrame, probes: DataFrame) -> DataFrame:
+    """(ats, slug, company_name, website, careers_url, detail) of the boards on pages of a directory's members (name, website).
+
+    The member is named where ``attributed`` says so. Each board once: with a member if any is named, of several the one of the
+    least domain. detail is the domain it was found on.
+    """
+    sites = members.withColumn("domain", apex(F.col("website"))).filter("domain IS NOT NULL").groupBy("domain").agg(F.min("name").alias("name"))
+    found = sites.join(probed(probes), "domain").filter(F.size("refs") > 0)
+    own = attributed(found, F.col("name")).withColumn("mine", F.lit(True)).distinct()
+    rows = found.select("domain", "name", "path", F.explode("refs").alias("r")).select("domain", "name", "path", "r.ats", "r.slug").distinct().join(own, ["domain", *BOARD], "left")
+    first = F.min_by(F.struct("domain", "name", "path", "mine"), F.struct(F.col("mine").isNull(), F.col("domain"))).alias("m")
+    site = F.concat(F.lit("https://"), F.col("m.domain"))
+    named = lambda c, name: F.when(F.col("m.mine"), c).alias(name)
+    return rows.groupBy(*BOARD).agg(first).select(*BOARD, named(F.col("m.name"), "company_name"), named(site, "website"), named(F.concat(site, "m.path"), "careers_url"), F.col("m.domain").alias("detail"))
+
+
 def filings(lines: DataFrame) -> DataFrame:
     """Index lines ``D  <company>  <cik>  <yyyymmdd> ...`` of operating companies: company, cik, filed; each (cik, company) once."""
     pattern = r"^D(?:/A)?\s{2,}(.+?)\s{2,}(\d+)\s{2,}(\d{8})\b"

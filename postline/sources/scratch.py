@@ -17,3 +17,9 @@ def scratch_path(spark: SparkSession, kind: str) -> str:
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(root or tempfile.mkdtemp(prefix="postline-scratch-"))
     return f"{sc.getCheckpointDir()}/{kind}-{uuid.uuid4().hex}"
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Deletes a path, wherever it is kept."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

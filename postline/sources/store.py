@@ -5,7 +5,8 @@ named by a version file of the whole store, written to one side and then moved t
 changes of a transaction or none, however many tables it touches, and a writer that was overtaken is told so. Folders that
 no version names any more (of earlier tables, or of writers that died) go with ``vacuum``.
 
-The postings' state is huge, and a poll touches little of it: its rows lie in ``BUCKETS`` folders by a hash of their board.
+The postings' state is huge, and a poll or a sweep touches little of it: its rows, like those of the boards, lie in buckets, folders by a
+hash of their board. How many there are is settled when a store is first written: as many as make a bucket worth a task or a few.
 ``read`` takes some buckets alone, and ``replace`` writes those that changed and leaves the others where they are. Overwriting
 partitions in place would cost as little, but readers would see a state whose events aren't there yet, and a batch that died
 would meet its own half of the next state.
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 #: 2: jobs in buckets, single locations not repeated as JSON. 3: labels of jobs and names of companies that lack them.
 SCHEMA_VERSION = 3
-VERSION_KEY = "_schema"
+VERSION_KEY, BUCKETS_KEY = "_schema", "_buckets"
 SCHEMAS = {
     "companies": "id bigint, domain string, name string, norm_name string, website string, careers_url string, careers_kind string, careers_checked_at bigint, first_seen_at bigint, source string",
     "boards": "ats string, slug string, company_name string, status string, tier int, job_count int, next_poll_at bigint, last_polled_at bigint, last_ok_at bigint, last_new_at bigint, consecutive_failures int, last_error string, first_seen_at bigint, website string, careers_url string, careers_checked_at bigint, company_id bigint",
@@ -33,26 +34,32 @@ SCHEMAS = {
     "events": "id bigint, ts bigint, type string, ats string, slug string, external_id string, title string, url string, detail_json string",
     "poll_runs": "id bigint, started_at bigint, finished_at bigint, boards_polled int, boards_failed int, new_jobs int, edited_jobs int, closed_jobs int",
     "source_runs": "id bigint, source string, started_at bigint, finished_at bigint, refs_seen bigint, new_boards bigint, new_companies bigint, seed_postings bigint, blocked bigint, error string, skipped string",
+    "sweep_batches": "run_id bigint, source string, batch_id bigint, refs_seen bigint, new_boards bigint, new_companies bigint, seed_postings bigint, blocked bigint",
     "proposals": "id bigint, agent string, kind string, payload string, evidence string, status string, score double, created_at bigint, decided_at bigint, decided_by string",
     "notifier_state": "key string, last_event_id bigint, updated_at bigint",
     "notified_jobs": "ats string, slug string, external_id string, notified_at bigint",
 }
 #: Tables in buckets, and how many.
-BUCKETED = {"jobs"}
-BUCKETS = 256
+BUCKETED = {"jobs", "boards"}
+BUCKETS = 64
 
 
-def bucket_of(ats: str = "ats", slug: str = "slug") -> Column:
-    """The bucket of a board's postings, by the first byte of a hash."""
-    return F.conv(F.substring(F.md5(F.concat_ws("/", ats, slug).cast("binary")), 1, 2), 16, 10).cast("int") % BUCKETS
+def bucket_of(buckets: int = BUCKETS) -> Column:
+    """The bucket of a board's rows, by the first digits of a hash of ats and slug."""
+    return (F.conv(F.substring(F.md5(F.concat_ws("/", "ats", "slug").cast("binary")), 1, 6), 16, 10).cast("int") % buckets).cast("int")
 
 
 class Store:
-    """The tables under a folder."""
+    """The tables under a folder. buckets: how many a new store gets."""
 
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS):
         self.spark, self.root = spark, root.rstrip("/")
         self.open: dict[str, list[str]] | None = None  # the changes of a transaction
+        self.wanted, self.known = buckets, (0, {})  # the version that was read last, and its folders
+
+    @property
+    def buckets(self) -> int:
+        return int(self.manifest().get(BUCKETS_KEY, [self.wanted])[0])
 
     def _path(self, name: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
@@ -70,12 +77,15 @@ class Store:
     def manifest(self) -> dict[str, list[str]]:
         """The folders of each table in the newest version."""
         version = self.version()
-        if not version:
-            return {}
-        out: dict[str, list[str]] = {}
-        for name, folder in (r.value.split("\t") for r in self.spark.read.text(self._path(f"_versions/{version}").toString()).collect()):
-            out.setdefault(name, []).append(folder)
-        return out
+        if version != self.known[0]:
+            out: dict[str, list[str]] = {}
+            file = self._files().open(self._path(f"_versions/{version}"))
+            for line in self.spark._jvm.org.apache.commons.io.IOUtils.toString(file, "UTF-8").split("\n"):
+                name, folder = line.split("\t")
+                out.setdefault(name, []).append(folder)
+            file.close()
+            self.known = version, out
+        return self.known[1] if version else {}
 
     @contextmanager
     def transaction(self) -> Iterator[Store]:
@@ -87,6 +97,7 @@ class Store:
             if changes:
                 if not version:
                     folders[VERSION_KEY] = [str(SCHEMA_VERSION)]
+                folders.setdefault(BUCKETS_KEY, [str(self.wanted)])
                 beside, number = self._path(f"_versions/.{uuid.uuid4().hex}"), self._path(f"_versions/{version + 1}")
                 out = self._files().create(beside)
                 out.write("\n".join(f"{name}\t{folder}" for name, own in folders.items() for folder in own).encode())
@@ -172,7 +183,7 @@ class Store:
             self.open[name] = [*before, folder]
             return None
         # a bucket's rows together, unless they are many: then Spark splits them
-        rows = df.select(*known).withColumn("bucket", bucket_of()).hint("rebalance", "bucket")
+        rows = df.select(*known).withColumn("bucket", bucket_of(self.buckets)).hint("rebalance", "bucket")
         rows.write.partitionBy("bucket").parquet(f"{self.root}/{name}/{folder}")
         made = [f.getPath().getName() for f in self._files().listStatus(self._path(f"{name}/{folder}")) if f.isDirectory()]
         self.open[name] = [*before, *[f"{folder}/{b}" for b in sorted(made)]]

@@ -18,7 +18,7 @@ from pyspark.sql.streaming import StreamingQuery
 from postline import config
 from postline.operators import diff, sweeps
 from postline.plans import digest
-from postline.sources.store import Store, bucket_of
+from postline.sources.store import BUCKETS, Store, bucket_of
 
 #: The keys in notifier_state: the digest's value is an event id, the diff's a batch's number times SHARES and a share's; those of
 #: LAST and a table's name have the last id given there.
@@ -45,13 +45,18 @@ def finish(store: Store, marks: dict[str, int], ts: int) -> None:
     store.write("notifier_state", others.unionByName(rows))
 
 
+def top_id(store: Store, table: str) -> int:
+    """The greatest id of a table; 0 where it is empty."""
+    return store.read(table).agg(F.coalesce(F.max("id"), F.lit(0).cast("bigint"))).first()[0]
+
+
 def last_id(store: Store, table: str) -> int:
-    """The last id of a table that ids are given to: as noted, or where it isn't yet, as found."""
+    """The last id of a table that only the diff writes: as noted, or where it isn't yet, as found."""
     have = noted(store, LAST + table)
-    return have if have is not None else store.read(table).agg(F.coalesce(F.max("id"), F.lit(0).cast("bigint"))).first()[0]
+    return have if have is not None else top_id(store, table)
 
 
-def shares(boards: DataFrame, most: int = config.STAGED_MOST) -> DataFrame:
+def shares(boards: DataFrame, most: int = config.STAGED_MOST, buckets: int = BUCKETS) -> DataFrame:
     """boards (ats, slug, fetched) with ``bucket`` and ``share``: whole boards, packed by running sums in the order of buckets.
 
     The boards of a share fetched at most ``most`` postings together. One with more than half of that has a share of its own; the
@@ -60,7 +65,7 @@ def shares(boards: DataFrame, most: int = config.STAGED_MOST) -> DataFrame:
     side touch few buckets each.
     """
     half = F.lit(most // 2)
-    placed = boards.withColumn("bucket", bucket_of()).withColumn("_big", F.col("fetched") > half)
+    placed = boards.withColumn("bucket", bucket_of(buckets)).withColumn("_big", F.col("fetched") > half)
     rows = placed.withColumns({"_size": F.when(F.col("_big"), 0).otherwise(F.col("fetched")).cast("bigint"), "_one": F.col("_big").cast("bigint")})
     until = Window.partitionBy("bucket").orderBy(*diff.BOARD)
     rows = rows.withColumns({"_at": F.sum("_size").over(until) - F.col("_size"), "_nth": F.sum("_one").over(until)})
@@ -102,7 +107,7 @@ def diff_stream(fetched: DataFrame, store: Store, staged_of: Callable[[DataFrame
 
     def each(batch: DataFrame, batch_id: int) -> None:
         ts = ts_of(batch_id)
-        ok = shares(newest(batch.filter("fetch_status = 'ok'")), most).persist()
+        ok = shares(newest(batch.filter("fetch_status = 'ok'")), most, store.buckets).persist()
         failed = newest(batch.filter("fetch_status <> 'ok'"))
         # a row for each share, of some thousands of postings
         todo = ok.groupBy("share").agg(F.sort_array(F.collect_set("bucket")).alias("buckets")).orderBy("share").collect()
