@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from postline import config
 from postline.functions.names import apex, base
+from postline.sources.scratch import scratch_path
 
 BOARD = ["ats", "slug"]
 LINKS = ["company_name", "website", "careers_url"]
@@ -92,13 +93,49 @@ def company_links(refs: DataFrame, resolved: DataFrame, added: DataFrame) -> Dat
     return hits.groupBy(*BOARD).agg(F.min_by("cid", "ord").alias("cid"))
 
 
+def doubled(edges: DataFrame) -> DataFrame:
+    """(id, to, steps, most) after following edges (id, to: one for each id) as far as they lead, or at least once through all of
+    them where they lead in a circle; most is the greatest id that was left on the way. Pointers double with each round."""
+    state = edges.select("id", "to", F.lit(1).cast("bigint").alias("steps"), F.col("id").alias("most")).checkpoint()
+    reach, n = 1, state.count()
+    while reach < n and not state.join(state.select(F.col("id").alias("to")), "to", "left_semi").isEmpty():
+        step = state.select(F.col("id").alias("to"), F.col("to").alias("_to"), F.col("steps").alias("_steps"), F.col("most").alias("_most"))
+        both = state.join(step, "to", "left")
+        nought = F.lit(0).cast("bigint")
+        state = both.select("id", F.coalesce("_to", "to").alias("to"), (F.col("steps") + F.coalesce("_steps", nought)).alias("steps"), F.greatest("most", "_most").alias("most")).checkpoint()
+        reach *= 2
+    return state
+
+
+def merge_targets(pairs: DataFrame) -> DataFrame:
+    """(source_id, target_id, steps): what each company ends up in if pairs (source_id, target_id) are merged, and how far away it is.
+
+    Of several targets of a source the least counts. A target that is merged itself passes on what it gets; of companies
+    that are to be merged in a circle the greatest id stays.
+    """
+    first = pairs.filter("source_id <> target_id").groupBy(F.col("source_id").alias("id")).agg(F.min("target_id").alias("to"))
+    scratch_path(pairs.sparkSession, "merge")  # checkpoints need their folder
+    edges = first.checkpoint()
+    ends = doubled(edges)
+    circular = ends.join(edges.select(F.col("id").alias("to")), "to", "left_semi")
+    if not circular.isEmpty():
+        # the ends of circular ways are all the members of the circles, and each has been all through its own
+        stays = ends.join(circular.select(F.col("to").alias("id")).distinct(), "id", "left_semi").select(F.col("most").alias("id")).distinct()
+        ends = doubled(edges.join(stays, "id", "left_anti"))
+    return ends.select(F.col("id").alias("source_id"), F.col("to").alias("target_id"), "steps")
+
+
 def merge_companies(companies: DataFrame, boards: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(companies, boards) after merging each ``source_id`` of pairs into its ``target_id``: boards move, blanks are filled."""
-    moved = boards.join(pairs, boards["company_id"] == pairs["source_id"], "left").withColumn("company_id", F.coalesce("target_id", "company_id")).select(*boards.columns)
+    """(companies, boards) after merging each ``source_id`` of pairs into its ``target_id``, see ``merge_targets``: boards move, blanks
+    are filled from the nearest of the merged, among equals from the least id."""
+    ends = merge_targets(pairs)
+    own = ends.select(F.col("source_id").alias("company_id"), F.col("target_id").alias("_to"))
+    moved = boards.join(own, "company_id", "left").withColumn("company_id", F.coalesce("_to", "company_id")).select(*boards.columns)
     fields = [c for c in companies.columns if c != "id"]
-    gone = pairs.join(companies, pairs["source_id"] == companies["id"])
-    fill = gone.groupBy(F.col("target_id").alias("id")).agg(*[F.min_by(c, F.when(F.col(c).isNotNull(), F.col("source_id"))).alias(f"_{c}") for c in fields])
-    left = companies.join(pairs.select(F.col("source_id").alias("id")), "id", "left_anti").join(fill, "id", "left")
+    gone = ends.join(companies, ends["source_id"] == companies["id"])
+    near = lambda c: F.when(F.col(c).isNotNull(), F.struct("steps", "source_id"))
+    fill = gone.groupBy(F.col("target_id").alias("id")).agg(*[F.min_by(c, near(c)).alias(f"_{c}") for c in fields])
+    left = companies.join(ends.select(F.col("source_id").alias("id")), "id", "left_anti").join(fill, "id", "left")
     return left.withColumns({c: F.coalesce(c, f"_{c}") for c in fields}).select(*companies.columns), moved
 
 

@@ -562,3 +562,13 @@ SQL |= {
         "boards", "probes",
     ),
 }
+_NEAREST = ", ".join(f"coalesce(any_value(c.{c}), arg_min(m.{c}, (steps, m.id)) FILTER (m.{c} IS NOT NULL)) AS {c}" for c in ("domain", "careers_url", "careers_kind", "careers_checked_at"))
+SQL["company_merge_chain"] = with_views(
+    f"""WITH pairs AS (SELECT id AS s, CASE WHEN id % 10 = 7 THEN id + 2 ELSE id - 1 END AS t FROM companies WHERE id % 10 NOT IN (0, 9)),
+        way AS (SELECT s, t, 1 AS steps FROM pairs UNION ALL SELECT w.s, p.t, steps + 1 FROM way w JOIN pairs p ON p.s = w.t),
+        ends AS (SELECT s, max(steps) AS steps, arg_max(t, steps) AS t FROM way GROUP BY s),
+        held AS (SELECT coalesce(t, company_id) AS id, count(*) AS n FROM boards LEFT JOIN ends ON s = company_id GROUP BY 1)
+        SELECT c.id, {_NEAREST}, coalesce(any_value(n), 0) AS n_boards FROM companies c LEFT JOIN ends ON t = c.id LEFT JOIN companies m ON m.id = s LEFT JOIN held h ON h.id = c.id WHERE c.id % 10 IN (0, 9) GROUP BY c.id""",
+    "companies", "boards",
+)
+SQL["company_merge_chain"] = SQL["company_merge_chain"].replace("WITH ", "WITH RECURSIVE ", 1)

@@ -269,6 +269,16 @@ def company_merge(companies: DataFrame, boards: DataFrame, probes: DataFrame) ->
     return left.join(n, "id", "left").select("id", "domain", "careers_url", "careers_kind", F.coalesce("n_boards", F.lit(0).cast("bigint")).alias("n_boards"))
 
 
+@query("companies", "boards")
+def company_merge_chain(companies: DataFrame, boards: DataFrame) -> DataFrame:
+    digit = F.col("id") % 10
+    target = F.when(digit.between(1, 6) | (digit == 8), F.col("id") - 1).when(digit == 7, F.col("id") + 2).when(digit == 9, F.col("id") - 2)
+    pairs = companies.select(F.col("id").alias("source_id"), F.explode(F.array(target, target + 1)).alias("target_id")).filter("target_id IS NOT NULL")
+    left, moved = registry.merge_companies(companies, boards, pairs)
+    n = moved.groupBy(F.col("company_id").alias("id")).agg(F.count(F.lit(1)).alias("n_boards"))
+    return left.join(n, "id", "left").select("id", "domain", "careers_url", "careers_kind", "careers_checked_at", F.coalesce("n_boards", F.lit(0).cast("bigint")).alias("n_boards"))
+
+
 @query("boards")
 def due_queue(boards: DataFrame) -> DataFrame:
     return registry.due(boards, NOW, 100).select("ats", "slug", "next_poll_at", "tier")
