@@ -572,3 +572,11 @@ SQL["company_merge_chain"] = with_views(
     "companies", "boards",
 )
 SQL["company_merge_chain"] = SQL["company_merge_chain"].replace("WITH ", "WITH RECURSIVE ", 1)
+SQL["stream_grace"] = f"SELECT type, ats, slug, external_id, title, url FROM ({SQL['diff_events']})"
+SQL["stream_told"] = with_views(
+    f"""WITH e AS (SELECT id, {NOW} + id * 40000 + id * id % 977 * 1000 AS ts, CAST(id % 50 AS VARCHAR) AS external_id FROM feed),
+        following AS (SELECT a.external_id, a.ts, min(b.ts) AS later FROM e a JOIN e b ON a.external_id = b.external_id AND b.ts >= a.ts + {config.DEDUPE_SECONDS} GROUP BY ALL),
+        told AS (SELECT external_id, min(ts) AS ts FROM e GROUP BY ALL UNION ALL SELECT external_id, later FROM told JOIN following USING (external_id, ts))
+        SELECT id, ts, external_id FROM told JOIN e USING (external_id, ts)""",
+    "feed",
+).replace("WITH ", "WITH RECURSIVE ", 1)

@@ -16,7 +16,7 @@ from postline.sources import adapters, gazetteer, refs, walk
 from postline.sources.discovery import Source
 from postline.sources.scratch import scratch_path
 from postline.sources.store import Store
-from postline.streaming import discovery, streams
+from postline.streaming import discovery, keyed, streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -652,3 +652,37 @@ def sweep_next(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["sweep_next"] = sweep_next
+
+
+def drained(stream: DataFrame, root: str) -> DataFrame:
+    """What a stream with keyed state appends until all that is there is read."""
+    spark, key = stream.sparkSession, "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    try:
+        keyed.with_rocksdb(spark)
+        stream.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(key, before)
+    return spark.read.schema(stream.schema).parquet(f"{root}/out")
+
+
+def stream_grace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The diff as keyed state: the stored jobs to begin with, then one poll of all fetched boards."""
+    root = scratch_path(spark, "grace")
+    fetched = view(spark, sf_dir, "fetched")
+    listed = fetched.join(view(spark, sf_dir, "staged"), ["ats", "slug"]).select("ats", "slug", "fetched", "external_id", "content_hash", "title", "url")
+    rows = listed.unionByName(fetched, allowMissingColumns=True).select(F.lit(1).cast("bigint").alias("snapshot_id"), F.lit(NOW).cast("bigint").alias("ts"), "*")
+    polled = as_stream(rows.select(*[c.split(" ")[0] for c in keyed.POLLED.split(", ")]), f"{root}/in")
+    return drained(keyed.grace_events(polled, view(spark, sf_dir, "jobs")), root).select("type", "ats", "slug", "external_id", "title", "url")
+
+
+def stream_told(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of few postings over a long time, less those of postings that were told of in the 30 days before."""
+    root = scratch_path(spark, "told")
+    feed = view(spark, sf_dir, "feed")
+    ts = F.lit(NOW) + F.col("id") * 40_000 + (F.col("id") * F.col("id")) % 977 * 1_000
+    events = feed.select("id", ts.alias("ts"), F.lit("lever").alias("ats"), F.lit("a").alias("slug"), (F.col("id") % 50).cast("string").alias("external_id"))
+    return drained(keyed.told_once(as_stream(events, f"{root}/in")), root).select("id", "ts", "external_id")
+
+
+QUERIES |= {"stream_grace": stream_grace, "stream_told": stream_told}
