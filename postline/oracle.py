@@ -580,3 +580,4 @@ SQL["stream_told"] = with_views(
         SELECT id, ts, external_id FROM told JOIN e USING (external_id, ts)""",
     "feed",
 ).replace("WITH ", "WITH RECURSIVE ", 1)
+SQL["adapter_source"] = SQL["adapter_postings"]

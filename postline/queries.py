@@ -12,7 +12,7 @@ from postline.functions import dates, labels, names, urls
 from postline.operators import careers, diff, ingest, registry, sweeps
 from postline.plans import digest, gates, health, listings, policy
 from postline.plans.sample import NOW, view
-from postline.sources import adapters, gazetteer, refs, walk
+from postline.sources import adapters, gazetteer, pages, refs, walk
 from postline.sources.discovery import Source
 from postline.sources.scratch import scratch_path
 from postline.sources.store import Store
@@ -686,3 +686,14 @@ def stream_told(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"stream_grace": stream_grace, "stream_told": stream_told}
+
+
+def adapter_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The postings on boards' pages that were recorded as files, each platform's read with its filter pushed down."""
+    path = scratch_path(spark, "pages")
+    pages.register(spark)
+    view(spark, sf_dir, "fetches").withColumn("page", F.lit(0)).write.format("board_pages").mode("append").save(path)
+    return pages.postings(spark, path, NOW, boards="500").select("ats", "slug", "external_id", "title", "url", "location", F.size("locations").cast("bigint").alias("n_locations"), "posted_at", "posted_bound")
+
+
+QUERIES["adapter_source"] = adapter_source
