@@ -8,7 +8,7 @@ sorted array of pair keys. Rounds end when no word has a pair left.
 words and single digits and marks, byte-level symbols, ``</w>`` at a word's end; strings of added tokens in a text
 become those tokens. Its tables have a fixed size and are broadcast.
 
-Defined results: a null or empty text has no ids and decodes to the empty string; other columns are carried along, but for
+Defined results: a null or empty text has no ids and decodes to the empty string; repeated rows have the same ids; other columns are carried along, but for
 ``ids`` and ``decoded``, which are replaced; texts of any length are encoded whole; an empty table gives an empty table.
 """
 
@@ -51,6 +51,14 @@ LATER_CAPITALS = (
     (0x1C89, 1, 0x1C8A), (0xA7CB, 1, 0x264), (0xA7CC, 1, 0xA7CD), (0xA7CE, 1, 0xA7CF), (0xA7D2, 1, 0xA7D3), (0xA7D4, 1, 0xA7D5),
     (0xA7DA, 1, 0xA7DB), (0xA7DC, 1, 0x19B), (0x10D50, 22, 0x10D70), (0x16EA0, 25, 0x16EBB),
 )
+#: Marks that came after the tables by which the library puts marks in order; to it they are letters that combine with nothing.
+LATER_MARKS = (
+    "7fd 898-89f 8ca-8d3 9fe c3c d3b-d3c eba 1715 1abf-1ace 1df6-1dfa a82c 10d24-10d27 10eab-10eac 10efd-10eff 10f46-10f50 "
+    "10f82-10f85 11070 1133b 1145e 11839-1183a 1193d-1193e 11943 119e0 11a34 11a47 11a99 11d42 11d44-11d45 11d97 11f41-11f42 "
+    "16ff0-16ff1 1e08f 1e130-1e136 1e2ae 1e2ec-1e2ef 1e4ec-1e4ef"
+)
+#: Two characters that it doesn't compose.
+APART = ("\U00011935", "\U00011930")
 END = "</w>"
 NONE = np.iinfo(np.int64).max
 
@@ -197,12 +205,26 @@ _word_with_later = word_pattern(f"[{LETTER}--[{_letters}]]", f"[{DIGIT}--[{_digi
 _small = {first + k: small + k for first, count, small in LATER_CAPITALS for k in range(count)}
 
 
+_as_it_is = re.compile(f"[{characters(LATER_MARKS)}]|(?<={APART[0]})(?={APART[1]})")
+
+
+def composed(text: str) -> str:
+    """The text in NFC, by the tables of the library: what lies between LATER_MARKS by itself."""
+    if not _as_it_is.search(text):
+        return unicodedata.normalize("NFC", text)
+    out, at = [], 0
+    for m in _as_it_is.finditer(text):
+        out += (unicodedata.normalize("NFC", text[at : m.start()]), m[0])
+        at = m.end()
+    return "".join([*out, unicodedata.normalize("NFC", text[at:])])
+
+
 def words_of(text: str) -> list[str]:
     """The words of a text, in lower case; letters and digits are those of Unicode 16, in texts that have later ones too."""
     if text.isascii():
         return _word.findall(text.lower())
     # character by character, so a final sigma is lower-cased like any other
-    text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+    text = composed(text).replace("Σ", "σ")
     if _later.search(text):
         return _word_with_later.findall(text.translate(_small).lower())
     return _word.findall(text.lower())
