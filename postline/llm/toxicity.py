@@ -144,6 +144,8 @@ def forest(votes: np.ndarray, weight: np.ndarray, q: np.ndarray) -> np.ndarray:
     info = np.zeros((m, m))
     v = votes.astype(float)
     total = weight.sum()
+    if not total:  # no documents, so nothing depends on anything
+        return np.full(m, -1)
     for y in (0, 1):
         w = weight * (q if y else 1 - q)
         mass = w.sum() + 1e-9
