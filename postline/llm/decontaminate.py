@@ -184,9 +184,11 @@ def shard(phrases: Phrases, data: np.ndarray, bounds: np.ndarray, before: tuple[
     np.add.at(change, word, 1)
     np.add.at(change, word + phrases.lengths[which], -1)
     hit = np.cumsum(change)[:-1] > 0
-    size = phrases.first[which + 1] - phrases.first[which]
-    owner_at = np.repeat(phrases.first[which] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(int(size.sum()))
-    pairs = [np.stack([np.repeat(docs[word], size), phrases.owners[owner_at.astype(np.int64)]], axis=1)]
+    # a phrase that occurs often in a text, and that many items have, counts once for each of both
+    doc, phrase = np.divmod(np.unique(docs[word].astype(np.int64) * max(len(phrases.lengths), 1) + which), max(len(phrases.lengths), 1))
+    size = phrases.first[phrase + 1] - phrases.first[phrase]
+    owner_at = np.repeat(phrases.first[phrase] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(int(size.sum()))
+    pairs = [np.stack([np.repeat(doc, size), phrases.owners[owner_at.astype(np.int64)]], axis=1)]
     if before:
         for i, (spans, items) in enumerate(zip(*before, strict=True)):
             for s in spans or []:
