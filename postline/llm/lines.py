@@ -13,7 +13,7 @@ Two independent 64-bit hashes stand for a key: at 10^12 lines a clash of both is
 
 Defined results: a null or empty text is one empty line; rows with a null doc_id stay whole and own nothing; rows that
 repeat a doc_id are one document, each with its own lines dropped by the same rule; an empty table gives an empty table;
-other columns are carried along unless their names begin with ``_line_``.
+other columns are carried along unless their names begin with ``_line_``; n_lines and n_dropped are replaced.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postline.llm.common import Scratch
+from postline.llm.common import Scratch, remove, shared_path
 
 MIN_CHARS = 10
 BATCHES = 4
@@ -64,6 +64,7 @@ class LineIndex:
     def __init__(self, spark: SparkSession, scratch: Scratch, fanout: int = FANOUT):
         self.spark, self.scratch, self.fanout = spark, scratch, fanout
         self.levels: list[list[str]] = []
+        self.places: dict[str, str] = {}  # of the runs' files, in the folder that all share
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def __enter__(self) -> LineIndex:
@@ -73,17 +74,23 @@ class LineIndex:
 
     def __exit__(self, *_: object) -> None:
         self.spark.conf.set(self.ORDERED, self.before)
-        for name in (run for level in self.levels for run in level):
-            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        for name in [run for level in self.levels for run in level]:
+            self.drop(name)
         self.levels = []
 
+    def drop(self, name: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        if name in self.places:
+            remove(self.spark, self.places.pop(name))
+
     def write_run(self, rows: DataFrame, level: int) -> str:
         """rows come partitioned by KEY into as many partitions as there are buckets."""
         name = f"line_run_{uuid.uuid4().hex}"
         while level >= len(self.levels):
             self.levels.append([])
         self.levels[level].append(name)
-        rows.write.bucketBy(self.buckets, *KEY).sortBy(*KEY).saveAsTable(name)
+        self.places[name] = shared_path(self.spark, name)
+        rows.write.bucketBy(self.buckets, *KEY).sortBy(*KEY).option("path", self.places[name]).saveAsTable(name)
         return name
 
     def run(self, name: str) -> DataFrame:
@@ -97,7 +104,7 @@ class LineIndex:
             owner = F.coalesce(*[f"in_{name}" for name in old]).alias("owner")
             self.write_run(merged.select(*KEY, owner, F.lit(True).alias("fresh"), *[F.lit(0).cast("bigint").alias(c) for c in ("n", "last")]), level + 1)
             for name in old:
-                self.spark.sql(f"DROP TABLE {name}")
+                self.drop(name)
                 self.levels[level].remove(name)
             level += 1
 
