@@ -581,3 +581,19 @@ SQL["stream_told"] = with_views(
     "feed",
 ).replace("WITH ", "WITH RECURSIVE ", 1)
 SQL["adapter_source"] = SQL["adapter_postings"]
+SQL["gate_rulesets"] = with_views(
+    f"""WITH usable AS (SELECT *, '(?i)' || pattern AS p FROM rules WHERE pattern IS NOT NULL AND pattern <> '(' AND family IS NOT NULL),
+        r AS (SELECT DISTINCT title, role_family, {role_family("title")} AS own FROM jobs WHERE title IS NOT NULL AND role_family IS NOT NULL),
+        h AS (SELECT id, role_family IN ('other', family) OR own = family AS good FROM r JOIN usable ON regexp_matches(title, p)),
+        n AS (SELECT id, count(*) AS hits, count(*) FILTER (good) AS agree FROM h GROUP BY id)
+        SELECT id, coalesce(hits, 0) AS hits, coalesce(agree, 0) AS agree, round(agree / hits, 3) AS precision,
+               CASE WHEN hits IS NULL THEN 'rejected' WHEN agree / hits >= {config.GATE_PRECISION} THEN 'auto_applied' ELSE 'pending' END AS verdict FROM rules LEFT JOIN n USING (id)""",
+    "jobs", "rules",
+)
+SQL["proposal_steps"] = with_views(
+    f"""WITH v AS (SELECT id, CASE id % 3 WHEN 0 THEN 'pending' WHEN 1 THEN 'accepted' ELSE 'rejected' END AS s FROM feed WHERE id % 7 <> 0),
+        d AS (SELECT p.id, status, CASE WHEN (status = 'drafted' AND s IN ('pending', 'rejected')) OR (status = 'pending' AND s IN ('accepted', 'rejected')) THEN s END AS s FROM proposals p LEFT JOIN v USING (id))
+        SELECT id, coalesce(s, status) AS status, CASE WHEN s IS NOT NULL THEN CAST(id % 9 AS DOUBLE) END AS score, CASE WHEN s IS NULL THEN '{{"a":"1"}}' ELSE '{{"a":"1","b":"2"}}' END AS evidence,
+               CASE WHEN s IS NOT NULL THEN CAST({NOW} AS BIGINT) END AS decided_at, CASE WHEN s IS NOT NULL THEN 'gate' END AS decided_by FROM d""",
+    "proposals", "feed",
+)

@@ -178,6 +178,12 @@ VIEWS["leads"] = f"""
     SELECT 's' || CAST(ord % 6 AS STRING) AS source, ord, ats, slug, company_name, domain, website, careers_url, external_id, {pick("ord", TITLES)} AS title, {pick("(ord * 7)", PLACES)} AS location FROM ({VIEWS["finds"]}) AS finds_"""
 VIEWS["proposals"] = f"""
     SELECT event_id AS id, 'agent' || CAST(user_id % 3 AS STRING) AS agent, CASE event_id % 5 WHEN 0 THEN 'drafted' WHEN 1 THEN 'pending' WHEN 2 THEN NULL WHEN 3 THEN 'rejected' ELSE 'auto_applied' END AS status FROM events"""
+WORDS = ("engineer", "developer", "analyst", "security", "data", "platform", "learning", "machine", "architect", "nurse", "sales", "manager", "research", "designer", "devops", "embedded", "intern", "graduate", "account", "quality", "staff", "lead", "java", "zzz")
+_one, _other = pick("p_partkey", WORDS), pick("(p_partkey * 7 + 3)", WORDS)
+VIEWS["rules"] = f"""
+    SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN '(^|[^a-z])(' || {_one} || '|' || {_other} || ')([^a-z]|$)' WHEN 1 THEN {_one} || '.*' || {_other} WHEN 2 THEN '^' || {_one}
+           WHEN 3 THEN '(?:' || {_one} || 's?|' || {_other} || ')' ELSE CASE p_partkey % 25 WHEN 4 THEN '(' WHEN 9 THEN '^[' || substring({_one}, 1, 2) || ']' WHEN 14 THEN NULL ELSE {_one} || '[ ]+[a-z]+' END END AS pattern,
+           {pick("(p_partkey * 3)", ("engineering", "data", "ai", "security", "product", ""))} AS family FROM part"""
 VIEWS["poll_runs"] = f"SELECT event_id AS id, CAST({NOW} + event_id AS BIGINT) AS started_at, CAST(event_id % 90 AS INT) AS boards_polled FROM events"
 #: Files that discovery leaves behind: a line or document for each page.
 VIEWS["lines"] = f"""

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from postline.functions import dates, labels, names, urls
 from postline.operators import careers, diff, ingest, registry, sweeps
+from postline.operators import proposals as proposal_operators
 from postline.plans import digest, gates, health, listings, policy
 from postline.plans.sample import NOW, view
 from postline.sources import adapters, gazetteer, pages, refs, walk
@@ -346,6 +347,19 @@ def gate_precision(jobs: DataFrame) -> DataFrame:
     return gates.ruleset_gate(jobs, r"\b(developer|engineer)\b", "engineering")
 
 
+@query("jobs", "rules")
+def gate_rulesets(jobs: DataFrame, rules: DataFrame) -> DataFrame:
+    return gates.ruleset_gates(jobs, rules)
+
+
+@query("proposals", "feed")
+def proposal_steps(proposals: DataFrame, feed: DataFrame) -> DataFrame:
+    filed = proposals.select("id", "agent", F.lit("source").alias("kind"), F.lit("{}").alias("payload"), F.lit('{"a":"1"}').alias("evidence"), F.col("status"), F.lit(None).cast("double").alias("score"), F.lit(1).cast("bigint").alias("created_at"), F.lit(None).cast("bigint").alias("decided_at"), F.lit(None).cast("string").alias("decided_by"))
+    asked = F.when(F.col("id") % 3 == 0, "pending").when(F.col("id") % 3 == 1, "accepted").otherwise("rejected")
+    verdicts = feed.filter("id % 7 <> 0").select("id", asked.alias("status"), (F.col("id") % 9).cast("double").alias("score"), F.lit('{"b":"2"}').alias("evidence"))
+    return proposal_operators.decided(filed, verdicts, NOW).select("id", "status", "score", "evidence", "decided_at", "decided_by")
+
+
 @query("fetches")
 def adapter_postings(fetches: DataFrame) -> DataFrame:
     return adapters.all_postings(fetches, NOW).select("ats", "slug", "external_id", "title", "url", "location", F.size("locations").cast("bigint").alias("n_locations"), "posted_at", "posted_bound")
