@@ -44,6 +44,11 @@ def pick(key: str, values: tuple[str, ...]) -> str:
     return f"CASE {key} % {len(values)} {cases} END"
 
 
+def numbered(text: str, name: str, key: str, many: int) -> str:
+    """SQL for a text in which a name, where it occurs, has one of many numbers behind it."""
+    return f"replace({text}, '{name}', '{name}' || CAST({key} % {many} AS STRING))"
+
+
 VIEWS: dict[str, str] = {
     "boards": f"""
         SELECT {pick("c_custkey", PLATFORMS)} AS ats, 'c' || CAST(c_custkey AS STRING) AS slug,
@@ -129,7 +134,8 @@ VIEWS: dict[str, str] = {
                c_custkey % 2 = 0 AS had_new, CASE WHEN c_custkey % 6 < 2 THEN 'HTTP 500 for c' || CAST(c_custkey AS STRING) ELSE NULL END AS error
         FROM customer WHERE c_custkey % 5 <> 4""",
     "texts": f"""
-        SELECT page_id, {pick("page_id", LINKS)} AS link, {pick("page_id", NAMES)} AS name, {pick("page_id", SITES)} AS site, {pick("page_id", AGES)} AS posted, {pick("page_id", PATHS)} AS path,
+        SELECT page_id, {numbered(numbered(pick("page_id", LINKS), "acme", "page_id", 97), "Figura", "page_id", 61)} AS link, {numbered(numbered(pick("page_id", NAMES), "Acme", "page_id", 89), "Foo", "page_id", 53)} AS name,
+               {numbered(numbered(pick("page_id", SITES), "acme", "page_id", 83), "foo", "page_id", 47)} AS site, replace({pick("page_id", AGES)}, '5 Days', CAST(1 + page_id % 29 AS STRING) || ' Days') AS posted, {numbered(pick("page_id", PATHS), "X", "page_id", 71)} AS path,
                html || ' see ' || coalesce({pick("page_id", LINKS)}, '') || ' and "https://jobs.ashbyhq.com/p' || CAST(page_id % 9 AS STRING) || '", ' || coalesce({pick("(page_id + 3)", LINKS)}, '')
                || ' &quot;https:&#47;&sol;&#X6a;obs&#46;lever&period;co/n&#0045;' || CAST(page_id % 23 AS STRING) || '?a=1&amp;b=2&quot;' AS body
         FROM pages""",
