@@ -516,7 +516,7 @@ def swept(names: list[str]) -> str:
     return ",\n".join(out)
 
 
-_ASKED = ["s0", "s1", "s2", "s3", "s5"]
+_ASKED = ["s0", "s1", "s2"]
 _LEADS = f"asked AS (SELECT l.*, CAST(substr(source, 2) AS INT) AS k FROM leads l WHERE source IN {in_list(_ASKED)} AND (slug IS NOT NULL OR company_name IS NOT NULL OR domain IS NOT NULL))"
 SQL["sweep_next"] = with_views(
     f"""WITH {swept(_ASKED)}, {_LEADS},

@@ -181,7 +181,7 @@ VIEWS["finds"] = f"""
            CAST(NULL AS STRING) AS website, CAST(NULL AS STRING) AS careers_url, CASE WHEN p_partkey % 4 = 0 THEN CAST(p_partkey % 500 AS STRING) ELSE NULL END AS external_id, p_name AS title
     FROM part"""
 VIEWS["leads"] = f"""
-    SELECT 's' || CAST(ord % 6 AS STRING) AS source, ord, ats, slug, company_name, domain, website, careers_url, external_id, {pick("ord", TITLES)} AS title, {pick("(ord * 7)", PLACES)} AS location FROM ({VIEWS["finds"]}) AS finds_"""
+    SELECT 's' || CAST(ord % 3 AS STRING) AS source, ord, ats, slug, company_name, domain, website, careers_url, external_id, {pick("ord", TITLES)} AS title, {pick("(ord * 7)", PLACES)} AS location FROM ({VIEWS["finds"]}) AS finds_"""
 VIEWS["proposals"] = f"""
     SELECT event_id AS id, 'agent' || CAST(user_id % 3 AS STRING) AS agent, CASE event_id % 5 WHEN 0 THEN 'drafted' WHEN 1 THEN 'pending' WHEN 2 THEN NULL WHEN 3 THEN 'rejected' ELSE 'auto_applied' END AS status FROM events"""
 WORDS = ("engineer", "developer", "analyst", "security", "data", "platform", "learning", "machine", "architect", "nurse", "sales", "manager", "research", "designer", "devops", "embedded", "intern", "graduate", "account", "quality", "staff", "lead", "java", "zzz")
