@@ -46,6 +46,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, {}
+        self.names: dict[str, str] = {}  # of tables in buckets, by path
 
     def __enter__(self) -> Scratch:
         return self
@@ -62,6 +63,16 @@ class Scratch:
         self.paths[id(out)] = out, path
         return out
 
+    def bucketed(self, df: DataFrame, key: str) -> DataFrame:
+        """df, written once in buckets of ``key``, as many as there are shuffle partitions: joins by it don't move these rows again."""
+        path = shared_path(self.spark, "bucketed")
+        name = self.names[path] = path.rsplit("/", 1)[1].replace("-", "_")
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        df.write.option("compression", "zstd").bucketBy(buckets, key).option("path", path).saveAsTable(name)
+        out = self.spark.table(name)
+        self.paths[id(out)] = out, path
+        return out
+
     def keep(self, df: DataFrame) -> DataFrame:
         """df, a table of this scratch, which the caller's result still reads."""
         self.paths.pop(id(df))
@@ -70,7 +81,10 @@ class Scratch:
     def free(self, *dfs: DataFrame) -> None:
         """Deletes tables that nothing reads any more; without any, lets go of the shuffles behind tables that were written."""
         for df in dfs:
-            remove(self.spark, self.paths.pop(id(df))[1])
+            path = self.paths.pop(id(df))[1]
+            if path in self.names:
+                self.spark.sql(f"DROP TABLE IF EXISTS {self.names.pop(path)}")
+            remove(self.spark, path)
         self.spark._jvm.System.gc()  # lets the driver tell executors which shuffles nobody can read any more
 
 

@@ -17,8 +17,8 @@ sets with 100 * intersection >= 75 * union, and works in these steps, each a few
 A token's first bits grow as its shingle gets shorter, so sorting puts long and unlikely shingles first. Frequent tokens
 are found by a sketch of fixed size, summed before they are shuffled, and joined where a join may be split. Both only
 decide the order in prefixes, never what is found: with those tokens last, common phrases and shared passages make no
-candidates of documents that are otherwise unlike. Spark chooses each join by the tables' bytes; none is told to
-broadcast. Shingles and sets are compared by 64-bit hashes.
+candidates of documents that are otherwise unlike. Each distinct text is written once, in buckets
+of its hash, and later steps join it there. Spark chooses each join by the tables' bytes; none is told to broadcast. Shingles and sets are compared by 64-bit hashes.
 
 Defined results: null or empty texts have the empty set and no links; with fewer than ``WIDTH`` words the whole sequence
 is one shingle; texts of any length are read whole, in pieces of words but as one set; rows with a null doc_id link nothing
@@ -48,8 +48,6 @@ GROUP = 128
 CHUNK, QUERIES = 512, 256
 #: Tokens that the prefixes of linked sets share at least, where the sets are that large.
 COMMON = 6
-#: Sets that a task remembers to have seen; beyond this it starts anew.
-REMEMBERED = 1_000_000
 SKETCH_BITS = 22
 #: Bytes of a shingle from which it is in the next earlier class of the order.
 LENGTHS = np.array([42, 37, 33, 29, 25, 21, 17])
@@ -102,11 +100,11 @@ def links(a: np.ndarray, b: np.ndarray) -> bool:
     return OF * both >= NEED * (len(a) + len(b) - both)
 
 
-SIGNATURE = "doc_id bigint, n bigint, set_id bigint, " + ", ".join(f"m{j} bigint" for j in range(MINHASHES)) + ", cells array<int>"
+SIGNATURE = "doc_id bigint, mark bigint, n bigint, set_id bigint, " + ", ".join(f"m{j} bigint" for j in range(MINHASHES)) + ", cells array<int>"
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """A row for each document: its set's size, key and minhashes; and a row for each task (n = -1) with the sketch's cells
+    """A row for each document: its text's hash, its set's size, key and minhashes; and a row for each task (n = -1) with the sketch's cells
     that stand out in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,31 +123,35 @@ def signatures(docs: DataFrame) -> DataFrame:
                 np.add.at(sketch, np.concatenate(part), 1)
             m = np.array(mins, np.int64).reshape(-1, MINHASHES)
             yield pa.RecordBatch.from_arrays(
-                [b.column(b.schema.get_field_index("doc_id")), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), *(pa.array(m[:, j]) for j in range(MINHASHES))]
+                [*(b.column(b.schema.get_field_index(c)) for c in ("doc_id", "mark")), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), *(pa.array(m[:, j]) for j in range(MINHASHES))]
                 + [pa.nulls(len(n), pa.list_(pa.int32()))],
                 schema=arrow,
             )
         out = np.flatnonzero(sketch > 4 + 4 * sketch.mean()).astype(np.int32)
         yield pa.RecordBatch.from_pylist([{"n": -1, "cells": out.tolist()}], schema=arrow)
 
-    arrow = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("set_id", pa.int64()), *((f"m{j}", pa.int64()) for j in range(MINHASHES)), ("cells", pa.list_(pa.int32()))])
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, SIGNATURE)
+    arrow = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("n", pa.int64()), ("set_id", pa.int64()), *((f"m{j}", pa.int64()) for j in range(MINHASHES)), ("cells", pa.list_(pa.int32()))])
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("mark"), "text").mapInArrow(run, SIGNATURE)
 
 
 def buckets(sets: DataFrame) -> DataFrame:
-    """(bucket, crowd, chunk, set_id, first_doc) of the sets that share a pair of minhashes with others: crowd is the bucket's
+    """(bucket, crowd, chunk, set_id, mark) of the sets that share a pair of minhashes with others: crowd is the bucket's
     size, a chunk has about CHUNK."""
     pairs = [F.xxhash64(F.lit(j), *[f"m{k}" for k in range(j, j + PER_BUCKET)]) for j in range(0, MINHASHES, PER_BUCKET)]
-    rows = sets.select("set_id", "first_doc", F.explode(F.array(*pairs)).alias("bucket"))
+    rows = sets.select("set_id", "mark", F.explode(F.array(*pairs)).alias("bucket"))
     several = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("crowd")).filter("crowd > 1")
     # dealt anew in each bucket, so that chunks of one pair of minhashes are joined by those of another
     return rows.join(several, "bucket").withColumn("chunk", F.pmod(F.xxhash64("set_id", "bucket"), F.ceil(F.col("crowd") / CHUNK)))
 
 
-def with_text(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """wanted (with set_id and first_doc) with the text of the set's first document."""
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("first_doc"), F.coalesce("text", F.lit("")).alias("text"))
-    return texts.join(wanted, "first_doc")
+def distinct_texts(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """(mark, text): each distinct text once, in buckets of its mark. This is the one time that all texts move."""
+    return scratch.bucketed(docs.filter("text IS NOT NULL").select(F.xxhash64("text").alias("mark"), "text").dropDuplicates(["mark"]), "mark")
+
+
+def with_text(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted (with set_id and mark) with the set's text; the texts stay in their buckets."""
+    return texts.join(wanted, "mark")
 
 
 def compared(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -166,7 +168,7 @@ def compared(rows: DataFrame, keys: list[str]) -> DataFrame:
             a_out, b_out = [], []
             for i, s in enumerate(shingle_sets(b.column(b.schema.get_field_index("text")))):
                 if not len(s) or set_key(s) != col["set_id"][i]:
-                    continue  # another row with this doc_id
+                    continue  # another text with this hash
                 own, rank = tuple(col[k][i] for k in keys), (col["size"][i], col["comp"][i])
                 if own != group:
                     group, members, union = own, [], None
@@ -193,7 +195,7 @@ def compared(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.repartition(*keys).sortWithinPartitions(*keys, "role", "set_id").mapInArrow(lambda batches: forests(run(batches)), EDGE)
 
 
-def easy_links(docs: DataFrame, homes: DataFrame) -> DataFrame:
+def easy_links(texts: DataFrame, homes: DataFrame) -> DataFrame:
     """Links (lo, hi), contracted, found by passing each bucket's chunk once: a set is compared with leaders that it isn't connected to yet,
     and becomes one if it links to none."""
 
@@ -205,7 +207,7 @@ def easy_links(docs: DataFrame, homes: DataFrame) -> DataFrame:
             for i, s in enumerate(shingle_sets(b.column(b.schema.get_field_index("text")))):
                 own, key = (col["bucket"][i], col["chunk"][i]), col["set_id"][i]
                 if not len(s) or set_key(s) != key:
-                    continue  # another row with this doc_id
+                    continue  # another text with this hash
                 if own != group:
                     group, leaders, part = own, [], {}
                 mine: int | None = None
@@ -223,23 +225,23 @@ def easy_links(docs: DataFrame, homes: DataFrame) -> DataFrame:
             if a_out:
                 yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
 
-    rows = with_text(docs, homes.select("bucket", "chunk", "set_id", "first_doc"))
+    rows = with_text(texts, homes.select("bucket", "chunk", "set_id", "mark"))
     return rows.repartition("bucket", "chunk").sortWithinPartitions("bucket", "chunk", "set_id").mapInArrow(lambda batches: forests(run(batches)), EDGE)
 
 
-def prefixes(docs: DataFrame, owners: DataFrame, hot: np.ndarray) -> DataFrame:
-    """(token, set_id, comp, frequent) of each set's prefix; frequent tokens, in hot cells of the sketch, come last.
+def prefixes(texts: DataFrame, owners: DataFrame, hot: np.ndarray, frequent: bool) -> DataFrame:
+    """(token, set_id, comp) of each set's prefix, either its frequent tokens, which are in hot cells of the sketch and come last in
+    the order, or all others.
 
-    owners: set_id, first_doc and comp of each set. comp is left null where it is the set's own.
+    owners: set_id, mark and comp of each set. comp is left null where it is the set's own.
     """
     is_hot = np.zeros(1 << SKETCH_BITS, bool)
     is_hot[hot] = True
-    held = docs.sparkSession.sparkContext.broadcast(np.packbits(is_hot))
-    arrow = pa.schema([("token", pa.int64()), ("set_id", pa.int64()), ("comp", pa.int64()), ("frequent", pa.bool_())])
+    held = texts.sparkSession.sparkContext.broadcast(np.packbits(is_hot))
+    arrow = pa.schema([("token", pa.int64()), ("set_id", pa.int64()), ("comp", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         late_cells = np.unpackbits(held.value).astype(bool)
-        seen: set[int] = set()  # of rows that repeat a doc_id and text, one will do
         for b in batches:
             want, comp = (b.column(b.schema.get_field_index(c)).to_pylist() for c in ("set_id", "comp"))
             token, ids, comps = [], [], []
@@ -247,18 +249,18 @@ def prefixes(docs: DataFrame, owners: DataFrame, hot: np.ndarray) -> DataFrame:
             def block() -> pa.RecordBatch:
                 all_, length = np.concatenate(token), [len(t) for t in token]
                 of = pa.array(np.repeat(np.arange(len(token)), length))
-                columns = [pa.array(all_.view(np.int64)), pa.array(ids, pa.int64()).take(of), pa.array(comps, pa.int64()).take(of), pa.array(late_cells[cells(all_)])]
+                columns = [pa.array(all_.view(np.int64)), pa.array(ids, pa.int64()).take(of), pa.array(comps, pa.int64()).take(of)]
                 return pa.RecordBatch.from_arrays(columns, schema=arrow)
 
             for i, s in enumerate(shingle_sets(b.column(b.schema.get_field_index("text")))):
-                if not len(s) or want[i] in seen or set_key(s) != want[i]:
+                if not len(s) or set_key(s) != want[i]:
                     continue
-                if len(seen) >= REMEMBERED:
-                    seen.clear()
-                seen.add(want[i])
                 late = late_cells[cells(s)]
-                order = np.concatenate([s[~late], s[late]]) if late.any() else s
-                token.append(order[: prefix_size(len(s))])
+                early, size = s[~late], prefix_size(len(s))
+                chosen = s[late][: max(size - len(early), 0)] if frequent else early[:size]
+                if not len(chosen):
+                    continue
+                token.append(chosen)
                 ids.append(want[i])
                 comps.append(comp[i])
                 if len(token) >= 1000:
@@ -268,20 +270,20 @@ def prefixes(docs: DataFrame, owners: DataFrame, hot: np.ndarray) -> DataFrame:
                 yield block()
 
     own = F.when(F.col("comp") != F.col("set_id"), F.col("comp")).alias("comp")
-    return with_text(docs, owners.select("set_id", "first_doc", own)).select("set_id", "comp", "text").mapInArrow(run, "token bigint, set_id bigint, comp bigint, frequent boolean")
+    return with_text(texts, owners.select("set_id", "mark", own)).select("set_id", "comp", "text").mapInArrow(run, "token bigint, set_id bigint, comp bigint")
 
 
-def group_queries(found: DataFrame, owners: DataFrame, scratch: Scratch) -> DataFrame:
+def group_queries(texts: DataFrame, owners: DataFrame, hot: np.ndarray, scratch: Scratch) -> DataFrame:
     """(set_id, home, band, salt): the queries, and the groups that their prefixes meet."""
     comp = F.coalesce("comp", "set_id")
     # few sets have a rare token: they meet once, and those whose sets are all of one component go
     token = Window.partitionBy("token")
-    rare = found.filter("NOT frequent").withColumns({"lo": F.min(comp).over(token), "hi": F.max(comp).over(token)}).filter("lo <> hi").select("token", "set_id")
+    rare = prefixes(texts, owners, hot, frequent=False).withColumns({"lo": F.min(comp).over(token), "hi": F.max(comp).over(token)}).filter("lo <> hi").select("token", "set_id")
     # a frequent token may be in a large part of all sets: it is summed before it is shuffled, and then joined
-    often = found.filter("frequent")
+    often = scratch.cut(prefixes(texts, owners, hot, frequent=True))
     shared = often.groupBy("token").agg(F.min(comp).alias("lo"), F.max(comp).alias("hi")).filter("lo <> hi").select("token")
-    met = scratch.cut(rare.unionByName(often.join(shared, "token").select("token", "set_id")).join(owners.drop("first_doc"), "set_id"))
-    scratch.free()
+    met = scratch.cut(rare.unionByName(often.join(shared, "token").select("token", "set_id")).join(owners.drop("first_doc", "mark"), "set_id"))
+    scratch.free(often)
     rank = F.struct("size", "comp")
     asking = met.select("token", "set_id", "n", F.col("band").alias("own_band"), rank.alias("own"))
     asked = met.groupBy("token", "home", "band", "salt").agg(F.max(rank).alias("theirs"))
@@ -303,12 +305,12 @@ def salt():
 
 
 def ownership(sets: DataFrame, homes: DataFrame, known: DataFrame) -> DataFrame:
-    """(set_id, first_doc, n, comp, size, home, band, salt): each set with its component and group."""
+    """(set_id, first_doc, mark, n, comp, size, home, band, salt): each set with its component and group."""
     sizes = known.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
     linked = known.join(sizes, "label").select(F.col("node").alias("set_id"), F.col("label").alias("comp"), "size")
     home = homes.groupBy("set_id").agg(F.max(F.struct("crowd", "bucket")).alias("h")).select("set_id", F.col("h.bucket").alias("home"), "h.crowd")
     one = F.lit(1).cast("bigint")
-    each = sets.select("set_id", "first_doc", "n").join(linked, "set_id", "left").join(home, "set_id", "left")
+    each = sets.select("set_id", "first_doc", "mark", "n").join(linked, "set_id", "left").join(home, "set_id", "left")
     filled = each.withColumns({"comp": F.coalesce("comp", "set_id"), "size": F.coalesce("size", one), "home": F.coalesce("home", "set_id"), "crowd": F.coalesce("crowd", one)})
     return filled.withColumns({"band": band(), "salt": salt()}).drop("crowd")
 
@@ -328,26 +330,25 @@ def similar(docs: DataFrame) -> DataFrame:
         rows = cut(signatures(docs))
         owned = rows.filter("n >= 0")
         mins = [F.min(f"m{j}").alias(f"m{j}") for j in range(MINHASHES)]
-        sets = cut(owned.filter("n > 0 AND doc_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("first_doc"), F.min("n").alias("n"), *mins))
+        sets = cut(owned.filter("n > 0 AND doc_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("first_doc"), F.min("mark").alias("mark"), F.min("n").alias("n"), *mins))
         hot = hot_cells(rows)
         homes = cut(buckets(sets))
         free()
-        known = components(easy_links(docs, homes), scratch)
+        texts = distinct_texts(docs, scratch)
+        free()
+        known = components(easy_links(texts, homes), scratch)
         owners = cut(ownership(sets, homes, known))
         free(sets, homes)
-        found = cut(prefixes(docs, owners, hot))
-        free()
-        queries = group_queries(found, owners, scratch)
-        free(found)
+        queries = group_queries(texts, owners, hot, scratch)
         group = ["home", "band", "salt"]
         chunks = queries.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / QUERIES).alias("chunks"))
-        use = ["set_id", "first_doc", "comp", "size"]
+        use = ["set_id", "mark", "comp", "size"]
         members = owners.join(chunks, group).select(*use, *group, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("role"))
         asking = queries.join(chunks, group).join(owners.select(*use), "set_id").select(*use, *group, F.pmod(F.xxhash64("set_id"), "chunks").alias("chunk"), F.lit(1).alias("role"))
-        hard = compared(with_text(docs, members.unionByName(asking)), [*group, "chunk"])
+        hard = compared(with_text(texts, members.unionByName(asking)), [*group, "chunk"])
         chains = known.filter("node <> label").select(F.col("label").alias("lo"), F.col("node").alias("hi"))
         labels = components(chains.unionByName(hard), scratch)
-        free(queries, known)
+        free(queries, known, texts)
         labelled = owners.select("set_id", "first_doc").join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
         least = labelled.groupBy("label").agg(F.min("first_doc").alias("component_id"))
         final = cut(labelled.join(least, "label").select("set_id", "component_id"))
