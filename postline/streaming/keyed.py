@@ -113,6 +113,7 @@ class ToldOnce(StatefulProcessor):
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         events = pd.concat(list(rows)).sort_values(["ts", "id"])
+        events = events[events["ts"].astype(int) * 1_000 > timerValues.getCurrentWatermarkInMs()]  # of those before, what was told may be forgotten
         told = self.told.get()[0] if self.told.exists() else None
         new = []
         for at in events["ts"].astype(int):
@@ -123,7 +124,7 @@ class ToldOnce(StatefulProcessor):
                 self.handle.deleteTimer(timer[0] if isinstance(timer, tuple) else timer)
             self.told.update((told,))
             self.handle.registerTimer((told + self.seconds) * 1_000)
-        yield events[new].drop(columns=["at"])
+        yield events[new]
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.told.clear()
@@ -132,6 +133,7 @@ class ToldOnce(StatefulProcessor):
 
 def told_once(events: DataFrame, seconds: int = config.DEDUPE_SECONDS, late: str = "1 hour") -> DataFrame:
     """A stream of events (with id, ts and KEY) less those of postings that came through less than ``seconds`` before. Of a
-    micro-batch the first by time and id counts. State is held for a window, not for ever: with the watermark it goes."""
-    timed = events.withColumn("at", F.timestamp_seconds("ts")).withWatermark("at", late)
+    micro-batch the first by time and id counts. State is held for a window, not for ever: with the watermark it goes, and events
+    that come behind it are dropped. The event time stays behind: pandas knows no time after the year 2262."""
+    timed = events.withColumn("at", F.timestamp_seconds("ts")).withWatermark("at", late).drop("at")
     return timed.groupBy(*KEY).transformWithStateInPandas(ToldOnce(seconds), events.schema, "append", "eventTime")

@@ -88,3 +88,13 @@ def test_nobody_is_told_twice_within_the_window(state_session, tmp_path):
         spark.createDataFrame(rows[k : k + 40], ROWS).coalesce(1).write.mode("append").parquet(path)
         got = drained(keyed.told_once(spark.readStream.schema(ROWS).parquet(path)), str(tmp_path), spark)
     assert sorted(r.id for r in got.collect()) == expected
+
+
+def test_told_once_takes_far_times_and_drops_what_comes_behind_the_watermark(state_session, tmp_path):
+    spark, path = state_session, str(tmp_path / "in")
+    month, far = 30 * 86_400, 20_000_000_000  # in the year 2603
+    batches = [[(1, far, "1"), (2, far + 5, "1")], [(3, far + month, "1"), (4, far + 2 * month, "2")], [(5, far + 9, "3"), (6, far + month + 9, "1"), (7, far + 2 * month + 1, "1")]]
+    for rows in batches:  # the last batch's first two rows come long after their time
+        spark.createDataFrame([(i, ts, "lever", "a", p) for i, ts, p in rows], ROWS).coalesce(1).write.mode("append").parquet(path)
+        got = drained(keyed.told_once(spark.readStream.schema(ROWS).parquet(path)), str(tmp_path), spark)
+    assert sorted(r.id for r in got.collect()) == [1, 3, 4, 7]
