@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -19,7 +19,12 @@ from postline.operators.diff import BOARD, KEY
 #: A row for each posting of a fetch, and one without an external_id for the fetch itself, with the number of postings that it returned.
 POLLED = "snapshot_id bigint, ts bigint, ats string, slug string, fetched int, external_id string, content_hash string, title string, url string"
 EVENTS = "snapshot_id bigint, ts bigint, type string, ats string, slug string, external_id string, title string, url string, missing_polls int"
-HELD = "status string, missing int, content_hash string, title string, url string"
+#: A board's postings and the last snapshot of it that counted: a list for each of their columns.
+HELD = "last bigint, external_id array<string>, status array<string>, missing array<int>, content_hash array<string>, title array<string>, url array<string>"
+#: Groups of boards. A group is handed over, and its state restored, at once: a call for each board would cost more than its diff.
+GROUPS = 4_096
+BEGUN = ("external_id", "status", "missing", "content_hash", "title", "url")
+POLLED_ROW = ("snapshot_id", "ts", "fetched", "external_id", "content_hash", "title", "url")
 
 
 def with_rocksdb(spark: SparkSession) -> SparkSession:
@@ -29,9 +34,10 @@ def with_rocksdb(spark: SparkSession) -> SparkSession:
 
 
 class BoardDiff(StatefulProcessor):
-    """What happens to the postings of one board with each snapshot of it.
+    """What happens to the postings of a group's boards with each snapshot of them.
 
-    A posting's absence shows only in a fetch of its board, so the key is the board, and its postings are a map. Snapshots count
+    A posting's absence shows only in a fetch of its board, so a board's postings are one value, in a map by board: it is read once
+    and written once for all the snapshots of a micro-batch, and boards that weren't polled are left alone. Snapshots count
     in the order of their numbers; one that isn't newer than the last is left out, so that a repeat changes nothing.
     """
 
@@ -39,50 +45,56 @@ class BoardDiff(StatefulProcessor):
         self.grace, self.guard = grace, guard
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.postings = handle.getMapState("postings", "external_id string", HELD)
-        self.last = handle.getValueState("last", "snapshot_id bigint")
+        self.boards = handle.getMapState("boards", "ats string, slug string", HELD)
 
     def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues) -> None:
-        rows = initialState.astype(object).where(initialState.notna(), None)
-        for r in rows.itertuples():
-            self.postings.updateValue((r.external_id,), (r.status, int(r.missing_polls), r.content_hash, r.title, r.url))
+        for ats, slug, *lists in zip(*[initialState[c] for c in (*BOARD, *BEGUN)], strict=True):
+            self.boards.updateValue((ats, slug), (None, *(v.tolist() for v in lists)))
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        polled = pd.concat(list(rows))
-        polled = polled.astype(object).where(polled.notna(), None)
-        last = self.last.get()[0] if self.last.exists() else None
-        held = {k[0]: tuple(v) for k, v in self.postings.iterator()}
+        boards: dict[tuple, dict[int, list]] = {}
+        for f in rows:
+            columns = [f[c].astype(object).where(f[c].notna(), None) for c in (*BOARD, *POLLED_ROW)]
+            for ats, slug, number, *row in zip(*columns, strict=True):
+                boards.setdefault((ats, slug), {}).setdefault(int(number), []).append(row)
         made = []
-        for number, fetch in polled.groupby("snapshot_id", sort=True):
-            number = int(number)
+        for board, snapshots in boards.items():
+            made += self.polled(board, snapshots)
+        yield pd.DataFrame(made, columns=[c.split(" ")[0] for c in EVENTS.split(", ")]).astype({"missing_polls": "Int32"})
+
+    def polled(self, board: tuple, snapshots: dict[int, list]) -> Iterator[tuple]:
+        """The events of a board's snapshots, whose state is written after the last of them."""
+        last, *lists = self.boards.getValue(board) or (None,)
+        held = {row[0]: tuple(row[1:]) for row in zip(*lists, strict=True)}
+        begun = last
+        for number in sorted(snapshots):
             if last is not None and number <= last:
                 continue
-            last = number
-            self.last.update((number,))
-            ts, fetched = int(fetch["ts"].iloc[0]), int(fetch["fetched"].max() or 0)
-            now = {}
-            for p in fetch[fetch["external_id"].notna()].itertuples():
-                now.setdefault(p.external_id, p)
+            last, fetch = number, snapshots[number]
+            ts, fetched = int(fetch[0][0]), max(int(r[1] or 0) for r in fetch)
+            now: dict[str, tuple] = {}
+            for _, _, name, *posting in fetch:
+                if name is not None:
+                    now.setdefault(name, tuple(posting))
             if fetched == 0 and sum(v[0] == "open" for v in held.values()) > self.guard:
                 continue  # a bad answer, not the end of all postings
             for name, what, state in self.decided(held, now):
-                if state != held.get(name):
-                    held[name] = state
-                    self.postings.updateValue((name,), state)
+                held[name] = state
                 if what:
-                    made.append((number, ts, what, *key, name, state[3], state[4], state[1] if what == "closed" else None))
-        yield pd.DataFrame(made, columns=[c.split(" ")[0] for c in EVENTS.split(", ")]).astype({"missing_polls": "Int32"})
+                    yield number, ts, what, *board, name, state[3], state[4], state[1] if what == "closed" else None
+        if last != begun:
+            self.boards.updateValue(board, (last, list(held), *([state[k] for state in held.values()] for k in range(5))))
 
     def decided(self, held: dict, now: dict) -> Iterator[tuple[str, str | None, tuple]]:
         """(posting, event if any, its next state) of the board's postings, held and listed now."""
-        for name, p in now.items():
+        for name, posting in now.items():
             old = held.get(name)
-            state = ("open", 0, p.content_hash, p.title, p.url)
+            state = ("open", 0, *posting)
             if old is None:
                 yield name, "new", state
             elif old[0] == "closed":
                 yield name, "reopened", state
-            elif old[2] != p.content_hash:
+            elif old[2] != posting[0]:
                 yield name, "edited", state
             else:
                 yield name, None, ("open", 0, *old[2:])
@@ -97,8 +109,14 @@ def grace_events(polled: DataFrame, jobs: DataFrame | None = None, grace: int =
     """The events (EVENTS) of a stream of fetches (POLLED), as ``diff.decided`` decides them. jobs: stored postings to begin with."""
     begin = None
     if jobs is not None:
-        begin = jobs.select(*KEY, "status", F.col("missing_polls").cast("int"), "content_hash", "title", "url").groupBy(*BOARD)
-    return polled.groupBy(*BOARD).transformWithStateInPandas(BoardDiff(grace, guard), EVENTS, "append", "none", begin)
+        posting = F.struct("external_id", "status", F.coalesce("missing_polls", F.lit(0)).cast("int").alias("missing"), "content_hash", "title", "url")
+        whole = jobs.groupBy(*BOARD).agg(F.collect_list(posting).alias("_all"))
+        begin = whole.select(group_of(), *BOARD, *[F.col(f"_all.{c}").alias(c) for c in BEGUN]).groupBy("group")
+    return polled.select(group_of(), "*").groupBy("group").transformWithStateInPandas(BoardDiff(grace, guard), EVENTS, "append", "none", begin)
+
+
+def group_of() -> Column:
+    return F.pmod(F.xxhash64(*BOARD), F.lit(GROUPS)).cast("int").alias("group")
 
 
 class ToldOnce(StatefulProcessor):

@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -98,3 +99,29 @@ def test_told_once_takes_far_times_and_drops_what_comes_behind_the_watermark(sta
         spark.createDataFrame([(i, ts, "lever", "a", p) for i, ts, p in rows], ROWS).coalesce(1).write.mode("append").parquet(path)
         got = drained(keyed.told_once(spark.readStream.schema(ROWS).parquet(path)), str(tmp_path), spark)
     assert sorted(r.id for r in got.collect()) == [1, 3, 4, 7]
+
+
+def test_a_board_is_read_and_written_once_a_micro_batch():
+    class Counted(dict):
+        calls = 0
+
+        def getMapState(self, *_):
+            return self
+
+        def getValue(self, key):
+            self.calls += 1
+            return self.get(key)
+
+        def updateValue(self, key, value):
+            self.calls += 1
+            self[key] = value
+
+    state, processor = Counted(), keyed.BoardDiff(2, 5)
+    processor.init(state)
+    names = [c.split(" ")[0] for c in keyed.POLLED.split(", ")]
+    rows = [(s, s, "lever", f"b{b}", 20, str(p), f"h{s}", "t", None) for s in (2, 1, 3) for b in range(10) for p in range(s, s + 20)]
+    frame = pd.DataFrame(rows, columns=names)
+    got = pd.concat(processor.handleInputRows((0,), iter([frame[:250], frame[250:]]), None))
+    assert state.calls == 20 and len(state) == 10 and all(v[0] == 3 and len(v[1]) == 22 for v in state.values())
+    assert got["type"].value_counts().to_dict() == {"new": 220, "edited": 380, "closed": 10}
+    assert len(pd.concat(processor.handleInputRows((0,), iter([frame]), None))) == 0 and state.calls == 30
