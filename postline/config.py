@@ -3,8 +3,10 @@
 DAY = 86_400
 #: Diff.
 GRACE, MASS_CLOSE_GUARD = 2, 5
-#: Postings that a stream stages at a time.
+#: Postings of a share, the least that a stream settles at a time.
 STAGED_MOST = 20_000
+#: The most transactions that a stream's micro-batch is settled in.
+ROUNDS = 8
 #: Ingest filter.
 KEPT_FAMILIES = ("engineering", "fde", "ai", "data")
 KEPT_REGIONS = ("us", "europe", "remote", "unknown")

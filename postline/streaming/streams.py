@@ -3,13 +3,14 @@
 Each micro-batch runs the same pure functions as the batch engine: state and input give the next state and events. The
 state lives in the store, and all that a batch writes (a diff's events, jobs, run and number; a digest's marks) is one
 transaction there: a batch that dies at any point and runs again starts from where it did, and a repeat of a finished
-batch changes nothing. Big snapshots are settled in shares of whole boards. A share reads and writes the state's buckets that
-its boards lie in, and no others, so that the bytes moved follow what was polled.
+batch changes nothing. Big snapshots are settled in shares of whole boards, some shares at once: however big a snapshot is, it
+takes a few transactions, each of one plan over its part. They read and write the state's buckets that their boards lie in, and
+no others, so that the bytes moved follow what was polled.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -92,6 +93,16 @@ def settle_share(store: Store, boards: DataFrame, staged: DataFrame, buckets: li
     return decisions, {LAST + "events": top + decisions.filter(F.col("action").isin(*diff.EVENT_RANK)).count()}
 
 
+def rounds(todo: list, first: int, done: int | None, most: int = config.ROUNDS) -> Iterator[tuple[int, int, list]]:
+    """The shares that are left, in order, in at most so many runs of equal length: each run's place in todo, the mark of its last
+    share, and its shares. first: the first share's mark; done: that of the last one settled."""
+    begin = 0 if done is None else min(max(done + 1 - first, 0), len(todo))
+    size = -(-(len(todo) - begin) // most)
+    for at in range(begin, len(todo), max(size, 1)):
+        part = todo[at : at + size]
+        yield at, first + at + len(part) - 1, part
+
+
 def newest(batch: DataFrame) -> DataFrame:
     """The last snapshot of each board in a batch."""
     last = F.max(F.struct("snapshot_id", "fetched", "fetch_status")).alias("_last")
@@ -99,10 +110,10 @@ def newest(batch: DataFrame) -> DataFrame:
 
 
 def diff_stream(fetched: DataFrame, store: Store, staged_of: Callable[[DataFrame], DataFrame], checkpoint: str, ts_of: Callable[[int], int], most: int = config.STAGED_MOST) -> StreamingQuery:
-    """Diffs each micro-batch of successful fetches (one snapshot a board) against the stored jobs, share by share.
+    """Diffs each micro-batch of successful fetches (one snapshot a board) against the stored jobs, by runs of shares (``rounds``).
 
     fetched: a stream with FETCHED's columns; staged_of gives some boards' postings; ts_of a batch's time. Failed fetches
-    change nothing but the counts of the poll's run. A share that is done is remembered, with the batch's number.
+    change nothing but the counts of the poll's run. Shares that are done are remembered, with the batch's number.
     """
 
     def each(batch: DataFrame, batch_id: int) -> None:
@@ -111,17 +122,15 @@ def diff_stream(fetched: DataFrame, store: Store, staged_of: Callable[[DataFrame
         failed = newest(batch.filter("fetch_status <> 'ok'"))
         # a row for each share, of some thousands of postings
         todo = ok.groupBy("share").agg(F.sort_array(F.collect_set("bucket")).alias("buckets")).orderBy("share").collect()
-        for number, (share, buckets) in enumerate([tuple(r) for r in todo] or [(None, [])]):
-            mark = batch_id * SHARES + number
-            if not advance(store, DIFF, mark):
-                continue
-            own = ok.filter(F.col("share").eqNullSafe(F.lit(share).cast("bigint"))).drop("share", "bucket")
+        for number, last, part in rounds([tuple(r) for r in todo] or [(None, [])], batch_id * SHARES, noted(store, DIFF)):
+            own = ok.filter(F.col("share").between(part[0][0], part[-1][0])).drop("share", "bucket") if todo else ok.drop("share", "bucket")
+            buckets = sorted({b for _, its in part for b in its})
             with store.transaction():
                 decisions, marks = settle_share(store, own.select("ats", "slug", "fetched"), staged_of(own), buckets, ts)
                 polled = own if number else own.unionByName(failed)
                 top = last_id(store, "poll_runs")
                 store.append("poll_runs", sweeps.poll_run(polled, decisions, ts, ts, top))
-                finish(store, marks | {LAST + "poll_runs": top + 1, DIFF: mark}, ts)
+                finish(store, marks | {LAST + "poll_runs": top + 1, DIFF: last}, ts)
             decisions.unpersist()
         ok.unpersist()
 

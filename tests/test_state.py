@@ -68,6 +68,24 @@ def jobs_state(spark, jobs):
     return jobs.select(*[F.col(c).cast(t).alias(c) if c in jobs.columns else F.lit(None).cast(t).alias(c) for c, t in blank.dtypes])
 
 
+def test_many_shares_are_settled_in_few_transactions(spark, tmp_path, monkeypatch):
+    todo = [(s, [s % 4]) for s in range(0, 200, 2)]
+    runs = list(streams.rounds(todo, 5_000, None))
+    assert len(runs) <= 8 and [s for *_, part in runs for s in part] == todo and [last for _, last, _ in runs] == [5_000 + at + len(part) - 1 for at, _, part in runs]
+    # shares that are done stay done, however they were cut before
+    assert [s for *_, part in streams.rounds(todo, 5_000, 5_036) for s in part] == todo[37:]
+    assert list(streams.rounds(todo, 5_000, 5_099)) == list(streams.rounds(todo, 5_000, 6_000)) == [] and list(streams.rounds(todo, 5_000, 4_000)) == runs
+    assert list(streams.rounds([(None, [])], 0, None)) == [(0, 0, [(None, [])])]
+    store = Store(spark, str(tmp_path / "store"), buckets=2)
+    fetched = spark.range(60).select(F.lit(1).cast("bigint").alias("snapshot_id"), F.lit("lever").alias("ats"), F.concat(F.lit("b"), "id").alias("slug"), F.lit("ok").alias("fetch_status"), F.lit(9).alias("fetched"))
+    fetched.coalesce(1).write.parquet(str(tmp_path / "in"))
+    staged_of = lambda ok: ok.select("ats", "slug", F.lit("1").alias("external_id"), F.lit("t").alias("title"), F.lit("h").alias("content_hash"), F.lit(None).cast("bigint").alias("posted_at"))
+    streams.diff_stream(spark.readStream.schema(streams.FETCHED).parquet(str(tmp_path / "in")), store, staged_of, str(tmp_path / "cp"), lambda i: 100 + i, most=20).awaitTermination()
+    polls = store.read("poll_runs").collect()
+    assert 1 < len(polls) <= 8 and sum(r.boards_polled for r in polls) == sum(r.new_jobs for r in polls) == 60 == store.read("jobs").count()
+    assert sorted(r.id for r in store.read("events").collect()) == list(range(1, 61))
+
+
 def test_the_newest_snapshot_of_a_board_counts(spark):
     rows = [(1, "lever", "a", "ok", 9), (2, "lever", "a", "ok", 4), (2, "lever", "b", "ok", 1), (2, "lever", "b", "ok", 1)]
     got = streams.newest(spark.createDataFrame(rows, streams.FETCHED)).collect()
