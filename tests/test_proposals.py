@@ -63,6 +63,20 @@ def test_patterns_meet_candidates_alone(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_many_rules_of_few_patterns_are_judged_once_each(spark):
+    titles = spark.createDataFrame([(t,) for t in TITLES if t], "title string")
+    one = [(k, p, "data") for k, p in enumerate(["a", "g.$", "engineer"])]
+    many = [(3 * n + k, p, f) for n in range(900) for k, p, f in one]  # 1,800 of them have no literal
+    columns = "id bigint, pattern string, family string"
+    parts = [gates.pattern_hits(titles, gates.described(spark.createDataFrame(rows, columns))) for rows in (one, many)]
+    assert parts[0].count() == parts[1].count() > 0
+    plans = [p._jdf.queryExecution().optimizedPlan().toString().count("Join") for p in parts]
+    assert plans[0] == plans[1]
+    jobs = titles.withColumn("role_family", F.lit("data"))
+    got = gates.ruleset_gates(jobs, spark.createDataFrame(many, columns)).groupBy((F.col("id") % 3).alias("k")).agg(F.countDistinct("hits", "agree").alias("kinds"), F.count("id").alias("n"))
+    assert sorted(map(tuple, got.collect())) == [(k, 1, 900) for k in range(3)]
+
+
 def test_proposals_from_filing_to_effect(spark):
     none = spark.createDataFrame([], SCHEMAS["proposals"])
     drafts = [(1, "scout", "source", '{"url":"u1"}', None), (2, "scout", "source", '{"url":"gone"}', None), (3, "healer", "diagnosis", "{}", '{"a":"b"}'), (4, "tagger", "ruleset_patch", '{"pattern":"rust","family":"engineering"}', None), (5, "scout", "source", '{"url":"u5"}', None)]
