@@ -32,6 +32,8 @@ from postline.sources.adapters import LISTS, MOST, TOTALS
 SCHEMA = "ats string, slug string, page int, fetch_status string, body string"
 ARROW = pa.schema([("ats", pa.string()), ("slug", pa.string()), ("page", pa.int32()), ("fetch_status", pa.string()), ("body", pa.string())])
 BOARDS = 200
+#: A batch of rows ends with the board that reaches so many rows or characters.
+ROWS, CHARS = 1_000, 4_000_000
 
 
 def opened(path: str) -> tuple[fs.FileSystem, str]:
@@ -92,21 +94,35 @@ class PagesReader(DataSourceReader):
         return out or [Boards("", [])]
 
     def read(self, partition: Boards) -> Iterator[pa.RecordBatch]:
-        files, root = opened(self.path)
+        """Batches of many boards: one for each board would cost more than its pages."""
+        rows, size = [], 0
         for name in partition.names:
-            pages = []
-            for f in files.get_file_info(fs.FileSelector(f"{root}/{partition.ats}/{name}")):
-                number, _, status = posixpath.basename(f.path).partition(".")
-                with files.open_input_stream(f.path) as stream:
-                    pages.append((int(number), status, stream.read().decode()))
-            pages.sort()
-            slug, wrong = unquote(name), lacking(partition.ats, [body for _, status, body in pages if status == "ok"])
-            if wrong and self.strict:
-                raise ValueError(f"{partition.ats}/{slug} is not whole: {wrong}")
-            rows = [(0, "transient", None)] if wrong else pages
-            numbers, states, bodies = zip(*rows, strict=True) if rows else ((), (), ())
-            n = len(rows)
-            yield pa.RecordBatch.from_arrays([pa.array([partition.ats] * n, pa.string()), pa.array([slug] * n, pa.string()), pa.array(numbers, pa.int32()), pa.array(states, pa.string()), pa.array(bodies, pa.string())], schema=ARROW)
+            board = self.board(partition.ats, name)
+            rows += board
+            size += sum(len(r[-1] or "") for r in board)
+            if len(rows) >= ROWS or size >= CHARS:
+                yield batch_of(rows)
+                rows, size = [], 0
+        if rows:
+            yield batch_of(rows)
+
+    def board(self, ats: str, name: str) -> list[tuple]:
+        """A board's pages as rows."""
+        files, root = opened(self.path)
+        pages = []
+        for f in files.get_file_info(fs.FileSelector(f"{root}/{ats}/{name}")):
+            number, _, status = posixpath.basename(f.path).partition(".")
+            with files.open_input_stream(f.path) as stream:
+                pages.append((int(number), status, stream.read().decode()))
+        pages.sort()
+        slug, wrong = unquote(name), lacking(ats, [body for _, status, body in pages if status == "ok"])
+        if wrong and self.strict:
+            raise ValueError(f"{ats}/{slug} is not whole: {wrong}")
+        return [(ats, slug, *page) for page in ([(0, "transient", None)] if wrong else pages)]
+
+
+def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(zip(*rows, strict=True), ARROW.types, strict=True)], schema=ARROW)
 
 
 class PagesWriter(DataSourceWriter):

@@ -61,3 +61,18 @@ def test_a_board_that_is_not_whole_fails_or_counts_as_failed(spark, recorded):
 def test_an_empty_folder_has_no_pages(spark, tmp_path):
     pages.register(spark)
     assert spark.read.format("board_pages").load(str(tmp_path / "none")).count() == 0
+
+
+def test_boards_come_many_in_a_batch(tmp_path, monkeypatch):
+    for k in range(25):
+        at = tmp_path / "lever" / f"b{k:02}"
+        at.mkdir(parents=True)
+        for page in range(k % 3):
+            (at / f"{page}.ok").write_text("x" * 10)
+    monkeypatch.setattr(pages, "ROWS", 10)
+    reader = pages.PagesReader({"path": str(tmp_path)})
+    batches = [b for part in reader.partitions() for b in reader.read(part)]
+    assert [b.num_rows for b in batches] == [10, 11, 3]
+    monkeypatch.setattr(pages, "CHARS", 15)
+    small = [b for part in reader.partitions() for b in reader.read(part)]
+    assert len(small) > len(batches) and [r for b in small for r in b.to_pylist()] == [r for b in batches for r in b.to_pylist()]
