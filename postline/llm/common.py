@@ -63,12 +63,15 @@ class Scratch:
         self.paths[id(out)] = out, path
         return out
 
-    def bucketed(self, df: DataFrame, key: str) -> DataFrame:
-        """df, written once in buckets of ``key``, as many as there are shuffle partitions: joins by it don't move these rows again."""
+    def bucketed(self, parts: list[DataFrame], key: str) -> DataFrame:
+        """The rows of all parts, written once in buckets of ``key``, as many as there are shuffle partitions: joins by it don't move
+        these rows again. The shuffle behind a part goes before the next part's."""
         path = shared_path(self.spark, "bucketed")
         name = self.names[path] = path.rsplit("/", 1)[1].replace("-", "_")
         buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        df.write.option("compression", "zstd").bucketBy(buckets, key).option("path", path).saveAsTable(name)
+        for part in parts:
+            part.write.mode("append").option("compression", "zstd").bucketBy(buckets, key).option("path", path).saveAsTable(name)
+            self.free()
         out = self.spark.table(name)
         self.paths[id(out)] = out, path
         return out
@@ -85,6 +88,7 @@ class Scratch:
             if path in self.names:
                 self.spark.sql(f"DROP TABLE IF EXISTS {self.names.pop(path)}")
             remove(self.spark, path)
+        self.spark.sql("SELECT 1").collect()  # Spark's listeners hold the last query that ended, and by it its shuffles, until another comes
         self.spark._jvm.System.gc()  # lets the driver tell executors which shuffles nobody can read any more
 
 

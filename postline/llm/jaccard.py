@@ -18,7 +18,8 @@ A token's first bits grow as its shingle gets shorter, so sorting puts long and
 are found by a sketch of fixed size, summed before they are shuffled, and joined where a join may be split. Both only
 decide the order in prefixes, never what is found: with those tokens last, common phrases and shared passages make no
 candidates of documents that are otherwise unlike. Each distinct text is written once, in buckets
-of its hash, and later steps join it there. Spark chooses each join by the tables' bytes; none is told to broadcast. Shingles and sets are compared by 64-bit hashes.
+of its hash, and later steps join it there. Texts and prefixes are shuffled in passes, each a share of the hashes whose
+shuffle goes before the next, so that disk never holds all of it at once. Spark chooses each join by the tables' bytes; none is told to broadcast. Shingles and sets are compared by 64-bit hashes.
 
 Defined results: null or empty texts have the empty set and no links; with fewer than ``WIDTH`` words the whole sequence
 is one shingle; texts of any length are read whole, in pieces of words but as one set; rows with a null doc_id link nothing
@@ -28,6 +29,7 @@ an empty table; other columns are not looked at.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,6 +48,8 @@ LEADERS = 64
 GROUP = 128
 #: Sets of a bucket, or queries of a group, that one task compares in a row.
 CHUNK, QUERIES = 512, 256
+#: Shares in which texts and the tokens of prefixes are shuffled, one after another.
+TEXT_PASSES, TOKEN_PASSES = 2, 4
 #: Tokens that the prefixes of linked sets share at least, where the sets are that large.
 COMMON = 6
 SKETCH_BITS = 22
@@ -145,8 +149,14 @@ def buckets(sets: DataFrame) -> DataFrame:
 
 
 def distinct_texts(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """(mark, text): each distinct text once, in buckets of its mark. This is the one time that all texts move."""
-    return scratch.bucketed(docs.filter("text IS NOT NULL").select(F.xxhash64("text").alias("mark"), "text").dropDuplicates(["mark"]), "mark")
+    """(mark, text): each distinct text once, in buckets of its mark. This is the one time that all texts move, a share at a time."""
+    marked = docs.filter("text IS NOT NULL").select(F.xxhash64("text").alias("mark"), "text")
+    return scratch.bucketed([share(marked, "mark", k, TEXT_PASSES).dropDuplicates(["mark"]) for k in range(TEXT_PASSES)], "mark")
+
+
+def share(rows: DataFrame, key: str, k: int, of: int) -> DataFrame:
+    """The rows whose key, a hash, is in the k-th of so many shares."""
+    return rows.filter(F.pmod(key, F.lit(of)) == k)
 
 
 def with_text(texts: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -229,61 +239,70 @@ def easy_links(texts: DataFrame, homes: DataFrame) -> DataFrame:
     return rows.repartition("bucket", "chunk").sortWithinPartitions("bucket", "chunk", "set_id").mapInArrow(lambda batches: forests(run(batches)), EDGE)
 
 
-def prefixes(texts: DataFrame, owners: DataFrame, hot: np.ndarray, frequent: bool) -> DataFrame:
-    """(token, set_id, comp) of each set's prefix, either its frequent tokens, which are in hot cells of the sketch and come last in
-    the order, or all others.
+def prefixes(texts: DataFrame, owners: DataFrame, hot: np.ndarray) -> DataFrame:
+    """(token, late, set_id, comp) of each set's prefix. late: the frequent tokens, which are in hot cells of the sketch and come last
+    in the order.
 
     owners: set_id, mark and comp of each set. comp is left null where it is the set's own.
     """
     is_hot = np.zeros(1 << SKETCH_BITS, bool)
     is_hot[hot] = True
     held = texts.sparkSession.sparkContext.broadcast(np.packbits(is_hot))
-    arrow = pa.schema([("token", pa.int64()), ("set_id", pa.int64()), ("comp", pa.int64())])
+    arrow = pa.schema([("token", pa.int64()), ("late", pa.bool_()), ("set_id", pa.int64()), ("comp", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         late_cells = np.unpackbits(held.value).astype(bool)
         for b in batches:
             want, comp = (b.column(b.schema.get_field_index(c)).to_pylist() for c in ("set_id", "comp"))
-            token, ids, comps = [], [], []
+            token, ids, comps = [], [], []  # of each set, the early tokens and then the late ones
 
             def block() -> pa.RecordBatch:
-                all_, length = np.concatenate(token), [len(t) for t in token]
-                of = pa.array(np.repeat(np.arange(len(token)), length))
-                columns = [pa.array(all_.view(np.int64)), pa.array(ids, pa.int64()).take(of), pa.array(comps, pa.int64()).take(of)]
+                part = np.repeat(np.arange(len(token)), [len(t) for t in token])
+                of = pa.array(part // 2)
+                columns = [pa.array(np.concatenate(token).view(np.int64)), pa.array(part % 2 == 1), pa.array(ids, pa.int64()).take(of), pa.array(comps, pa.int64()).take(of)]
                 return pa.RecordBatch.from_arrays(columns, schema=arrow)
 
             for i, s in enumerate(shingle_sets(b.column(b.schema.get_field_index("text")))):
                 if not len(s) or set_key(s) != want[i]:
                     continue
                 late = late_cells[cells(s)]
-                early, size = s[~late], prefix_size(len(s))
-                chosen = s[late][: max(size - len(early), 0)] if frequent else early[:size]
-                if not len(chosen):
-                    continue
-                token.append(chosen)
+                size = prefix_size(len(s))
+                early = s[~late][:size]
+                token += [early, s[late][: size - len(early)]]
                 ids.append(want[i])
                 comps.append(comp[i])
-                if len(token) >= 1000:
+                if len(ids) >= 1000:
                     yield block()
                     token, ids, comps = [], [], []
             if token:
                 yield block()
 
     own = F.when(F.col("comp") != F.col("set_id"), F.col("comp")).alias("comp")
-    return with_text(texts, owners.select("set_id", "mark", own)).select("set_id", "comp", "text").mapInArrow(run, "token bigint, set_id bigint, comp bigint")
+    return with_text(texts, owners.select("set_id", "mark", own)).select("set_id", "comp", "text").mapInArrow(run, "token bigint, late boolean, set_id bigint, comp bigint")
+
+
+def meeting(tokens_of: DataFrame, scratch: Scratch) -> list[DataFrame]:
+    """(token, set_id) in several tables: the tokens of prefixes whose sets lie in more than one component."""
+    comp, token = F.coalesce("comp", "set_id"), Window.partitionBy("token")
+    rare, often = tokens_of.filter("NOT late"), tokens_of.filter("late")
+    met = []
+    for k in range(TOKEN_PASSES):  # few sets have a rare token: they meet once
+        beside = share(rare, "token", k, TOKEN_PASSES).withColumns({"lo": F.min(comp).over(token), "hi": F.max(comp).over(token)})
+        met.append(scratch.cut(beside.filter("lo <> hi").select("token", "set_id")))
+        scratch.free()
+    # a frequent token may be in a large part of all sets: it is summed before it is shuffled, and then joined
+    shared = often.groupBy("token").agg(F.min(comp).alias("lo"), F.max(comp).alias("hi")).filter("lo <> hi").select("token")
+    return [*met, scratch.cut(often.join(shared, "token").select("token", "set_id"))]
 
 
 def group_queries(texts: DataFrame, owners: DataFrame, hot: np.ndarray, scratch: Scratch) -> DataFrame:
     """(set_id, home, band, salt): the queries, and the groups that their prefixes meet."""
-    comp = F.coalesce("comp", "set_id")
-    # few sets have a rare token: they meet once, and those whose sets are all of one component go
-    token = Window.partitionBy("token")
-    rare = prefixes(texts, owners, hot, frequent=False).withColumns({"lo": F.min(comp).over(token), "hi": F.max(comp).over(token)}).filter("lo <> hi").select("token", "set_id")
-    # a frequent token may be in a large part of all sets: it is summed before it is shuffled, and then joined
-    often = scratch.cut(prefixes(texts, owners, hot, frequent=True))
-    shared = often.groupBy("token").agg(F.min(comp).alias("lo"), F.max(comp).alias("hi")).filter("lo <> hi").select("token")
-    met = scratch.cut(rare.unionByName(often.join(shared, "token").select("token", "set_id")).join(owners.drop("first_doc", "mark"), "set_id"))
-    scratch.free(often)
+    tokens_of = scratch.cut(prefixes(texts, owners, hot))
+    scratch.free()
+    parts = meeting(tokens_of, scratch)
+    scratch.free(tokens_of)
+    met = scratch.cut(functools.reduce(DataFrame.unionByName, parts).join(owners.drop("first_doc", "mark"), "set_id"))
+    scratch.free(*parts)
     rank = F.struct("size", "comp")
     asking = met.select("token", "set_id", "n", F.col("band").alias("own_band"), rank.alias("own"))
     asked = met.groupBy("token", "home", "band", "salt").agg(F.max(rank).alias("theirs"))

@@ -6,6 +6,8 @@ import math
 import os
 import random
 import re
+import time
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -223,6 +225,48 @@ def test_texts_stay_in_their_buckets(spark):
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("bucketed")]
 
 
+def shuffle_files(spark):
+    """The sizes of the shuffle files that are on disk, by path."""
+    dirs = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    return {f: f.stat().st_size for d in dirs for f in Path(d.getPath()).rglob("shuffle_*.data")}
+
+
+def gone(spark, before):
+    for _ in range(50):
+        if not shuffle_files(spark).keys() - before:
+            return True
+        time.sleep(0.1)
+    return False
+
+
+def test_free_lets_go_of_the_last_shuffle(spark):
+    with Scratch(spark) as scratch:
+        before = shuffle_files(spark).keys()
+        scratch.cut(spark.range(1000).groupBy(F.col("id") % 7).count())
+        assert shuffle_files(spark).keys() - before
+        scratch.free()
+        assert gone(spark, before)
+
+
+def test_jaccard_never_holds_all_shuffles(spark, monkeypatch):
+    """Texts and prefixes move in passes: less than six tenths of the tokens' bytes are on disk at any time."""
+    rng = random.Random(5)
+    docs, words = 300, 400
+    rows = [(k, " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(2)) for _ in range(words))) for k in range(docs)]
+    held, before = [0], shuffle_files(spark).keys()
+    free = Scratch.free
+
+    def spied(self, *dfs):
+        held.append(sum(size for f, size in shuffle_files(spark).items() if f not in before))
+        free(self, *dfs)
+        gone(spark, before)
+
+    monkeypatch.setattr(Scratch, "free", spied)
+    got = jaccard.similar(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(k, k) for k in range(docs)]
+    assert 0 < max(held) < 0.6 * 16 * docs * jaccard.prefix_size(words - 4)
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 130)] + [(7, 7), (None, 3)]
     with Scratch(spark) as scratch:
